@@ -19,7 +19,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", *(F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.copies(_read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+
+
+def tokenizer_path() -> str:
+    """The driver's tokenizer file; every executor has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    p = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return p.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "step_group")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": op4_mixing,
+    "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
