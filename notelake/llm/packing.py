@@ -29,21 +29,28 @@ from .common import ship
 _LOADED: dict[str, "WordTokenizer"] = {}
 
 
+_STRIPPED, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_STRIPPED[list(b".,;:!?")] = True
+_PLAIN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose pre-tokenizer never joins across white space: every run between ASCII white space
-    is tokenised once and remembered, as text repeats its words. `most` bounds what is remembered."""
+    """Ids of texts by a tokenizer that folds case and whose pre-tokenizer never joins across white space, nor an ASCII letter or digit
+    with the punctuation that follows. Each different unit between those bounds is tokenised once and remembered while it
+    recurs; `most` bounds what is remembered. Units of letters alone are tokenised joined by spaces, as each ends at one
+    end-of-word id; if the ends do not number the units, or a unit is of another make, it is tokenised for itself."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000, joined: int = 4000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.most = most
-        self._forget()
-
-    def _forget(self) -> None:
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.most, self.joined = most, joined
         self.at: dict[str, int] = {}
-        self.ids = [np.zeros(0, np.uint32)]
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+        self.start = self.size = self.uses = np.zeros(0, np.int64)
 
     @staticmethod
     def load(path: str) -> "WordTokenizer":
@@ -51,42 +58,102 @@ class WordTokenizer:
             _LOADED[path] = WordTokenizer(path)
         return _LOADED[path]
 
-    def _known(self, words: list[str]) -> np.ndarray:
-        """Places of words in the memory; the new ones are tokenised first."""
-        new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > self.most and self.at:
+    def _forget(self) -> None:
+        """Keeps what recurred, half of the most at most."""
+        few = np.partition(self.uses, -(self.most // 2))[-(self.most // 2)] if len(self.uses) > self.most // 2 else 0
+        keep = np.flatnonzero(self.uses > max(1, few))
+        names = list(self.at)
+        self.at = {names[k]: i for i, k in enumerate(keep.tolist())}
+        size = self.size[keep]
+        base = np.cumsum(size) - size
+        self.flat = self.flat[np.repeat(self.start[keep] - base, size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.uses = base, size, self.uses[keep] // 2
+
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units one after another and how many each has."""
+        flats, sizes = [], np.zeros(len(units), np.int64)
+        letters = np.fromiter(map(str.isalpha, units), bool, len(units))
+        rest = np.flatnonzero(~letters).tolist()
+        order = []
+        plain = np.flatnonzero(letters).tolist()
+        for a in range(0, len(plain), self.joined):
+            chunk = plain[a : a + self.joined]
+            ids = np.array(self.tok.encode_batch_fast([" ".join([units[i] for i in chunk])], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(chunk) or (len(ids) and last[-1] != len(ids) - 1):
+                rest += chunk
+                continue
+            sizes[chunk] = np.diff(last, prepend=-1)
+            flats.append(ids)
+            order += chunk
+        for a in range(0, len(rest), self.joined):
+            for i, e in zip(rest[a : a + self.joined], self.tok.encode_batch_fast([units[i] for i in rest[a : a + self.joined]], add_special_tokens=False)):
+                ids = e.ids
+                sizes[i] = len(ids)
+                flats.append(np.array(ids, np.uint32))
+                order.append(i)
+        flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
+        order_a = np.array(order, np.int64)
+        came = np.zeros(len(units), np.int64)
+        came[order_a] = np.cumsum(sizes[order_a]) - sizes[order_a]
+        base = np.cumsum(sizes) - sizes
+        return flat[np.repeat(came - base, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def _known(self, units: list[str], uses: np.ndarray) -> np.ndarray:
+        """Places of different units in the memory; the new ones are tokenised first."""
+        if len(self.at) > self.most:
             self._forget()
-            new = words
+        got = list(map(self.at.get, units))
+        new = [u for u, g in zip(units, got) if g is None]
         if new:
-            got = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))
+            flat, size = self._encode_units(new)
             n = len(self.at)
             self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
+            self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
             self.flat = np.concatenate((self.flat, flat))
             self.at.update(zip(new, range(n, n + len(new))))
-        at = self.at
-        return np.fromiter((at[w] for w in words), np.int64, len(words))
+            more = iter(range(n, n + len(new)))
+            got = [next(more) if g is None else g for g in got]
+        place = np.array(got, np.int64)
+        self.uses[place] += uses
+        return place
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and the offsets of the texts."""
         data, rows = K.buffers(texts)
+        data = K.lower(data)
         w = K.Words(data, rows)
-        off = np.empty(2 * len(w.start) + 1, np.int64)  # words and what is between them, as one string column
-        off[0:-1:2], off[1::2] = w.start, w.end
-        off[-1] = len(data)
-        both = pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
-        words = both.take(pa.array(np.arange(0, len(off) - 1, 2))) if len(w.start) else pa.array([], pa.large_string())
-        coded = pc.dictionary_encode(words)
-        place = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        size, start = self.size[place], self.start[place]
+        n = len(w.start)
+        tail = w.end.copy()  # where the punctuation at a word's end begins
+        rows_left = np.arange(n)
+        while len(rows_left):
+            rows_left = rows_left[(tail[rows_left] > w.start[rows_left])]
+            rows_left = rows_left[_STRIPPED[data[tail[rows_left] - 1]]]
+            tail[rows_left] -= 1
+        bare = (tail > w.start) & (tail < w.end)
+        bare[bare] = _PLAIN[data[tail[bare] - 1]]
+        two = 1 + bare.astype(np.int64)
+        first = np.cumsum(two) - two
+        start, stop = np.empty(int(two.sum()), np.int64), np.empty(int(two.sum()), np.int64)
+        start[first], stop[first] = w.start, np.where(bare, tail, w.end)
+        start[first[bare] + 1], stop[first[bare] + 1] = tail[bare], w.end[bare]
+        unit_off = np.append(first, len(start))[w.off]
+        length = stop - start
+        packed = data[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+        units = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.py_buffer(packed)])
+        if len(start):
+            coded = pc.dictionary_encode(units)
+            index = coded.indices.to_numpy(zero_copy_only=False)
+            place = self._known(coded.dictionary.to_pylist(), np.bincount(index, minlength=len(coded.dictionary)))[index]
+        else:
+            place = np.zeros(0, np.int64)
+        size, at = self.size[place], self.start[place]
         total = np.concatenate(([0], np.cumsum(size)))
-        doc = np.diff(total[w.off]) + 1
-        doc_off = np.concatenate(([0], np.cumsum(doc)))
+        doc_off = np.concatenate(([0], np.cumsum(np.diff(total[unit_off]) + 1)))
         out = np.full(int(doc_off[-1]), end, np.uint32)
-        target = np.arange(int(total[-1])) + np.repeat(K.counts_to_rows(w.off), size)
-        out[target] = self.flat[np.arange(int(total[-1])) + np.repeat(start - total[:-1], size)]
+        each = np.arange(int(total[-1]))
+        out[each + np.repeat(K.counts_to_rows(unit_off), size)] = self.flat[each + np.repeat(at - total[:-1], size)]
         return out, doc_off
 
 
