@@ -63,13 +63,23 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Large arrays go back to the system when freed, so that a worker keeps what it needs now, not what it once needed.
+_WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2"}
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers on this host import the package from where the driver has it; elsewhere it is installed."""
+    """Let Python workers on this host import the package from where the driver has it; elsewhere it is installed. Texts are
+    long, so Spark's default of 10,000 rows a batch is lowered; a session's own setting stays."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for k, v in _WORKER_ENV.items():
+        env.setdefault(k, v)
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
