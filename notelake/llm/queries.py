@@ -39,6 +39,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embed_dedup
+
+    out = embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
@@ -63,6 +70,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op4_mixing": op4_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_minhash": op7_minhash,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
