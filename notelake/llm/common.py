@@ -64,7 +64,7 @@ class Workspace:
 
 
 #: Large arrays go back to the system when freed, so that a worker keeps what it needs now, not what it once needed.
-_WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2"}
+_WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "16777216", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_ARENA_MAX": "1"}
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -241,7 +241,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, context: int,
         ids, offs, names, held = [], [], [], 0
         yield from table.to_batches(max_chunksize=2000)
 
-    for piece in K.slices(batches, "text"):
+    for piece in K.slices(batches, "text", limit=4 << 20):
         flat, off = tok.encode(piece.column("text"), end)
         ids.append(flat), offs.append(off), names.append(piece.column("id"))
         held += len(flat)
