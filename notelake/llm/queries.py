@@ -26,6 +26,20 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    r = secrets.report(_read(spark, sf_dir, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_entropy")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    r = warc.read(warc.write(_read(spark, sf_dir, "pages")))
+    return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -39,6 +53,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.replace(_read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embed_dedup
 
@@ -69,7 +89,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_secrets": op2_secrets,
+    "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_minhash": op7_minhash,
     "op8_substring_dedup": op8_substring_dedup,
