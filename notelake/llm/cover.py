@@ -55,12 +55,6 @@ class Units:
     def anchor(self) -> int:
         return self.length - self.period + 1
 
-    def mask(self) -> np.ndarray:
-        v, d = colbourn_ling(self.cover)
-        out = np.zeros(v, bool)
-        out[d] = True
-        return out
-
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable[[K.Base], np.ndarray]]:
         """Buffer, offsets of the documents in units, and the unit codes under a hash base."""
         data, rows = K.buffers(texts)
@@ -120,16 +114,20 @@ def _keys(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(units: Units, piece_codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, rows and hashes of the anchors of documents that hold a full window."""
+    """Places, rows and hashes of the anchors of documents that hold a full window: laid out period by period, so that
+    places off the cover cost nothing."""
+    v, cover = colbourn_ling(units.cover)
     size = np.diff(off)
-    n = int(off[-1])
-    row = K.counts_to_rows(off)
-    inside = np.arange(n) - off[row]
-    left = size[row] - inside
-    on = units.mask()[inside % units.period] & (left >= units.anchor) & (size[row] >= units.length)
-    at = np.flatnonzero(on)
+    limit = np.where(size >= units.length, size - units.anchor + 1, 0)
+    periods = -(-limit // v)
+    row = np.repeat(np.arange(len(size)), periods)
+    begin = v * (np.arange(len(row)) - np.repeat(np.cumsum(periods) - periods, periods))
+    inside = begin[:, None] + cover
+    on = inside < limit[row][:, None]
+    at = (inside + off[row][:, None])[on]
+    row = np.repeat(row, on.sum(1))
     prefix = K.FIRST.prefix(piece_codes)
-    return at, row[at], K.FIRST.spans(prefix, at, at + units.anchor)
+    return at, row, K.FIRST.spans(prefix, at, at + units.anchor)
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch], units: Units, parts: int) -> Iterator[pa.RecordBatch]:
