@@ -56,10 +56,13 @@ def _thin(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa
 
 def components(links: DataFrame, ws: Workspace) -> DataFrame:
     """(node, component) for nodes with a link, component being the least node reachable. links: (u, v) of longs."""
-    thin = ws.table(links.select("u", "v").where("u <> v").mapInArrow(_thin, "u long, v long"), "thin")
-    both = ws.table(thin.unionByName(thin.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
+    thin = links.select("u", "v").where("u <> v").mapInArrow(_thin, "u long, v long")
+    both = ws.table(thin.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct(), "both")
     f = ws.table(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("f")), "labels")
     while True:
+        ends = both.where("u < v").join(f.select(F.col("node").alias("u"), F.col("f").alias("fu")), "u").join(f.select(F.col("node").alias("v"), F.col("f").alias("fv")), "v")
+        if not ends.where("fu <> fv").limit(1).count():
+            break
         up = f.select(F.col("node").alias("f"), F.col("f").alias("g"))
         t = ws.table(f.join(up, "f").select("node", "f", "g"), "twice")  # g: label of the label
         near = both.join(t.select(F.col("node").alias("v"), "g"), "v").groupBy("u").agg(F.min("g").alias("m"))
@@ -67,9 +70,7 @@ def components(links: DataFrame, ws: Workspace) -> DataFrame:
         pushed = t.join(near.withColumnRenamed("u", "node"), "node").groupBy(F.col("f").alias("node")).agg(F.min("m").alias("m"))
         new = t.select("node", F.col("g").alias("m")).unionByName(near.select(F.col("u").alias("node"), "m")).unionByName(pushed).groupBy("node").agg(F.min("m").alias("f"))
         new = ws.table(new, "labels")
-        changed = new.join(f.withColumnRenamed("f", "old"), "node").where("f <> old").limit(1).count()
         ws.drop(f, t, near)
         f = new
-        if not changed:
-            break
+    ws.drop(both)
     return f.select("node", F.col("f").alias("component"))

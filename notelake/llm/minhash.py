@@ -33,6 +33,8 @@ from .components import components
 
 HALF, SIDE = 2, 12
 PIVOTS = 6
+#: Members of a table up to which pairs across components are verified at once, without more pivots.
+FEW = 64
 _U = np.uint64
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, 2 * SIDE * HALF, dtype=np.uint64) | _U(1)
@@ -90,21 +92,15 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The sets of documents whose digest is the one asked for."""
     for piece in K.slices(batches):
-        sets = [s.tobytes() for s in _sets(piece.column("text"), width)]
-        yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["rep", "n", "set"])
-
-
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        u, v, a, b = batch.columns
-        ok = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = int(np.isin(x, y, assume_unique=True, kind="sort").sum()) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-            ok.append(100 * both >= percent * (len(x) + len(y) - both))
-        mask = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], ["u", "v"])
+        ids, sets = [], []
+        for i, want, s in zip(piece.column("id").to_pylist(), piece.column("digest").to_pylist(), _sets(piece.column("text"), width)):
+            if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want:
+                ids.append(i), sets.append(s.astype(np.int64))
+        if ids:
+            off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets)))], ["rep", "set"])
 
 
 class Search:
@@ -135,19 +131,22 @@ class Search:
         return out
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(rep, n, set) of the documents wanted, each once."""
-        some = self.rows.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
-        got = some.mapInArrow(lambda b, w=self.width: _hashed(b, w), "rep long, n long, set binary")
-        return self.ws.table(got.groupBy("rep").agg(F.min_by(F.struct("n", "set"), F.sha2("set", 256)).alias("s")).select("rep", "s.n", "s.set"), "sets")
+        """(rep, n, set) of the documents wanted (rep, digest), each once."""
+        some = self.rows.join(wanted.select(F.col("rep").alias("id"), "digest"), "id")
+        got = some.mapInArrow(lambda b, w=self.width: _hashed(b, w), "rep long, set array<long>")
+        return self.ws.table(got.groupBy("rep").agg(F.first("set").alias("set")).select("rep", F.size("set").alias("n"), "set"), "sets")
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) that are linked."""
+        """Those of the pairs (u, v) that are linked. Sizes alone rule most others out; the sets of the rest are intersected by
+        Spark, whose memory for a join is bounded whatever the length of the sets."""
         left, right = (sets.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("set").alias(f"set{c}")) for c in "uv")
         sized = pairs.join(left.select("u", "nu"), "u").join(right.select("v", "nv"), "v")
-        near = sized.where(100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv")).select("u", "v")
-        near = self.ws.table(near, "pairs")
-        full = near.join(right.select("v", "setv"), "v").join(left.select("u", "setu"), "u").select("u", "v", "setu", "setv")
-        return self.ws.table(full.mapInArrow(lambda b, p=self.percent: _linked(b, p), "u long, v long"), "links")
+        near = self.ws.table(sized.where(100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv")), "pairs")
+        full = near.join(right.select("v", "setv"), "v").join(left.select("u", "setu"), "u")
+        both = F.size(F.array_intersect("setu", "setv"))
+        found = self.ws.table(full.where(100 * both >= self.percent * (F.col("nu") + F.col("nv") - both)).select("u", "v"), "links")
+        self.ws.drop(near)
+        return found
 
     def run(self) -> DataFrame:
         """(id, n, component)."""
@@ -157,8 +156,8 @@ class Search:
         firsts = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("halves").alias("halves"))
         firsts = ws.table(firsts, "firsts")
         members = self.members(firsts)
-        sets = self.sets(members.select("rep").distinct())
-        links, comp, turn = None, None, 0
+        sets = self.sets(members.select("rep").distinct().join(firsts.select("rep", "digest"), "rep"))
+        comp, turn = None, 0
         open_ = members.withColumn("c", F.col("rep"))
         while True:
             if turn < PIVOTS:
@@ -170,18 +169,18 @@ class Search:
                 a, b = open_.select("key", F.col("rep").alias("u"), F.col("c").alias("cu")), open_.select("key", F.col("rep").alias("v"), F.col("c").alias("cv"))
                 pairs = a.join(b, "key").where("u < v and cu <> cv").select("u", "v").distinct()
             found = self.verify(pairs, sets)
-            links = found if links is None else links.unionByName(found)
-            comp = components(links, ws)
+            if comp is not None:  # what is known, as links to the least
+                found = found.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            comp = components(found, ws)
             if turn >= PIVOTS:
                 break
-            now = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-            now = ws.table(now, "now")
-            several = ws.table(now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "several")
-            open_ = ws.table(now.join(several, "key"), "open")
-            left = open_.groupBy("key").count().agg(F.count("*").alias("k"), F.max("count").alias("m")).first()
+            now = ws.table(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "now")
+            several = ws.table(now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"), "several")
+            left = several.agg(F.count("*").alias("k"), F.max("m").alias("m")).first()
             if not left["k"]:
                 break
-            turn = PIVOTS if left["m"] <= 64 else turn + 1
+            open_ = ws.table(now.join(several.select("key"), "key"), "open")
+            turn = PIVOTS if left["m"] <= FEW else turn + 1
         classes = firsts.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
         classes = ws.table(classes, "classes")
         return signed.join(classes, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
