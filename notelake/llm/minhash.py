@@ -7,11 +7,14 @@ tables need. Two documents of similarity s share a table with probability (1 - (
  1. One pass over the texts: the set of shingles, its size, a digest of the set, and the half keys. Documents with one digest have one set:
     they are one class, its least document stands for it, and only representatives go on.
  2. A pair can only meet in a table if both its halves meet, so half keys that stand alone are dropped before tables are formed.
- 3. Tables with the same members are one. In each, all members are verified against a pivot; links join classes into components.
-    Members of tables that still hold several components meet the next pivot, until pivots bring nothing; what is left, pairs
-    across components in one table, is verified pair by pair, and only that. A pair within a component needs no check, as it would
+ 3. Documents that share a table are candidates. Their shingles are counted, and each document is listed under its first
+    shingles in an order that puts those of no other candidate first, just as many that two linked documents must have one in common.
+    Documents that merely share a passage have more shingles of their own than that and drop out here, exactly.
+ 4. Lists with the same members are one. In each, all members are verified against a pivot; links join classes into components.
+    Members of lists that still hold several components meet the next pivot; what is left after PIVOTS of them, pairs across
+    components in one list, is verified pair by pair, and only that. A pair within a component needs no check, as it would
     not change a component. So nothing is lost and groups of copies are never expanded into all their pairs.
- 4. Verification ships the sorted shingle hashes of the documents in question to the pairs.
+ 5. Verification intersects the full shingle sets.
 
 Rows: null text, or no words: an empty set, linked with nothing. Repeated ids: rows with the same id are one node, with the
 least set digest among them. Null ids are a node of their own. Empty table: no rows. Extra columns are not looked at.
@@ -27,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import cover
 from . import kernel as K
-from .common import Workspace
+from .common import Workspace, parts_for
 from .components import components
 
 HALF, SIDE = 2, 12
 PIVOTS = 6
-#: Members of a table up to which pairs across components are verified at once, without more pivots.
+#: Members of a list up to which pairs across components are verified at once, without more pivots.
 FEW = 64
 _U = np.uint64
 _RNG = np.random.default_rng(20)
@@ -103,6 +107,42 @@ def _hashed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets)))], ["rep", "set"])
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, shingles and the row of each shingle."""
+    sets = batch.column("set")
+    size = np.array([len(x) for x in sets], np.int64)
+    return batch.column("rep").to_numpy(zero_copy_only=False), sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(size)), size)
+
+
+def _ask_shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    none = np.zeros(0, np.uint32)
+    for batch in batches:
+        rep, h, row = _flat(batch)
+        if not len(h):
+            continue
+        zero = np.zeros(len(rep), np.int64)
+        order, new, twice = cover._twice(h)
+        out = list(cover._ask(cover.ASK, h[order[new]], none, none, row[order[new]], rep, zero, parts))
+        if twice.any():
+            out.append(cover._tell(cover.SURE, h[order[twice]], row[order[twice]], rep, zero, parts))
+        yield pa.RecordBatch.from_pylist(out, schema=cover._SENT_ARROW)
+
+
+def _listed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(key, rep): the shingles under which a document is listed."""
+    for batch in batches:
+        keys, reps = [], []
+        for rep, s, found in zip(batch.column("rep").to_pylist(), batch.column("set"), batch.column("found").to_pylist()):
+            x = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            shared = np.intersect1d(x, np.frombuffer(b"".join(found or []), np.uint64))
+            n = len(x)
+            room = n - -(-percent * n // 100) + 1 - (n - len(shared))
+            if room > 0 and len(shared):
+                keys.append(shared[:room]), reps.append(np.full(min(room, len(shared)), rep, np.int64))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps))], ["key", "rep"])
+
+
 class Search:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
         self.ws = Workspace(docs.sparkSession, "minhash")
@@ -124,10 +164,29 @@ class Search:
         pairs = sides.select("rep", F.explode("a").alias("x"), "b").select("rep", "x", F.explode("b").alias("y"))
         tables = ws.table(pairs.select("rep", F.xxhash64("x", "y").alias("key")), "tables")
         ws.drop(half, shared)
+        out = self.merged(tables)
+        ws.drop(tables)
+        return out
+
+    def merged(self, tables: DataFrame) -> DataFrame:
+        """Of (key, rep), the keys with two members or more, one for those with equal members."""
+        ws = self.ws
         print_of = tables.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("x2"))
         chosen = ws.table(print_of.where("c > 1").groupBy("c", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "chosen")
         out = ws.table(tables.join(chosen, "key"), "members")
-        ws.drop(tables, chosen)
+        ws.drop(chosen)
+        return out
+
+    def lists(self, sets: DataFrame) -> DataFrame:
+        """(key, rep): lists in which any two linked documents meet."""
+        ws = self.ws
+        total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        parts = parts_for(total, 1 << 21, 48)
+        got = sets.select("rep", "set").mapInArrow(lambda b: _ask_shared(b, parts), cover._SENT).groupBy("part").applyInArrow(cover._match_anchors, cover._GOT)
+        found = ws.table(got.groupBy(F.col("k1").alias("rep")).agg(F.collect_list("found").alias("found")), "shared")
+        rows = ws.table(sets.select("rep", "set").join(found, "rep").mapInArrow(lambda b, p=self.percent: _listed(b, p), "key long, rep long"), "listed")
+        out = self.merged(rows)
+        ws.drop(found, rows)
         return out
 
     def sets(self, wanted: DataFrame) -> DataFrame:
@@ -155,8 +214,10 @@ class Search:
         one = signed.groupBy("id").agg(F.min(F.struct("digest", "n")).alias("m")).select("id", "m.n", "m.digest")
         firsts = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("halves").alias("halves"))
         firsts = ws.table(firsts, "firsts")
-        members = self.members(firsts)
-        sets = self.sets(members.select("rep").distinct().join(firsts.select("rep", "digest"), "rep"))
+        tables = self.members(firsts)
+        sets = self.sets(tables.select("rep").distinct().join(firsts.select("rep", "digest"), "rep"))
+        ws.drop(tables)
+        members = self.lists(sets)
         comp, turn = None, 0
         open_ = members.withColumn("c", F.col("rep"))
         while True:
