@@ -101,18 +101,21 @@ def _valid(number: Column) -> Column:
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The normal form of the surrogate of an entity."""
-    d = F.sha2(F.concat_ws("\u0000", F.lit(key), kind, norm, attempt.cast("string")), 256)
+    """The normal form of the surrogate of an entity. The hashes are made once, in an array of one, and read from there."""
+    one = F.array(F.struct(F.sha2(F.concat_ws("\u0000", F.lit(key), kind, norm, attempt.cast("string")), 256).alias("d"), F.sha2(F.concat_ws("\u0000", F.lit(key), F.lit("domain"), F.substring_index(norm, "@", -1)), 256).alias("dd"), kind.alias("kind"), norm.alias("norm"), attempt.alias("t")))
+    return F.transform(one, lambda x: _drawn(x["kind"], x["norm"], x["t"], x["d"], x["dd"]))[0]
+
+
+def _drawn(kind: Column, norm: Column, attempt: Column, d: Column, dd: Column) -> Column:
     at = lambda i: _nibble(d, F.lit(i))
     byte = lambda i: at(i) * 16 + at(i + 1)
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    dd = F.sha2(F.concat_ws("\u0000", F.lit(key), F.lit("domain"), domain), 256)
-    email = F.concat(_shaped(local, d), F.lit("@"), _shaped(F.substring_index(domain, ".", 1), dd), F.substring(dd, 1, 3), F.lit(".example.net"))
-    email = F.when(attempt == 0, email).otherwise(F.concat(_shaped(local, d), F.substring(d, 1, 4), F.lit("@"), F.substring(dd, 1, 8), F.lit(".example.net")))
+    host = F.when(attempt == 0, F.concat(F.lit("@"), _shaped(F.substring_index(domain, ".", 1), dd), F.substring(dd, 1, 3))).otherwise(F.concat(F.substring(d, 1, 4), F.lit("@"), F.substring(dd, 1, 8)))
+    email = F.concat(_shaped(local, d), host, F.lit(".example.net"))
     body = F.concat(F.substring(norm, 1, 1), _digits(d, F.length(norm) - 2))
     card = F.when(_valid(norm), _luhn(body)).otherwise(F.concat(body, _digits(F.reverse(d), F.lit(1))))
     inner = norm.rlike(r"^(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.")
-    head = F.when(inner, F.lit("10")).otherwise((F.lit(11) + byte(0) * 16 % 100).cast("string"))
+    head = F.when(inner, F.lit("10")).otherwise((F.lit(11) + byte(0) % 100).cast("string"))
     ip = F.concat_ws(".", head, byte(2).cast("string"), byte(4).cast("string"), byte(6).cast("string"))
     code = F.greatest(F.length(norm) - 10, F.lit(0))
     phone = F.concat(F.substring(norm, F.lit(1), code), F.when(F.length(norm) > code, (at(50) % 8 + 2).cast("string")).otherwise(F.lit("")), _digits(d, F.length(norm) - code - 1))
@@ -120,9 +123,12 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     iban = F.concat(F.substring(norm, 1, 2), _digits(d, F.length(norm) - 2))
     who = F.substring_index(norm, ":", -1)
     female, cyrillic = norm.startswith("f:"), norm.rlike(r"\p{IsCyrillic}")
-    family = lambda script: F.initcap(F.concat(_pick(SYLLABLES[script], at(1)), _pick(SYLLABLES[script], at(2)), _pick(SYLLABLES[script], at(3)), F.when(attempt > 0, _pick(SYLLABLES[script], at(4))).otherwise(F.lit(""))))
-    given = lambda script: F.when(female, _pick(GIVEN[script, "f"], at(0))).otherwise(_pick(GIVEN[script, "m"], at(0)))
-    person = lambda script: F.when(who.contains(" "), F.concat_ws(" ", given(script), family(script))).otherwise(family(script))
+
+    def person(script: str) -> Column:
+        family = F.initcap(F.concat(*[_pick(SYLLABLES[script], at(i)) for i in (1, 2, 3)], F.when(attempt > 0, _pick(SYLLABLES[script], at(4))).otherwise(F.lit(""))))
+        given = F.when(female, _pick(GIVEN[script, "f"], at(0))).otherwise(_pick(GIVEN[script, "m"], at(0)))
+        return F.concat(F.when(who.contains(" "), F.concat(given, F.lit(" "))).otherwise(F.lit("")), family)
+
     name = F.concat(F.substring(norm, 1, 2), F.when(cyrillic, person("cyrillic")).otherwise(person("latin")))
     return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "name", name).otherwise(phone)
 
@@ -139,16 +145,26 @@ def rendered(kind: Column, mention: Column, new: Column) -> Column:
     return F.when(kind.isin("email", "ip", "iban"), new).when(kind == "name", name).otherwise(digits)
 
 
+def _staged(pieces: Column) -> Column:
+    """Array of (m, rest, kind, norm): the mention that a piece begins with, blank for the first piece, and what follows it.
+
+    Each stage reads the fields of the one before, so an expression stands once in the plan, however often it is used."""
+    first = F.transform(pieces, lambda p, i: F.struct(F.when(i == 0, F.lit("")).otherwise(F.substring_index(p, CLOSE, 1)).alias("m"), p.alias("p"), i.alias("i")))
+    cut = F.transform(first, lambda x: F.struct(x["m"].alias("m"), F.when(x["i"] == 0, x["p"]).otherwise(F.substring(x["p"], F.length(x["m"]) + 2, F.length(x["p"]))).alias("rest"), kind_of(x["m"]).alias("kind")))
+    return F.transform(cut, lambda x: F.struct(x["m"].alias("m"), x["rest"].alias("rest"), x["kind"].alias("kind"), normal(x["kind"], x["m"]).alias("norm")))
+
+
 def mentions(text: Column) -> Column:
     """Array of (kind, norm) in a text."""
-    pieces = marked(text, ENTITY)
+    return F.transform(F.filter(_staged(marked(text, ENTITY)), lambda x: x["m"] != ""), lambda x: F.struct(x["kind"].alias("kind"), x["norm"].alias("norm")))
 
-    def one(piece: Column) -> Column:
-        m = F.substring_index(piece, CLOSE, 1)
-        k = kind_of(m)
-        return F.struct(k.alias("kind"), normal(k, m).alias("norm"))
 
-    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+def rewritten(text: Column, key: str, attempt) -> Column:
+    """The pieces of a text with surrogates in them; attempt: kind and norm to the draw that counts."""
+    e = _staged(marked(text, ENTITY))
+    e = F.transform(e, lambda x: F.struct(x["m"].alias("m"), x["rest"].alias("rest"), x["kind"].alias("kind"), x["norm"].alias("norm"), attempt(x["kind"], x["norm"]).alias("t")))
+    e = F.transform(e, lambda x: F.struct(x["m"].alias("m"), x["rest"].alias("rest"), x["kind"].alias("kind"), F.when(x["m"] != "", surrogate(x["kind"], x["norm"], x["t"], key)).alias("new")))
+    return F.transform(e, lambda x: F.when(x["m"] == "", x["rest"]).otherwise(F.concat(rendered(x["kind"], x["m"], x["new"]), x["rest"])))
 
 
 def has_entity(text: Column) -> Column:
@@ -199,17 +215,10 @@ def replace(docs: DataFrame, key: str = "notelake", id_col: str = "doc_id", text
         frame = keyed.join(ws.table(per, "tries"), ["_notelake_h", "_notelake_k"], "left")
         tries = F.col("_notelake_tries")
 
-    def one(piece: Column) -> Column:
-        m = F.substring_index(piece, CLOSE, 1)
-        k = kind_of(m)
-        norm = normal(k, m)
-        attempt = F.lit(0) if tries is None else F.coalesce(F.element_at(tries, name(k, norm)), F.lit(0))
-        return F.concat(rendered(k, m, surrogate(k, norm, attempt, key)), F.substring(piece, F.length(m) + 2, F.length(piece)))
-
-    pieces = marked(text, ENTITY)
-    new = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
-    there = has_entity(text)
-    columns = [F.when(there, new).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    attempt = (lambda k, n: F.lit(0)) if tries is None else (lambda k, n: F.coalesce(F.try_element_at(tries, name(k, n)), F.lit(0)))
+    done = frame.withColumn("_notelake_p", F.when(has_entity(text), rewritten(text, key, attempt)))
+    there = F.col("_notelake_p").isNotNull()
+    columns = [F.when(there, F.array_join("_notelake_p", "")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if count_col:
-        columns.append(F.when(there, F.size(pieces) - 1).otherwise(F.lit(0)).cast("long").alias(count_col))
-    return frame.select(*columns)
+        columns.append(F.when(there, F.size("_notelake_p") - 1).otherwise(F.lit(0)).cast("long").alias(count_col))
+    return done.select(*columns)
