@@ -71,7 +71,8 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
-    """Pieces of the batches with about `limit` bytes of text each; a longer text stands alone."""
+    """Pieces of the batches with about `limit` bytes of text each; a longer text stands alone. At the end of a task its
+    tables and freed memory go back to the system, as an idle worker stays for a while."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -82,6 +83,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = min(to, at + rows)
             yield batch.slice(at, to - at)
             at = to
+    for base in (FIRST, SECOND):
+        base.up = base.down = np.ones(1, np.uint64)
+    trim()
+
+
+def trim() -> None:
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 _SPACE = np.zeros(256, bool)
