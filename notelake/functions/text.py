@@ -54,11 +54,12 @@ FAMILY_WORDS = {
 
 
 def _diacritics() -> tuple[str, str]:
-    """Composed Latin, Greek and Cyrillic letters and their bases, by canonical decomposition."""
+    """Small Latin letters that are a basic letter and one mark, by canonical decomposition; letters with two marks and
+    other scripts keep theirs, as in the index that this one follows."""
     out = []
-    for c in map(chr, (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000))):
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
         base = unicodedata.normalize("NFD", c)
-        if len(base) > 1 and all(unicodedata.combining(m) for m in base[1:]) and unicodedata.category(c) == "Ll":
+        if len(base) == 2 and base[0].isascii() and unicodedata.combining(base[1]) and unicodedata.category(c) == "Ll":
             out.append((c, base[0]))
     return "".join(a for a, _ in out), "".join(b for _, b in out)
 

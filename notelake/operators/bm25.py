@@ -81,7 +81,7 @@ def scores(index: Index, words: DataFrame, weights: dict[str, float] = SEARCH_WE
     raw = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avgdl")))
-    return f.groupBy("qid", "doc_id").agg(F.count("*").alias("matched"), (-F.sum(part)).alias("score"))
+    return f.groupBy("qid", "doc_id").agg(F.count("*").alias("matched"), (F.lit(0.0) - F.sum(part)).alias("score"))
 
 
 def counts(words: list[tuple]) -> dict[int, int]:

@@ -88,7 +88,7 @@ def candidates(index: Index, rows: DataFrame, saved: DataFrame, relations: DataF
     raw = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(bm25.LEAST_IDF))
     part = idf * F.col("f") * (bm25.K1 + 1) / (F.col("f") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("n_tokens") / F.col("avgdl")))
-    scored = s.groupBy("qid", "doc_id").agg((-F.sum(part)).alias("score"))
+    scored = s.groupBy("qid", "doc_id").agg((F.lit(0.0) - F.sum(part)).alias("score"))
     me = saved.select(F.col("id").alias("qid"), F.col("sync_id").alias("my_sync"), F.coalesce("project", F.lit("")).alias("project"), "scope")
     other = rows.where(f"deleted_at is null and type <> '{T.SESSION_SUMMARY}'").select(F.col("id").alias("doc_id"), F.col("sync_id").alias("its_sync"), F.coalesce("project", F.lit("")).alias("project"), "scope")
     fit = scored.join(me, "qid").join(other, ["doc_id", "project", "scope"]).where("qid <> doc_id")

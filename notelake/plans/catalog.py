@@ -118,11 +118,11 @@ def mutations_since(s, d):
 
 def _match(name: str, run: Callable[[index.Index], DataFrame], queries: dict[int, list[str]], need: int | None, weights=bm25.SEARCH_WEIGHTS) -> None:
     cond = f"WHERE matched = {need}" if need else ""
-    sql = with_(OBS, *O.index(), *O.scored(queries, weights), body=f"SELECT doc_id AS id, round(score, 6) AS score FROM scores {cond} ORDER BY scores.score, doc_id LIMIT 50")
+    sql = with_(OBS, *O.index(), *O.scored(queries, weights), body=f"SELECT doc_id AS id, round(score, 6) + 0.0 AS score FROM scores {cond} ORDER BY scores.score, doc_id LIMIT 50")
 
     def q(s, d):
         hits = run(obs_index(s, d)[1])
-        return hits.orderBy("score", "doc_id").limit(50).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
+        return hits.orderBy("score", "doc_id").limit(50).select(F.col("doc_id").alias("id"), (F.round("score", 6) + 0.0).alias("score"))
 
     query(name, sql)(q)
 
@@ -134,10 +134,10 @@ _match("bm25_prefix", lambda i: bm25.match_prefix(i, PREFIX), {0: ["attion", "er
 _match("bm25_candidate_weights", lambda i: bm25.match_any(i, "src3 attion", bm25.CANDIDATE_WEIGHTS), {0: ["src3", "attion"]}, None, bm25.CANDIDATE_WEIGHTS)
 
 
-@query("bm25_prompts", with_(PROMPTS, *O.index("prompts", ("content", "project")), *O.scored({0: ["attion", "erble"]}, {}), body="SELECT doc_id AS id, round(score, 6) AS score FROM scores ORDER BY scores.score, doc_id LIMIT 20"))
+@query("bm25_prompts", with_(PROMPTS, *O.index("prompts", ("content", "project")), *O.scored({0: ["attion", "erble"]}, {}), body="SELECT doc_id AS id, round(score, 6) + 0.0 AS score FROM scores ORDER BY scores.score, doc_id LIMIT 20"))
 def bm25_prompts(s, d):
     i = index.build(D.prompts(s, d), ("content", "project"))
-    return bm25.match_any(i, "attion erble", {}).orderBy("score", "doc_id").limit(20).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
+    return bm25.match_any(i, "attion erble", {}).orderBy("score", "doc_id").limit(20).select(F.col("doc_id").alias("id"), (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query("token_vocabulary", with_(OBS, *O.index(), body="SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM post GROUP BY term HAVING count(DISTINCT doc_id) >= 20"))
@@ -151,11 +151,11 @@ def index_totals(s, d):
     return obs_index(s, d)[1].totals().select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query("strict_search", with_(OBS, *O.index(), *O.scored({0: bm25.split_terms(WORDS)}), body=f"SELECT o.id, o.title, round(s.score, 6) AS score FROM scores s JOIN obs o ON o.id = s.doc_id WHERE s.matched = 2 AND {LIVE} AND o.scope = 'project' ORDER BY s.score, o.id LIMIT 10"))
+@query("strict_search", with_(OBS, *O.index(), *O.scored({0: bm25.split_terms(WORDS)}), body=f"SELECT o.id, o.title, round(s.score, 6) + 0.0 AS score FROM scores s JOIN obs o ON o.id = s.doc_id WHERE s.matched = 2 AND {LIVE} AND o.scope = 'project' ORDER BY s.score, o.id LIMIT 10"))
 def strict_search(s, d):
     rows, i = obs_index(s, d)
     hits = search.narrowed(bm25.match_all(i, WORDS), rows, search.Filters(scope="project")).orderBy("score", "id").limit(10)
-    return hits.join(rows.select("id", "title"), "id").select("id", "title", F.round("score", 6).alias("score"))
+    return hits.join(rows.select("id", "title"), "id").select("id", "title", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query("topic_key_hit", with_(OBS, body=f"SELECT id, -1000.0::DOUBLE AS score FROM obs WHERE {LIVE} AND topic_key = 'topic/24'"))
@@ -166,35 +166,35 @@ def topic_key_hit(s, d):
 _VARIANTS = {k: [w for j, w in enumerate(WIDE.split()) if j != k] for k in range(3)}
 
 
-@query("widened", with_(OBS, *O.index(), *O.scored(_VARIANTS), body=f"SELECT id, round(min(score), 6) AS score FROM (SELECT qid, o.id, type, score, row_number() OVER (PARTITION BY qid ORDER BY score, o.id) AS place FROM scores JOIN obs o ON o.id = doc_id WHERE matched = 2 AND {LIVE}) WHERE place <= 10 AND type <> 'session_summary' GROUP BY id"))
+@query("widened", with_(OBS, *O.index(), *O.scored(_VARIANTS), body=f"SELECT id, round(min(score), 6) + 0.0 AS score FROM (SELECT qid, o.id, type, score, row_number() OVER (PARTITION BY qid ORDER BY score, o.id) AS place FROM scores JOIN obs o ON o.id = doc_id WHERE matched = 2 AND {LIVE}) WHERE place <= 10 AND type <> 'session_summary' GROUP BY id"))
 def widened(s, d):
     rows, i = obs_index(s, d)
-    return search.widened(i, rows, WIDE, 10).select("id", F.round("score", 6).alias("score"))
+    return search.widened(i, rows, WIDE, 10).select("id", (F.round("score", 6) + 0.0).alias("score"))
 
 
 _SAMPLE = f"sample AS (SELECT o.id, score FROM scores JOIN obs o ON o.id = doc_id WHERE {LIVE} AND type <> 'session_summary' ORDER BY score, o.id LIMIT 24), middle AS (SELECT list_sort(list(score))[len(list(score)) // 2 + 1] AS middle, count(*) AS n FROM sample)"
 
 
-@query("nearest_floor", with_(OBS, *O.index(), *O.scored({0: bm25.split_terms(NEAR_TERMS)}), _SAMPLE, body="SELECT id, round(score, 6) AS score FROM sample CROSS JOIN middle WHERE n >= 3 AND score <= middle * 1.2"))
+@query("nearest_floor", with_(OBS, *O.index(), *O.scored({0: bm25.split_terms(NEAR_TERMS)}), _SAMPLE, body="SELECT id, round(score, 6) + 0.0 AS score FROM sample CROSS JOIN middle WHERE n >= 3 AND score <= middle * 1.2"))
 def nearest_floor(s, d):
     rows, i = obs_index(s, d)
-    return search.nearest(i, rows, NEAR_TERMS).select("id", F.round("score", 6).alias("score"))
+    return search.nearest(i, rows, NEAR_TERMS).select("id", (F.round("score", 6) + 0.0).alias("score"))
 
 
 _RECALL = ["where", "did", "thtion", "and", "attion", "meet", "erble", "why", "the", "oran"]
 _RSAMPLE = f"mine AS (SELECT * FROM obs WHERE {LIVE} AND project = 'src3'), sample AS (SELECT o.id, score FROM scores JOIN mine o ON o.id = doc_id WHERE type <> 'session_summary' AND trim(title) <> '' ORDER BY score, o.id LIMIT 24), middle AS (SELECT list_sort(list(score))[len(list(score)) // 2 + 1] AS middle, count(*) AS n FROM sample), newest AS (SELECT id FROM mine ORDER BY created_at DESC, id DESC LIMIT 50)"
 
 
-@query("prompt_recall", with_(OBS, *O.index(), *O.scored({0: _RECALL}), _RSAMPLE, body="SELECT id, round(score, 6) AS score FROM sample CROSS JOIN middle WHERE n >= 3 AND score <= middle * CASE WHEN id IN (SELECT id FROM newest) THEN 1.6 ELSE 1.2 END ORDER BY sample.score, id LIMIT 3"))
+@query("prompt_recall", with_(OBS, *O.index(), *O.scored({0: _RECALL}), _RSAMPLE, body="SELECT id, round(score, 6) + 0.0 AS score FROM sample CROSS JOIN middle WHERE n >= 3 AND score <= middle * CASE WHEN id IN (SELECT id FROM newest) THEN 1.6 ELSE 1.2 END ORDER BY sample.score, id LIMIT 3"))
 def prompt_recall(s, d):
     rows, i = obs_index(s, d)
-    return search.prompt_recall(i, rows, RECALL_PROMPT, "src3").select("id", F.round("score", 6).alias("score"))
+    return search.prompt_recall(i, rows, RECALL_PROMPT, "src3").select("id", (F.round("score", 6) + 0.0).alias("score"))
 
 
-@query("paged_search", with_(OBS, *O.index(), *O.scored({0: ["attion", "erb*"]}), body=f"SELECT o.id, round(score, 6) AS score FROM scores JOIN obs o ON o.id = doc_id WHERE matched = 2 AND {LIVE} ORDER BY scores.score, o.id LIMIT 10 OFFSET 5"))
+@query("paged_search", with_(OBS, *O.index(), *O.scored({0: ["attion", "erb*"]}), body=f"SELECT o.id, round(score, 6) + 0.0 AS score FROM scores JOIN obs o ON o.id = doc_id WHERE matched = 2 AND {LIVE} ORDER BY scores.score, o.id LIMIT 10 OFFSET 5"))
 def paged_search(s, d):
     rows, i = obs_index(s, d)
-    return search.page(i, rows, PREFIX, 5, 10)[0].select("id", F.round("score", 6).alias("score"))
+    return search.page(i, rows, PREFIX, 5, 10)[0].select("id", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query("paged_total", with_(OBS, *O.index(), *O.scored({0: ["attion", "erb*"]}), body=f"SELECT count(*) AS total FROM scores JOIN obs o ON o.id = doc_id WHERE matched = 2 AND {LIVE}"))
@@ -213,7 +213,7 @@ def session_search(s, d):
 def fused_search(s, d):
     rows = D.observations(s, d)
     hits = search.search(index.build(rows), index.build(rows, stemmed=True), rows, "attions erble", 10)
-    return hits.select("id", "title", F.round("score", 6).alias("score"), "stage", "partial")
+    return hits.select("id", "title", (F.round("score", 6) + 0.0).alias("score"), "stage", "partial")
 
 
 _FUSED = with_(OBS, *O.index(), *O.scored({0: ["attion", "erble"], 1: ["attion"]}), "placed AS (SELECT qid, doc_id AS id, score, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS place FROM scores WHERE qid = 1 OR matched = 2)", body="SELECT id, round(sum(1.0 / (60 + place)), 6) AS fused, round(arg_min(score, qid), 6) AS score FROM placed WHERE place <= 30 GROUP BY id ORDER BY sum(1.0 / (60 + place)) DESC, arg_min(score, qid), id LIMIT 10")
@@ -223,7 +223,7 @@ _FUSED = with_(OBS, *O.index(), *O.scored({0: ["attion", "erble"], 1: ["attion"]
 def rank_fusion(s, d):
     i = obs_index(s, d)[1]
     a, b = (bm25.match_all(i, x).withColumnRenamed("doc_id", "id") for x in (WORDS, "attion"))
-    return search.fused(a, b, 10).select("id", F.round("fused", 6).alias("fused"), F.round("score", 6).alias("score"))
+    return search.fused(a, b, 10).select("id", F.round("fused", 6).alias("fused"), (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query("mrr")
@@ -244,7 +244,7 @@ ORACLE["mrr"] = with_(
     OBS, *O.index(), _ASKED, "q AS (SELECT qid, unnest(w) AS term, unnest(range(len(w))) AS phrase FROM asked)",
     "f AS (SELECT qid, phrase, doc_id, sum(CASE col WHEN 'title' THEN 5.0 WHEN 'content' THEN 0.5 WHEN 'topic_key' THEN 3.0 ELSE 0.0 END) AS f FROM post JOIN q USING (term) GROUP BY qid, phrase, doc_id)",
     "n AS (SELECT qid, phrase, count(*) AS n FROM f GROUP BY qid, phrase)",
-    f"scores AS (SELECT qid, doc_id, round(-sum({O._PART}), 9) AS score FROM f JOIN n USING (qid, phrase) JOIN docstats USING (doc_id) CROSS JOIN totals GROUP BY qid, doc_id)",
+    f"scores AS (SELECT qid, doc_id, round(0.0 - sum({O._PART}), 9) AS score FROM f JOIN n USING (qid, phrase) JOIN docstats USING (doc_id) CROSS JOIN totals GROUP BY qid, doc_id)",
     "ranks AS (SELECT qid, count(*) FILTER (s.score < m.score OR (s.score = m.score AND s.doc_id < s.qid)) + 1 AS rank FROM scores s JOIN (SELECT qid, score FROM scores WHERE qid = doc_id) m USING (qid) GROUP BY qid)",
     body="SELECT round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr, " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS top{k}" for k in (1, 3, 10)) + " FROM asked LEFT JOIN ranks USING (qid)",
 )
@@ -288,25 +288,25 @@ _CAND = [
     "hits AS (SELECT qid, word_at, doc_id, col, pos - off AS at FROM post JOIN qw USING (term) GROUP BY qid, word_at, len, doc_id, col, pos - off HAVING count(DISTINCT off) = len)",
     "f AS (SELECT qid, word_at AS phrase, doc_id, sum(CASE col WHEN 'project' THEN 0.0 ELSE 1.0 END) AS f FROM hits GROUP BY qid, word_at, doc_id)",
     "n AS (SELECT qid, phrase, count(*) AS n FROM f GROUP BY qid, phrase)",
-    f"scores AS (SELECT qid, doc_id, -sum({O._PART}) AS score FROM f JOIN n USING (qid, phrase) JOIN docstats USING (doc_id) CROSS JOIN totals GROUP BY qid, doc_id)",
+    f"scores AS (SELECT qid, doc_id, 0.0 - sum({O._PART}) AS score FROM f JOIN n USING (qid, phrase) JOIN docstats USING (doc_id) CROSS JOIN totals GROUP BY qid, doc_id)",
     "fit AS (SELECT qid, doc_id, score FROM scores JOIN saved a ON a.id = qid JOIN obs b ON b.id = doc_id WHERE b.deleted_at IS NULL AND b.type <> 'session_summary' AND a.project = b.project AND a.scope = b.scope AND a.id <> b.id AND NOT EXISTS (SELECT 1 FROM relations r WHERE (r.source_id = a.sync_id AND r.target_id = b.sync_id) OR (r.source_id = b.sync_id AND r.target_id = a.sync_id)))",
     "top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS place FROM fit QUALIFY place <= 24)",
     "med AS (SELECT qid, count(*) AS n, list_sort(list(score))[len(list(score)) // 2 + 1] AS middle FROM top GROUP BY qid)",
 ]
 
 
-@query("candidates", with_(OBS, RELATIONS, *O.index(), *_CAND, body="SELECT qid AS source, doc_id AS candidate, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS p FROM top JOIN med USING (qid) WHERE score <= -2.0 AND (n < 24 OR score <= middle * 1.25)) WHERE p <= 3"))
+@query("candidates", with_(OBS, RELATIONS, *O.index(), *_CAND, body="SELECT qid AS source, doc_id AS candidate, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS p FROM top JOIN med USING (qid) WHERE score <= -2.0 AND (n < 24 OR score <= middle * 1.25)) WHERE p <= 3"))
 def candidates(s, d):
     rows, i = obs_index(s, d)
     saved = rows.where("id % 25 = 3 and deleted_at is null")
     c = relations.candidates(i, rows, saved, D.relations(s, d))
-    return c.select("source", "candidate", F.round("score", 6).alias("score"))
+    return c.select("source", "candidate", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query("scan_project")
 def scan_project(s, d):
     rows, i = obs_index(s, d)
-    return relations.scan_project(i, rows, "src3", D.relations(s, d)).select("lo", "hi", F.round("score", 6).alias("score"))
+    return relations.scan_project(i, rows, "src3", D.relations(s, d)).select("lo", "hi", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query("judged_outcomes", with_(OBS, RELATIONS, "v AS (SELECT CASE WHEN doc_id % 9 = 0 THEN 'rel-x' ELSE 'rel-' || doc_id END AS sync_id, CASE WHEN doc_id % 5 = 0 THEN 'eats' ELSE 'related' END AS relation, (doc_id % 12) / 10.0 AS confidence FROM documents WHERE doc_id % 3 = 0)", body="SELECT v.sync_id, v.relation, v.confidence, CASE WHEN v.relation = 'eats' THEN 'unknown_verb' WHEN v.confidence > 1 THEN 'bad_confidence' WHEN r.id IS NULL THEN 'unknown_relation' WHEN a.id IS NULL OR b.id IS NULL THEN 'missing_end' WHEN a.project <> b.project THEN 'different_projects' ELSE 'ok' END AS outcome FROM v LEFT JOIN relations r USING (sync_id) LEFT JOIN obs a ON a.sync_id = r.source_id LEFT JOIN obs b ON b.sync_id = r.target_id"))
@@ -486,9 +486,9 @@ def hash_dedupe(s, d):
     return writes.passive_dedupe(items, D.observations(s, d)).select("id", "project", "normalized_hash")
 
 
-_CHAIN = """WITH RECURSIVE r AS (SELECT event_id AS id, user_id AS k, ts AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-fold AS (SELECT id, k, n, at AS anchor, id AS onto, 'inserted' AS outcome FROM r WHERE n = 1
- UNION ALL SELECT r.id, r.k, r.n, CASE WHEN r.at - f.anchor > INTERVAL 24 HOUR THEN r.at ELSE f.anchor END, CASE WHEN r.at - f.anchor > INTERVAL 24 HOUR THEN r.id ELSE f.onto END, CASE WHEN r.at - f.anchor > INTERVAL 24 HOUR THEN 'inserted' ELSE 'deduplicated' END FROM fold f JOIN r ON r.k = f.k AND r.n = f.n + 1)
+_CHAIN = """WITH RECURSIVE r AS (SELECT event_id AS id, user_id AS k, ts AS t0, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+fold AS (SELECT id, k, n, t0 AS anchor, id AS onto, 'inserted' AS outcome FROM r WHERE n = 1
+ UNION ALL SELECT r.id, r.k, r.n, CASE WHEN r.t0 - f.anchor > INTERVAL 24 HOUR THEN r.t0 ELSE f.anchor END, CASE WHEN r.t0 - f.anchor > INTERVAL 24 HOUR THEN r.id ELSE f.onto END, CASE WHEN r.t0 - f.anchor > INTERVAL 24 HOUR THEN 'inserted' ELSE 'deduplicated' END FROM fold f JOIN r ON r.k = f.k AND r.n = f.n + 1)
 SELECT id, outcome, onto FROM fold"""
 
 

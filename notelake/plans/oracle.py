@@ -67,7 +67,7 @@ def scored(queries: dict[int, list[str]], weights: dict[str, float] = bm25.SEARC
         "hits AS (SELECT qid, phrase, len, doc_id, col, pos - off AS at FROM post JOIN q ON post.term = q.term OR (q.prefix AND starts_with(post.term, q.term)) GROUP BY qid, phrase, len, doc_id, col, pos - off HAVING count(DISTINCT off) = len)",
         f"f AS (SELECT qid, phrase, doc_id, sum(CASE {w} ELSE 1.0 END) AS f FROM hits GROUP BY qid, phrase, doc_id)",
         "n AS (SELECT qid, phrase, count(*) AS n FROM f GROUP BY qid, phrase)",
-        f"scores AS (SELECT qid, doc_id, count(*) AS matched, -sum({_PART}) AS score FROM f JOIN n USING (qid, phrase) JOIN docstats USING (doc_id) CROSS JOIN totals GROUP BY qid, doc_id)",
+        f"scores AS (SELECT qid, doc_id, count(*) AS matched, 0.0 - sum({_PART}) AS score FROM f JOIN n USING (qid, phrase) JOIN docstats USING (doc_id) CROSS JOIN totals GROUP BY qid, doc_id)",
     ]
 
 
