@@ -100,4 +100,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+_ASCII_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = "reach(node, c) AS (SELECT node, node FROM nodes UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.node), comp AS (SELECT node, min(c) AS c FROM reach GROUP BY node)"
+
+ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": """
+WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 399)) AS i FROM t WHERE len(x) >= 800)),
+st AS (SELECT doc_id, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM st),
+run AS (SELECT doc_id, min(i) AS b, max(i) + 400 AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM marked) GROUP BY doc_id, r),
+gap AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS p, b, e FROM run),
+cut AS (SELECT doc_id, count(*) AS n, sum(e - b) AS removed, string_agg(substr(x, 2 * p + 1, 2 * (b - p)), '' ORDER BY b) || any_value(substr(x, 2 * m + 1)) AS left_over
+ FROM gap JOIN t USING (doc_id) JOIN (SELECT doc_id, max(e) AS m FROM run GROUP BY doc_id) USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans, sha256(from_hex(coalesce(left_over, x))) AS kept_sha256 FROM t LEFT JOIN cut USING (doc_id)""",
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+d AS (SELECT page_id, strlen(p.html) AS n, sha1(p.html) AS h, first FROM p JOIN f ON f.html = p.html)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+ CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d""",
+    "op6_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), nodes AS (SELECT vec_id AS node FROM v),
+edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98), {_REACH}
+SELECT v.vec_id, (SELECT count(*) FROM edges WHERE a = v.vec_id) AS n_links, c AS component_id, c = v.vec_id AS kept FROM v JOIN comp ON node = v.vec_id""",
+    "op7_minhash": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format(x="coalesce(text, '')")}, '{_WORDS}') AS ws FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i + 1:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 3, least(len(ws), 1)))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+edges AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), nodes AS (SELECT doc_id AS node FROM w), {_REACH}
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, c = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN comp ON node = w.doc_id""",
+    "op8_substring_dedup": f"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, array_to_string(ws[i + 1:i + 35], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)),
+st AS (SELECT doc_id, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)), gone AS (SELECT DISTINCT doc_id, i + j AS p FROM st CROSS JOIN range(35) r(j)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM w), kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, (SELECT count(*) FROM gone g WHERE g.doc_id = w.doc_id) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+}

@@ -228,5 +228,7 @@ def _read(batches: Iterator[pa.RecordBatch], verify: bool) -> Iterator[pa.Record
 def read(index: DataFrame, frames_a_task: int = 64, verify: bool = True) -> DataFrame:
     """The records that the index lists, from the archives. Any part of an index reads just its records. Payloads of responses are
     checked against their digests; a revisit's payload is null, its length and digest are those of what it refers to."""
-    dealt = index.withColumn("g", F.floor(F.col("frame") / frames_a_task)).repartition("path", "g").sortWithinPartitions("path", "frame", "offset")
+    groups = index.withColumn("g", F.floor(F.col("frame") / frames_a_task))
+    n = groups.select("path", "g").distinct().count()  # the index is small for what it makes tasks read, so Spark would merge them
+    dealt = groups.repartition(max(1, n), "path", "g").sortWithinPartitions("path", "frame", "offset")
     return dealt.select("path", "frame", "offset", "length").mapInArrow(lambda b: _read(b, verify), _READ)
