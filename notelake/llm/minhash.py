@@ -39,6 +39,8 @@ HALF, SIDE = 2, 12
 PIVOTS = 6
 #: Members of a list up to which pairs across components are verified at once, without more pivots.
 FEW = 64
+#: Common shingles that are told apart from others; 8 bytes each are broadcast.
+MOST_COMMON = 500_000
 _U = np.uint64
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, 2 * SIDE * HALF, dtype=np.uint64) | _U(1)
@@ -115,6 +117,7 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _ask_shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Each shingle once a batch, with how often it is in it."""
     none = np.zeros(0, np.uint32)
     for batch in batches:
         rep, h, row = _flat(batch)
@@ -122,14 +125,37 @@ def _ask_shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
             continue
         zero = np.zeros(len(rep), np.int64)
         order, new, twice = cover._twice(h)
-        out = list(cover._ask(cover.ASK, h[order[new]], none, none, row[order[new]], rep, zero, parts))
+        n = np.diff(np.append(np.flatnonzero(new), len(h))).astype(np.uint32)
+        out = list(cover._ask(cover.ASK, h[order[new]], n, none, row[order[new]], rep, zero, parts))
         if twice.any():
             out.append(cover._tell(cover.SURE, h[order[twice]], row[order[twice]], rep, zero, parts))
         yield pa.RecordBatch.from_pylist(out, schema=cover._SENT_ARROW)
 
 
-def _listed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(key, rep): the shingles under which a document is listed."""
+COMMON = 9  # a role beside those of cover.py: k1 is a common shingle
+
+
+def _match_shared(t: pa.Table, common: int) -> pa.Table:
+    """Shingles of two documents or more to the documents; and which shingles at least `common` documents have."""
+    rows, out = t.to_pylist(), []
+    x = cover._Gathered(rows, cover.ASK, np.uint32)
+    if len(x.h):
+        order, new, _ = cover._twice(x.h)
+        start = np.flatnonzero(new)
+        total = np.add.reduceat(x.g[order].astype(np.int64), start)
+        at = order[(total > 1)[np.cumsum(new) - 1]]
+        if len(at):
+            out.append(cover._answers(x.doc[at], x.h[at], x.k1, x.k2))
+        often = x.h[order[start[total >= common]]].view(np.int64)
+        out.append(cover._roles(often, np.zeros(len(often), np.int64), np.full(len(often), COMMON)))
+    x = cover._Gathered(rows, cover.SURE, np.uint32)
+    if len(x.h):
+        out.append(cover._answers(x.doc, x.h, x.k1, x.k2))
+    return pa.concat_tables(out) if out else cover._GOT_ARROW.empty_table()
+
+
+def _listed(batches: Iterator[pa.RecordBatch], percent: int, common) -> Iterator[pa.RecordBatch]:
+    """(key, rep): the shingles under which a document is listed. The order: those of no other, others, common ones."""
     for batch in batches:
         keys, reps = [], []
         for rep, s, found in zip(batch.column("rep").to_pylist(), batch.column("set"), batch.column("found").to_pylist()):
@@ -138,7 +164,8 @@ def _listed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             n = len(x)
             room = n - -(-percent * n // 100) + 1 - (n - len(shared))
             if room > 0 and len(shared):
-                keys.append(shared[:room]), reps.append(np.full(min(room, len(shared)), rep, np.int64))
+                last = np.isin(shared, common.value)
+                keys.append(np.concatenate((shared[~last], shared[last]))[:room]), reps.append(np.full(min(room, len(shared)), rep, np.int64))
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps))], ["key", "rep"])
 
@@ -182,9 +209,15 @@ class Search:
         ws = self.ws
         total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         parts = parts_for(total, 1 << 21, 48)
-        got = sets.select("rep", "set").mapInArrow(lambda b: _ask_shared(b, parts), cover._SENT).groupBy("part").applyInArrow(cover._match_anchors, cover._GOT)
-        found = ws.table(got.groupBy(F.col("k1").alias("rep")).agg(F.collect_list("found").alias("found")), "shared")
-        rows = ws.table(sets.select("rep", "set").join(found, "rep").mapInArrow(lambda b, p=self.percent: _listed(b, p), "key long, rep long"), "listed")
+        often = max(4, -(-total // MOST_COMMON))
+        sent = sets.select("rep", "set").mapInArrow(lambda b: _ask_shared(b, parts), cover._SENT)
+        got = ws.table(sent.groupBy("part").applyInArrow(lambda t: _match_shared(t, often), cover._GOT), "asked")
+        # as the sets hold `total` shingles in all, at most MOST_COMMON of them can be in total / MOST_COMMON documents
+        hot = np.array([r[0] for r in got.where(F.col("role") == COMMON).select("k1").collect()], np.int64).view(np.uint64)
+        common = ws.spark.sparkContext.broadcast(hot)
+        found = ws.table(got.where("role = 0").groupBy(F.col("k1").alias("rep")).agg(F.collect_list("found").alias("found")), "shared")
+        rows = ws.table(sets.select("rep", "set").join(found, "rep").mapInArrow(lambda b, p=self.percent: _listed(b, p, common), "key long, rep long"), "listed")
+        ws.drop(got)
         out = self.merged(rows)
         ws.drop(found, rows)
         return out
