@@ -24,6 +24,7 @@ from . import kernel as K
 from .common import Workspace, ship
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper_words", "n_short_words", "n_marks", "n_distinct_words")
+PREFIX = "_notelake_"
 
 _SYMBOL, _MARK, _ENDING = (np.zeros(256, bool) for _ in range(3))
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -101,18 +102,18 @@ def _counted(batches: Iterator[pa.RecordBatch], keep: list[str], text: str) -> I
     for piece in K.slices(batches, text):
         c = count(piece.column(text))
         arrays = [pa.array(c[x], pa.int64()) for x in COUNTS]
-        yield pa.RecordBatch.from_arrays([*(piece.column(x) for x in keep), *arrays], [*keep, *(f"q_{x}" for x in COUNTS)])
+        yield pa.RecordBatch.from_arrays([*(piece.column(x) for x in keep), *arrays], [*keep, *(f"{PREFIX}{x}" for x in COUNTS)])
 
 
 def counted(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` and the counts as q_*; a map over the rows, nothing is shuffled."""
+    """The columns `keep` and the counts under PREFIX; a map over the rows, nothing is shuffled."""
     needed = [text, *(c for c in keep if c != text)]
-    cols = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), *(f"q_{c} long" for c in COUNTS)])
+    cols = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), *(f"{PREFIX}{c} long" for c in COUNTS)])
     return df.select(*needed).mapInArrow(lambda batches: _counted(batches, keep, text), cols)
 
 
 def q(name: str) -> Column:
-    return F.col(f"q_{name}")
+    return F.col(f"{PREFIX}{name}")
 
 
 def _share(part: str, whole: str) -> Column:
@@ -202,7 +203,7 @@ def fitted(votes_df: DataFrame, names: list[str]) -> Model:
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per document: id, q_* counts, vote_* of each rule, base_failed, p_good, kept."""
+    """One row per document: id, the counts under PREFIX, vote_* of each rule, base_failed, p_good, kept."""
     ws = Workspace(docs.sparkSession, "quality")
     rs = rules()
     seen = ws.table(counted(docs, text_col, [id_col]).select(id_col, *(q(c) for c in COUNTS), *(r.column() for r in rs)), "votes")
