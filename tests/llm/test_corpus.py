@@ -502,11 +502,11 @@ def test_quality_keeps_prose_and_drops_junk(spark, none):
     prose = lambda: " ".join(" ".join(rng.choices(words, k=rng.randint(6, 12))).capitalize() + "." for _ in range(rng.randint(4, 15)))
     good = [prose() for _ in range(300)]
     junk = [" ".join(w + rng.choice(["###", "$$$", "%%%"]) for w in rng.choices(words, k=60)) for _ in range(30)] + [(prose() + "\n") * 20 for _ in range(30)] + [" ".join(f"{w.upper()}!!" for w in rng.choices(words, k=60)) for _ in range(30)]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*good, *junk, None, "", "short text"])], "doc_id long, text string, q_n_words string")
-    s = quality.scores(df.drop("q_n_words")).select("doc_id", "kept", "base_failed").collect()
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*good, *junk, None, "", "short text"])], "doc_id long, text string, _notelake_x string")
+    s = quality.scores(df.drop("_notelake_x")).select("doc_id", "kept", "base_failed").collect()
     kept = {r["doc_id"] for r in s if r["kept"]}
     assert len(kept & set(range(300))) >= 297 and not kept & set(range(300, 393))
-    out = quality.keep(df.drop("q_n_words"))
+    out = quality.keep(df.drop("_notelake_x"))
     assert {r["doc_id"] for r in out.collect()} == kept and out.columns == ["doc_id", "text"]
     assert quality.keep(none).count() == 0 and quality.scores(none).count() == 0
 
