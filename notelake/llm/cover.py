@@ -222,6 +222,7 @@ def _match_anchors(t: pa.Table) -> pa.Table:
         some = np.bincount(group)[group] > 1
         if some.any():
             out.append(_roles(a[some], b[some], np.where(leads, 1, 2)[some]))
+    K.trim()
     return pa.concat_tables(out) if out else _GOT_ARROW.empty_table()
 
 
@@ -285,6 +286,7 @@ def _match_windows(t: pa.Table) -> pa.Table:
         if r["kind"] == SURE:
             places, doc = np.frombuffer(r["h"], np.uint32), np.frombuffer(r["doc"], np.uint16).astype(np.int64)
             out.append(_answers(doc, places, np.frombuffer(r["k1"], np.int64), np.frombuffer(r["k2"], np.int64)))
+    K.trim()
     return pa.concat_tables(out) if out else _GOT_ARROW.empty_table()
 
 
@@ -296,7 +298,7 @@ def repeated(docs: DataFrame, units: Units, name: str, id_col: str, text_col: st
     rows = keyed(docs, id_col, text_col)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     share = len(colbourn_ling(units.cover)[1]) / units.period / (6 if units.words else 1)
-    parts = parts_for(int(total * share), 1 << 21, 48)
+    parts = parts_for(int(total * share), 1 << 20, 48)
     sent = rows.select("k1", "k2", "text").mapInArrow(lambda b: _send_anchors(b, units, parts), _SENT)
     got = ws.table(sent.groupBy("part").applyInArrow(_match_anchors, _GOT), "anchors")
     mine = got.groupBy("k1", "k2").agg(F.max("role").alias("role"), F.collect_list("found").alias("found"))
@@ -304,7 +306,7 @@ def repeated(docs: DataFrame, units: Units, name: str, id_col: str, text_col: st
     ws.drop(got)
     marked = held.where((F.size("found") > 0) & (F.col("role") < 2)).select("k1", "k2", "text", "found")
     windows = []
-    more = parts_for(total // 6 // units.ranges // (6 if units.words else 1), 1 << 21, 48)
+    more = parts_for(total // 6 // units.ranges // (6 if units.words else 1), 1 << 20, 48)
     for which in range(units.ranges):  # one range of suffixes at a time, so that only its keys are on disk
         sent = marked.mapInArrow(lambda b, w=which: _send_windows(b, units, more, w), _SENT)
         windows.append(ws.table(sent.groupBy("part").applyInArrow(_match_windows, _GOT).select("k1", "k2", "found"), f"windows{which}"))

@@ -208,7 +208,7 @@ class Search:
         """(key, rep): lists in which any two linked documents meet."""
         ws = self.ws
         total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        parts = parts_for(total, 1 << 21, 48)
+        parts = parts_for(total, 1 << 20, 48)
         often = max(4, -(-total // MOST_COMMON))
         sent = sets.select("rep", "set").mapInArrow(lambda b: _ask_shared(b, parts), cover._SENT)
         got = ws.table(sent.groupBy("part").applyInArrow(lambda t: _match_shared(t, often), cover._GOT), "asked")

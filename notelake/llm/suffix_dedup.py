@@ -48,7 +48,7 @@ def _cut(batches: Iterator[pa.RecordBatch], units: cover.Units, schema: pa.Schem
         yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, cover_order: int = 2, ranges: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, cover_order: int = 2, ranges: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept (binary: what is left), spans (removed runs, end exclusive).
 
     cover_order: order of the Colbourn-Ling cover, period 24r^2 + 36r + 13, which must be under `length`; ranges: how many
