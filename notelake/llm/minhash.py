@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import cover
@@ -155,9 +155,10 @@ def _match_shared(t: pa.Table, common: int) -> pa.Table:
 
 
 def _listed(batches: Iterator[pa.RecordBatch], percent: int, common) -> Iterator[pa.RecordBatch]:
-    """(key, rep): the shingles under which a document is listed. The order: those of no other, others, common ones."""
+    """(key, ord, rep, pos, n): the shingles under which a document is listed, with their places in the order that all documents
+    share: those of no other document, others, common ones."""
     for batch in batches:
-        keys, reps = [], []
+        keys, ords, reps, places, sizes = [], [], [], [], []
         for rep, s, found in zip(batch.column("rep").to_pylist(), batch.column("set"), batch.column("found").to_pylist()):
             x = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
             shared = np.intersect1d(x, np.frombuffer(b"".join(found or []), np.uint64))
@@ -165,9 +166,14 @@ def _listed(batches: Iterator[pa.RecordBatch], percent: int, common) -> Iterator
             room = n - -(-percent * n // 100) + 1 - (n - len(shared))
             if room > 0 and len(shared):
                 last = np.isin(shared, common.value)
-                keys.append(np.concatenate((shared[~last], shared[last]))[:room]), reps.append(np.full(min(room, len(shared)), rep, np.int64))
+                k = np.concatenate((shared[~last], shared[last]))[:room]
+                keys.append(k)
+                ords.append((k >> _U(2)).astype(np.int64) + (np.arange(len(k)) >= int((~last).sum())) * np.int64(1 << 62))
+                reps.append(np.full(len(k), rep, np.int64)), sizes.append(np.full(len(k), n, np.int64))
+                places.append(n - len(shared) + np.arange(len(k)))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(reps))], ["key", "rep"])
+            cat = lambda x: pa.array(np.concatenate(x))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), cat(ords), cat(reps), cat(places), cat(sizes)], ["key", "ord", "rep", "pos", "n"])
 
 
 class Search:
@@ -196,16 +202,17 @@ class Search:
         return out
 
     def merged(self, tables: DataFrame) -> DataFrame:
-        """Of (key, rep), the keys with two members or more, one for those with equal members."""
+        """Of (key, rep), the keys with two members or more; of those with equal members one, the first in the order if there is one."""
         ws = self.ws
-        print_of = tables.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("x2"))
-        chosen = ws.table(print_of.where("c > 1").groupBy("c", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "chosen")
+        first = F.min(F.struct("ord", "key"))
+        print_of = tables.groupBy("key").agg(F.min(F.col("ord") if "ord" in tables.columns else F.lit(0)).alias("ord"), F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("x2"))
+        chosen = ws.table(print_of.where("c > 1").groupBy("c", "lo", "hi", "x1", "x2").agg(first.alias("f")).select("f.key"), "chosen")
         out = ws.table(tables.join(chosen, "key"), "members")
         ws.drop(chosen)
         return out
 
     def lists(self, sets: DataFrame) -> DataFrame:
-        """(key, rep): lists in which any two linked documents meet."""
+        """(key, rep, pos, n): lists in which any two linked documents meet; pos: place of the key in a document of n shingles."""
         ws = self.ws
         total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         parts = parts_for(total, 1 << 20, 48)
@@ -216,7 +223,7 @@ class Search:
         hot = np.array([r[0] for r in got.where(F.col("role") == COMMON).select("k1").collect()], np.int64).view(np.uint64)
         common = ws.spark.sparkContext.broadcast(hot)
         found = ws.table(got.where("role = 0").groupBy(F.col("k1").alias("rep")).agg(F.collect_list("found").alias("found")), "shared")
-        rows = ws.table(sets.select("rep", "set").join(found, "rep").mapInArrow(lambda b, p=self.percent: _listed(b, p, common), "key long, rep long"), "listed")
+        rows = ws.table(sets.select("rep", "set").join(found, "rep").mapInArrow(lambda b, p=self.percent: _listed(b, p, common), "key long, ord long, rep long, pos long, n long"), "listed")
         ws.drop(got)
         out = self.merged(rows)
         ws.drop(found, rows)
@@ -228,13 +235,18 @@ class Search:
         got = some.mapInArrow(lambda b, w=self.width: _hashed(b, w), "rep long, set array<long>")
         return self.ws.table(got.groupBy("rep").agg(F.first("set").alias("set")).select("rep", F.size("set").alias("n"), "set"), "sets")
 
+    def may_link(self) -> Column:
+        """Whether a pair (nu, pu, nv, pv) that shares its first common shingle at places pu and pv can have enough in common. A
+        pair is in the list of its first common shingle, so what is ruled out in every list that it is in is not linked."""
+        need = F.ceil(self.percent * (F.col("nu") + F.col("nv")) / (100 + self.percent))
+        return (100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv")) & (F.col("pu") <= F.col("nu") - need) & (F.col("pv") <= F.col("nv") - need)
+
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those of the pairs (u, v) that are linked. Sizes alone rule most others out; the sets of the rest are intersected by
-        Spark, whose memory for a join is bounded whatever the length of the sets."""
+        """Those of the pairs (u, v) that are linked. The sets are intersected by Spark, whose memory for a join is bounded whatever
+        the length of the sets."""
         left, right = (sets.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("set").alias(f"set{c}")) for c in "uv")
-        sized = pairs.join(left.select("u", "nu"), "u").join(right.select("v", "nv"), "v")
-        near = self.ws.table(sized.where(100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv")), "pairs")
-        full = near.join(right.select("v", "setv"), "v").join(left.select("u", "setu"), "u")
+        near = self.ws.table(pairs.select("u", "v").distinct(), "pairs")
+        full = near.join(right, "v").join(left, "u")
         both = F.size(F.array_intersect("setu", "setv"))
         found = self.ws.table(full.where(100 * both >= self.percent * (F.col("nu") + F.col("nv") - both)).select("u", "v"), "links")
         self.ws.drop(near)
@@ -256,19 +268,20 @@ class Search:
         while True:
             if turn < PIVOTS:
                 lot = F.xxhash64(F.lit(turn), "rep")
-                pivots = open_.groupBy("key").agg(F.min_by(F.struct("rep", "c"), lot).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.c").alias("pc"))
-                pairs = open_.join(ws.table(pivots, "pivots"), "key").where("c <> pc")
-                pairs = pairs.select(F.least("rep", "pivot").alias("u"), F.greatest("rep", "pivot").alias("v")).distinct()
+                best = F.min_by(F.struct("rep", "c", "pos", "n"), lot).alias("p")
+                pivots = self.ws.table(open_.groupBy("key").agg(best).select("key", F.col("p.rep").alias("v"), F.col("p.c").alias("cv"), F.col("p.pos").alias("pv"), F.col("p.n").alias("nv")), "pivots")
+                mine = open_.select("key", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("pos").alias("pu"), F.col("n").alias("nu"))
+                pairs = mine.join(pivots, "key").where((F.col("cu") != F.col("cv")) & self.may_link()).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
             else:
-                a, b = open_.select("key", F.col("rep").alias("u"), F.col("c").alias("cu")), open_.select("key", F.col("rep").alias("v"), F.col("c").alias("cv"))
-                pairs = a.join(b, "key").where("u < v and cu <> cv").select("u", "v").distinct()
+                a, b = (open_.select("key", F.col("rep").alias(x), F.col("c").alias(f"c{x}"), F.col("pos").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "uv")
+                pairs = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & self.may_link()).select("u", "v")
             found = self.verify(pairs, sets)
             if comp is not None:  # what is known, as links to the least
                 found = found.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))
             comp = components(found, ws)
             if turn >= PIVOTS:
                 break
-            now = ws.table(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")), "now")
+            now = ws.table(members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "pos", "n", F.coalesce("component", "rep").alias("c")), "now")
             several = ws.table(now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"), "several")
             left = several.agg(F.count("*").alias("k"), F.max("m").alias("m")).first()
             if not left["k"]:
