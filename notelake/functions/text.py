@@ -245,3 +245,26 @@ def backoff_seconds(failures: Column, base: int = 1, most: int = 300) -> Column:
 
 def is_confidence(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & x.between(0.0, 1.0)
+
+
+def directory_key(x: Column) -> Column:
+    """A path for comparison: slashes one way, no slash at the end, lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(x), r"[\\\\/]+", "/"), "/$", ""))
+
+
+def repo_of_remote(x: Column) -> Column:
+    """The repository that a remote address names."""
+    return F.nullif(F.regexp_extract(F.trim(x), r"([^/:\\\\]+?)(?:\.git)?/*$", 1), F.lit(""))
+
+
+def sample_words(x: Column, count: int, skip: int = 0) -> Column:
+    """Some words of a text to look for it by."""
+    return F.array_join(F.slice(prompt_terms(x, 10_000), skip + 1, count), " ")
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A prompt with its {names} filled in."""
+    out = F.lit(template)
+    for name, v in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(v, F.lit("")))
+    return out

@@ -814,6 +814,50 @@ def rekeyed_chunks(s, d):
     return quality.rekeyed_chunks(c)
 
 
+@query("same_directory", "SELECT doc_id AS id, '/work/src' || (doc_id % 3) AS k FROM documents")
+def same_directory(s, d):
+    raw = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("/Work//SRC")).otherwise(F.lit("\\\\work\\\\Src")), (F.col("doc_id") % 3).cast("string"), F.when(F.col("doc_id") % 5 == 0, "/").otherwise(""))
+    return D.table(s, d, "documents").select(F.col("doc_id").alias("id"), T.directory_key(raw).alias("k"))
+
+
+@query("repo_names", "SELECT doc_id AS id, source AS repo FROM documents")
+def repo_names(s, d):
+    k = F.col("doc_id") % 3
+    remote = F.when(k == 0, F.concat(F.lit("git@host:team/"), "source", F.lit(".git"))).when(k == 1, F.concat(F.lit("https://host/team/"), "source")).otherwise(F.concat(F.lit("ssh://host/"), "source", F.lit(".git/")))
+    return D.table(s, d, "documents").select(F.col("doc_id").alias("id"), T.repo_of_remote(remote).alias("repo"))
+
+
+@query("judge_prompts", with_(RELATIONS, body="SELECT id, 'Is ' || source_id || ' at odds with ' || target_id || '?' AS prompt FROM relations"))
+def judge_prompts(s, d):
+    return D.relations(s, d).select("id", T.filled("Is {a} at odds with {b}?", a=F.col("source_id"), b=F.col("target_id")).alias("prompt"))
+
+
+@query("sync_enabled", with_("c AS (SELECT 'src' || k AS project, k % 4 <> 0 AS enabled FROM range(10) t(k))", body="SELECT p.project, coalesce(c.enabled, true) AS enabled FROM (SELECT DISTINCT source AS project FROM documents) p LEFT JOIN c USING (project)"))
+def sync_enabled(s, d):
+    c = s.range(10).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("project"), (F.col("id") % 4 != 0).alias("enabled"))
+    return R.sync_enabled(D.table(s, d, "documents").select(F.col("source").alias("project")).distinct(), c)
+
+
+@query("queued_relations", with_(OBS, RELATIONS, body="SELECT r.sync_id, coalesce(nullif(a.project, ''), nullif(b.project, '')) AS project FROM relations r LEFT JOIN obs a ON a.sync_id = r.source_id LEFT JOIN obs b ON b.sync_id = r.target_id WHERE coalesce(nullif(a.project, ''), nullif(b.project, '')) IN ('src3', 'src6')"))
+def queued_relations(s, d):
+    e = s.createDataFrame([("src3",), ("src6",)], "project string")
+    return R.queued_relations(D.relations(s, d), D.observations(s, d), e).select("sync_id", "project")
+
+
+@query("session_upserts", "SELECT CAST(user_id AS VARCHAR) AS id, arg_max('p' || (event_id % 7), event_id) FILTER (event_id % 3 = 0) AS project FROM events WHERE event_id % 4 = 0 GROUP BY user_id")
+def session_upserts(s, d):
+    j = F.concat(F.lit('{"project": "'), F.when(F.col("seq") % 3 == 0, F.concat(F.lit("p"), (F.col("seq") % 7).cast("string"))).otherwise(" "), F.lit('"}'))
+    return R.fold_sessions(D.mutations(s, d).where("entity = 'session'").withColumns({"payload": j, "op": F.lit("upsert")})).select("id", "project")
+
+
+@query("sync_states", "SELECT 'cloud:' || k AS target_key, CASE WHEN k % 2 = 0 THEN 'ready' ELSE 'idle' END AS lifecycle, CASE WHEN k % 2 = 0 THEN k ELSE 0 END AS last_acked_seq FROM range(9) t(k)")
+def sync_states(s, d):
+    t = s.range(9).select(F.concat(F.lit("cloud:"), F.col("id").cast("string")).alias("target_key"), "id")
+    z = F.lit(0).cast("long")
+    held = t.where("id % 2 = 0").select("target_key", F.lit("ready").alias("lifecycle"), z.alias("last_enqueued_seq"), F.col("id").alias("last_acked_seq"), z.alias("last_pulled_seq"), z.alias("consecutive_failures"))
+    return R.sync_state(t.select("target_key"), held).select("target_key", "lifecycle", "last_acked_seq")
+
+
 @query("lineitem_pages", "SELECT l_orderkey AS session_id, count(*) AS n, max(l_linenumber) AS last FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY l_orderkey HAVING count(*) > 3")
 def lineitem_pages(s, d):
     """The larger roll-up of the bench: order lines as notes of order sessions."""

@@ -188,3 +188,22 @@ def deduplicated_stream(stream: DataFrame, minutes: int = 15) -> DataFrame:
     """An approximation of the windowed dedupe for streams: a repeat within the watermark of the first one is dropped, also
     where the exact rule, which compares with the last kept row, would keep it."""
     return stream.withWatermark("created_at", f"{minutes} minutes").dropDuplicatesWithinWatermark(["normalized_hash", "project", "scope", "type", "title"])
+
+
+def peer_stats(chunks: DataFrame, mutations: DataFrame, sessions: DataFrame) -> DataFrame:
+    """One row: chunks, changes, sessions and projects that a peer holds."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(chunks, "n_chunks").crossJoin(n(mutations, "n_mutations")).crossJoin(n(sessions, "n_sessions")).crossJoin(n(mutations.select("project").distinct(), "n_projects"))  # one row each
+
+
+def sync_enabled(projects: DataFrame, controls: DataFrame) -> DataFrame:
+    """Projects with whether they are synchronised; one without a control is."""
+    return projects.select("project").join(controls.select("project", "enabled"), "project", "left").select("project", F.coalesce("enabled", F.lit(True)).alias("enabled"))
+
+
+def queued_relations(relations: DataFrame, rows: DataFrame, enrolled: DataFrame) -> DataFrame:
+    """(sync_id, project, payload) of relations to send: of the source's project, else of the target's, if it is enrolled."""
+    p = rows.select("sync_id", F.nullif(F.coalesce("project", F.lit("")), F.lit("")).alias("project"))
+    j = relations.join(p.select(F.col("sync_id").alias("source_id"), F.col("project").alias("sp")), "source_id", "left").join(p.select(F.col("sync_id").alias("target_id"), F.col("project").alias("tp")), "target_id", "left")
+    body = F.to_json(F.struct("sync_id", "source_id", "target_id", "relation", "judgment_status"))
+    return j.select("sync_id", F.coalesce("sp", "tp").alias("project"), body.alias("payload")).join(enrolled.select("project").distinct(), "project", "left_semi")
