@@ -17,12 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or in tests a temporary one."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset, as in tests, a temporary one."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="notelake-")
-        spark.conf.set("spark.checkpoint.dir", given)
+        if not _own_dir:
+            _own_dir.append("file://" + tempfile.mkdtemp(prefix="notelake-"))
+        given = _own_dir[0]
     return given.rstrip("/")
 
 
