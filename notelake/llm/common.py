@@ -18,6 +18,7 @@ _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 _own_dir: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/notelake-{name}-{uuid.uuid4().hex}"
+        _made.append(self.path)
         ship(spark)
 
     @contextmanager
@@ -72,6 +74,13 @@ _WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_":
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes the tables of all operators that this driver has called; their lazy results must have been written by then."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers on this host import the package from where the driver has it; elsewhere it is installed. Texts are
     long, so Spark's default of 10,000 rows a batch is lowered; a session's own setting stays."""

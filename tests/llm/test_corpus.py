@@ -535,3 +535,14 @@ def test_pipeline_stages(spark, tokenizer):
     assert ids[1] == ids[0] - {60, 61}
     assert all("mail.example.com" not in r["text"] and r["n_chars"] == len(r["text"]) for r in seen[2].collect())
     assert ids[4] == ids[3] and sum(r["length"] for r in seen[4].collect()) > 0
+
+
+def test_workspaces_are_removed(spark):
+    from notelake.llm import common
+
+    ws = common.Workspace(spark, "gone")
+    t = ws.table(spark.range(3), "t")
+    assert t.count() == 3
+    common.clean(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|FileNotFound|does not exist"):
+        spark.read.parquet(t._notelake_path).count() + t.count()
