@@ -98,7 +98,7 @@ def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One session for each user of the events, also for some who have none."""
     k = F.col("c_custkey")
     key = k.cast("string")
-    return table(spark, sf_dir, "customer").where("c_custkey <= 200").select(key.alias("id"), F.concat(F.lit("team"), (k % 7).cast("string")).alias("project"), F.concat(F.lit("/work/"), (k % 5).cast("string")).alias("directory"), _at(k % 24).alias("started_at"), F.when(k % 3 == 0, F.concat(F.lit("## Goal\n\nreach "), key)).alias("summary"))
+    return table(spark, sf_dir, "customer").select(key.alias("id"), F.concat(F.lit("team"), (k % 7).cast("string")).alias("project"), F.concat(F.lit("/work/"), (k % 5).cast("string")).alias("directory"), _at(k % 24).alias("started_at"), F.when(k % 3 == 0, F.concat(F.lit("## Goal\n\nreach "), key)).alias("summary"))
 
 
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
