@@ -409,7 +409,7 @@ def prune_candidates(s, d):
 @query("capture_tallies", with_(OBS, "items AS (SELECT doc_id AS n, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'new ' || (doc_id % 30) END AS content, source AS project FROM documents WHERE doc_id < 100), k AS (SELECT *, sha256(lower(" + O.fold("content") + f")) AS h FROM items), g AS (SELECT *, row_number() OVER (PARTITION BY project, h ORDER BY n) AS first, EXISTS (SELECT 1 FROM obs o WHERE o.{LIVE} AND o.project = k.project AND o.normalized_hash = k.h) AS known FROM k)", body="SELECT count(*) AS extracted, count(*) FILTER (n < 80 AND NOT known AND first = 1) AS saved, count(*) FILTER (n < 80 AND (known OR first > 1)) AS duplicate, count(*) FILTER (n >= 80) AS dropped FROM g"))
 def capture_tallies(s, d):
     i = F.col("doc_id")
-    items = D.table(s, d, "documents").where("doc_id < 100").select(i.alias("n"), F.when(i % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("new "), (i % 30).cast("string"))).alias("content"), F.col("source").alias("project"))
+    items = D.table(s, d, "documents").select(i.alias("n"), F.when(i % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("new "), (i % 30).cast("string"))).alias("content"), F.col("source").alias("project"))
     return A.capture_tallies(items, D.observations(s, d))
 
 
@@ -439,7 +439,7 @@ def timeline(s, d):
 
 @query("renumber", with_("r AS (SELECT event_id // 2 * 2 AS id, event_id AS rowid FROM events WHERE event_id < 200), p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rowid) AS n FROM r)", body="SELECT CASE WHEN n = 1 THEN id ELSE (SELECT max(id) FROM r) + (SELECT count(*) FROM p q WHERE q.n > 1 AND q.rowid <= p.rowid) END AS id, rowid FROM p"))
 def renumber(s, d):
-    r = D.table(s, d, "events").where("event_id < 200").select((F.floor(F.col("event_id") / 2) * 2).cast("long").alias("id"), F.col("event_id").alias("rowid"))
+    r = D.table(s, d, "events").select((F.floor(F.col("event_id") / 2) * 2).cast("long").alias("id"), F.col("event_id").alias("rowid"))
     return quality.renumbered(r, F.col("rowid"))
 
 
@@ -447,7 +447,7 @@ def renumber(s, d):
 def prompt_behind_save(s, d):
     i = F.col("event_id")
     z = F.lit(0)
-    saves = D.table(s, d, "events").where("event_id < 800").select(i.alias("id"), F.when(i % 2 == 0, F.concat(F.lit("c"), (i % 90).cast("string"))).otherwise("none").alias("session_id"), (i % 4 == 0).alias("session_named"), F.concat(F.lit("src"), (i % 20).cast("string")).alias("project"), (F.to_timestamp(F.lit(D.START)) + F.make_interval(z, z, z, z, z, (i * 7).cast("int"), z)).alias("created_at"))
+    saves = D.table(s, d, "events").select(i.alias("id"), F.when(i % 2 == 0, F.concat(F.lit("c"), (i % 90).cast("string"))).otherwise("none").alias("session_id"), (i % 4 == 0).alias("session_named"), F.concat(F.lit("src"), (i % 20).cast("string")).alias("project"), (F.to_timestamp(F.lit(D.START)) + F.make_interval(z, z, z, z, z, (i * 7).cast("int"), z)).alias("created_at"))
     return L.prompt_behind(saves, D.prompts(s, d))
 
 
@@ -781,13 +781,13 @@ _NAMES = "names AS (SELECT DISTINCT p_brand || CASE WHEN p_size % 2 = 0 THEN '-'
 
 @query("similar_projects", with_(_NAMES, body="SELECT a.name AS a, b.name AS b, CASE WHEN lower(a.name) = lower(b.name) THEN 'case' WHEN contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name)) THEN 'substring' ELSE 'edits' END AS why FROM names a JOIN names b ON a.name < b.name WHERE lower(a.name) = lower(b.name) OR contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name)) OR levenshtein(lower(a.name), lower(b.name)) <= greatest(least(3, least(length(a.name), length(b.name)) // 2), 1)"))
 def similar_projects(s, d):
-    n = D.table(s, d, "part").where("p_partkey <= 150").select(F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("-"), F.col("p_size").cast("string"))).otherwise("")).alias("project"))
+    n = D.table(s, d, "part").select(F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("-"), F.col("p_size").cast("string"))).otherwise("")).alias("project"))
     return projects.similar_names(n)
 
 
 @query("shared_directories", with_(LOG_SESSIONS, "d AS (SELECT directory, list_sort(list(DISTINCT project)) AS p FROM lsessions WHERE CAST(id AS BIGINT) < 9 GROUP BY directory)", body="SELECT directory, p[1] AS a, p[2] AS b FROM d WHERE len(p) = 2"))
 def shared_directories(s, d):
-    return projects.shared_directories(D.log_sessions(s, d).where("cast(id as long) < 9"))
+    return projects.shared_directories(D.log_sessions(s, d))
 
 
 @query("unenrolled_journal", with_(MUTATIONS, body="SELECT seq FROM mutations WHERE acked_at IS NOT NULL OR project IN ('click', 'view')"))
