@@ -56,9 +56,10 @@ def query_frame(spark: SparkSession, queries: dict[int, list[str]]) -> DataFrame
     return spark.createDataFrame(phrases(queries), "qid long, phrase int, off int, len int, term string, prefix boolean")
 
 
-def occurrences(index: Index, words: DataFrame) -> DataFrame:
-    """(qid, phrase, doc_id, col, n): how often a phrase stands in a column. words: a query frame of bounded size."""
-    q = F.broadcast(index.words(words))
+def occurrences(index: Index, words: DataFrame, bounded: bool = True) -> DataFrame:
+    """(qid, phrase, doc_id, col, n): how often a phrase stands in a column. words: a query frame, of bounded size unless told."""
+    q = index.words(words)
+    q = F.broadcast(q) if bounded else q
     p = index.postings
     exact = p.join(q.where("not prefix"), "term").select("qid", "phrase", "off", "len", "doc_id", "col", "pos")
     begun = p.join(q.where("prefix").withColumnRenamed("term", "lead"), F.col("term").startswith(F.col("lead"))).select("qid", "phrase", "off", "len", "doc_id", "col", "pos")
@@ -70,14 +71,15 @@ def occurrences(index: Index, words: DataFrame) -> DataFrame:
     return single.unionByName(runs.groupBy("qid", "phrase", "doc_id", "col").agg(F.count("*").alias("n")))
 
 
-def scores(index: Index, words: DataFrame, weights: dict[str, float] = SEARCH_WEIGHTS) -> DataFrame:
-    """(qid, doc_id, matched, score) of every document that holds any phrase; matched: how many different ones."""
+def scores(index: Index, words: DataFrame, weights: dict[str, float] = SEARCH_WEIGHTS, bounded: bool = True) -> DataFrame:
+    """(qid, doc_id, matched, score) of every document that holds any phrase; matched: how many different ones. bounded: whether the
+    queries are few enough to be broadcast."""
     w = F.lit(1.0)
     for c, x in weights.items():
         w = F.when(F.col("col") == c, F.lit(float(x))).otherwise(w)
-    f = occurrences(index, words).groupBy("qid", "phrase", "doc_id").agg(F.sum(F.col("n") * w).alias("f"))
+    f = occurrences(index, words, bounded).groupBy("qid", "phrase", "doc_id").agg(F.sum(F.col("n") * w).alias("f"))
     n = f.groupBy("qid", "phrase").agg(F.count("*").alias("n"))  # one row a phrase of the queries
-    f = f.join(F.broadcast(n), ["qid", "phrase"]).join(index.docstats, "doc_id").crossJoin(F.broadcast(index.totals()))  # one row of totals
+    f = f.join(F.broadcast(n) if bounded else n, ["qid", "phrase"]).join(index.docstats, "doc_id").crossJoin(F.broadcast(index.totals()))  # one row of totals
     raw = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avgdl")))

@@ -106,12 +106,13 @@ def session_goal(sessions: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def timeline(rows: DataFrame, focus: DataFrame, before: int = 5, after: int = 5, most: int = 20) -> DataFrame:
-    """Neighbours of focus rows (id) in their sessions by id: focus_id, id, offset, n_before, n_after. One window, no self-join on ranges."""
+    """Neighbours of focus rows (id) in their sessions by id: focus_id, id, offset, n_before, n_after. One window, no self-join on ranges; the focus may be the whole table."""
     before, after = min(before, most), min(after, most)
     w = Window.partitionBy("session_id").orderBy("id")
     placed = live(rows).select("id", "session_id", F.row_number().over(w).alias("place"), F.count("*").over(Window.partitionBy("session_id")).alias("n"))
-    f = placed.join(F.broadcast(focus.select("id")), "id", "left_semi").select(F.col("id").alias("focus_id"), "session_id", F.col("place").alias("at"))
-    near = placed.join(f, "session_id").withColumn("offset", F.col("place") - F.col("at")).where(F.col("offset").between(-before, after))
+    f = placed.join(focus.select("id"), "id", "left_semi").select(F.col("id").alias("focus_id"), "session_id", F.col("place").alias("at"))
+    wanted = f.withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("place", F.col("at") + F.col("offset"))
+    near = placed.join(wanted, ["session_id", "place"])
     return near.select("focus_id", "id", "offset", (F.col("at") - 1).alias("n_before"), (F.col("n") - F.col("at")).alias("n_after"))
 
 

@@ -72,26 +72,29 @@ def pair_is_judged(relations: DataFrame, pairs: DataFrame) -> DataFrame:
 def candidates(index: Index, rows: DataFrame, saved: DataFrame, relations: DataFrame | None = None, limit: int = CANDIDATE_LIMIT, floor: float = CANDIDATE_FLOOR) -> DataFrame:
     """(source, candidate, score): for each saved note, notes of its project and scope whose text its title matches.
 
-    All saved notes at once: their title words are joined to the postings on the word, so no note is compared to notes that share
-    none. A word of a title counts as often as it stands there. A full sample keeps only what is well below its median.
+    All saved notes at once. What a word adds to the score of a note is worked out once for each different word of the titles; titles and
+    notes then meet on the word, the project and the scope, so no note is compared to notes that share none. A word of a title counts as
+    often as it stands there. A full sample keeps only what is well below its median.
     """
-    q = index.words(saved.select(F.col("id").alias("qid"), F.posexplode(F.split(T.one_line(F.col("title")), " ")).alias("word_at", "word")).select("qid", "word_at", F.posexplode(T.tokens(F.col("word"))).alias("off", "term")))
-    size = q.groupBy("qid", "word_at").agg(F.count("*").alias("len"))
-    q = q.join(size, ["qid", "word_at"])
-    hits = index.postings.join(q, "term").groupBy("qid", "word_at", "len", "doc_id", "col", (F.col("pos") - F.col("off")).alias("at")).agg(F.countDistinct("off").alias("m")).where("m = len")
+    words = saved.select(F.col("id").alias("qid"), F.posexplode(F.split(T.one_line(F.col("title")), " ")).alias("word_at", "word")).select("qid", F.array_join(T.tokens(F.col("word")), " ").alias("phrase")).where("phrase <> ''")
+    split = F.split("phrase", " ")
+    q = index.words(words.select("phrase").distinct().select("phrase", F.size(split).alias("len"), F.posexplode(split).alias("off", "term")))
+    hits = index.postings.join(q, "term").groupBy("phrase", "len", "doc_id", "col", (F.col("pos") - F.col("off")).alias("at")).agg(F.countDistinct("off").alias("m")).where("m = len")
     w = F.lit(1.0)
     for c, x in bm25.CANDIDATE_WEIGHTS.items():
         w = F.when(F.col("col") == c, F.lit(x)).otherwise(w)
-    f = hits.groupBy("qid", "word_at", "doc_id").agg(F.sum(w).alias("f"))
-    n = f.groupBy("qid", "word_at").agg(F.count("*").alias("n"))
-    s = f.join(n, ["qid", "word_at"]).join(index.docstats, "doc_id").crossJoin(F.broadcast(index.totals()))  # one row
+    f = hits.groupBy("phrase", "doc_id").agg(F.sum(w).alias("f"))
+    n = f.groupBy("phrase").agg(F.count("*").alias("n"))
+    s = f.join(n, "phrase").join(index.docstats, "doc_id").crossJoin(F.broadcast(index.totals()))  # one row
     raw = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(bm25.LEAST_IDF))
     part = idf * F.col("f") * (bm25.K1 + 1) / (F.col("f") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("n_tokens") / F.col("avgdl")))
-    scored = s.groupBy("qid", "doc_id").agg((F.lit(0.0) - F.sum(part)).alias("score"))
     me = saved.select(F.col("id").alias("qid"), F.col("sync_id").alias("my_sync"), F.coalesce("project", F.lit("")).alias("project"), "scope")
     other = rows.where(f"deleted_at is null and type <> '{T.SESSION_SUMMARY}'").select(F.col("id").alias("doc_id"), F.col("sync_id").alias("its_sync"), F.coalesce("project", F.lit("")).alias("project"), "scope")
-    fit = scored.join(me, "qid").join(other, ["doc_id", "project", "scope"]).where("qid <> doc_id")
+    parts = s.select("phrase", "doc_id", part.alias("part")).join(other.select("doc_id", "project", "scope"), "doc_id")
+    asked = words.join(me.select("qid", "project", "scope"), "qid")
+    scored = asked.join(parts, ["phrase", "project", "scope"]).where("qid <> doc_id").groupBy("qid", "doc_id").agg((F.lit(0.0) - F.sum("part")).alias("score"))
+    fit = scored.join(me.select("qid", "my_sync"), "qid").join(other.select("doc_id", "its_sync"), "doc_id")
     if relations is not None:
         known = relations.select(*pair(F.col("source_id"), F.col("target_id"))).distinct()
         fit = fit.withColumn("lo", F.least("my_sync", "its_sync")).withColumn("hi", F.greatest("my_sync", "its_sync")).join(known, ["lo", "hi"], "left_anti")

@@ -228,11 +228,11 @@ def rank_fusion(s, d):
 
 @query("mrr")
 def mrr(s, d):
-    """Each note looked for by the third to sixth word of its body, over all notes whose id ends in 0."""
+    """Each note looked for by the third to sixth word of its body, over all notes."""
     rows, i = obs_index(s, d)
-    asked = rows.where("id % 10 = 0").select(F.col("id").alias("qid"), F.slice(F.array_distinct(T.tokens(F.col("content"))), 3, 4).alias("w"))
+    asked = rows.select(F.col("id").alias("qid"), F.slice(F.array_distinct(T.tokens(F.col("content"))), 3, 4).alias("w"))
     words = asked.select("qid", F.posexplode("w").alias("phrase", "term")).select("qid", "phrase", F.lit(0).alias("off"), F.lit(1).alias("len"), "term", F.lit(False).alias("prefix"))
-    hits = bm25.scores(i, words)
+    hits = bm25.scores(i, words, bounded=False)
     mine = hits.where("qid = doc_id").select("qid", F.col("score").alias("own"))
     better = hits.join(mine, "qid").groupBy("qid").agg((F.count_if((F.round("score", 9) < F.round("own", 9)) | ((F.round("score", 9) == F.round("own", 9)) & (F.col("doc_id") < F.col("qid")))) + 1).alias("rank"))
     q = A.retrieval_quality(asked.select("qid").join(better, "qid", "left"))
@@ -278,7 +278,7 @@ def relation_stats(s, d):
 
 @query("pair_is_judged", with_(RELATIONS, "pairs AS (SELECT 'obs-' || (doc_id + 1) AS a, 'obs-' || doc_id AS b FROM documents WHERE doc_id % 7 = 0)", body="SELECT a, b, EXISTS (SELECT 1 FROM relations r WHERE r.judgment_status = 'judged' AND ((r.source_id = a AND r.target_id = b) OR (r.source_id = b AND r.target_id = a))) AS judged FROM pairs"))
 def pair_is_judged(s, d):
-    pairs = D.table(s, d, "documents").where("doc_id % 7 = 0").selectExpr("concat('obs-', doc_id + 1) as a", "concat('obs-', doc_id) as b")
+    pairs = D.table(s, d, "documents").selectExpr("concat('obs-', doc_id + 1) as a", "concat('obs-', doc_id) as b")
     return relations.pair_is_judged(D.relations(s, d), pairs)
 
 
@@ -298,7 +298,7 @@ _CAND = [
 @query("candidates", with_(OBS, RELATIONS, *O.index(), *_CAND, body="SELECT qid AS source, doc_id AS candidate, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS p FROM top JOIN med USING (qid) WHERE score <= -2.0 AND (n < 24 OR score <= middle * 1.25)) WHERE p <= 3"))
 def candidates(s, d):
     rows, i = obs_index(s, d)
-    saved = rows.where("id % 25 = 3 and deleted_at is null")
+    saved = rows.where("deleted_at is null")
     c = relations.candidates(i, rows, saved, D.relations(s, d))
     return c.select("source", "candidate", (F.round("score", 6) + 0.0).alias("score"))
 
@@ -312,7 +312,7 @@ def scan_project(s, d):
 @query("judged_outcomes", with_(OBS, RELATIONS, "v AS (SELECT CASE WHEN doc_id % 9 = 0 THEN 'rel-x' ELSE 'rel-' || doc_id END AS sync_id, CASE WHEN doc_id % 5 = 0 THEN 'eats' ELSE 'related' END AS relation, (doc_id % 12) / 10.0 AS confidence FROM documents WHERE doc_id % 3 = 0)", body="SELECT v.sync_id, v.relation, v.confidence, CASE WHEN v.relation = 'eats' THEN 'unknown_verb' WHEN v.confidence > 1 THEN 'bad_confidence' WHEN r.id IS NULL THEN 'unknown_relation' WHEN a.id IS NULL OR b.id IS NULL THEN 'missing_end' WHEN a.project <> b.project THEN 'different_projects' ELSE 'ok' END AS outcome FROM v LEFT JOIN relations r USING (sync_id) LEFT JOIN obs a ON a.sync_id = r.source_id LEFT JOIN obs b ON b.sync_id = r.target_id"))
 def judged_outcomes(s, d):
     i = F.col("doc_id")
-    v = D.table(s, d, "documents").where("doc_id % 3 = 0").select(F.when(i % 9 == 0, "rel-x").otherwise(F.concat(F.lit("rel-"), i.cast("string"))).alias("sync_id"), F.when(i % 5 == 0, "eats").otherwise("related").alias("relation"), ((i % 12) / 10.0).alias("confidence"), F.lit("why").alias("reason"))
+    v = D.table(s, d, "documents").select(F.when(i % 9 == 0, "rel-x").otherwise(F.concat(F.lit("rel-"), i.cast("string"))).alias("sync_id"), F.when(i % 5 == 0, "eats").otherwise("related").alias("relation"), ((i % 12) / 10.0).alias("confidence"), F.lit("why").alias("reason"))
     return relations.judge(v, D.relations(s, d), D.observations(s, d)).select("sync_id", "relation", "confidence", "outcome")
 
 
@@ -434,7 +434,7 @@ def goal_line(s, d):
 @query("timeline", with_(LOG, f"p AS (SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS place, count(*) OVER (PARTITION BY session_id) AS n FROM log WHERE {LIVE}), f AS (SELECT * FROM p WHERE id % 500 = 7)", body="SELECT f.id AS focus_id, p.id, p.place - f.place AS \"offset\", f.place - 1 AS n_before, f.n - f.place AS n_after FROM p JOIN f USING (session_id) WHERE abs(p.place - f.place) <= 5"))
 def timeline(s, d):
     rows = D.log(s, d)
-    return L.timeline(rows, rows.where("id % 500 = 7"))
+    return L.timeline(rows, rows)
 
 
 @query("renumber", with_("r AS (SELECT event_id // 2 * 2 AS id, event_id AS rowid FROM events WHERE event_id < 200), p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rowid) AS n FROM r)", body="SELECT CASE WHEN n = 1 THEN id ELSE (SELECT max(id) FROM r) + (SELECT count(*) FROM p q WHERE q.n > 1 AND q.rowid <= p.rowid) END AS id, rowid FROM p"))
