@@ -403,7 +403,7 @@ def session_ids(s, d):
 @query("prune_candidates", with_(OBS, PROMPTS, f"e AS (SELECT project, 1 AS o FROM obs WHERE {LIVE} UNION ALL SELECT 'old' || project, 0 FROM prompts)", body="SELECT project FROM e GROUP BY project HAVING sum(o) = 0"))
 def prune_candidates(s, d):
     p = D.prompts(s, d).withColumn("project", F.concat(F.lit("old"), "project"))
-    return A.prune_candidates(A.project_stats(D.observations(s, d), D.sessions(s, d).limit(0), p))
+    return A.prune_candidates(A.project_stats(D.observations(s, d), D.sessions(s, d), p))
 
 
 @query("capture_tallies", with_(OBS, "items AS (SELECT doc_id AS n, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'new ' || (doc_id % 30) END AS content, source AS project FROM documents WHERE doc_id < 100), k AS (SELECT *, sha256(lower(" + O.fold("content") + f")) AS h FROM items), g AS (SELECT *, row_number() OVER (PARTITION BY project, h ORDER BY n) AS first, EXISTS (SELECT 1 FROM obs o WHERE o.{LIVE} AND o.project = k.project AND o.normalized_hash = k.h) AS known FROM k)", body="SELECT count(*) AS extracted, count(*) FILTER (n < 80 AND NOT known AND first = 1) AS saved, count(*) FILTER (n < 80 AND (known OR first > 1)) AS duplicate, count(*) FILTER (n >= 80) AS dropped FROM g"))
@@ -767,7 +767,7 @@ def delete_project_counts(s, d):
 
 @query("enrol_backlog", with_(OBS, RELATIONS, body=f"SELECT 1 AS rank, 'observation' AS entity, sync_id AS entity_key FROM obs WHERE {LIVE} AND project = 'src3' UNION ALL SELECT 3, 'relation', r.sync_id FROM relations r JOIN obs o ON o.sync_id = r.source_id AND o.project = 'src3' AND o.{LIVE}"))
 def enrol_backlog(s, d):
-    return projects.enrol_backlog("src3", D.log_sessions(s, d), D.observations(s, d), D.prompts(s, d).limit(0), D.relations(s, d))
+    return projects.enrol_backlog("src3", D.sessions(s, d), D.observations(s, d), D.prompts(s, d), D.relations(s, d))
 
 
 @query("enqueue", with_(MUTATIONS, LOG_SESSIONS, "m AS (SELECT seq, coalesce(nullif(CASE WHEN seq % 3 = 0 THEN '' ELSE mutations.project END, ''), s.project) AS project FROM mutations LEFT JOIN lsessions s ON s.id = entity_key)", body="SELECT seq, project FROM m WHERE project IN ('click', 'team1', 'team2')"))
