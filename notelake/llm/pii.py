@@ -32,7 +32,7 @@ IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[0-9]{10,30}(?![0-9A-Za-z])"
 MALE, FEMALE = ("Mr", "Herr", "Señor", "Monsieur", "Господин"), ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа")
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join((*FEMALE, *MALE))})\.? \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?"
 ENTITY = "|".join((EMAIL, IPV4, CARD, PHONE, SSN, IBAN, NAME))
-HINT = r"[0-9]{3}|@|[0-9]\.[0-9]"
+HINT = r"[0-9]{3}|@|[0-9]\.[0-9]|\+[0-9]"
 
 # Given names and syllables of family names by script.
 GIVEN = {
