@@ -95,14 +95,27 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_ROWS, "1000")
 
 
+def column(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, id, text): k1 is the id (null: the least long), k2 a hash of the text, so that rows that share an id
     but not a text stay apart. Rows equal in both behave alike everywhere, so one key may stand for them."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
     return df.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k1"),
+        F.coalesce(column(id_col).cast("long"), F.lit(-(2**63))).alias("k1"),
         F.xxhash64(text, F.octet_length(text)).alias("k2"),
-        F.col(id_col).alias("id"),
+        column(id_col).alias("id"),
         text.alias("text"),
     )
 

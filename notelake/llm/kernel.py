@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: Bytes of a text that are hashed at once.
+HASH_BYTES = 1 << 21
 _U = np.uint64
 
 
@@ -39,6 +41,15 @@ class Base:
         np.cumsum(values * up[: len(values)], out=out[1:])
         return out
 
+    def whole(self, data: np.ndarray) -> np.uint64:
+        """The hash of all of a long run of bytes, piece by piece."""
+        total = 0
+        for at in range(0, len(data), HASH_BYTES):
+            part = self.codes[data[at : at + HASH_BYTES]]
+            up, _ = self.powers(len(part))
+            total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(self.b, at, 2**64)
+        return mix(np.array([total % 2**64], np.uint64))[0]
+
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((prefix[end] - prefix[start]) * self.down[start])
 
@@ -126,7 +137,17 @@ class Words:
         self.off = np.searchsorted(self.start, rows)
 
     def hashes(self, data: np.ndarray, base: Base = FIRST) -> np.ndarray:
-        return base.spans(base.prefix(base.codes[data]), self.start, self.end)
+        out = np.empty(len(self.start), np.uint64)
+        a = 0
+        while a < len(out):  # the sums take many times the bytes they are made from
+            lo = self.start[a]
+            b = int(np.searchsorted(self.end, lo + HASH_BYTES, "right"))
+            if b <= a:
+                out[a], b = base.whole(data[lo : self.end[a]]), a + 1
+            else:
+                out[a:b] = base.spans(base.prefix(base.codes[data[lo : self.end[b - 1]]]), self.start[a:b] - lo, self.end[a:b] - lo)
+            a = b
+        return out
 
 
 def counts_to_rows(off: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import io
+import math
 import random
 import re
 import struct
@@ -360,9 +361,7 @@ def shingle_set(t, width):
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-@pytest.mark.parametrize("pivots", [6, 0])
-def test_minhash(spark, docs, none, monkeypatch, pivots):
-    monkeypatch.setattr(minhash, "PIVOTS", pivots)
+def near_cases():
     rng = random.Random(8)
     words = [f"v{i}" for i in range(500)]
     base = rng.choices(words, k=120)
@@ -372,20 +371,72 @@ def test_minhash(spark, docs, none, monkeypatch, pivots):
         for _ in range(rng.randint(0, 4)):
             t[rng.randrange(len(t))] = f"new{k}"
         rows.append((1000 + k, " ".join(t).title() if k % 2 else " ".join(t)))
+    for k in range(60):  # copies most of which are just too far from each other
+        t = list(base[::-1])
+        for x in rng.sample(range(5), 3):
+            t[24 * x + rng.randrange(24)] = f"far{k}x{x}"
+        rows.append((1500 + k, " ".join(t)))
     shared = rng.choices(words, k=40)
-    rows += [(2000 + k, " ".join([*shared, *rng.choices(words, k=30)])) for k in range(40)]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, rep string").repartition(5)
-    sets = {i: shingle_set(t, 4) for i, t in rows}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    comp = classes(list(sets), links)
+    return rows + [(2000 + k, " ".join([*shared, *rng.choices(words, k=30)])) for k in range(40)]
+
+
+def brute_components(rows, width):
+    """Per row: size of the set, least id of its component."""
+    sets = [shingle_set(t, width) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = classes(range(len(rows)), links)
+    least = {}
+    for x, c in comp.items():
+        least[c] = min(least.get(c, rows[x][0]), rows[x][0])
+    return [(len(sets[x]), least[comp[x]] if sets[x] else rows[x][0]) for x in range(len(rows))]
+
+
+@pytest.mark.parametrize("block,small", [(2048, 48), (8, 4), (24, 1)])
+def test_minhash(spark, docs, none, monkeypatch, block, small):
+    monkeypatch.setattr(minhash, "BLOCK", block), monkeypatch.setattr(minhash, "SMALL", small)
+    rows = near_cases()
+    df = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "doc_id long, text string, rep string, `key` int, `a.b` int").repartition(5)
+    want = brute_components(rows, 4)
     got = minhash.near_duplicates(df, width=4).collect()
-    assert {r["id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(s), comp[i], comp[i] == i) for i, s in sets.items()}
-    if pivots:
+    assert {r["id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (n, c, c == i) for (i, _), (n, c) in zip(rows, want)}
+    if block > 1000:
         kept = minhash.keep_one(df, width=4)
-        assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i in sets if comp[i] == i}
+        assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for (i, _), (_, c) in zip(rows, want) if c == i}
         assert minhash.near_duplicates(none).count() == 0 and minhash.near_duplicates(docs).count() == docs.count()
 
 
+def test_minhash_of_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b = (rng.choices([f"u{i}" for i in range(300)], k=80) for _ in "ab")
+    near = lambda t, k: " ".join([*t[:-1], f"end{k}"])
+    rows = [(1, near(a, 0)), (1, near(b, 0)), (2, near(a, 1)), (3, near(b, 1)), (5, near(b, 2)), (5, "other"), (4, near(a, 3)), (1, near(a, 0))]
+    df = spark.createDataFrame([*rows, (None, near(a, 9)), (None, "alone")], "doc_id long, text string")
+    got = multiset((r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, width=4).collect())
+    want = [(i, n, c, c == i) for (i, _), (n, c) in zip(rows, brute_components(rows, 4))]
+    want = [(i, n, 1 if i in (2, 3, 4) else c, k if i == 1 else False if n > 1 else k) for i, n, c, k in want]
+    # the row without an id is the least of its component
+    want = [(i, n, None if (i, t) in [(1, near(a, 0)), (2, near(a, 1)), (4, near(a, 3))] else c, False if (i, t) in [(1, near(a, 0)), (2, near(a, 1)), (4, near(a, 3))] else k) for (i, n, c, k), (_, t) in zip(want, rows)]
+    assert got == multiset([*want, (None, 77, None, True), (None, 1, None, True)])
+    kept = minhash.keep_one(df, width=4)
+    assert multiset(map(tuple, kept.collect())) == multiset([(1, near(b, 0)), (5, "other"), (None, near(a, 9)), (None, "alone")])
+
+
+def test_chances_of_tables():
+    side, least = minhash.side_for(80), minhash.least_equal(80, 48)
+    assert side == 12 and 1 - (1 - (1 - 0.64) ** side) ** 2 <= 1e-5
+    assert sum(math.comb(48, k) * 0.8**k * 0.2 ** (48 - k) for k in range(least)) <= 1e-5
+
+
+def test_long_words_hash_alike():
+    data = np.frombuffer(("w" * 5000 + " ab " + "xyz" * 3000 + " q").encode(), np.uint8)
+    w = kernel.Words(data, np.array([0, len(data)]))
+    whole, kernel.HASH_BYTES = w.hashes(data), 64
+    try:
+        assert (w.hashes(data) == whole).all()
+    finally:
+        kernel.HASH_BYTES = 1 << 21
+
+
 # 9: packing
 
 VOCABULARY = "word_bpe_49k.json"
@@ -401,6 +452,7 @@ def test_units_tokenise_as_whole_texts_do(tokenizer):
     from tokenizers import Tokenizer
 
     texts = [t for _, t, _ in documents()] + ["it's a DON'T we'll x'y İstanbul ½ ①②", "<|endoftext|> a<|startoftext|>b. c!?", "Kelvin K ﬁne é Å..., …,", "日本語テスト 123abc 4.5.6 a.b.c ...", " nbsp here x. 'S 'RE", "ABC,,, x1. é. é.é", "ǅ ß ΑΣ ᾳ"]
+    texts += [" ".join(chr(c) + x for c in range(0xC0, 0x490)) for x in (".", "?!", "a,", "é;")] + ["×. ÷, İ. aİ, e\u0301. E\u0301É ΣΑΣ, Я. ъ҂, ё!", "ÉTÉ, Straße; ΛΌΓΟΣ ΛΟΓΟΣ λόγος İI Dz\u030c"]
     mine = packing.WordTokenizer(tokenizer, most=100, joined=7)
     plain = Tokenizer.from_file(tokenizer)
     for a in range(0, len(texts), 9):
@@ -437,6 +489,19 @@ def test_packing(docs, none, tokenizer):
         assert at <= 4096 and at & (at - 1) == 0  # a power of two: no padding
         assert len({g for *_, g in pieces}) == 1
     assert packing.pack(none, tokenizer).count() == 0
+    # step groups: windows of one length, as many in each of a tier and pool but for one
+    small = packing.pack(docs.coalesce(1), tokenizer, pool=1 << 20, step=20_000).select("sequence_id", "length", "step_group").collect()
+    sizes = collections.defaultdict(int)
+    for r in small:
+        sizes[r["step_group"], r["sequence_id"]] += r["length"]
+    groups = collections.defaultdict(list)
+    for (g, _), n in sizes.items():
+        groups[g].append(n)
+    assert all(len(set(x)) == 1 and sum(x) <= 20_000 for x in groups.values())
+    tiers = collections.defaultdict(list)
+    for x in groups.values():
+        tiers[x[0]].append(len(x))
+    assert len(tiers[4096]) > 2 and all(max(x) - min(x) <= 1 for x in tiers.values())
 
 
 def test_plan_cuts_every_document_once():
