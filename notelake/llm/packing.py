@@ -4,7 +4,8 @@ Each task tokenises its documents and fills a pool of bounded size; a full pool
 memory does not grow with a partition. In a pool, whole windows of the longest context are cut from long documents first. What
 is left of a document is routed to the smallest tier (a power of two) that holds it. Tiers are packed from the longest: each
 left-over opens a window of its tier's context, and the gap is filled from the shorter tiers, longest that fits first, at last by
-a piece cut from one. Equal windows of a tier form step groups of about the same number of tokens, numbered in the pool.
+a piece cut from one. Windows of one tier form step groups of at most `step` tokens; the groups of a tier in a pool are
+balanced: none has over one window more than another. A group is named by its first sequence.
 
 Padding: a window is full unless the pool has run out of pieces, which happens to one window a pool at most; that one is cut
 into the powers of two that its length is made of, each a sequence of its own. Hence no sequence is padded.
@@ -16,6 +17,9 @@ text is tokenised and packed alone. An empty table gives no pieces.
 from __future__ import annotations
 
 import bisect
+import collections
+import itertools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,27 +33,37 @@ from .common import ship
 _LOADED: dict[str, "WordTokenizer"] = {}
 
 
-_STRIPPED, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_STRIPPED, _PLAIN, _LEAD = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _STRIPPED[list(b".,;:!?")] = True
 _PLAIN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+#: First bytes of two-byte letters: U+00C0 to U+023F but for the signs of times and division and the dotted I, U+0400 to U+047F.
+_LEAD[[0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xD0, 0xD1]] = True
+_NO_LETTER = (0xC397, 0xC3B7, 0xC4B0)
+#: Below this code point, letters are folded one by one and alike everywhere.
+_SIMPLE = "\u0590"
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that folds case and whose pre-tokenizer never joins across white space, nor an ASCII letter or digit
+    """Ids of texts by a tokenizer that folds case and whose pre-tokenizer never joins across white space, nor a letter or digit
     with the punctuation that follows. Each different unit between those bounds is tokenised once and remembered while it
     recurs; `most` bounds what is remembered. Units of letters alone are tokenised joined by spaces, as each ends at one
-    end-of-word id; if the ends do not number the units, or a unit is of another make, it is tokenised for itself."""
+    end-of-word id; if the ends do not number the units, or a unit is of another make, it is tokenised for itself.
+
+    Joined units that are in normal form already go to a copy of the tokenizer without its normaliser and with a split at
+    spaces for its pre-tokenizer, which is what those do to them."""
 
     def __init__(self, path: str, most: int = 250_000, joined: int = 4000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.most, self.joined = most, joined
         self.at: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
+        self.flat = np.zeros(1, np.uint32)  # the first place is for the end of a text
         self.start = self.size = self.uses = np.zeros(0, np.int64)
 
     @staticmethod
@@ -66,8 +80,14 @@ class WordTokenizer:
         self.at = {names[k]: i for i, k in enumerate(keep.tolist())}
         size = self.size[keep]
         base = np.cumsum(size) - size
-        self.flat = self.flat[np.repeat(self.start[keep] - base, size) + np.arange(int(size.sum()))]
-        self.start, self.size, self.uses = base, size, self.uses[keep] // 2
+        self.flat = np.concatenate((self.flat[:1], self.flat[np.repeat(self.start[keep] - base, size) + np.arange(int(size.sum()))]))
+        self.start, self.size, self.uses = base + 1, size, self.uses[keep] // 2
+
+    def _joined(self, units: list[str]) -> np.ndarray:
+        text = " ".join(units)
+        if max(text) < _SIMPLE and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+            return np.array(self.bare.encode_batch_fast([text.lower()], add_special_tokens=False)[0].ids, np.uint32)
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units one after another and how many each has."""
@@ -78,7 +98,7 @@ class WordTokenizer:
         plain = np.flatnonzero(letters).tolist()
         for a in range(0, len(plain), self.joined):
             chunk = plain[a : a + self.joined]
-            ids = np.array(self.tok.encode_batch_fast([" ".join([units[i] for i in chunk])], add_special_tokens=False)[0].ids, np.uint32)
+            ids = self._joined([units[i] for i in chunk])
             last = np.flatnonzero(self.ends[ids])
             if len(last) != len(chunk) or (len(ids) and last[-1] != len(ids) - 1):
                 rest += chunk
@@ -87,11 +107,11 @@ class WordTokenizer:
             flats.append(ids)
             order += chunk
         for a in range(0, len(rest), self.joined):
-            for i, e in zip(rest[a : a + self.joined], self.tok.encode_batch_fast([units[i] for i in rest[a : a + self.joined]], add_special_tokens=False)):
-                ids = e.ids
-                sizes[i] = len(ids)
-                flats.append(np.array(ids, np.uint32))
-                order.append(i)
+            chunk = rest[a : a + self.joined]
+            each = [e.ids for e in self.tok.encode_batch_fast([units[i] for i in chunk], add_special_tokens=False)]
+            sizes[chunk] = np.fromiter(map(len, each), np.int64, len(each))
+            flats.append(np.fromiter(itertools.chain.from_iterable(each), np.uint32))
+            order += chunk
         flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
         order_a = np.array(order, np.int64)
         came = np.zeros(len(units), np.int64)
@@ -103,9 +123,10 @@ class WordTokenizer:
         """Places of different units in the memory; the new ones are tokenised first."""
         if len(self.at) > self.most:
             self._forget()
-        got = list(map(self.at.get, units))
-        new = [u for u, g in zip(units, got) if g is None]
-        if new:
+        place = np.fromiter(map(self.at.get, units, itertools.repeat(-1)), np.int64, len(units))
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            new = [units[i] for i in fresh.tolist()]
             flat, size = self._encode_units(new)
             n = len(self.at)
             self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
@@ -113,9 +134,7 @@ class WordTokenizer:
             self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
             self.flat = np.concatenate((self.flat, flat))
             self.at.update(zip(new, range(n, n + len(new))))
-            more = iter(range(n, n + len(new)))
-            got = [next(more) if g is None else g for g in got]
-        place = np.array(got, np.int64)
+            place[fresh] = np.arange(n, n + len(new))
         self.uses[place] += uses
         return place
 
@@ -124,37 +143,39 @@ class WordTokenizer:
         data, rows = K.buffers(texts)
         data = K.lower(data)
         w = K.Words(data, rows)
-        n = len(w.start)
         tail = w.end.copy()  # where the punctuation at a word's end begins
-        rows_left = np.arange(n)
-        while len(rows_left):
-            rows_left = rows_left[(tail[rows_left] > w.start[rows_left])]
-            rows_left = rows_left[_STRIPPED[data[tail[rows_left] - 1]]]
-            tail[rows_left] -= 1
-        bare = (tail > w.start) & (tail < w.end)
-        bare[bare] = _PLAIN[data[tail[bare] - 1]]
-        two = 1 + bare.astype(np.int64)
-        first = np.cumsum(two) - two
-        start, stop = np.empty(int(two.sum()), np.int64), np.empty(int(two.sum()), np.int64)
-        start[first], stop[first] = w.start, np.where(bare, tail, w.end)
-        start[first[bare] + 1], stop[first[bare] + 1] = tail[bare], w.end[bare]
-        unit_off = np.append(first, len(start))[w.off]
-        length = stop - start
-        packed = data[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
-        units = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.py_buffer(packed)])
-        if len(start):
+        left = np.arange(len(tail))
+        while len(left):
+            left = left[(tail[left] > w.start[left])]
+            left = left[_STRIPPED[data[tail[left] - 1]]]
+            tail[left] -= 1
+        cut = np.flatnonzero((tail > w.start) & (tail < w.end))
+        at = tail[cut]
+        two = (at - w.start[cut] > 1) & _LEAD[data[at - 2]]
+        two &= ~np.isin(data[at - 2].astype(np.int64) << 8 | data[at - 1], _NO_LETTER)
+        cut = cut[_PLAIN[data[at - 1]] | two]
+        first = np.arange(len(tail))
+        first[1:] += np.cumsum(np.bincount(cut, minlength=len(tail)))[:-1] if len(tail) else 0
+        length = np.empty(len(tail) + len(cut), np.int32)
+        length[first] = w.end - w.start
+        length[first[cut]] = tail[cut] - w.start[cut]
+        length[first[cut] + 1] = w.end[cut] - tail[cut]
+        unit_off = np.append(first, len(length))[w.off]
+        if len(length):
+            # the units are all that is not white space, one after another
+            units = pa.Array.from_buffers(pa.string(), len(length), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.py_buffer(data[~K._SPACE[data]])])
             coded = pc.dictionary_encode(units)
             index = coded.indices.to_numpy(zero_copy_only=False)
             place = self._known(coded.dictionary.to_pylist(), np.bincount(index, minlength=len(coded.dictionary)))[index]
         else:
             place = np.zeros(0, np.int64)
-        size, at = self.size[place], self.start[place]
+        self.flat[0] = end
+        size, at = np.insert(self.size[place], unit_off[1:], 1), np.insert(self.start[place], unit_off[1:], 0)
         total = np.concatenate(([0], np.cumsum(size)))
-        doc_off = np.concatenate(([0], np.cumsum(np.diff(total[unit_off]) + 1)))
-        out = np.full(int(doc_off[-1]), end, np.uint32)
-        each = np.arange(int(total[-1]))
-        out[each + np.repeat(K.counts_to_rows(unit_off), size)] = self.flat[each + np.repeat(at - total[:-1], size)]
-        return out, doc_off
+        doc_off = total[np.append(unit_off[:1], unit_off[1:] + np.arange(1, len(unit_off)))]
+        step = np.repeat((at - total[:-1]).astype(np.int32), size)
+        step += np.arange(len(step), dtype=np.int32)
+        return self.flat[step], doc_off
 
 
 def plan(sizes: list[int], context: int, smallest: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -221,11 +242,13 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, context: int,
         base = np.concatenate(([0], np.cumsum(sizes)))
         seqs = sorted(plan([int(x) for x in sizes], context, smallest), key=lambda s: -s[0])
         doc, start, length, seq, offset, group = [], [], [], [], [], []
-        filled, at_group, tier = 0, number, 0
+        many = collections.Counter(size for size, _ in seqs)
+        first = dict(zip(many, itertools.accumulate(many.values(), initial=number)))
         for size, pieces in seqs:
-            if tier != size or filled + size > step:  # a step group holds windows of one tier, up to `step` tokens
-                at_group, filled, tier = number, 0, size
-            filled += size
+            # a step group holds windows of one tier; a tier's groups hold equally many, but for one
+            groups = -(-many[size] // max(1, step // size))
+            k = (number - first[size]) * groups // many[size]
+            at_group = first[size] - (-k * many[size] // groups)
             used = 0
             for d, s, n in pieces:
                 doc.append(d), start.append(s), length.append(n), seq.append(number), offset.append(used), group.append(at_group)

@@ -144,6 +144,8 @@ def test_secret_shapes(spark, none):
         assert r["base"] == ",".join(f"{k}:{a}:{b}" for k, a, b in s)
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for x, *_ in s) for k in ("assign", "access", "hex"))
     assert secrets.report(none).count() == 0
+    with pytest.raises(ValueError):
+        secrets.scan(df)
 
 
 def entropy(x):
@@ -238,6 +240,14 @@ def test_targets_and_rounding(spark, docs, none):
     assert all(abs(taken[s] - target[s]) <= 10 for s in ("s0", "s2", "s3", "s4"))
     assert abs(taken["s1"] - target["s1"]) <= 4000 if target["s1"] < 4000 else abs(taken["s1"] - target["s1"]) <= 10
     assert multiset(got) == multiset(mixing.copies(df.repartition(3)).collect())  # reruns agree however rows lie
+    odd = df.withColumns({"key": F.lit(1), "taken": F.lit(2), "`a.b`".strip("`"): F.lit(3)})
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.count() == sum(r["copies"] for r in got)
+    # rows that share an id but not a text are rounded each for itself
+    shared = spark.createDataFrame([(7 if i else None, f"{'w ' * (i % 9 + 1)}x{i % 40}", "s") for i in range(90)], "doc_id long, text string, source string")
+    drawn = mixing.copies(shared).collect()
+    words = mixing.mix(shared).select(F.size(F.split("text", " ")).alias("n")).agg(F.sum("n")).first()[0]
+    assert words == sum(r["taken"] for r in drawn) and abs(words - drawn[0]["target"]) <= 10
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in got)
     assert mixing.copies(none).count() == 0 and mixing.mix(none).count() == 0
@@ -567,12 +577,12 @@ def test_quality_keeps_prose_and_drops_junk(spark, none):
     prose = lambda: " ".join(" ".join(rng.choices(words, k=rng.randint(6, 12))).capitalize() + "." for _ in range(rng.randint(4, 15)))
     good = [prose() for _ in range(300)]
     junk = [" ".join(w + rng.choice(["###", "$$$", "%%%"]) for w in rng.choices(words, k=60)) for _ in range(30)] + [(prose() + "\n") * 20 for _ in range(30)] + [" ".join(f"{w.upper()}!!" for w in rng.choices(words, k=60)) for _ in range(30)]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*good, *junk, None, "", "short text"])], "doc_id long, text string, _notelake_x string")
-    s = quality.scores(df.drop("_notelake_x")).select("doc_id", "kept", "base_failed").collect()
-    kept = {r["doc_id"] for r in s if r["kept"]}
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate([*good, *junk, None, "", "short text"])], "doc_id long, text string, _notelake_n_words int, `a.b` int, row int")
+    s = quality.scores(df).select("id", "kept", "base_failed").collect()
+    kept = {r["id"] for r in s if r["kept"]}
     assert len(kept & set(range(300))) >= 297 and not kept & set(range(300, 393))
-    out = quality.keep(df.drop("_notelake_x"))
-    assert {r["doc_id"] for r in out.collect()} == kept and out.columns == ["doc_id", "text"]
+    out = quality.keep(df)
+    assert {r["doc_id"] for r in out.collect()} == kept and out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} == {(1, 2, 3)}
     assert quality.keep(none).count() == 0 and quality.scores(none).count() == 0
 
 
