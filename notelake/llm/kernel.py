@@ -137,17 +137,23 @@ class Words:
         self.off = np.searchsorted(self.start, rows)
 
     def hashes(self, data: np.ndarray, base: Base = FIRST) -> np.ndarray:
-        out = np.empty(len(self.start), np.uint64)
-        a = 0
-        while a < len(out):  # the sums take many times the bytes they are made from
-            lo = self.start[a]
-            b = int(np.searchsorted(self.end, lo + HASH_BYTES, "right"))
-            if b <= a:
-                out[a], b = base.whole(data[lo : self.end[a]]), a + 1
-            else:
-                out[a:b] = base.spans(base.prefix(base.codes[data[lo : self.end[b - 1]]]), self.start[a:b] - lo, self.end[a:b] - lo)
-            a = b
-        return out
+        return hashed(data, self.start, self.end, base)
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: Base = FIRST) -> np.ndarray:
+    """Hashes of runs of bytes, which follow one another without overlap; some bytes at a time, as the sums take
+    many times the bytes they are made from."""
+    out = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(out):
+        lo = start[a]
+        b = int(np.searchsorted(end, lo + HASH_BYTES, "right"))
+        if b <= a:
+            out[a], b = base.whole(data[lo : end[a]]), a + 1
+        else:
+            out[a:b] = base.spans(base.prefix(base.codes[data[lo : end[b - 1]]]), start[a:b] - lo, end[a:b] - lo)
+        a = b
+    return out
 
 
 def counts_to_rows(off: np.ndarray) -> np.ndarray:

@@ -17,10 +17,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, n_words
+from .common import Workspace, column, free_name, n_words
 
 GROUP = 256
 #: A document is large if it has more than one in LARGE of its source's words.
@@ -62,7 +62,7 @@ def chance(seed: str, a: int, b: int) -> float:
 
 
 def duel(rows: list[list], seed: str) -> None:
-    """rows: [id, size, p] with p changed in place so that at most one stays strictly between 0 and 1. Sum of size * p and
+    """rows: [id, size, p, ...] with p changed in place so that at most one stays strictly between 0 and 1. Sum of size * p and
     every expectation of p are kept, but for rounding of floats."""
     held = None
     for row in rows:
@@ -94,11 +94,11 @@ def _level(batches: Iterator[pa.RecordBatch], seed: str) -> Iterator[pa.RecordBa
 
     out: list = []
     for batch in batches:
-        for g, s, i, size, whole, p in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        for g, s, i, size, whole, p, h in zip(*(batch.column(i).to_pylist() for i in range(7))):
             if (s, g) != key:
                 out += _settled(rows, seed)
                 key, rows = (s, g), []
-            rows.append([i, size, p, s, whole])
+            rows.append([i, size, p, s, whole, h])
         if len(out) > 50_000:
             yield _batch(out)
             out = []
@@ -108,20 +108,20 @@ def _level(batches: Iterator[pa.RecordBatch], seed: str) -> Iterator[pa.RecordBa
 
 
 def _settled(rows: list[list], seed: str) -> list[list]:
-    rows.sort(key=lambda r: (-r[1], r[0]))  # large ones first: they meet their like
+    rows.sort(key=lambda r: (-r[1], r[0], r[5]))  # large ones first: they meet their like
     duel(rows, seed)
     return rows
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:
-    i, size, p, s, whole = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(i, pa.int64()), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(p, pa.float64())], ["s", "k1", "size", "whole", "p"])
+    i, size, p, s, whole, h = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(i, pa.int64()), pa.array(h, pa.int64()), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(p, pa.float64())], ["s", "k1", "k2", "size", "whole", "p"])
 
 
 def rounded(rows: DataFrame, largest: int, seed: str, ws: Workspace) -> DataFrame:
-    """(s, k1, size, copies) of rows (s, k1, size, f); largest: the most rows that a source has."""
+    """(s, k1, k2, size, copies) of rows (s, k1, k2, size, f); largest: the most rows that a source has."""
     whole = F.floor("f").cast("long")
-    open_rows = rows.select("s", "k1", "size", whole.alias("whole"), (F.col("f") - whole).alias("p"))
+    open_rows = rows.select("s", "k1", "k2", "size", whole.alias("whole"), (F.col("f") - whole).alias("p"))
     plain = (F.col("size") == 0) | (F.col("p") <= 1e-9) | (F.col("p") >= 1 - 1e-9)
     out = open_rows.where(plain).withColumn("p", F.when((F.col("size") > 0) & (F.col("p") > 0.5), F.lit(1.0)).otherwise(F.lit(0.0)))
     open_rows = open_rows.where(~plain)
@@ -129,15 +129,15 @@ def rounded(rows: DataFrame, largest: int, seed: str, ws: Workspace) -> DataFram
     groups, level = -(-largest // GROUP), 0
     while True:
         deal = F.pmod(F.xxhash64(F.lit(f"{seed}{level}"), "k1"), F.lit(max(1, groups)).cast("long"))
-        dealt = open_rows.select(deal.alias("g"), "s", "k1", "size", "whole", "p").repartition("s", "g").sortWithinPartitions("s", "g")
-        got = ws.table(dealt.mapInArrow(lambda b: _level(b, f"{seed}{level}"), "s long, k1 long, size long, whole long, p double"), f"{seed}{level}")
+        dealt = open_rows.select(deal.alias("g"), "s", "k1", "size", "whole", "p", "k2").repartition("s", "g").sortWithinPartitions("s", "g")
+        got = ws.table(dealt.mapInArrow(lambda b: _level(b, f"{seed}{level}"), "s long, k1 long, k2 long, size long, whole long, p double"), f"{seed}{level}")
         out, open_rows = out.unionByName(got.where(~still)), got.where(still)
         if groups <= 1:
             break
         groups, level = -(-groups // GROUP), level + 1
     alone = F.pmod(F.xxhash64(F.lit(f"{seed}last"), "k1"), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.col("p")
     out = out.unionByName(open_rows.withColumn("p", F.when(alone, F.lit(1.0)).otherwise(F.lit(0.0))))
-    return out.select("s", "k1", "size", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    return out.select("s", "k1", "k2", "size", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
@@ -146,31 +146,50 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     Documents of over 1 / LARGE of their source, of which a source has fewer than LARGE, are rounded first; the others share
     what is then left of the target, so the error that a large document leaves open is made good by the small ones.
     """
-    ws = Workspace(docs.sparkSession, "mixing")
     kind = docs.schema[id_col].dataType
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    sized = ws.table(docs.select(key.alias("k1"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
+    out = _drawn(docs, id_col, text_col, source_col, weights, most, seed)
+    return out.select(F.when(F.col("k1") != -(2**63), F.col("k1")).cast(kind).alias("id"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _key(id_col: str, text_col: str, source_col: str) -> tuple[Column, Column]:
+    """Rows equal in both are equal in id, text and source, but for a collision of 64 bits under one id."""
+    return F.coalesce(column(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(column(text_col).cast("string"), column(source_col))
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], most: float, seed: str) -> DataFrame:
+    """(k1, k2, size, source_size, target, copies)."""
+    ws = Workspace(docs.sparkSession, "mixing")
+    k1, k2 = _key(id_col, text_col, source_col)
+    sized = ws.table(docs.select(k1.alias("k1"), k2.alias("k2"), column(source_col).alias("source"), n_words(column(text_col)).alias("size")), "sizes")
     per = ws.table(targets(sized, "source", weights, most, ws).withColumn("s", F.monotonically_increasing_id()), "targets")
     n_sources, largest = per.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     small = lambda df: F.broadcast(df) if n_sources <= BROADCAST_ROWS else df
     side = small(per)
-    rows = sized.join(side, sized["source"].eqNullSafe(side["source"])).select("k1", "size", "s", "source_size", "target")
+    rows = sized.join(side, sized["source"].eqNullSafe(side["source"])).select("k1", "k2", "size", "s", "source_size", "target")
     large = F.col("size") * LARGE > F.col("source_size")
     f = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    first = ws.table(rounded(rows.where(large).select("s", "k1", "size", f.alias("f")), min(largest, LARGE), f"{seed}-large", ws), "large")
+    first = ws.table(rounded(rows.where(large).select("s", "k1", "k2", "size", f.alias("f")), min(largest, LARGE), f"{seed}-large", ws), "large")
     gone = first.groupBy("s").agg(F.sum("size").alias("large_size"), F.sum(F.col("size") * F.col("copies")).alias("large_taken"))
     left = F.col("source_size") - F.coalesce("large_size", F.lit(0))
     rest = F.when(left > 0, (F.col("target") - F.coalesce("large_taken", F.lit(0))) / left).otherwise(F.lit(0.0))
     per2 = ws.table(per.join(small(gone), "s", "left").select("s", "source_size", "target", F.least(F.greatest(rest, F.lit(0.0)), F.lit(float(most))).alias("f")), "rest")
-    others = rows.where(~large).select("k1", "size", "s").join(small(per2.select("s", "f")), "s").select("s", "k1", "size", "f")
+    others = rows.where(~large).select("k1", "k2", "size", "s").join(small(per2.select("s", "f")), "s").select("s", "k1", "k2", "size", "f")
     drawn = first.unionByName(rounded(others, largest, seed, ws))
-    back = drawn.join(small(per.select("s", "source_size", "target")), "s")
-    return back.select(F.when(F.col("k1") != -(2**63), F.col("k1")).cast(kind).alias("id"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The documents of the mix with the columns of the input, each as often as it is taken."""
-    c = copies(docs, id_col, text_col, source_col, **how).where("copies > 0").groupBy("id").agg(F.max("copies").alias("_notelake_copies"))
-    c = c.withColumnRenamed("id", "_notelake_id")
-    joined = docs.join(c, docs[id_col].eqNullSafe(c["_notelake_id"]))
-    return joined.withColumn("_notelake_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_notelake_copies")))).select(*[docs[x] for x in docs.columns])
+    return drawn.join(small(per.select("s", "source_size", "target")), "s")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
+    """The documents of the mix with the columns of the input, each as often as it is taken. Rows equal in id, text and source
+    are one document here, whose copies are added up; where other columns differ, one of them stands for it."""
+    ws = Workspace(docs.sparkSession, "mixed")
+    drawn = _drawn(docs, id_col, text_col, source_col, weights, most, seed)
+    key, taken = free_name(docs, "key"), free_name(docs, "taken")
+    per = drawn.groupBy("k1", "k2").agg(F.sum("copies").alias("c"), F.count("*").alias("rows")).where("c > 0")
+    per = ws.table(per, "copies")
+    k1, k2 = _key(id_col, text_col, source_col)
+    found = docs.withColumn(key, F.struct(k1.alias("k1"), k2.alias("k2"))).join(per.select(F.struct("k1", "k2").alias(key), F.struct("c", "rows").alias(taken)), key)
+    if not per.where("rows > 1").isEmpty():
+        one = F.col(taken)["rows"] == 1
+        found = found.where(one).unionByName(found.where(~one).dropDuplicates([key]))
+    copy = free_name(docs, "copy")
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(taken)["c"]))).select(*(column(c) for c in docs.columns))

@@ -6,7 +6,8 @@ group-by over all documents, with at most 2**len(rules()) rows whatever the inpu
 The posterior log-odds are then a sum of one number a vote, which Spark adds up in its own code.
 
 Rows: a null text is an empty one. No words: base_failed. Repeated rows and repeated ids are scored one by one. An empty
-table gives an empty result. Columns of the input do not clash: scores returns its own, keep returns the input's alone.
+table gives an empty result. Columns of the input travel in a struct, so none clashes, whatever its name: scores returns its
+own, keep returns the input's alone. A posterior equal to the threshold keeps a document.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kernel as K
-from .common import Workspace, ship
+from .common import Workspace, column, ship
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper_words", "n_short_words", "n_marks", "n_distinct_words")
 PREFIX = "_notelake_"
@@ -57,8 +59,7 @@ def count(texts: pa.Array) -> dict[str, np.ndarray]:
     """The counts of each text. Line and window equality is by 64-bit hashes within one text."""
     data, rows = K.buffers(texts)
     w = K.Words(data, rows)
-    prefix = K.FIRST.prefix(K.FIRST.codes[data])
-    hashes = K.FIRST.spans(prefix, w.start, w.end)
+    hashes = w.hashes(data)
     of = K.counts_to_rows(w.off)
     out = {"n_words": np.diff(w.off)}
     points = (data & 0xC0) != 0x80
@@ -84,7 +85,7 @@ def count(texts: pa.Array) -> dict[str, np.ndarray]:
     full = words_in > 0
     begin, end, last = begin[full], end[full], (k + words_in - 1)[full]
     line_row = K.counts_to_rows(first)[full]
-    _, again = _repeated(K.FIRST.spans(prefix, begin, end), line_row)
+    _, again = _repeated(K.hashed(data, begin, end), line_row)
     lines = lambda x=None: np.bincount(line_row, weights=x, minlength=len(rows) - 1).astype(np.int64)
     out["n_lines"], out["n_dup_lines"] = lines(), lines(again)
     out["n_ended_lines"] = lines(_ENDING[data[w.end[last] - 1]])
@@ -98,18 +99,19 @@ def count(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def _counted(batches: Iterator[pa.RecordBatch], keep: list[str], text: str) -> Iterator[pa.RecordBatch]:
-    for piece in K.slices(batches, text):
-        c = count(piece.column(text))
-        arrays = [pa.array(c[x], pa.int64()) for x in COUNTS]
-        yield pa.RecordBatch.from_arrays([*(piece.column(x) for x in keep), *arrays], [*keep, *(f"{PREFIX}{x}" for x in COUNTS)])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in K.slices(batches):
+        c = count(piece.column("text"))
+        yield pa.RecordBatch.from_arrays([piece.column("row"), *(pa.array(c[x], pa.int64()) for x in COUNTS)], ["row", *(f"{PREFIX}{x}" for x in COUNTS)])
 
 
 def counted(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` and the counts under PREFIX; a map over the rows, nothing is shuffled."""
-    needed = [text, *(c for c in keep if c != text)]
-    cols = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), *(f"{PREFIX}{c} long" for c in COUNTS)])
-    return df.select(*needed).mapInArrow(lambda batches: _counted(batches, keep, text), cols)
+    """`row`, a struct of the columns `keep`, and the counts under PREFIX beside it, so that no names can clash; a map over
+    the rows, nothing is shuffled."""
+    row = F.struct(*(column(c) for c in keep)) if keep else F.lit(None).cast("int")
+    rows = df.select(row.alias("row"), column(text).cast("string").alias("text"))
+    schema = StructType([rows.schema["row"], *(StructField(f"{PREFIX}{c}", LongType()) for c in COUNTS)])
+    return rows.mapInArrow(_counted, schema)
 
 
 def q(name: str) -> Column:
@@ -206,7 +208,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """One row per document: id, the counts under PREFIX, vote_* of each rule, base_failed, p_good, kept."""
     ws = Workspace(docs.sparkSession, "quality")
     rs = rules()
-    seen = ws.table(counted(docs, text_col, [id_col]).select(id_col, *(q(c) for c in COUNTS), *(r.column() for r in rs)), "votes")
+    counts = counted(docs, text_col, [id_col])
+    seen = ws.table(counts.select(F.col("row")[id_col].alias("id"), *(q(c) for c in COUNTS), *(r.column() for r in rs)), "votes")
     model = fitted(seen, [f"vote_{r.name}" for r in rs])
     odds = model.log_odds([F.col(f"vote_{r.name}") for r in rs])
     p = F.lit(1.0) / (1 + F.exp(-odds))
@@ -222,5 +225,5 @@ def keep(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Dat
     model = fitted(counted(docs, text_col, []).select(*votes), names)
     odds = model.log_odds(votes)
     p = F.lit(1.0) / (1 + F.exp(-odds))
-    return counted(docs, text_col, docs.columns).where(~base_failed() & (p >= threshold)).select(*docs.columns)
-
+    good = counted(docs, text_col, docs.columns).where(~base_failed() & (p >= threshold))
+    return good.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -16,7 +16,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
     s = quality.scores(_read(spark, sf_dir, "documents"))
-    return s.select("doc_id", *(quality.q(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+    return s.select(F.col("id").alias("doc_id"), *(quality.q(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
