@@ -14,6 +14,7 @@ Null ids are one node. Empty table: no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -48,6 +49,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(digests, pa.binary()), pa.array(raws, pa.binary())], ["id", "label", "digest", "vec"])
 
 
+@functools.lru_cache(maxsize=4)
 def planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
 

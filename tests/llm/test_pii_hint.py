@@ -9,10 +9,10 @@ ONE_EACH = {
     "EMAIL": ["a@b.co"],
     "IPV4": ["1.2.3.4", "10.20.30.40"],
     "CARD": ["4111 1111 1111 1111", "4111111111111111"],
-    "PHONE": ["(12) 345-6789", "+1 (12) 345-6789", "+45 12 34 56 78", "+47 22 12 34 56", "+1.22.33", "+358-40-12-34-56"],
+    "PHONE": ["(12) 345-6789", "+1 (12) 345-6789", "+45 12 34 56 78", "+47 22 12 34 56", "+1.22.33", "+358-40-12-34-56", "+15551234567", "555-123-4567", "+33 1 23 45 67 89"],
     "SSN": ["123-45-6789"],
-    "IBAN": ["DE021203000000"],
-    "NAME": ["Mr Bo", "Госпожа Анна"],
+    "IBAN": ["DE021203000000", "GB82 WEST 1234 5698", "MT84MALT011000012345MTLCAST001S"],
+    "NAME": ["Mr Bo", "Госпожа Анна", "Ms O'Brien"],
 }
 
 
