@@ -268,3 +268,8 @@ def filled(template: str, **values: Column) -> Column:
     for name, v in values.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(v, F.lit("")))
     return out
+
+
+def sync_id(kind_: str, *parts: Column) -> Column:
+    """A name that the same parts always get."""
+    return F.concat(F.lit(f"{kind_}-"), F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(16)))

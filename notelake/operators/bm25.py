@@ -56,36 +56,66 @@ def query_frame(spark: SparkSession, queries: dict[int, list[str]]) -> DataFrame
     return spark.createDataFrame(phrases(queries), "qid long, phrase int, off int, len int, term string, prefix boolean")
 
 
-def occurrences(index: Index, words: DataFrame, bounded: bool = True) -> DataFrame:
-    """(qid, phrase, doc_id, col, n): how often a phrase stands in a column. words: a query frame, of bounded size unless told."""
+def postings_of(index: Index, rows: list[tuple]) -> DataFrame:
+    """The postings of the words of some phrases: a filter on the term that reaches the scan of a saved index."""
+    exact = sorted({index.word(t) for *_, t, prefix in rows if not prefix})
+    here = F.col("term").isin(*exact) if exact else F.lit(False)
+    for lead in sorted({index.word(t) for *_, t, prefix in rows if prefix}):
+        here = here | F.col("term").startswith(lead)
+    return index.postings.where(here)
+
+
+def occurrences(index: Index, words: DataFrame, rows: list[tuple] | None = None) -> DataFrame:
+    """(qid, phrase, doc_id, col, n): how often a phrase stands in a column. rows: the query frame as it is on the driver, if it is
+    there; only such a frame is broadcast."""
     q = index.words(words)
-    q = F.broadcast(q) if bounded else q
-    p = index.postings
-    exact = p.join(q.where("not prefix"), "term").select("qid", "phrase", "off", "len", "doc_id", "col", "pos")
-    begun = p.join(q.where("prefix").withColumnRenamed("term", "lead"), F.col("term").startswith(F.col("lead"))).select("qid", "phrase", "off", "len", "doc_id", "col", "pos")
-    hits = exact.unionByName(begun) if words.where("prefix").limit(1).count() else exact
+    if rows is not None:
+        q, p = F.broadcast(q), postings_of(index, rows)
+        prefixed, long = any(r[5] for r in rows), any(r[3] > 1 for r in rows)
+    else:
+        p = index.postings
+        prefixed, long = (not words.where(c).isEmpty() for c in ("prefix", "len > 1"))
+    hits = p.join(q.where("not prefix"), "term").select("qid", "phrase", "off", "len", "doc_id", "col", "pos")
+    if prefixed:
+        begun = p.join(q.where("prefix").withColumnRenamed("term", "lead"), F.col("term").startswith(F.col("lead")))
+        hits = hits.unionByName(begun.select("qid", "phrase", "off", "len", "doc_id", "col", "pos"))
     single = hits.where("len = 1").groupBy("qid", "phrase", "doc_id", "col").agg(F.count("*").alias("n"))
-    if not words.where("len > 1").limit(1).count():
+    if not long:
         return single
     runs = hits.where("len > 1").groupBy("qid", "phrase", "len", "doc_id", "col", (F.col("pos") - F.col("off")).alias("at")).agg(F.countDistinct("off").alias("m")).where("m = len")
     return single.unionByName(runs.groupBy("qid", "phrase", "doc_id", "col").agg(F.count("*").alias("n")))
 
 
-def scores(index: Index, words: DataFrame, weights: dict[str, float] = SEARCH_WEIGHTS, bounded: bool = True) -> DataFrame:
-    """(qid, doc_id, matched, score) of every document that holds any phrase; matched: how many different ones. bounded: whether the
-    queries are few enough to be broadcast."""
+def in_project(index: Index, project: str) -> DataFrame:
+    """(doc_id) of documents whose project column holds the words of the name: a superset of its documents, from the index alone."""
+    words = sorted({index.word(t) for t in word_tokens(project)})
+    held = index.postings.where((F.col("col") == "project") & F.col("term").isin(*words))
+    return held.groupBy("doc_id").agg(F.countDistinct("term").alias("m")).where(F.col("m") == len(words)).select("doc_id")
+
+
+def scores(index: Index, words: DataFrame, weights: dict[str, float] = SEARCH_WEIGHTS, rows: list[tuple] | None = None, within: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, matched, score) of every document that holds any phrase; matched: how many different ones.
+
+    rows: see occurrences. within: (doc_id) to which the result is narrowed once the phrases are counted in all documents."""
     w = F.lit(1.0)
     for c, x in weights.items():
         w = F.when(F.col("col") == c, F.lit(float(x))).otherwise(w)
-    f = occurrences(index, words, bounded).groupBy("qid", "phrase", "doc_id").agg(F.sum(F.col("n") * w).alias("f"))
+    f = occurrences(index, words, rows).groupBy("qid", "phrase", "doc_id").agg(F.sum(F.col("n") * w).alias("f"))
     n = f.groupBy("qid", "phrase").agg(F.count("*").alias("n"))  # one row a phrase of the queries
-    f = f.join(F.broadcast(n) if bounded else n, ["qid", "phrase"]).join(index.docstats, "doc_id").crossJoin(F.broadcast(index.totals()))  # one row of totals
+    if within is not None:
+        f = f.join(within, "doc_id", "left_semi")
+    f = f.join(F.broadcast(n) if rows is not None else n, ["qid", "phrase"]).join(index.docstats, "doc_id").crossJoin(F.broadcast(index.totals()))  # one row of totals
     raw = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avgdl")))
     return f.groupBy("qid", "doc_id").agg(F.count("*").alias("matched"), (F.lit(0.0) - F.sum(part)).alias("score"))
 
 
+def asked(index: Index, queries: dict[int, list[str]], weights: dict[str, float] = SEARCH_WEIGHTS, within: DataFrame | None = None) -> DataFrame:
+    """The scores of queries that the driver holds."""
+    return scores(index, query_frame(index.postings.sparkSession, queries), weights, phrases(queries), within)
+
+
 def counts(words: list[tuple]) -> dict[int, int]:
     """Phrases of each query."""
     out: dict[int, int] = {}
@@ -94,22 +124,20 @@ def counts(words: list[tuple]) -> dict[int, int]:
     return out
 
 
-def match_all(index: Index, query: str | list[str], weights: dict[str, float] = SEARCH_WEIGHTS) -> DataFrame:
+def match_all(index: Index, query: str | list[str], weights: dict[str, float] = SEARCH_WEIGHTS, within: DataFrame | None = None) -> DataFrame:
     """(doc_id, score) of the documents that hold every phrase of the query."""
     terms = split_terms(query) if isinstance(query, str) else query
     k = counts(phrases({0: terms})).get(0, 0)
-    words = query_frame(index.postings.sparkSession, {0: terms})
-    return scores(index, words, weights).where(F.col("matched") == k).select("doc_id", "score")
+    return asked(index, {0: terms}, weights, within).where(F.col("matched") == k).select("doc_id", "score")
 
 
-def match_any(index: Index, query: str | list[str], weights: dict[str, float] = SEARCH_WEIGHTS, most: int | None = MAX_ANY_TERMS) -> DataFrame:
+def match_any(index: Index, query: str | list[str], weights: dict[str, float] = SEARCH_WEIGHTS, most: int | None = MAX_ANY_TERMS, within: DataFrame | None = None) -> DataFrame:
     """(doc_id, score) of the documents that hold any of the first `most` words."""
     terms = split_terms(query) if isinstance(query, str) else query
-    words = query_frame(index.postings.sparkSession, {0: terms[:most] if most else terms})
-    return scores(index, words, weights).select("doc_id", "score")
+    return asked(index, {0: terms[:most] if most else terms}, weights, within).select("doc_id", "score")
 
 
-def match_prefix(index: Index, query: str, weights: dict[str, float] = SEARCH_WEIGHTS) -> DataFrame:
+def match_prefix(index: Index, query: str, weights: dict[str, float] = SEARCH_WEIGHTS, within: DataFrame | None = None) -> DataFrame:
     """All words, the last one as a beginning."""
     terms = split_terms(query)
-    return match_all(index, [*terms[:-1], f"{terms[-1]}*"] if terms else [], weights)
+    return match_all(index, [*terms[:-1], f"{terms[-1]}*"] if terms else [], weights, within)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.porter import stem_udf
+from ..functions.porter import stem, stem_udf
 
 COLUMNS = ("title", "content", "tool_name", "type", "project", "topic_key")
 
@@ -36,7 +36,12 @@ class Index:
         """Query words as the index spells them."""
         return terms.withColumn("term", stem_udf("term")) if self.stemmed else terms
 
+    def word(self, term: str) -> str:
+        """A query word as the index spells it."""
+        return stem(term) if self.stemmed else term
+
     def save(self, path: str) -> None:
+        """Clustered by term, so that the words of a query are a few row groups."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.docstats.write.mode("overwrite").parquet(f"{path}/docstats")
 
@@ -54,14 +59,15 @@ class Index:
 
 
 def build(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, id_col: str = "id", stemmed: bool = False) -> Index:
-    """Index of the columns that the rows have; a map over the rows, without a shuffle."""
+    """Index of the columns that the rows have: one pass over the rows. Of a stemmed one, each different word is stemmed once."""
     there = [c for c in columns if c in rows.columns]
-    each = [F.posexplode(T.tokens(F.col(c))) for c in there]
-    postings = None
-    for c, e in zip(there, each):
-        p = rows.select(F.col(id_col).alias("doc_id"), F.lit(c).alias("col"), e.alias("pos", "term"))
-        postings = p if postings is None else postings.unionByName(p)
+
+    def placed(c: str):
+        return F.transform(T.tokens(F.col(c)), lambda t, i: F.struct(F.lit(c).alias("col"), i.alias("pos"), t.alias("term")))
+
+    postings = rows.select(F.col(id_col).alias("doc_id"), F.explode(F.flatten(F.array(*map(placed, there)))).alias("p")).select("doc_id", "p.*")
     if stemmed:
-        postings = postings.withColumn("term", stem_udf("term"))
+        stems = postings.select("term").distinct().withColumn("stem", stem_udf("term"))
+        postings = postings.join(stems, "term").select("doc_id", "col", "pos", F.col("stem").alias("term"))
     n = sum((F.size(T.tokens(F.col(c))) for c in there), F.lit(0))
     return Index(postings, rows.select(F.col(id_col).alias("doc_id"), n.cast("long").alias("n_tokens")), stemmed)

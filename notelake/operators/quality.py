@@ -78,7 +78,7 @@ def backfill(rows: DataFrame, sessions: DataFrame) -> DataFrame:
         "revision_count": F.greatest(F.coalesce("revision_count", F.lit(1)), F.lit(1)),
         "duplicate_count": F.greatest(F.coalesce("duplicate_count", F.lit(1)), F.lit(1)),
         "updated_at": F.coalesce("updated_at", "created_at"),
-        "sync_id": F.coalesce(F.nullif(F.col("sync_id"), F.lit("")), F.concat(F.lit("obs-"), F.left(F.sha2(F.col("id").cast("string"), 256), F.lit(16)))),
+        "sync_id": F.coalesce(F.nullif(F.col("sync_id"), F.lit("")), T.sync_id("obs", F.col("id").cast("string"))),
     })
     return out.drop("owner").select(*rows.columns)
 

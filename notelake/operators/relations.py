@@ -79,11 +79,14 @@ def candidates(index: Index, rows: DataFrame, saved: DataFrame, relations: DataF
     words = saved.select(F.col("id").alias("qid"), F.posexplode(F.split(T.one_line(F.col("title")), " ")).alias("word_at", "word")).select("qid", F.array_join(T.tokens(F.col("word")), " ").alias("phrase")).where("phrase <> ''")
     split = F.split("phrase", " ")
     q = index.words(words.select("phrase").distinct().select("phrase", F.size(split).alias("len"), F.posexplode(split).alias("off", "term")))
-    hits = index.postings.join(q, "term").groupBy("phrase", "len", "doc_id", "col", (F.col("pos") - F.col("off")).alias("at")).agg(F.countDistinct("off").alias("m")).where("m = len")
     w = F.lit(1.0)
     for c, x in bm25.CANDIDATE_WEIGHTS.items():
         w = F.when(F.col("col") == c, F.lit(x)).otherwise(w)
-    f = hits.groupBy("phrase", "doc_id").agg(F.sum(w).alias("f"))
+    hits = index.postings.join(q, "term")
+    # places matter to words of several tokens only
+    single = hits.where("len = 1").groupBy("phrase", "doc_id").agg(F.sum(w).alias("f"))
+    runs = hits.where("len > 1").groupBy("phrase", "len", "doc_id", "col", (F.col("pos") - F.col("off")).alias("at")).agg(F.countDistinct("off").alias("m")).where("m = len")
+    f = single.unionByName(runs.groupBy("phrase", "doc_id").agg(F.sum(w).alias("f")))
     n = f.groupBy("phrase").agg(F.count("*").alias("n"))
     s = f.join(n, "phrase").join(index.docstats, "doc_id").crossJoin(F.broadcast(index.totals()))  # one row
     raw = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -118,7 +121,7 @@ def pending_edges(found: DataFrame, rows: DataFrame) -> DataFrame:
     """Candidates as pending relations with deterministic names."""
     ids = rows.select("id", "sync_id")
     s = found.join(ids.withColumnRenamed("id", "source").withColumnRenamed("sync_id", "source_id"), "source").join(ids.withColumnRenamed("id", "candidate").withColumnRenamed("sync_id", "target_id"), "candidate")
-    return s.select(F.concat(F.lit("rel-"), F.left(F.sha2(F.concat_ws("|", "source_id", "target_id"), 256), F.lit(16))).alias("sync_id"), "source_id", "target_id", F.lit("related").alias("relation"), F.lit("pending").alias("judgment_status"))
+    return s.select(T.sync_id("rel", F.col("source_id"), F.col("target_id")).alias("sync_id"), "source_id", "target_id", F.lit("related").alias("relation"), F.lit("pending").alias("judgment_status"))
 
 
 def judge(verdicts: DataFrame, relations: DataFrame, rows: DataFrame) -> DataFrame:

@@ -41,6 +41,14 @@ class Filters:
         return cond
 
 
+def within(index: Index, filters: Filters) -> DataFrame | None:
+    """The documents of the filter's project as far as the index tells them, so that others are neither scored nor joined."""
+    if not filters.project or not filters.project.strip():
+        return None
+    name = index.postings.sparkSession.range(1).select(T.project(F.lit(filters.project)).alias("p")).first()["p"]
+    return bm25.in_project(index, name) if bm25.word_tokens(name) else None
+
+
 def narrowed(hits: DataFrame, rows: DataFrame, filters: Filters) -> DataFrame:
     """(id, type, score): ranked ids joined to the columns that filters need."""
     keep = rows.where(filters.where()).select("id", "type")
@@ -75,7 +83,7 @@ def widened(index: Index, rows: DataFrame, query: str, limit: int, filters: Filt
         return spark.createDataFrame([], "id long, type string, score double")
     variants = {k: terms[:k] + terms[k + 1 :] for k in range(len(terms))}
     need = spark.createDataFrame(list(bm25.counts(bm25.phrases(variants)).items()), "qid long, need int")
-    hits = bm25.scores(index, bm25.query_frame(spark, variants)).join(F.broadcast(need), "qid").where("matched = need")
+    hits = bm25.asked(index, variants, within=within(index, filters)).join(F.broadcast(need), "qid").where("matched = need")
     there = hits.withColumnRenamed("doc_id", "id").join(rows.where(filters.where()).select("id", "type"), "id")
     top = there.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))).where(F.col("place") <= limit)
     return top.where(F.col("type") != SUMMARY).groupBy("id", "type").agg(F.min("score").alias("score")).orderBy("score", "id")
@@ -94,7 +102,7 @@ def near(sample: DataFrame, margin: Column) -> DataFrame:
 
 
 def nearest(index: Index, rows: DataFrame, query: str, filters: Filters = Filters()) -> DataFrame:
-    hits = narrowed(bm25.match_any(index, query), rows, filters).where(F.col("type") != SUMMARY)
+    hits = narrowed(bm25.match_any(index, query, within=within(index, filters)), rows, filters).where(F.col("type") != SUMMARY)
     return near(hits.orderBy("score", "id").limit(SAMPLE), F.lit(NEAR_MARGIN))
 
 
@@ -106,17 +114,25 @@ def search(exact: Index, stemmed: Index, rows: DataFrame, query: str, limit: int
         raise ValueError("an empty query")
     limit = max(1, min(limit, MAX_LIMIT)) + bool(more)
     match = bm25.match_all if mode == "all" else bm25.match_any
-    topics = topic_hits(rows, query, filters).select("id", "type", "score").withColumn("stage", F.lit(1)).withColumn("partial", F.lit(False))
-    strict = fused(narrowed(match(stemmed, query), rows, filters).select("id", "score"), narrowed(match(exact, query), rows, filters).select("id", "score"), limit)
-    found, stage = strict.select("id", "score"), 2
-    if mode == "all" and not found.limit(1).count():
-        found, stage = widened(stemmed, rows, query, limit, filters).select("id", "score"), 3
-        if not found.limit(1).count():
-            found, stage = nearest(stemmed, rows, query, filters).select("id", "score"), 4
-    rest = found.withColumn("stage", F.lit(stage)).withColumn("partial", F.lit(stage > 2))
-    every = topics.drop("type").unionByName(rest).groupBy("id").agg(F.min_by(F.struct("score", "stage", "partial"), "stage").alias("h")).select("id", "h.*")
-    top = every.orderBy("stage", "score", "id").limit(limit)
-    return top.join(rows.where("deleted_at is null").select("id", "title", "type", "project"), "id").orderBy("stage", "score", "id")
+    topics = staged(topic_hits(rows, query, filters), limit, 1, F.desc("updated_at"), "id")
+    both = [narrowed(match(i, query, within=within(i, filters)), rows, filters).select("id", "score") for i in (stemmed, exact)]
+    strict = fused(*both, limit)
+    found = staged(strict, limit, 2, F.desc("fused"), "score", "id")
+    # a query that any stage answers is not widened, be it by a topic key alone
+    if mode == "all" and topics.unionByName(found).isEmpty():
+        found = staged(widened(stemmed, rows, query, limit, filters), limit, 3, "score", "id")
+        if found.isEmpty():
+            found = staged(nearest(stemmed, rows, query, filters), limit, 4, "score", "id")
+    every = topics.unionByName(found.join(topics.select("id"), "id", "left_anti"))
+    top = every.orderBy("stage", "place").limit(limit)
+    return top.join(rows.where("deleted_at is null").select("id", "title", "type", "project"), "id").orderBy("stage", "place").drop("place")
+
+
+def staged(hits: DataFrame, limit: int, stage: int, *order) -> DataFrame:
+    """(id, score, stage, partial, place): the first hits in the order that a stage gives them."""
+    top = hits.orderBy(*order).limit(limit)
+    place = F.row_number().over(Window.orderBy(*order))  # at most `limit` rows
+    return top.select("id", "score", F.lit(stage).alias("stage"), F.lit(stage > 2).alias("partial"), place.alias("place"))
 
 
 def elsewhere(exact: Index, rows: DataFrame, query: str, filters: Filters, cap: int = 100) -> int:
@@ -131,7 +147,7 @@ def prompt_recall(index: Index, rows: DataFrame, prompt: str, project: str, limi
 
     words = list(dict.fromkeys(w for w in re.findall(r"\w+", prompt.lower()) if len(w) >= 3))[: bm25.MAX_ANY_TERMS]
     mine = rows.where(Filters(project=project).where() & (F.col("type") != SUMMARY) & (F.trim("title") != ""))
-    hits = bm25.match_any(index, words).withColumnRenamed("doc_id", "id").join(mine.select("id", "type"), "id")
+    hits = bm25.match_any(index, words, within=within(index, Filters(project=project))).withColumnRenamed("doc_id", "id").join(mine.select("id", "type"), "id")
     sample = hits.orderBy("score", "id").limit(SAMPLE)
     newest = rows.where(Filters(project=project).where()).orderBy(F.desc("created_at"), F.desc("id")).limit(RECENT).select("id", F.lit(True).alias("new"))
     middle = sample.agg(upper_median(F.collect_list("score")).alias("middle"), F.count("*").alias("n_sample"))
@@ -151,10 +167,19 @@ def page(index: Index, rows: DataFrame, query: str, offset: int, limit: int, fil
     if not query.strip():
         live = rows.where(filters.where())
         return live.select("id", F.lit(0.0).alias("score"), "created_at").orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit).select("id", "score"), live.agg(F.count("*").alias("total"))
-    hits = narrowed(bm25.match_prefix(index, query, weights), rows, filters)
+    hits = narrowed(bm25.match_prefix(index, query, weights, within(index, filters)), rows, filters)
     return hits.orderBy("score", "id").offset(offset).limit(limit).select("id", "score"), hits.agg(F.count("*").alias("total"))
 
 
+def prompt_page(index: Index, prompts: DataFrame, query: str, offset: int, limit: int, project: str | None = None) -> DataFrame:
+    """(id, score) of a page of prompts by prefix search, with a row to spare; newest first if the query is blank."""
+    mine = prompts if not project or not project.strip() else prompts.where(F.lower(F.coalesce("project", F.lit(""))) == T.project(F.lit(project)))
+    if not query.strip():
+        return mine.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit + 1).select("id", F.lit(0.0).alias("score"))
+    hits = bm25.match_prefix(index, query, {}, within(index, Filters(project=project))).withColumnRenamed("doc_id", "id").join(mine.select("id"), "id", "left_semi")
+    return hits.orderBy("score", "id").offset(offset).limit(limit + 1)
+
+
 def session_page(index: Index, rows: DataFrame, sessions: DataFrame, query: str, offset: int, limit: int) -> DataFrame:
     """Sessions by how many of their notes match."""
     hits = narrowed(bm25.match_prefix(index, query), rows, Filters()).select("id")

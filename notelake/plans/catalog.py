@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import bm25, index, projects, quality, relations, search, writes
 from ..operators import listings as L
+from ..session import shared_folder
 from ..sources import adapters as D
 from ..streaming import replication as R
 from . import oracle as O
@@ -47,9 +49,21 @@ def as_of(x: str = AS_OF):
     return F.to_timestamp(F.lit(x))
 
 
+_SAVED: dict[tuple, str] = {}
+
+
+def saved_index(s: SparkSession, d: str, what: str = "observations", columns: tuple[str, ...] = index.COLUMNS, stemmed: bool = False) -> index.Index:
+    """The index of a table as a store holds it: built and saved once a session, then read."""
+    key = (s.sparkContext.applicationId, d, what, stemmed)
+    if key not in _SAVED:
+        path = f"{shared_folder(s)}/notelake-index-{what}-{uuid.uuid4().hex}"
+        index.build(getattr(D, what)(s, d), columns, stemmed=stemmed).save(path)
+        _SAVED[key] = path
+    return index.Index.load(s, _SAVED[key], stemmed)
+
+
 def obs_index(s: SparkSession, d: str) -> tuple[DataFrame, index.Index]:
-    rows = D.observations(s, d)
-    return rows, index.build(rows)
+    return D.observations(s, d), saved_index(s, d)
 
 
 # point lookups, scans, projections
@@ -136,7 +150,7 @@ _match("bm25_candidate_weights", lambda i: bm25.match_any(i, "src3 attion", bm25
 
 @query("bm25_prompts", with_(PROMPTS, *O.index("prompts", ("content", "project")), *O.scored({0: ["attion", "erble"]}, {}), body="SELECT doc_id AS id, round(score, 6) + 0.0 AS score FROM scores ORDER BY scores.score, doc_id LIMIT 20"))
 def bm25_prompts(s, d):
-    i = index.build(D.prompts(s, d), ("content", "project"))
+    i = saved_index(s, d, "prompts", ("content", "project"))
     return bm25.match_any(i, "attion erble", {}).orderBy("score", "doc_id").limit(20).select(F.col("doc_id").alias("id"), (F.round("score", 6) + 0.0).alias("score"))
 
 
@@ -148,7 +162,7 @@ def token_vocabulary(s, d):
 
 @query("index_totals", with_(OBS, *O.index(), body="SELECT n_docs, round(avgdl, 6) AS avgdl FROM totals"))
 def index_totals(s, d):
-    return obs_index(s, d)[1].totals().select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return saved_index(s, d).totals().select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("strict_search", with_(OBS, *O.index(), *O.scored({0: bm25.split_terms(WORDS)}), body=f"SELECT o.id, o.title, round(s.score, 6) + 0.0 AS score FROM scores s JOIN obs o ON o.id = s.doc_id WHERE s.matched = 2 AND {LIVE} AND o.scope = 'project' ORDER BY s.score, o.id LIMIT 10"))
@@ -212,7 +226,7 @@ def session_search(s, d):
 @query("fused_search")
 def fused_search(s, d):
     rows = D.observations(s, d)
-    hits = search.search(index.build(rows), index.build(rows, stemmed=True), rows, "attions erble", 10)
+    hits = search.search(saved_index(s, d), saved_index(s, d, stemmed=True), rows, "attions erble", 10)
     return hits.select("id", "title", (F.round("score", 6) + 0.0).alias("score"), "stage", "partial")
 
 
@@ -228,18 +242,18 @@ def rank_fusion(s, d):
 
 @query("mrr")
 def mrr(s, d):
-    """Each note looked for by the third to sixth word of its body, over all notes."""
+    """Every twentieth note looked for by the third to sixth word of its body, among all notes."""
     rows, i = obs_index(s, d)
-    asked = rows.select(F.col("id").alias("qid"), F.slice(F.array_distinct(T.tokens(F.col("content"))), 3, 4).alias("w"))
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("qid"), F.slice(F.array_distinct(T.tokens(F.col("content"))), 3, 4).alias("w"))
     words = asked.select("qid", F.posexplode("w").alias("phrase", "term")).select("qid", "phrase", F.lit(0).alias("off"), F.lit(1).alias("len"), "term", F.lit(False).alias("prefix"))
-    hits = bm25.scores(i, words, bounded=False)
+    hits = bm25.scores(i, words)
     mine = hits.where("qid = doc_id").select("qid", F.col("score").alias("own"))
     better = hits.join(mine, "qid").groupBy("qid").agg((F.count_if((F.round("score", 9) < F.round("own", 9)) | ((F.round("score", 9) == F.round("own", 9)) & (F.col("doc_id") < F.col("qid")))) + 1).alias("rank"))
     q = A.retrieval_quality(asked.select("qid").join(better, "qid", "left"))
     return q.select(*(F.round(c, 6).alias(c) for c in q.columns))
 
 
-_ASKED = rf"asked AS (SELECT id AS qid, list_filter(list_distinct_ordered, lambda t: true)[3:6] AS w FROM (SELECT id, (SELECT list(t ORDER BY k) FROM (SELECT t, min(k) AS k FROM (SELECT unnest({O.tok('content')}) AS t, unnest(range(len({O.tok('content')}))) AS k) GROUP BY t)) AS list_distinct_ordered FROM obs WHERE id % 10 = 0))"
+_ASKED = rf"asked AS (SELECT id AS qid, list_filter(list_distinct_ordered, lambda t: true)[3:6] AS w FROM (SELECT id, (SELECT list(t ORDER BY k) FROM (SELECT t, min(k) AS k FROM (SELECT unnest({O.tok('content')}) AS t, unnest(range(len({O.tok('content')}))) AS k) GROUP BY t)) AS list_distinct_ordered FROM obs WHERE id % 20 = 0))"
 ORACLE["mrr"] = with_(
     OBS, *O.index(), _ASKED, "q AS (SELECT qid, unnest(w) AS term, unnest(range(len(w))) AS phrase FROM asked)",
     "f AS (SELECT qid, phrase, doc_id, sum(CASE col WHEN 'title' THEN 5.0 WHEN 'content' THEN 0.5 WHEN 'topic_key' THEN 3.0 ELSE 0.0 END) AS f FROM post JOIN q USING (term) GROUP BY qid, phrase, doc_id)",
@@ -276,14 +290,14 @@ def relation_stats(s, d):
     return A.relation_stats(D.relations(s, d))
 
 
-@query("pair_is_judged", with_(RELATIONS, "pairs AS (SELECT 'obs-' || (doc_id + 1) AS a, 'obs-' || doc_id AS b FROM documents WHERE doc_id % 7 = 0)", body="SELECT a, b, EXISTS (SELECT 1 FROM relations r WHERE r.judgment_status = 'judged' AND ((r.source_id = a AND r.target_id = b) OR (r.source_id = b AND r.target_id = a))) AS judged FROM pairs"))
+@query("pair_is_judged", with_(RELATIONS, "pairs AS (SELECT 'obs-' || (doc_id + 1) AS a, 'obs-' || doc_id AS b FROM documents)", body="SELECT a, b, EXISTS (SELECT 1 FROM relations r WHERE r.judgment_status = 'judged' AND ((r.source_id = a AND r.target_id = b) OR (r.source_id = b AND r.target_id = a))) AS judged FROM pairs"))
 def pair_is_judged(s, d):
     pairs = D.table(s, d, "documents").selectExpr("concat('obs-', doc_id + 1) as a", "concat('obs-', doc_id) as b")
     return relations.pair_is_judged(D.relations(s, d), pairs)
 
 
 _CAND = [
-    "saved AS (SELECT * FROM obs WHERE id % 25 = 3 AND deleted_at IS NULL)",
+    "saved AS (SELECT * FROM obs WHERE id % 20 = 0 AND deleted_at IS NULL)",
     f"qw AS (SELECT qid, word_at, unnest(t) AS term, unnest(range(len(t))) AS off, len(t) AS len FROM (SELECT qid, word_at, {O.tok('word')} AS t FROM (SELECT id AS qid, unnest(string_split(trim(title), ' ')) AS word, unnest(range(len(string_split(trim(title), ' ')))) AS word_at FROM saved)))",
     "hits AS (SELECT qid, word_at, doc_id, col, pos - off AS at FROM post JOIN qw USING (term) GROUP BY qid, word_at, len, doc_id, col, pos - off HAVING count(DISTINCT off) = len)",
     "f AS (SELECT qid, word_at AS phrase, doc_id, sum(CASE col WHEN 'project' THEN 0.0 ELSE 1.0 END) AS f FROM hits GROUP BY qid, word_at, doc_id)",
@@ -298,18 +312,12 @@ _CAND = [
 @query("candidates", with_(OBS, RELATIONS, *O.index(), *_CAND, body="SELECT qid AS source, doc_id AS candidate, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS p FROM top JOIN med USING (qid) WHERE score <= -2.0 AND (n < 24 OR score <= middle * 1.25)) WHERE p <= 3"))
 def candidates(s, d):
     rows, i = obs_index(s, d)
-    saved = rows.where("deleted_at is null")
+    saved = rows.where("deleted_at is null and id % 20 = 0")
     c = relations.candidates(i, rows, saved, D.relations(s, d))
     return c.select("source", "candidate", (F.round("score", 6) + 0.0).alias("score"))
 
 
-@query("scan_project")
-def scan_project(s, d):
-    rows, i = obs_index(s, d)
-    return relations.scan_project(i, rows, "src3", D.relations(s, d)).select("lo", "hi", (F.round("score", 6) + 0.0).alias("score"))
-
-
-@query("judged_outcomes", with_(OBS, RELATIONS, "v AS (SELECT CASE WHEN doc_id % 9 = 0 THEN 'rel-x' ELSE 'rel-' || doc_id END AS sync_id, CASE WHEN doc_id % 5 = 0 THEN 'eats' ELSE 'related' END AS relation, (doc_id % 12) / 10.0 AS confidence FROM documents WHERE doc_id % 3 = 0)", body="SELECT v.sync_id, v.relation, v.confidence, CASE WHEN v.relation = 'eats' THEN 'unknown_verb' WHEN v.confidence > 1 THEN 'bad_confidence' WHEN r.id IS NULL THEN 'unknown_relation' WHEN a.id IS NULL OR b.id IS NULL THEN 'missing_end' WHEN a.project <> b.project THEN 'different_projects' ELSE 'ok' END AS outcome FROM v LEFT JOIN relations r USING (sync_id) LEFT JOIN obs a ON a.sync_id = r.source_id LEFT JOIN obs b ON b.sync_id = r.target_id"))
+@query("judged_outcomes", with_(OBS, RELATIONS, "v AS (SELECT CASE WHEN doc_id % 9 = 0 THEN 'rel-x' ELSE 'rel-' || doc_id END AS sync_id, CASE WHEN doc_id % 5 = 0 THEN 'eats' ELSE 'related' END AS relation, (doc_id % 12) / 10.0 AS confidence FROM documents)", body="SELECT v.sync_id, v.relation, v.confidence, CASE WHEN v.relation = 'eats' THEN 'unknown_verb' WHEN v.confidence > 1 THEN 'bad_confidence' WHEN r.id IS NULL THEN 'unknown_relation' WHEN a.id IS NULL OR b.id IS NULL THEN 'missing_end' WHEN a.project <> b.project THEN 'different_projects' ELSE 'ok' END AS outcome FROM v LEFT JOIN relations r USING (sync_id) LEFT JOIN obs a ON a.sync_id = r.source_id LEFT JOIN obs b ON b.sync_id = r.target_id"))
 def judged_outcomes(s, d):
     i = F.col("doc_id")
     v = D.table(s, d, "documents").select(F.when(i % 9 == 0, "rel-x").otherwise(F.concat(F.lit("rel-"), i.cast("string"))).alias("sync_id"), F.when(i % 5 == 0, "eats").otherwise("related").alias("relation"), ((i % 12) / 10.0).alias("confidence"), F.lit("why").alias("reason"))
@@ -400,13 +408,13 @@ def session_ids(s, d):
     return A.session_ids(D.log(s, d), D.prompts(s, d))
 
 
-@query("prune_candidates", with_(OBS, PROMPTS, f"e AS (SELECT project, 1 AS o FROM obs WHERE {LIVE} UNION ALL SELECT 'old' || project, 0 FROM prompts)", body="SELECT project FROM e GROUP BY project HAVING sum(o) = 0"))
+@query("prune_candidates", with_(OBS, PROMPTS, SESSIONS, f"e AS (SELECT project, 0 AS o FROM sessions UNION ALL SELECT project, 1 FROM obs WHERE {LIVE} UNION ALL SELECT 'old' || project, 0 FROM prompts)", body="SELECT project FROM e GROUP BY project HAVING sum(o) = 0"))
 def prune_candidates(s, d):
     p = D.prompts(s, d).withColumn("project", F.concat(F.lit("old"), "project"))
     return A.prune_candidates(A.project_stats(D.observations(s, d), D.sessions(s, d), p))
 
 
-@query("capture_tallies", with_(OBS, "items AS (SELECT doc_id AS n, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'new ' || (doc_id % 30) END AS content, source AS project FROM documents WHERE doc_id < 100), k AS (SELECT *, sha256(lower(" + O.fold("content") + f")) AS h FROM items), g AS (SELECT *, row_number() OVER (PARTITION BY project, h ORDER BY n) AS first, EXISTS (SELECT 1 FROM obs o WHERE o.{LIVE} AND o.project = k.project AND o.normalized_hash = k.h) AS known FROM k)", body="SELECT count(*) AS extracted, count(*) FILTER (n < 80 AND NOT known AND first = 1) AS saved, count(*) FILTER (n < 80 AND (known OR first > 1)) AS duplicate, count(*) FILTER (n >= 80) AS dropped FROM g"))
+@query("capture_tallies", with_(OBS, "items AS (SELECT doc_id AS n, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'new ' || (doc_id % 30) END AS content, source AS project FROM documents), k AS (SELECT *, sha256(lower(" + O.fold("content") + f")) AS h FROM items), g AS (SELECT *, row_number() OVER (PARTITION BY project, h ORDER BY n) AS first, EXISTS (SELECT 1 FROM obs o WHERE o.{LIVE} AND o.project = k.project AND o.normalized_hash = k.h) AS known FROM k)", body="SELECT count(*) AS extracted, count(*) FILTER (n < 80 AND NOT known AND first = 1) AS saved, count(*) FILTER (n < 80 AND (known OR first > 1)) AS duplicate, count(*) FILTER (n >= 80) AS dropped FROM g"))
 def capture_tallies(s, d):
     i = F.col("doc_id")
     items = D.table(s, d, "documents").select(i.alias("n"), F.when(i % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("new "), (i % 30).cast("string"))).alias("content"), F.col("source").alias("project"))
@@ -431,19 +439,19 @@ def goal_line(s, d):
     return D.log_sessions(s, d).select("id", T.goal_of(F.col("summary")).alias("goal"))
 
 
-@query("timeline", with_(LOG, f"p AS (SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS place, count(*) OVER (PARTITION BY session_id) AS n FROM log WHERE {LIVE}), f AS (SELECT * FROM p WHERE id % 500 = 7)", body="SELECT f.id AS focus_id, p.id, p.place - f.place AS \"offset\", f.place - 1 AS n_before, f.n - f.place AS n_after FROM p JOIN f USING (session_id) WHERE abs(p.place - f.place) <= 5"))
+@query("timeline", with_(LOG, f"p AS (SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS place, count(*) OVER (PARTITION BY session_id) AS n FROM log WHERE {LIVE}), f AS (SELECT * FROM p)", body="SELECT f.id AS focus_id, p.id, p.place - f.place AS \"offset\", f.place - 1 AS n_before, f.n - f.place AS n_after FROM p JOIN f USING (session_id) WHERE abs(p.place - f.place) <= 5"))
 def timeline(s, d):
     rows = D.log(s, d)
     return L.timeline(rows, rows)
 
 
-@query("renumber", with_("r AS (SELECT event_id // 2 * 2 AS id, event_id AS rowid FROM events WHERE event_id < 200), p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rowid) AS n FROM r)", body="SELECT CASE WHEN n = 1 THEN id ELSE (SELECT max(id) FROM r) + (SELECT count(*) FROM p q WHERE q.n > 1 AND q.rowid <= p.rowid) END AS id, rowid FROM p"))
+@query("renumber", with_("r AS (SELECT event_id // 2 * 2 AS id, event_id AS rowid FROM events), p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rowid) AS n FROM r)", body="SELECT CASE WHEN n = 1 THEN id ELSE (SELECT max(id) FROM r) + sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) OVER (ORDER BY rowid) END::BIGINT AS id, rowid FROM p"))
 def renumber(s, d):
     r = D.table(s, d, "events").select((F.floor(F.col("event_id") / 2) * 2).cast("long").alias("id"), F.col("event_id").alias("rowid"))
     return quality.renumbered(r, F.col("rowid"))
 
 
-@query("prompt_behind_save", with_(PROMPTS, LOG, "saves AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'c' || (id % 90) ELSE 'none' END AS session_id, id % 4 = 0 AS named, 'src' || (id % 20) AS project, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(id * 7) AS created_at FROM log WHERE id < 800)", body="SELECT s.id, coalesce((SELECT arg_max(sync_id, id) FROM prompts p WHERE p.session_id = s.session_id), CASE WHEN NOT s.named THEN (SELECT arg_max(sync_id, id) FROM prompts p WHERE p.project = s.project AND p.created_at BETWEEN s.created_at - INTERVAL 30 MINUTE AND s.created_at) END) AS prompt_sync_id FROM saves s"))
+@query("prompt_behind_save", with_(PROMPTS, LOG, "saves AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'c' || (id % 90) ELSE 'none' END AS session_id, id % 4 = 0 AS named, 'src' || (id % 20) AS project, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(id * 7) AS created_at FROM log)", body="SELECT s.id, coalesce((SELECT arg_max(sync_id, id) FROM prompts p WHERE p.session_id = s.session_id), CASE WHEN NOT s.named THEN (SELECT arg_max(sync_id, id) FROM prompts p WHERE p.project = s.project AND p.created_at BETWEEN s.created_at - INTERVAL 30 MINUTE AND s.created_at) END) AS prompt_sync_id FROM saves s"))
 def prompt_behind_save(s, d):
     i = F.col("event_id")
     z = F.lit(0)
@@ -732,11 +740,6 @@ def stale_hashes(s, d):
     return quality.stale_hashes(rows)
 
 
-@query("doctor_report")
-def doctor_report(s, d):
-    return quality.report(D.observations(s, d), D.log_sessions(s, d), D.prompts(s, d), D.relations(s, d))
-
-
 @query("export_relations", with_(OBS, RELATIONS, body="SELECT r.id FROM relations r JOIN obs a ON a.sync_id = r.source_id AND a.project = 'src3' JOIN obs b ON b.sync_id = r.target_id AND b.project = 'src3' UNION ALL SELECT -count(*) FROM obs WHERE project = 'src3'"))
 def export_relations(s, d):
     e = projects.export("src3", D.observations(s, d), D.log_sessions(s, d), D.prompts(s, d), D.relations(s, d))
@@ -765,7 +768,7 @@ def delete_project_counts(s, d):
     return projects.delete_project("error", D.log(s, d), D.log_sessions(s, d), D.prompts(s, d))
 
 
-@query("enrol_backlog", with_(OBS, RELATIONS, body=f"SELECT 1 AS rank, 'observation' AS entity, sync_id AS entity_key FROM obs WHERE {LIVE} AND project = 'src3' UNION ALL SELECT 3, 'relation', r.sync_id FROM relations r JOIN obs o ON o.sync_id = r.source_id AND o.project = 'src3' AND o.{LIVE}"))
+@query("enrol_backlog", with_(OBS, PROMPTS, SESSIONS, RELATIONS, body=f"SELECT 0 AS rank, 'session' AS entity, id AS entity_key FROM sessions WHERE project = 'src3' UNION ALL SELECT 2, 'prompt', sync_id FROM prompts WHERE project = 'src3' UNION ALL SELECT 1 AS rank, 'observation' AS entity, sync_id AS entity_key FROM obs WHERE {LIVE} AND project = 'src3' UNION ALL SELECT 3, 'relation', r.sync_id FROM relations r JOIN obs o ON o.sync_id = r.source_id AND o.project = 'src3' AND o.{LIVE}"))
 def enrol_backlog(s, d):
     return projects.enrol_backlog("src3", D.sessions(s, d), D.observations(s, d), D.prompts(s, d), D.relations(s, d))
 
@@ -776,7 +779,7 @@ def enqueue(s, d):
     return projects.enqueue(m, D.log_sessions(s, d), s.createDataFrame([("click",), ("team1",), ("team2",)], "project string")).select("seq", "project")
 
 
-_NAMES = "names AS (SELECT DISTINCT p_brand || CASE WHEN p_size % 2 = 0 THEN '-' || p_size ELSE '' END AS name FROM part WHERE p_partkey <= 150)"
+_NAMES = "names AS (SELECT DISTINCT p_brand || CASE WHEN p_size % 2 = 0 THEN '-' || p_size ELSE '' END AS name FROM part)"
 
 
 @query("similar_projects", with_(_NAMES, body="SELECT a.name AS a, b.name AS b, CASE WHEN lower(a.name) = lower(b.name) THEN 'case' WHEN contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name)) THEN 'substring' ELSE 'edits' END AS why FROM names a JOIN names b ON a.name < b.name WHERE lower(a.name) = lower(b.name) OR contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name)) OR levenshtein(lower(a.name), lower(b.name)) <= greatest(least(3, least(length(a.name), length(b.name)) // 2), 1)"))
@@ -785,9 +788,10 @@ def similar_projects(s, d):
     return projects.similar_names(n)
 
 
-@query("shared_directories", with_(LOG_SESSIONS, "d AS (SELECT directory, list_sort(list(DISTINCT project)) AS p FROM lsessions WHERE CAST(id AS BIGINT) < 9 GROUP BY directory)", body="SELECT directory, p[1] AS a, p[2] AS b FROM d WHERE len(p) = 2"))
+@query("shared_directories", with_(LOG_SESSIONS, "d AS (SELECT directory, list_sort(list(DISTINCT project)) AS p FROM (SELECT '/work/' || (CAST(id AS BIGINT) // 2) AS directory, project FROM lsessions) GROUP BY directory)", body="SELECT directory, p[1] AS a, p[2] AS b FROM d WHERE len(p) = 2"))
 def shared_directories(s, d):
-    return projects.shared_directories(D.log_sessions(s, d))
+    pairs = F.concat(F.lit("/work/"), F.floor(F.col("id").cast("long") / 2).cast("string"))
+    return projects.shared_directories(D.log_sessions(s, d).withColumn("directory", pairs))
 
 
 @query("unenrolled_journal", with_(MUTATIONS, body="SELECT seq FROM mutations WHERE acked_at IS NOT NULL OR project IN ('click', 'view')"))
@@ -873,9 +877,3 @@ def context_block(s, d):
     return block(D.observations(s, d), D.log_sessions(s, d), D.prompts(s, d))
 
 
-@query("vault_files")
-def vault_files(s, d):
-    from ..sources.exchange import vault
-
-    v = vault(D.observations(s, d), D.log_sessions(s, d))
-    return v.select("path", F.length("body").alias("n_chars"))

@@ -38,7 +38,7 @@ PROMPTS = """prompts AS (SELECT conv_id * 1000 + turn AS id, 'prompt-' || (conv_
  TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn) AS created_at FROM conversations WHERE role = 'user')"""
 SESSIONS = "sessions AS (SELECT session_id AS id, min(project) AS project, '/repo/' || min(project) AS directory, min(created_at) AS started_at, CASE WHEN count(*) > 1 THEN 'summary of ' || session_id END AS summary FROM prompts GROUP BY session_id)"
 LOG_SESSIONS = r"""lsessions AS (SELECT CAST(c_custkey AS VARCHAR) AS id, 'team' || (c_custkey % 7) AS project, '/work/' || (c_custkey % 5) AS directory, TIMESTAMP '2024-01-01 00:00:00' + to_hours(c_custkey % 24) AS started_at,
- CASE WHEN c_custkey % 3 = 0 THEN '## Goal' || chr(10) || chr(10) || 'reach ' || c_custkey END AS summary FROM customer WHERE c_custkey <= 200)"""
+ CASE WHEN c_custkey % 3 = 0 THEN '## Goal' || chr(10) || chr(10) || 'reach ' || c_custkey END AS summary FROM customer)"""
 MUTATIONS = f"""mutations AS (SELECT event_id AS seq, {_list(ENTITIES)}[event_id % 4 + 1] AS entity, CAST(user_id AS VARCHAR) AS entity_key, CASE WHEN event_type = 'error' AND event_id % 4 <> 3 THEN 'delete' ELSE 'upsert' END AS op,
  props AS payload, CASE WHEN event_id % 5 <> 0 THEN 'local' ELSE 'remote' END AS source, event_type AS project, ts AS occurred_at, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 HOUR END AS acked_at FROM events)"""
 RELATIONS = f"""relations AS (SELECT doc_id AS id, 'rel-' || doc_id AS sync_id, 'obs-' || doc_id AS source_id, 'obs-' || (doc_id + CASE WHEN (doc_id // 3) % 2 = 0 THEN 20 ELSE 1 END) AS target_id, {_list(VERBS)}[(doc_id // 3) % 6 + 1] AS relation,

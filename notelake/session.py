@@ -2,8 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset and all runs in one process, a
+    temporary one."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="notelake-"))
+        given = _own[0]
+    return given.rstrip("/")
+
+
+def written(df, name: str):
+    """The frame as a table in the shared folder: its lineage ends there, and it outlives executors."""
+    at = f"{shared_folder(df.sparkSession)}/notelake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
 
 def build_session(app: str = "notelake", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution with skew handling. Other settings come from the cluster."""

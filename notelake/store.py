@@ -15,6 +15,7 @@ from .operators import aggregates, index, listings, projects, quality, relations
 from .sources import exchange
 
 TABLES = ("observations", "sessions", "prompts", "relations", "prompt_deletions")
+INDEXES = (("index_exact", False), ("index_stemmed", True))
 
 
 @dataclass(frozen=True)
@@ -25,19 +26,27 @@ class NoteStore:
     relations: DataFrame
     prompt_deletions: DataFrame
     as_of: Column
+    held: tuple[index.Index, index.Index] | None = None
 
     @staticmethod
     def open(spark: SparkSession, path: str, as_of: Column) -> "NoteStore":
-        return NoteStore(*(spark.read.parquet(f"{path}/{t}") for t in TABLES), as_of)
+        tables = (spark.read.parquet(f"{path}/{t}") for t in TABLES)
+        return NoteStore(*tables, as_of, tuple(index.Index.load(spark, f"{path}/{name}", stemmed) for name, stemmed in INDEXES))
 
     def save(self, path: str) -> None:
-        """Writes a new copy; a store is never overwritten while it is read."""
+        """Writes a new copy with its indexes; a store is never overwritten while it is read."""
         for t in TABLES:
             getattr(self, t).write.mode("errorifexists").parquet(f"{path}/{t}")
+        for (name, _), i in zip(INDEXES, self.indexes()):
+            i.save(f"{path}/{name}")
 
     def indexes(self) -> tuple[index.Index, index.Index]:
-        """(exact, stemmed)."""
-        return index.build(self.observations), index.build(self.observations, stemmed=True)
+        """(exact, stemmed): as saved, or built anew after changes."""
+        return self.held or (index.build(self.observations), index.build(self.observations, stemmed=True))
+
+    def changed(self, **tables: DataFrame) -> "NoteStore":
+        """The store with other tables; the indexes stay if the notes do."""
+        return replace(self, **tables, held=None if "observations" in tables else self.held)
 
     # what can be asked
 
@@ -87,43 +96,58 @@ class NoteStore:
 
     # what can be done
 
+    def save_notes(self, saves: DataFrame) -> tuple["NoteStore", DataFrame]:
+        """The store after a batch of saves, and what became of each: inserted, revised, deduplicated or why it was refused."""
+        rows, outcomes = writes.save(self.observations, saves)
+        return self.changed(observations=rows), outcomes
+
+    def save_note(self, session_id: str, kind: str, title: str, content: str, project: str | None = None, scope: str | None = None, topic_key: str | None = None) -> tuple["NoteStore", DataFrame]:
+        top = self.observations.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        row = [(top + 1, session_id, kind, title, content, project, scope, topic_key)]
+        one = self.observations.sparkSession.createDataFrame(row, "id long, session_id string, type string, title string, content string, project string, scope string, topic_key string")
+        return self.save_notes(one.withColumn("created_at", self.as_of))
+
+    def save_prompts(self, new: DataFrame) -> tuple["NoteStore", DataFrame]:
+        prompts, outcomes = writes.save_prompts(self.prompts, new)
+        return self.changed(prompts=prompts), outcomes
+
     def update(self, patches: DataFrame) -> "NoteStore":
-        return replace(self, observations=writes.update(self.observations, patches, self.as_of))
+        return self.changed(observations=writes.update(self.observations, patches, self.as_of))
 
     def review(self, ids: DataFrame) -> "NoteStore":
-        return replace(self, observations=writes.mark_reviewed(self.observations, ids, self.as_of))
+        return self.changed(observations=writes.mark_reviewed(self.observations, ids, self.as_of))
 
     def pin(self, ids: DataFrame) -> "NoteStore":
-        return replace(self, observations=writes.set_pinned(self.observations, ids, True))
+        return self.changed(observations=writes.set_pinned(self.observations, ids, True))
 
     def unpin(self, ids: DataFrame) -> "NoteStore":
-        return replace(self, observations=writes.set_pinned(self.observations, ids, False))
+        return self.changed(observations=writes.set_pinned(self.observations, ids, False))
 
     def delete(self, ids: DataFrame, hard: bool = False) -> "NoteStore":
         gone = self.observations.join(ids.select("id"), "id", "left_semi").select("sync_id")
         rel = relations.after_removal(self.relations, gone) if hard else self.relations
-        return replace(self, observations=writes.delete(self.observations, ids, self.as_of, hard), relations=rel)
+        return self.changed(observations=writes.delete(self.observations, ids, self.as_of, hard), relations=rel)
 
     def session_start(self, new: DataFrame) -> "NoteStore":
-        return replace(self, sessions=writes.create_sessions(self.sessions, new))
+        return self.changed(sessions=writes.create_sessions(self.sessions, new))
 
     def session_end(self, ended: DataFrame) -> "NoteStore":
-        return replace(self, sessions=writes.end_session(self.sessions, ended))
+        return self.changed(sessions=writes.end_session(self.sessions, ended))
 
     def merge_projects(self, mapping: DataFrame) -> "NoteStore":
-        return replace(self, **{t: projects.merge(getattr(self, t), mapping) for t in ("observations", "sessions", "prompts")})
+        return self.changed(**{t: projects.merge(getattr(self, t), mapping) for t in ("observations", "sessions", "prompts")})
 
     def judge(self, verdicts: DataFrame) -> "NoteStore":
         good = relations.judge(verdicts, self.relations, self.observations).where("outcome = 'ok'").select("sync_id", F.col("relation").alias("_r"), F.col("confidence").alias("_c"))
         now = self.relations.join(good, "sync_id", "left")
         cols = {"relation": F.coalesce("_r", "relation"), "confidence": F.coalesce("_c", "confidence"), "judgment_status": F.when(F.col("_r").isNotNull(), "judged").otherwise(F.col("judgment_status"))}
-        return replace(self, relations=now.withColumns(cols).select(*self.relations.columns))
+        return self.changed(relations=now.withColumns(cols).select(*self.relations.columns))
 
     def delete_prompts(self, gone: DataFrame) -> "NoteStore":
         p, t = writes.delete_prompts(self.prompts, self.prompt_deletions, gone, self.as_of)
-        return replace(self, prompts=p, prompt_deletions=t)
+        return self.changed(prompts=p, prompt_deletions=t)
 
     def import_(self, theirs: dict[str, DataFrame]) -> "NoteStore":
         ours = {t: getattr(self, t) for t in ("sessions", "observations", "prompts", "relations")}
         new = projects.import_new(theirs, ours, self.prompt_deletions)
-        return replace(self, **{t: ours[t].unionByName(new[t].select(*[c for c in ours[t].columns if c in new[t].columns]), allowMissingColumns=True) for t in ours})
+        return self.changed(**{t: ours[t].unionByName(new[t].select(*[c for c in ours[t].columns if c in new[t].columns]), allowMissingColumns=True) for t in ours})

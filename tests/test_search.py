@@ -60,6 +60,42 @@ def test_topic_key_is_found_however_typed_and_first(rows):
     assert hits[0]["stage"] == 1 and {h["id"] for h in hits if h["stage"] == 1} <= {3, 12, 21, 30, 39, 48, 57, 66, 75, 84, 93, 102, 111, 120}
 
 
+def test_topics_come_newest_first_and_end_the_search(rows):
+    i = index.build(rows)
+    live = [k for k in range(117, 0, -9) if k % 13 and k % 3 == 0]
+    newest = [k for k in (120, 111, 102, 93, 84, 75, 66, 57, 48, 39, 30, 21, 12, 3) if k % 13]
+    hits = search.search(i, i, rows, "topic/3", 5).collect()
+    assert [h["id"] for h in hits if h["stage"] == 1] == newest[:5] and len(hits) == 5
+    assert live
+    # a topic alone is an answer: nothing is widened, though no note holds all the words
+    assert {h["stage"] for h in search.search(i, i, rows, "topic/3", 20).collect()} <= {1, 2}
+
+
+def test_fused_order_is_kept(rows):
+    e, s = index.build(rows), index.build(rows, stemmed=True)
+    got = [h["id"] for h in search.search(e, s, rows, "migrations relation", 10).collect()]
+    lists = [[r["id"] for r in search.narrowed(bm25.match_all(i, "migrations relation"), rows, search.Filters()).orderBy("score", "id").limit(30).collect()] for i in (s, e)]
+    score = {}
+    for which, ids in enumerate(lists):
+        for place, x in enumerate(ids):
+            score.setdefault(x, [0.0, which, place])[0] += 1 / (60 + place + 1)
+    kept = {r["id"]: r["score"] for i in (e, s) for r in search.narrowed(bm25.match_all(i, "migrations relation"), rows, search.Filters()).collect()}
+    assert got == sorted(score, key=lambda x: (-score[x][0], kept[x], x))[:10] and len(got) > 3
+
+
+def test_a_project_narrows_inside_the_index(rows):
+    i = index.build(rows)
+    mine = search.Filters(project="H:\\x\\ALPHA")
+    a = search.narrowed(bm25.match_any(i, "cache error", within=search.within(i, mine)), rows, mine).collect()
+    assert sorted(a) == sorted(search.narrowed(bm25.match_any(i, "cache error"), rows, mine).collect()) and a
+
+
+def test_words_reach_the_scan_of_a_saved_index(rows, tmp_path, spark):
+    index.build(rows).save(str(tmp_path))
+    plan = bm25.match_all(index.Index.load(spark, str(tmp_path)), "cache rela*")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,rela)" in plan and "EqualTo(term,cache)" in plan
+
+
 def test_strict_hit_is_not_diluted(rows):
     i = index.build(rows)
     assert {h["stage"] for h in search.search(i, i, rows, "migration cache", 10).collect()} == {2}

@@ -23,32 +23,79 @@ def test_window_compares_with_the_kept_row(spark):
     assert got == {0: ("inserted", 0), 1: ("deduplicated", 0), 4: ("deduplicated", 0), 2: ("inserted", 2), 3: ("deduplicated", 2)}
 
 
-def sequential(rows, minutes=15):
-    """The rule one save at a time."""
-    topics, kept, out = {}, {}, {}
+def sequential(rows, stored=(), minutes=15):
+    """The rule one save at a time: the topic's note, else a repeat of the youngest live note with the same hash, else a new note."""
+    notes, out = {}, {}
+    for i, m, h, p, s, k, t, key in sorted(stored, key=lambda r: (r[1], r[0])):
+        notes[i] = {"born": m, "touched": m, "topic": (key, p or "", s) if key else None, "as": (h, p or "", s, k, t)}
     for i, m, h, p, s, k, t, key in sorted(rows, key=lambda r: (r[1], r[0])):
-        if key is not None:
-            where = (key, p or "", s)
-            out[i] = ("revised", topics[where]) if where in topics else ("inserted", i)
-            topics.setdefault(where, i)
-            continue
-        where = (h, p or "", s, k, t)
-        if where in kept and m - kept[where][0] <= minutes:
-            out[i] = ("deduplicated", kept[where][1])
+        topic, like = (key, p or "", s) if key else None, (h, p or "", s, k, t)
+        under = [(n["touched"], n["born"], x) for x, n in notes.items() if topic and n["topic"] == topic]
+        near = [(n["born"], x) for x, n in notes.items() if n["as"] == like and m - n["born"] <= minutes]
+        if under:
+            x = max(under)[2]
+            notes[x] |= {"as": like, "touched": m}
+            out[i] = ("revised", x)
+        elif near:
+            out[i] = ("deduplicated", max(near)[1])
         else:
-            kept[where] = (m, i)
+            notes[i] = {"born": m, "touched": m, "topic": topic, "as": like}
             out[i] = ("inserted", i)
     return out
 
 
+def random_saves(rng, ids, span=120):
+    return [(i, float(rng.randint(0, span)), rng.choice("abc"), rng.choice(["p", "q", None]), "project", rng.choice(["bugfix", "decision"]), rng.choice("tu"), rng.choice([None, None, "k/1", "k/2"])) for i in ids]
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_batch_fold_equals_one_at_a_time(spark, seed):
-    rng = random.Random(seed)
-    rows = [(i, float(rng.randint(0, 120)), rng.choice("abc"), rng.choice(["p", "q", None]), "project", rng.choice(["bugfix", "decision"]), rng.choice("tu"), rng.choice([None, None, "k/1", "k/2"])) for i in range(400)]
+    rows = random_saves(random.Random(seed), range(400))
     got = {r["id"]: (r["outcome"], r["onto"]) for r in writes.classify(saves(spark, rows)).collect()}
     assert got == sequential(rows)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_batch_into_stored_notes_equals_one_at_a_time(spark, seed):
+    rng = random.Random(seed)
+    stored, rows = random_saves(rng, range(25), 10), [(i, m + 11, *x) for i, m, *x in random_saves(rng, range(1000, 1200), 40)]
+    held = saves(spark, stored).withColumns({"updated_at": F.col("created_at"), "deleted_at": F.lit(None).cast("timestamp")})
+    got = {r["id"]: (r["outcome"], r["onto"]) for r in writes.classify(saves(spark, rows), held).collect()}
+    assert got == sequential(rows, stored)
+
+
+def test_a_keyed_save_may_repeat_an_unkeyed_one(spark):
+    rows = [(1, 0.0, "h", "p", "project", "bugfix", "t", None), (2, 5.0, "h", "p", "project", "bugfix", "t", "k/1"), (3, 6.0, "g", "p", "project", "bugfix", "t", "k/1"), (4, 7.0, "h", "p", "project", "bugfix", "t", "k/1"), (5, 30.0, "h", "p", "project", "bugfix", "t", None)]
+    got = {r["id"]: (r["outcome"], r["onto"]) for r in writes.classify(saves(spark, rows)).collect()}
+    assert got == {1: ("inserted", 1), 2: ("deduplicated", 1), 3: ("inserted", 3), 4: ("revised", 3), 5: ("inserted", 5)}
+
+
+def test_the_store_saves(spark, tmp_path):
+    from notelake.sources import schemas
+    from notelake.store import TABLES, NoteStore
+
+    empty = {t: spark.createDataFrame([], getattr(schemas, t.upper())) for t in TABLES}
+    now = F.to_timestamp(F.lit("2024-05-01 10:00:00"))
+    store, out = NoteStore(**empty, as_of=now).save_note("s1", "Decision", " Keep <private>x</private> it ", "a body of words", "C:\\Repo\\Alpha", topic_key="Rules/Keep")
+    assert [tuple(r) for r in out.collect()] == [(1, "inserted", 1)]
+    store, out = store.save_note("s1", "oddity", "Keep it", "another body", "alpha", topic_key="rules/keep")
+    assert [tuple(r) for r in out.collect()] == [(2, "revised", 1)]
+    row = store.observations.first()
+    assert (row["title"], row["type"], row["content"], row["revision_count"], row["project"], row["review_after"]) == ("Keep it", "oddity", "another body", 2, "alpha", None)
+    store, out = store.save_note("s1", "oddity", "Keep it", "Another  BODY", "alpha")
+    assert [tuple(r)[1:] for r in out.collect()] == [("deduplicated", 1)] and store.observations.first()["duplicate_count"] == 2
+    _, out = store.save_note("s1", "bugfix", " ", "x")
+    assert out.first()["outcome"] == "empty_title"
+    store.save(f"{tmp_path}/store")
+    back = NoteStore.open(spark, f"{tmp_path}/store", now)
+    assert [r["id"] for r in back.search("another body").collect()] == [1]
+    prompts = spark.createDataFrame([(1, "q1", "s1", "go on", "alpha"), (2, "q2", "s1", "go on", "alpha")], "id long, sync_id string, session_id string, content string, project string").withColumn("created_at", now)
+    back, told = back.save_prompts(prompts)
+    assert sorted(r["outcome"] for r in told.collect()) == ["deduplicated", "inserted"] and back.prompts.count() == 1
+    patched = back.update(spark.createDataFrame([(1, "see <private>this</private>", "Personal")], "id long, content string, scope string")).observations.first()
+    assert (patched["content"], patched["scope"], patched["revision_count"]) == ("see [REDACTED]", "personal", 3)
+
+
 def test_prompt_echoes(spark):
     p = spark.createDataFrame([(i, "s", "same", float(x)) for i, x in enumerate((0, 1, 2, 3))], "id long, session_id string, content string, sec double").withColumn("created_at", at(F.col("sec") / 60))
     assert [r["outcome"] for r in writes.prompt_echoes(p).orderBy("id").collect()] == ["inserted", "deduplicated", "deduplicated", "inserted"]
@@ -58,7 +105,7 @@ def test_normalised_saves_and_refusals(spark):
     s = spark.createDataFrame([("Fix", " A <private>x</private> ", "body", "C:\\Repo\\X", "Team", "A/B c"), ("odd", "t", "b", None, None, None), ("fix", " ", "b", None, None, None)], "type string, title string, content string, project string, scope string, topic_key string")
     a, b, c = writes.normalised(s).collect()
     assert (a["type"], a["title"], a["project"], a["scope"], a["topic_key"], a["refused"]) == ("bugfix", "A [REDACTED]", "x", "project", "a/b-c", None)
-    assert b["refused"] == "unknown_kind" and c["refused"] == "empty_title"
+    assert b["refused"] is None and b["type"] == "odd" and c["refused"] == "empty_title"
 
 
 def test_supersession_warns_the_target_and_conflict_both(spark):
