@@ -273,3 +273,7 @@ def filled(template: str, **values: Column) -> Column:
 def sync_id(kind_: str, *parts: Column) -> Column:
     """A name that the same parts always get."""
     return F.concat(F.lit(f"{kind_}-"), F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(16)))
+
+
+def nonempty_or(x: Column, other: Column) -> Column:
+    return F.when(F.trim(F.coalesce(x, F.lit(""))) != "", x).otherwise(other)

@@ -50,8 +50,9 @@ def store_stats(rows: DataFrame, sessions: DataFrame, prompts: DataFrame) -> Dat
 
 def relation_stats(relations: DataFrame) -> DataFrame:
     """(dimension, value, n): by verb and by status in one pass."""
-    g = relations.groupingSets([("relation",), ("judgment_status",)], "relation", "judgment_status").agg(F.count("*").alias("n"))
-    return g.select(F.when(F.col("relation").isNotNull(), "relation").otherwise("status").alias("dimension"), F.coalesce("relation", "judgment_status").alias("value"), "n")
+    g = relations.groupingSets([("relation",), ("judgment_status",)], "relation", "judgment_status").agg(F.count("*").alias("n"), F.grouping("relation").alias("by_status"))
+    verb = F.col("by_status") == 0
+    return g.select(F.when(verb, "relation").otherwise("status").alias("dimension"), F.when(verb, F.col("relation")).otherwise(F.col("judgment_status")).alias("value"), "n")
 
 
 def counts(rows: DataFrame, as_of: Column, project: str | None = None) -> DataFrame:

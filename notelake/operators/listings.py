@@ -160,6 +160,14 @@ def since(mutations: DataFrame, cursor: int, limit: int) -> DataFrame:
     return mutations.where(F.col("seq") > cursor).orderBy("seq").limit(limit + 1)
 
 
+def since_page(mutations: DataFrame, cursor: int, limit: int) -> DataFrame:
+    """A page of changes after a cursor; on each row whether more follow, and the latest seq of the journal."""
+    top = mutations.agg(F.max("seq").alias("latest"))
+    spare = since(mutations, cursor, limit)
+    n = spare.agg((F.count("*") > limit).alias("has_more"))
+    return spare.orderBy("seq").limit(limit).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(top))  # one row each
+
+
 def deferred_page(deferred: DataFrame, status: str, offset: int, limit: int) -> DataFrame:
     valid = F.get_json_object("payload", "$").isNotNull()
     return deferred.where(F.col("apply_status") == status).withColumn("payload_valid", valid).orderBy("first_seen_at", "sync_id").offset(offset).limit(limit)

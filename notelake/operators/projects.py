@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .listings import live
 
 
@@ -69,6 +70,66 @@ def delete_project(project: str, rows: DataFrame, sessions: DataFrame, prompts:
     return n(o, "n_observations").crossJoin(n(p, "n_prompts")).crossJoin(n(empty, "n_emptied")).crossJoin(n(mine, "n_sessions"))  # one row each
 
 
+def _of(project: str) -> Column:
+    return F.coalesce("project", F.lit("")) == project
+
+
+def deleted(project: str, rows: DataFrame, sessions: DataFrame, prompts: DataFrame, as_of: Column, hard: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(notes, sessions, prompts) after a project is deleted: its notes marked, or removed for good; its prompts removed; of its
+    sessions those that then hold nothing, which a soft delete leaves to those whose notes are elsewhere or never were."""
+    mine = _of(project)
+    if hard:
+        left = rows.where(~mine)
+    else:
+        hit = mine & F.col("deleted_at").isNull()
+        left = rows.withColumns({"updated_at": F.when(hit, as_of).otherwise(F.col("updated_at")), "deleted_at": F.when(hit, as_of).otherwise(F.col("deleted_at"))})
+    kept = prompts.where(~mine)
+    used = left.select(F.col("session_id").alias("id")).union(kept.select(F.col("session_id").alias("id"))).distinct()
+    return left, sessions.where(~mine).unionByName(sessions.where(mine).join(used, "id", "left_semi")), kept
+
+
+def pruned(project: str, rows: DataFrame, sessions: DataFrame, prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sessions, prompts) without those of a project that has no note; refused while it has one, deleted ones included."""
+    if not rows.where(_of(project)).isEmpty():
+        raise ValueError(f"project {project!r} still has notes")
+    return sessions.where(~_of(project)), prompts.where(~_of(project))
+
+
+def merged_enrolment(enrolled: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Enrolled projects after a merge: a canonical name is enrolled if one of its variants was."""
+    return enrolled.join(mapping, "project", "left").select(F.coalesce("canonical", "project").alias("project")).distinct()
+
+
+def created_by_merge(mapping: DataFrame, *tables: DataFrame) -> DataFrame:
+    """(project, created): the canonical names, and whether none of the tables had it before."""
+    names = mapping.select(F.col("canonical").alias("project")).distinct()
+    held = tables[0].select("project")
+    for t in tables[1:]:
+        held = held.union(t.select("project"))
+    return names.join(held.distinct().withColumn("held", F.lit(True)), "project", "left").select("project", F.col("held").isNull().alias("created"))
+
+
+def same_name(names: DataFrame) -> DataFrame:
+    """(project, canonical) of names that differ in separators only: the least of them is canonical."""
+    n = names.select("project").where("project is not null and project <> ''").distinct().withColumn("like", variants(F.col("project")))
+    least = n.groupBy("like").agg(F.min("project").alias("canonical"))
+    return n.join(least, "like").where("project <> canonical").select("project", "canonical")
+
+
+def renamed(sessions: DataFrame, detected: DataFrame) -> DataFrame:
+    """(project, canonical) to merge: projects called after the directory they were recorded in, where the directory is now known to
+    belong to another. detected: (directory, project)."""
+    base = T.project(F.col("directory"))
+    d = detected.select(T.directory_key(F.col("directory")).alias("at"), base.alias("base"), F.col("project").alias("canonical")).where("base <> '' and base <> canonical")
+    there = sessions.select(T.directory_key(F.col("directory")).alias("at"), F.col("project").alias("base")).distinct()
+    return d.join(there, ["at", "base"]).select(F.col("base").alias("project"), "canonical").distinct()
+
+
+def enrolled_journal(mutations: DataFrame, project: str) -> DataFrame:
+    """The journal without the unacknowledged changes of a project, which its enrolment sends anew."""
+    return mutations.where(~(_of(project) & F.col("acked_at").isNull()))
+
+
 def export(project: str | None, rows: DataFrame, sessions: DataFrame, prompts: DataFrame, relations: DataFrame) -> dict[str, DataFrame]:
     """The tables of an export; relations only if both ends are in it."""
     if project:
@@ -86,7 +147,7 @@ def import_new(theirs: dict[str, DataFrame], ours: dict[str, DataFrame], tombsto
     o = theirs["observations"].join(ours["observations"].select("sync_id"), "sync_id", "left_anti").dropDuplicates(["sync_id"])
     p = theirs["prompts"].join(ours["prompts"].select("sync_id"), "sync_id", "left_anti").join(tombstones.select("sync_id"), "sync_id", "left_anti").dropDuplicates(["sync_id"])
     ends = ours["observations"].select("sync_id").unionByName(o.select("sync_id"))
-    r = theirs["relations"].join(ours["relations"].select("sync_id"), "sync_id", "left_anti")
+    r = theirs["relations"].join(ours["relations"].select("sync_id"), "sync_id", "left_anti").dropDuplicates(["sync_id"])
     r = r.join(ends.withColumnRenamed("sync_id", "source_id"), "source_id", "left_semi").join(ends.withColumnRenamed("sync_id", "target_id"), "target_id", "left_semi")
     return {"sessions": s, "observations": o, "prompts": p, "relations": r}
 

@@ -162,6 +162,14 @@ def unshown(hits: DataFrame, shown: DataFrame, caveats: DataFrame) -> DataFrame:
     return hits.join(known, "id", "left_anti")
 
 
+SHOWN = 1200
+
+
+def remembered(shown: DataFrame) -> DataFrame:
+    """The ids shown last, as many as are remembered. shown: (id, shown_at)."""
+    return shown.groupBy("id").agg(F.max("shown_at").alias("shown_at")).orderBy(F.desc("shown_at"), F.desc("id")).limit(SHOWN).select("id")
+
+
 def page(index: Index, rows: DataFrame, query: str, offset: int, limit: int, filters: Filters = Filters(), weights: dict[str, float] = bm25.SEARCH_WEIGHTS) -> tuple[DataFrame, DataFrame]:
     """(rows of the page, one row of total): prefix search; newest first if the query is blank."""
     if not query.strip():
@@ -187,6 +195,13 @@ def session_page(index: Index, rows: DataFrame, sessions: DataFrame, query: str,
     return n.join(sessions.select("id"), "id", "left_semi").orderBy(F.desc("n_matches"), "id").offset(offset).limit(limit)
 
 
+def session_total(index: Index, rows: DataFrame, sessions: DataFrame, query: str) -> DataFrame:
+    """One row: how many sessions hold a note that matches."""
+    hits = narrowed(bm25.match_prefix(index, query), rows, Filters()).select("id")
+    found = rows.join(hits, "id", "left_semi").select(F.col("session_id").alias("id")).join(sessions.select("id"), "id", "left_semi")
+    return found.agg(F.countDistinct("id").alias("total"))
+
+
 def hints(asked: int, got: int, partial: bool, more: bool) -> list[str]:
     """What a caller should know about an answer, from what came back."""
     out = []

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.markdown import canonical_json_udf, verdict_udf
 from ..operators import aggregates as A
 from ..operators import listings as L
-from ..operators import projects, quality, relations, search, writes
+from ..operators import peers, projects, quality, relations, search, writes
 from ..session import shared_folder
 from ..sources import adapters as D
 from ..sources import exchange
@@ -368,3 +368,119 @@ _CHECKS = {
 def doctor_report(s, d):
     rows, i = obs_index(s, d)
     return quality.report(rows, D.log_sessions(s, d), D.prompts(s, d), D.relations(s, d), i)
+
+
+# a peer's changes, projects and grants
+
+_APPLIED = """c AS (SELECT event_id AS seq, 'obs-' || (event_id % 1300) AS k, event_id % 7 = 0 AS del, event_id % 21 = 0 AS hard FROM events),
+h AS (SELECT k, max(seq) AS h FROM c WHERE hard GROUP BY k), a AS (SELECT c.*, h FROM c LEFT JOIN h USING (k) WHERE h IS NULL OR seq > h),
+b AS (SELECT k, min(seq) FILTER (NOT del) AS begun FROM a GROUP BY k),
+e AS (SELECT k, any_value(a.h) AS h, max(seq) FILTER (NOT del) AS lu, max(seq) FILTER (del AND (seq > begun OR (o.id IS NOT NULL AND a.h IS NULL))) AS ld, max(seq) FILTER (NOT del AND seq % 3 > 0) AS lr FROM a JOIN b USING (k) LEFT JOIN obs o ON o.sync_id = k GROUP BY k),
+ends AS (SELECT coalesce(e.k, h.k) AS k, coalesce(e.h, h.h) AS h, lu, ld, lr FROM e FULL JOIN h ON h.k = e.k)"""
+
+
+@query("applied_changes", with_(OBS, _APPLIED, body="SELECT coalesce(o.sync_id, k) AS sync_id, CASE WHEN lu IS NOT NULL THEN 't' || lu ELSE title END AS title, CASE WHEN ld > coalesce(lu, -1) THEN true WHEN lu IS NOT NULL THEN false ELSE deleted_at IS NOT NULL END AS deleted, CASE WHEN lr IS NOT NULL THEN lr % 3 ELSE 1 END AS revision_count FROM obs o FULL JOIN ends ON k = o.sync_id WHERE lu IS NOT NULL OR (o.id IS NOT NULL AND h IS NULL)"))
+def applied_changes(s, d):
+    """A journal of upserts and removals applied to the notes."""
+    i = F.col("event_id")
+    text = lambda c: c.cast("string")
+    body = F.concat(F.lit('{"session_id": "s1", "type": "bugfix", "title": "t'), text(i), F.lit('", "content": "c", "scope": "project", "revision_count": '), text(i % 3), F.lit(', "hard_delete": '), text(i % 21 == 0), F.lit("}"))
+    j = D.table(s, d, "events").select(i.alias("seq"), F.lit("observation").alias("entity"), F.concat(F.lit("obs-"), text(i % 1300)).alias("entity_key"), F.when(i % 7 == 0, "delete").otherwise("upsert").alias("op"), body.alias("payload"))
+    after, _, _ = peers.observations(D.observations(s, d), j, as_of())
+    return after.select("sync_id", "title", F.col("deleted_at").isNotNull().alias("deleted"), "revision_count")
+
+
+@query("since_page", with_(MUTATIONS, body="SELECT seq, true AS has_more, (SELECT max(seq) FROM mutations) AS latest FROM mutations WHERE seq > 500 ORDER BY seq LIMIT 50"))
+def since_page(s, d):
+    return L.since_page(D.mutations(s, d), 500, 50).select("seq", "has_more", "latest")
+
+
+@query("deleted_project", with_(LOG, LOG_SESSIONS, PROMPTS, "p AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'click' ELSE project END AS owner FROM prompts), ss AS (SELECT id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'click' ELSE project END AS project FROM lsessions), lo AS (SELECT * FROM log WHERE project <> 'click')", body="SELECT 'notes' AS what, count(*) AS n FROM lo UNION ALL SELECT 'sessions', count(*) FROM ss WHERE project <> 'click' OR id IN (SELECT session_id FROM lo) OR id IN (SELECT session_id FROM p WHERE owner <> 'click') UNION ALL SELECT 'prompts', count(*) FROM p WHERE owner <> 'click'"))
+def deleted_project(s, d):
+    p = D.prompts(s, d).withColumn("project", F.when(F.col("id") % 2 == 0, "click").otherwise(F.col("project")))
+    z = D.log_sessions(s, d).withColumn("project", F.when(F.col("id").cast("long") % 2 == 0, "click").otherwise(F.col("project")))
+    left = projects.deleted("click", D.log(s, d), z, p, as_of(), hard=True)
+    out = None
+    for what, df in zip(("notes", "sessions", "prompts"), left):
+        one = df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("merged_enrolment", "WITH n AS (SELECT DISTINCT source AS project FROM documents), m AS (SELECT CASE WHEN CAST(substr(project, 4) AS INT) % 3 = 0 THEN 'src1' ELSE project END AS project FROM n WHERE CAST(substr(project, 4) AS INT) % 2 = 0) SELECT DISTINCT project FROM m")
+def merged_enrolment(s, d):
+    n = D.table(s, d, "documents").select(F.col("source").alias("project")).distinct()
+    k = F.substring("project", 4, 9).cast("int")
+    return projects.merged_enrolment(n.where(k % 2 == 0), n.where(k % 3 == 0).select("project", F.lit("src1").alias("canonical")))
+
+
+@query("created_by_merge", "SELECT * FROM (VALUES ('src1', false), ('brand-new', true)) t(project, created)")
+def created_by_merge(s, d):
+    m = s.createDataFrame([("src0", "src1"), ("src4", "brand-new")], "project string, canonical string")
+    return projects.created_by_merge(m, D.observations(s, d), D.prompts(s, d))
+
+
+@query("same_names", "WITH n AS (SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN p_brand WHEN 1 THEN replace(p_brand, '#', '-') ELSE replace(p_brand, '#', '_') END AS project FROM part), k AS (SELECT project, regexp_replace(lower(project), '[-_ .]+', '-', 'g') AS l FROM n), c AS (SELECT l, min(project) AS canonical FROM k GROUP BY l) SELECT project, canonical FROM k JOIN c USING (l) WHERE project <> canonical")
+def same_names(s, d):
+    b = F.col("p_brand")
+    n = D.table(s, d, "part").select(F.when(F.col("p_size") % 3 == 0, b).when(F.col("p_size") % 3 == 1, F.replace(b, F.lit("#"), F.lit("-"))).otherwise(F.replace(b, F.lit("#"), F.lit("_"))).alias("project"))
+    return projects.same_name(n)
+
+
+@query("renamed_directories", with_(LOG_SESSIONS, body="SELECT DISTINCT project, 'moved-' || project AS canonical FROM lsessions WHERE CAST(id AS BIGINT) % 3 = 0"))
+def renamed_directories(s, d):
+    """A third of the sessions is recorded in a directory called as their project, which now belongs to another."""
+    z = D.log_sessions(s, d).withColumn("directory", F.when(F.col("id").cast("long") % 3 == 0, F.concat(F.lit("/Home/"), "project")).otherwise("/home/else"))
+    names = D.log_sessions(s, d).select("project").distinct()
+    return projects.renamed(z, names.select(F.concat(F.lit("\\home\\"), "project", F.lit("/")).alias("directory"), F.concat(F.lit("moved-"), "project").alias("project")))
+
+
+@query("enrolled_journal", with_(MUTATIONS, body="SELECT seq FROM mutations WHERE project <> 'click' OR acked_at IS NOT NULL"))
+def enrolled_journal(s, d):
+    return projects.enrolled_journal(D.mutations(s, d), "click").select("seq")
+
+
+@query("paused_projects", "WITH c AS (SELECT 'src' || (event_id % 20) AS project, max(event_id) AS seq FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT project, seq % 2 = 0 AS enabled FROM c UNION ALL SELECT 'src' || k, true FROM range(30) t(k) WHERE 'src' || k NOT IN (SELECT project FROM c)")
+def paused_projects(s, d):
+    i = F.col("event_id")
+    changes = D.table(s, d, "events").where(i % 3 == 0).select(i.alias("seq"), F.concat(F.lit("src"), (i % 20).cast("string")).alias("project"), (i % 2 == 0).alias("enabled"))
+    return R.set_enabled(s.range(30).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("project"), F.lit(True).alias("enabled")), changes)
+
+
+@query("changed_grants", "SELECT DISTINCT 'p' || (c_custkey % 40) AS principal, 'src' || (c_custkey % 9) AS project FROM customer WHERE NOT (c_custkey % 40 = 7)")
+def changed_grants(s, d):
+    k = F.col("c_custkey")
+    g = D.table(s, d, "customer").select(k, F.concat(F.lit("p"), (k % 40).cast("string")).alias("principal"), F.concat(F.lit("src"), (k % 9).cast("string")).alias("project"))
+    return R.changed_grants(g.where(k % 2 == 0), g.where(k % 2 == 1), g.where(k % 40 == 7))
+
+
+@query("authenticated", "SELECT 'h' || o_orderkey AS token_hash, o_custkey AS principal, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'F' AND c_custkey % 5 > 0")
+def authenticated(s, d):
+    tokens = D.table(s, d, "orders").select(F.concat(F.lit("h"), F.col("o_orderkey").cast("string")).alias("token_hash"), F.col("o_custkey").alias("principal_id"), F.when(F.col("o_orderstatus") == "F", as_of()).alias("revoked_at"))
+    people = D.table(s, d, "customer").where("c_custkey % 5 > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return R.authenticated(tokens, people)
+
+
+@query("save_nudges", with_(LOG_SESSIONS, LOG, "j AS (SELECT s.id, started_at, max(o.created_at) AS saved FROM lsessions s LEFT JOIN log o ON o.session_id = s.id GROUP BY s.id, started_at), k AS (SELECT id, (epoch(TIMESTAMP '2024-01-20 00:00:00')::BIGINT - floor(epoch(greatest(started_at, coalesce(saved, started_at))))::BIGINT) // 60 AS idle FROM j)", body="SELECT id, idle AS idle_minutes FROM k WHERE idle >= 15 AND CAST(id AS BIGINT) % 2 = 1"))
+def save_nudges(s, d):
+    """Sessions with an even number were told ten minutes ago, others twenty."""
+    z = D.log_sessions(s, d)
+    told = z.select("id", F.when(F.col("id").cast("long") % 2 == 0, as_of("2024-01-19 23:50:00")).otherwise(as_of("2024-01-19 23:40:00")).alias("nudged_at"))
+    return R.nudge(z, D.log(s, d), as_of("2024-01-20 00:00:00"), nudged=told)
+
+
+@query("remembered", "SELECT id FROM (SELECT event_id % 2000 AS id, max(ts) AS last_ts FROM events GROUP BY 1) ORDER BY last_ts DESC, id DESC LIMIT 1200")
+def remembered(s, d):
+    return search.remembered(D.table(s, d, "events").select((F.col("event_id") % 2000).alias("id"), F.col("ts").alias("shown_at")))
+
+
+@query("session_total", with_(OBS, *O.index(), *O.scored({0: ["attion", "erb*"]}), body=f"SELECT count(DISTINCT session_id) AS total FROM scores JOIN obs o ON o.id = doc_id WHERE matched = 2 AND {LIVE}"))
+def session_total(s, d):
+    rows, i = obs_index(s, d)
+    return search.session_total(i, rows, rows.select(F.col("session_id").alias("id")).distinct(), PREFIX)
+
+
+@query("nonempty", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'now' ELSE event_type END AS t FROM events")
+def nonempty(s, d):
+    i = F.col("event_id")
+    return D.table(s, d, "events").select(i.alias("id"), T.nonempty_or(F.when(i % 3 > 0, F.col("event_type")).when(i % 6 == 0, " "), F.lit("now")).alias("t"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import aggregates, index, listings, projects, quality, relations, search, writes
+from .operators import aggregates, index, listings, peers, projects, quality, relations, search, writes
 from .sources import exchange
 
 TABLES = ("observations", "sessions", "prompts", "relations", "prompt_deletions")
@@ -151,3 +151,11 @@ class NoteStore:
         ours = {t: getattr(self, t) for t in ("sessions", "observations", "prompts", "relations")}
         new = projects.import_new(theirs, ours, self.prompt_deletions)
         return self.changed(**{t: ours[t].unionByName(new[t].select(*[c for c in ours[t].columns if c in new[t].columns]), allowMissingColumns=True) for t in ours})
+
+    def apply(self, mutations: DataFrame) -> tuple["NoteStore", DataFrame, DataFrame]:
+        """(the store after a page of a peer's changes, relations that wait for an end, changes refused)."""
+        rows, removed, odd = peers.observations(self.observations, mutations, self.as_of)
+        sessions, ended = peers.sessions(self.sessions, mutations, self.as_of)
+        prompts, tombs, odd2 = peers.prompts(self.prompts, self.prompt_deletions, mutations, ended, self.as_of)
+        edges, waiting = peers.relations(self.relations, rows, removed, mutations)
+        return self.changed(observations=rows, sessions=sessions, prompts=prompts, prompt_deletions=tombs, relations=edges), waiting, odd.unionByName(odd2)

@@ -110,13 +110,14 @@ def failed(states: DataFrame, target: str, as_of: Column, standing: bool = False
 
 
 def checked(mutations: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(seq, problem): what a peer refuses a change for, null if nothing: entity and op, its key, required fields, its session."""
+    """(seq, problem): what a peer refuses a change for, null if nothing: entity and op, its key, required fields, its session, which the batch itself may bring."""
     j = payload()
     pairs = F.lit(False)
     for entity, ops in MATRIX.items():
         pairs = pairs | ((F.col("entity") == entity) & F.col("op").isin(*ops))
     ref = F.nullif(F.trim(F.get_json_object(j, "$.session_id")), F.lit(""))
-    known = sessions.select(F.col("id").alias("_ref"), F.lit(True).alias("_known"))
+    own = mutations.where("entity = 'session' and op = 'upsert'").select(F.coalesce(F.nullif(F.trim(F.get_json_object(j, "$.id")), F.lit("")), F.col("entity_key")).alias("_ref"))
+    known = sessions.select(F.col("id").alias("_ref")).union(own).distinct().withColumn("_known", F.lit(True))
     m = mutations.withColumn("_ref", F.when(F.col("entity").isin("observation", "prompt") & (F.col("op") == "upsert"), ref)).join(known, "_ref", "left")
     key = F.get_json_object(j, "$.sync_id")
     blank = lambda k: F.trim(F.coalesce(F.get_json_object(j, f"$.{k}"), F.lit(""))) == ""
@@ -139,12 +140,17 @@ def materialise_chunks(mutations: DataFrame, limit: int = 100) -> DataFrame:
     return c.groupBy("project", "chunk").agg(F.count("*").alias("n"), body.alias("body")).withColumn("chunk_id", T.chunk_id(F.col("body")))
 
 
-def nudge(sessions: DataFrame, rows: DataFrame, as_of: Column, minutes: int = 15, young: int = 5) -> DataFrame:
-    """Sessions in which nothing has been saved for a while: id, idle_minutes."""
+def nudge(sessions: DataFrame, rows: DataFrame, as_of: Column, minutes: int = 15, young: int = 5, nudged: DataFrame | None = None) -> DataFrame:
+    """Sessions in which nothing has been saved for a while: id, idle_minutes. nudged: (id, nudged_at) of those told before, which
+    are told again only once as many minutes have passed."""
     last = rows.groupBy("session_id").agg(F.max("created_at").alias("saved_at"))
     j = sessions.join(last, sessions["id"] == last["session_id"], "left")
-    idle = F.floor((F.unix_seconds(as_of) - F.unix_seconds(F.greatest("started_at", F.coalesce("saved_at", "started_at")))) / 60)
-    return j.select("id", idle.alias("idle_minutes"), F.floor((F.unix_seconds(as_of) - F.unix_seconds("started_at")) / 60).alias("age")).where((F.col("idle_minutes") >= minutes) & (F.col("age") >= young)).select("id", "idle_minutes")
+    since = lambda c: F.floor((F.unix_seconds(as_of) - F.unix_seconds(c)) / 60)
+    j = j.select("id", since(F.greatest("started_at", F.coalesce("saved_at", "started_at"))).alias("idle_minutes"), since("started_at").alias("age"))
+    due = j.where((F.col("idle_minutes") >= minutes) & (F.col("age") >= young)).select("id", "idle_minutes")
+    if nudged is not None:
+        due = due.join(nudged.where(since("nudged_at") < minutes).select("id"), "id", "left_anti")
+    return due
 
 
 def delete_session(ids: DataFrame, sessions: DataFrame, prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -207,3 +213,20 @@ def queued_relations(relations: DataFrame, rows: DataFrame, enrolled: DataFrame)
     j = relations.join(p.select(F.col("sync_id").alias("source_id"), F.col("project").alias("sp")), "source_id", "left").join(p.select(F.col("sync_id").alias("target_id"), F.col("project").alias("tp")), "target_id", "left")
     body = F.to_json(F.struct("sync_id", "source_id", "target_id", "relation", "judgment_status"))
     return j.select("sync_id", F.coalesce("sp", "tp").alias("project"), body.alias("payload")).join(enrolled.select("project").distinct(), "project", "left_semi")
+
+
+def set_enabled(controls: DataFrame, changes: DataFrame) -> DataFrame:
+    """Controls (project, enabled) after projects are paused or resumed; the last change by seq counts."""
+    last = changes.groupBy("project").agg(F.max_by("enabled", "seq").alias("enabled"))
+    return controls.select("project", "enabled").join(last.select("project"), "project", "left_anti").unionByName(last)
+
+
+def changed_grants(grants: DataFrame, given: DataFrame, taken: DataFrame) -> DataFrame:
+    """Grants (principal, project) after some are given and then some taken."""
+    return grants.select("principal", "project").union(given.select("principal", "project")).distinct().join(taken.select("principal", "project"), ["principal", "project"], "left_anti")
+
+
+def authenticated(tokens: DataFrame, principals: DataFrame) -> DataFrame:
+    """(token_hash, principal, name) of tokens that are not revoked, of principals that are there."""
+    t = tokens.where("revoked_at is null").select("token_hash", F.col("principal_id").alias("principal"))
+    return t.join(principals.select(F.col("id").alias("principal"), "name"), "principal")
