@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+from .text import INLINE_MARKS
+
+_INLINE = tuple(re.compile(p) for p in INLINE_MARKS)
+
 # Headings under which learnings are listed, in twelve languages.
 LEARNING_HEADINGS = (
     "Key Learnings", "Learnings", "Key Takeaways",
@@ -24,19 +28,40 @@ LEARNING_HEADINGS = (
     "Kluczowe Wnioski", "Wnioski", "Kluczowe Spostrzezenia",
     "Viktigaste Lärdomar", "Lärdomar", "Insikter",
 )
-# Letters that stand for each other in a heading.
+# Letters that stand for each other in a heading, the plain one first.
 _ALIKE = ("aáàâäå", "eéèêë", "iíìîï", "oóòôö", "uúùûü", "cç", "nñ", "zżź", "sś", "lł")
+_PLAIN = str.maketrans({letter: group[0] for group in _ALIKE for letter in group})
+
+
+def _folded(heading: str) -> str:
+    return " ".join(heading.lower().translate(_PLAIN).split())
+
 
+_HEADINGS = frozenset(map(_folded, LEARNING_HEADINGS))
 
-def _loose(heading: str) -> str:
-    classes = {letter: f"[{group}]" for group in _ALIKE for letter in group}
-    return "".join(r"\s+" if c == " " else classes.get(c, re.escape(c)) for c in heading)
 
+def _level(line: str) -> int:
+    """Of a heading: its marks, with white space behind them; else 0."""
+    n = len(line) - len(line.lstrip("#"))
+    return n if 0 < n < len(line) and line[n].isspace() else 0
 
-_HEADING = re.compile(rf"^#{{2,3}}\s+(?:{'|'.join(sorted(map(_loose, LEARNING_HEADINGS), key=len, reverse=True))})s?:?\s*$", re.I | re.M)
-_SECTION = re.compile(r"\n#{1,3} ")
-_LISTS = tuple(re.compile(p, re.M) for p in (r"^\s*\d+[.)]\s+(.+)", r"^\s*[-*]\s+(.+)"))
-_INLINE = tuple(re.compile(p) for p in (r"\*\*([^*]+)\*\*", r"`([^`]+)`", r"\*([^*]+)\*"))
+
+def _opens(line: str) -> bool:
+    """Whether a line is a heading of learnings, in the singular or plural, with a colon or without."""
+    if _level(line) not in (2, 3):
+        return False
+    name = _folded(line.lstrip("#")).removesuffix(":").rstrip()
+    return name in _HEADINGS or name.removesuffix("s") in _HEADINGS
+
+
+def _item(line: str, numbered: bool) -> str | None:
+    """The text of a list item."""
+    s = line.lstrip()
+    mark = len(s) - len(s.lstrip("0123456789")) if numbered else 0
+    if numbered and not mark or s[mark : mark + 1] not in ((".", ")") if numbered else ("-", "*")):
+        return None
+    rest = s[mark + 1 :]
+    return rest.lstrip() if rest[:1].isspace() and rest.strip() else None
 
 
 def clean(text: str) -> str:
@@ -57,11 +82,12 @@ def mask_code(text: str) -> str:
 
 def learnings(text: str | None) -> list[str]:
     """Items of the last section of learnings that has any: its numbered list, else its bullets."""
-    body = mask_code(text or "")
-    for h in reversed(list(_HEADING.finditer(body))):
-        section = _SECTION.split(body[h.end() :], maxsplit=1)[0]
-        for items in _LISTS:
-            found = [c for c in map(clean, items.findall(section)) if len(c.encode()) >= 20 and len(c.split()) >= 4]
+    lines = mask_code(text or "").split("\n")
+    for at in reversed([i for i, line in enumerate(lines) if _opens(line)]):
+        end = next((i for i in range(at + 1, len(lines)) if 0 < _level(lines[i]) <= 3), len(lines))
+        for numbered in (True, False):
+            items = [clean(x) for line in lines[at + 1 : end] if (x := _item(line, numbered)) is not None]
+            found = [c for c in items if len(c.encode()) >= 20 and len(c.split()) >= 4]
             if found:
                 return found
     return []

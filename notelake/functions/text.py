@@ -147,8 +147,12 @@ def body_hash(x: Column) -> Column:
     return F.sha2(F.lower(one_line(x)), 256)
 
 
+# Bold, code and italics in a line of Markdown.
+INLINE_MARKS = (r"\*\*([^*]+)\*\*", r"`([^`]+)`", r"\*([^*]+)\*")
+
+
 def clean_markdown(x: Column) -> Column:
-    for p in (r"\*\*([^*]+)\*\*", r"`([^`]+)`", r"\*([^*]+)\*"):
+    for p in INLINE_MARKS:
         x = F.regexp_replace(x, p, "$1")
     return one_line(x)
 
