@@ -111,10 +111,12 @@ def project_exists(s, d):
     return A.project_exists("src3", D.observations(s, d), D.prompts(s, d), D.sessions(s, d))
 
 
-@query("preview", with_(OBS, body="SELECT id, strlen(content) > 400 AS content_truncated, CASE WHEN strlen(content) > 400 THEN 1 ELSE 0 END AS cut FROM obs"))
+_CUTS = ", ".join(f"try(decode(unhex(substr(hex(encode(content)), 1, {n}))))" for n in (770, 768, 766, 764))
+
+
+@query("preview", with_(OBS, body=f"SELECT id, strlen(content) > 400 AS content_truncated, sha256(CASE WHEN strlen(content) > 400 THEN coalesce({_CUTS}) || '... [truncated]' ELSE content END) AS h FROM obs"))
 def preview(s, d):
-    p = L.preview(D.observations(s, d))
-    return p.select("id", "content_truncated", F.when(F.col("content").endswith("... [truncated]") & (F.octet_length("content") <= 400), 1).otherwise(0).alias("cut"))
+    return L.preview(D.observations(s, d)).select("id", "content_truncated", F.sha2("content", 256).alias("h"))
 
 
 @query("pending_mutations", with_(MUTATIONS, body="SELECT seq, project FROM mutations WHERE acked_at IS NULL AND source = 'local' AND project IN ('click', 'error') ORDER BY seq LIMIT 100"))
@@ -574,10 +576,10 @@ def body_hash(s, d):
     return D.table(s, d, "documents").select(F.col("doc_id").alias("id"), T.body_hash(F.col("text")).alias("h"))
 
 
-@query("redact", "SELECT doc_id AS id, sha256('a [REDACTED] b [REDACTED] ' || trim(text[1:40])) AS h FROM documents WHERE trim(text[1:40], ' ' || chr(10)) = text[1:40]")
+@query("redact", r"SELECT doc_id AS id, sha256('a [REDACTED] b [REDACTED] ' || regexp_replace(text, '\s+$', '')) AS h FROM documents")
 def redact(s, d):
-    head = F.left("text", F.lit(40))
-    return D.table(s, d, "documents").where(F.regexp_replace(head, r"^[ \n]+|[ \n]+$", "") == head).select(F.col("doc_id").alias("id"), F.sha2(T.strip_private(F.concat(F.lit("  a <private>x\ny</private> b <PRIVATE>"), F.lit("z</private> "), head, F.lit("\u0000 "))), 256).alias("h"))
+    body = F.concat(F.lit("  a <private>x\ny</private> b <PRIVATE>"), F.lit("z</private> "), "text", F.lit("\u0000 "))
+    return D.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.sha2(T.strip_private(body), 256).alias("h"))
 
 
 @query("prompt_core", with_(PROMPTS, body=f"SELECT id, sha256(lower({O.fold('content')})) AS h FROM prompts"))
@@ -600,9 +602,29 @@ def prompt_terms(s, d):
     return D.prompts(s, d).select("id", F.array_join(T.prompt_terms(F.col("content")), " ").alias("terms")).where("terms <> ''")
 
 
-@query("suggest_topic_key", with_(OBS, body="SELECT id, 'bug/' || CASE WHEN k = '' OR k = 'bug' THEN 'general' ELSE k END AS k FROM (SELECT id, CASE WHEN starts_with(v, 'bug-') THEN substr(v, 5) ELSE v END AS k FROM (SELECT id, left(regexp_replace(trim(" + O.TOPIC.format(x="title") + "), ' +', '-', 'g'), 100) AS v FROM obs WHERE type = 'bugfix' AND NOT contains(title, '/')))"))
+def _seg(x: str) -> str:
+    v = f"left(regexp_replace(trim({O.TOPIC.format(x=x)}), ' +', '-', 'g'), 100)"
+    return f"(CASE WHEN regexp_matches({v}, '[a-z0-9]') THEN {v} ELSE '' END)"
+
+
+def _topic(x: str) -> str:
+    return f"nullif(left(array_to_string(list_transform(string_split({O.TOPIC.format(x=x)}, '/'), lambda p: regexp_replace(trim(p), ' +', '-', 'g')), '/'), 120), '')"
+
+
+_FAMILY = (
+    "CASE " + " ".join(f"WHEN type IN ({', '.join(repr(k) for k in kinds)}) THEN '{f}'" for f, kinds in T.FAMILY_KINDS.items())
+    + " " + " ".join("WHEN " + " OR ".join(f"contains(body, '{w}')" for w in words) + f" THEN '{f}'" for f, words in T.FAMILY_WORDS.items()) + f" ELSE {_seg('type')} END"
+)
+
+
+@query("suggest_topic_key", with_(
+    OBS, f"a AS (SELECT id, title, type, lower(title || ' ' || content) AS body, {_seg('title')} AS first, {_seg('array_to_string(string_split(' + O.fold('lower(content)') + chr(44) + ' ' + repr(' ') + ')[1:8], ' + repr(' ') + ')')} AS words FROM obs)",
+    f"b AS (SELECT id, title, {_FAMILY} AS family, CASE WHEN first <> '' THEN first ELSE words END AS seg FROM a)", "c AS (SELECT id, title, family, CASE WHEN starts_with(seg, family || '-') THEN substr(seg, length(family) + 2) ELSE seg END AS seg FROM b)",
+    "e AS (SELECT id, title, family || '/' || CASE WHEN seg = '' OR seg = family THEN 'general' ELSE seg END AS built FROM c)",
+    body=f"SELECT id, CASE WHEN contains(title, '/') AND {_topic('title')} = title THEN title ELSE coalesce({_topic('built')}, built) END AS k FROM e",
+))
 def suggest_topic_key(s, d):
-    return D.observations(s, d).where("type = 'bugfix' and not contains(title, '/')").select("id", T.suggest_topic_key(F.col("type"), F.col("title"), F.col("content")).alias("k"))
+    return D.observations(s, d).select("id", T.suggest_topic_key(F.col("type"), F.col("title"), F.col("content")).alias("k"))
 
 
 @query("timestamps", "SELECT event_id AS id, CASE event_id % 4 WHEN 2 THEN NULL WHEN 3 THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS t FROM events")
@@ -618,9 +640,9 @@ def backoff(s, d):
     return s.range(1, 40).select(F.col("id").alias("failures"), T.backoff_seconds(F.col("id")).alias("seconds"))
 
 
-@query("slugs", "SELECT doc_id AS id, CASE WHEN v = '' THEN 'untitled' ELSE v END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(translate(lower(text[1:30]), '" + O.ACCENTED + "', '" + O.UNACCENTED + "'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS v FROM documents)")
+@query("slugs", "SELECT doc_id AS id, CASE WHEN v = '' THEN 'untitled' ELSE v END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(translate(lower(text), '" + O.ACCENTED + "', '" + O.UNACCENTED + "'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS v FROM documents)")
 def slugs(s, d):
-    return D.table(s, d, "documents").select(F.col("doc_id").alias("id"), T.slug(F.left("text", F.lit(30))).alias("slug"))
+    return D.table(s, d, "documents").select(F.col("doc_id").alias("id"), T.slug(F.col("text")).alias("slug"))
 
 
 @query("chunk_ids", "SELECT event_id AS id, left(sha256(props), 8) AS chunk_id, true AS valid FROM events")
@@ -629,10 +651,14 @@ def chunk_ids(s, d):
     return D.table(s, d, "events").select(F.col("event_id").alias("id"), c.alias("chunk_id"), T.is_chunk_id(c).alias("valid"))
 
 
-@query("clean_markdown", "SELECT doc_id AS id, sha256(" + O.fold("text[1:30] || ' bold code it'") + ") AS h FROM documents WHERE NOT regexp_matches(text[1:30], '[*`]')")
+_BARE = "text || ' **bold** `code` *it*'"
+for _mark in (r"\*\*([^*]+)\*\*", r"`([^`]+)`", r"\*([^*]+)\*"):
+    _BARE = f"regexp_replace({_BARE}, '{_mark}', '\\1', 'g')"
+
+
+@query("clean_markdown", "SELECT doc_id AS id, sha256(" + O.fold(_BARE) + ") AS h FROM documents")
 def clean_markdown(s, d):
-    head = F.left("text", F.lit(30))
-    return D.table(s, d, "documents").where(~head.rlike("[*`]")).select(F.col("doc_id").alias("id"), F.sha2(T.clean_markdown(F.concat(head, F.lit(" **bold** `code` *it*"))), 256).alias("h"))
+    return D.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.sha2(T.clean_markdown(F.concat("text", F.lit(" **bold** `code` *it*"))), 256).alias("h"))
 
 
 @query("stemmed_vocabulary")
@@ -643,11 +669,13 @@ def stemmed_vocabulary(s, d):
     return words.withColumn("stem", stem_udf("term")).groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("n_forms"))
 
 
-@query("learnings", "SELECT doc_id AS id, 2 AS n FROM documents")
+@query("learnings", "SELECT doc_id AS id, CAST(doc_id % 4 AS INTEGER) AS n FROM documents")
 def learnings(s, d):
+    """As many items as the id tells, between other sections and the whole text."""
     from ..functions.markdown import learnings_udf
 
-    body = F.concat(F.lit("## Aprendizajes clave\n1. one two three four five six\n2. "), F.lit("seven **eight** nine ten eleven\n\n# Next\n- "), F.left("text", F.lit(20)))
+    items = F.repeat(F.lit("1. one **two** three four five six seven\n2. short\n"), (F.col("doc_id") % 4).cast("int"))
+    body = F.concat(F.lit("## Learnings\n```\n- not an item, as it is code\n```\n### aprendizajes   CLAVE:\n"), items, F.lit("\n# Next\n- seven eight nine ten eleven twelve\n"), "text")
     return D.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.size(learnings_udf(body)).alias("n"))
 
 
