@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
@@ -11,26 +10,17 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: A word of the contracts: a run without space, tab, newline, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-_own_dir: list[str] = []
 _made: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset, as in tests, a temporary one."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="notelake-"))
-        given = _own_dir[0]
-    return given.rstrip("/")
-
-
 class Workspace:
     """Tables that one call of an operator writes to the shared folder in order to cut lineage.
 
@@ -40,7 +30,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/notelake-{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/notelake-{name}-{uuid.uuid4().hex}"
         _made.append(self.path)
         ship(spark)
 

@@ -87,6 +87,24 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "step_group")
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shapes of op2 alone, which SQL can count too."""
+    from . import secrets
+
+    return secrets.report(_read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rule of op10, before any vote."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op4, and that no document is taken more than three times."""
+    m = op4_mixing(spark, sf_dir)
+    return m.select("doc_id", "size", "source_size", F.round("target", 2).alias("target"), F.col("taken").between(0, 3 * F.col("size")).alias("within"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secrets": op2_secrets,
@@ -98,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "secrets_base": secrets_base,
+    "quality_counts": quality_counts,
+    "mixing_targets": mixing_targets,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -137,3 +158,26 @@ st AS (SELECT doc_id, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING
 each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM w), kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT w.doc_id, len(ws) AS n_words, (SELECT count(*) FROM gone g WHERE g.doc_id = w.doc_id) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
 }
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = "(?:" + "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key"))) + r")[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+ORACLE |= {
+    "secrets_base": f"SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 1), lambda x: length(x) >= 12)) AS n_assign, len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex FROM documents",
+    "quality_counts": f"""
+WITH w AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+l AS (SELECT doc_id, count(x) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '{_WORDS}'))) AS x FROM w) GROUP BY doc_id),
+g AS MATERIALIZED (SELECT doc_id, i, array_to_string(ws[i + 1:i + 5], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(len(ws) - 4)) AS i FROM w WHERE len(ws) >= 5)),
+r AS (SELECT doc_id, i FROM g JOIN (SELECT doc_id, k FROM g GROUP BY doc_id, k HAVING count(*) > 1) USING (doc_id, k)), c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r CROSS JOIN range(5) x(j) GROUP BY doc_id),
+f AS (SELECT w.doc_id, len(ws) AS n_words, CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT) AS chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f""",
+    "mixing_targets": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS size FROM documents), p AS (SELECT source, sum(size)::DOUBLE AS s FROM d GROUP BY source),
+s AS (SELECT source, s, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM p),
+lv AS (SELECT 0 AS i, (SELECT sum(s) / sum(w) FROM s) AS level UNION ALL SELECT i + 1, greatest(level, coalesce((SELECT ((SELECT sum(s) FROM s) - 3 * coalesce(sum(s) FILTER (w * level > 3 * s), 0)) / nullif(sum(w) FILTER (w * level <= 3 * s), 0) FROM s), level)) FROM lv WHERE i < 40),
+e AS (SELECT max(level) AS level FROM lv)
+SELECT doc_id, size, s::BIGINT AS source_size, round(least(w * level, 3 * s), 2) AS target, true AS within FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source CROSS JOIN e""",
+}
