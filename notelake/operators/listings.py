@@ -126,8 +126,11 @@ def prompt_behind(saves: DataFrame, prompts: DataFrame, minutes: int = 30) -> Da
     """(id, prompt_sync_id): the latest prompt of the save's session; where the session was not named, the latest of the
     project within some minutes before. saves: id, session_id, session_named, project, created_at."""
     last = prompts.groupBy("session_id").agg(F.max_by("sync_id", "id").alias("by_session"))
-    p = prompts.select("project", F.col("created_at").alias("asked_at"), "sync_id", F.col("id").alias("prompt_id"))
-    open_ = saves.where("not session_named").join(p, "project").where(F.col("asked_at").between(F.col("created_at") - F.expr(f"INTERVAL {minutes} MINUTES"), F.col("created_at")))
+    # prompts and saves meet in stretches of time, of which a save looks into its own and the one before
+    stretch = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (60 * minutes))
+    p = prompts.select("project", F.col("created_at").alias("asked_at"), "sync_id", F.col("id").alias("prompt_id"), stretch("created_at").alias("stretch"))
+    mine = saves.where("not session_named").select("id", "project", "created_at", F.explode(F.array(stretch("created_at"), stretch("created_at") - 1)).alias("stretch"))
+    open_ = mine.join(p, ["project", "stretch"]).where(F.col("asked_at").between(F.col("created_at") - F.expr(f"INTERVAL {minutes} MINUTES"), F.col("created_at")))
     near = open_.groupBy("id").agg(F.max_by("sync_id", "prompt_id").alias("by_project"))
     return saves.join(last, "session_id", "left").join(near, "id", "left").select("id", F.coalesce("by_session", "by_project").alias("prompt_sync_id"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 from . import aggregates
 from .index import Index
 from .listings import live
@@ -90,11 +91,18 @@ def review_backfill(rows: DataFrame) -> DataFrame:
 def renumbered(rows: DataFrame, order: Column) -> DataFrame:
     """The first row of an id keeps it; later ones and rows without an id get new ones above the largest."""
     w = Window.partitionBy("id").orderBy(order)
-    first = rows.withColumn("_o", order).withColumn("_n", F.row_number().over(w))
-    keep = F.col("id").isNotNull() & (F.col("_n") == 1)
+    first = rows.withColumn("_o", order).withColumn("_n", F.when(F.col("id").isNotNull(), F.row_number().over(w)))
+    keep = F.coalesce(F.col("_n") == 1, F.lit(False))
     top = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    odd = first.where(~keep)
-    numbered = odd.withColumn("_k", F.row_number().over(Window.orderBy("_o"))).crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_k"))  # repairs only
+    # numbered in order by partitions of a range sort, with what the partitions before hold: no task sees all odd rows
+    odd = written(first.where(~keep).repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_k", F.monotonically_increasing_id()), "odd")
+    part, inside = F.shiftright("_k", 33), F.col("_k").bitwiseAND((1 << 33) - 1)
+    held = sorted((r["p"], r["n"]) for r in odd.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
+    before, total = {}, 0
+    for p, n in held:
+        before[p], total = total, total + n
+    base = F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n))])[part] if before else F.lit(0)
+    numbered = odd.crossJoin(F.broadcast(top)).withColumn("id", (F.col("_top") + 1 + base + inside).cast(rows.schema["id"].dataType))  # one row
     return first.where(keep).select(*rows.columns).unionByName(numbered.select(*rows.columns))
 
 
