@@ -898,7 +898,25 @@ def lineitem_pages(s, d):
     return li.join(o, "session_id").groupBy("session_id").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("last")).where("n > 3")
 
 
-@query("context_block")
+def _words(x: str, most: int) -> str:
+    head = f"{x}[1:{most - 3}]"
+    kept = f"regexp_extract({head}, '(?s)^(.*)\\s', 1)"
+    return f"CASE WHEN length({x}) <= {most} THEN {x} ELSE regexp_replace(CASE WHEN trim({kept}) <> '' THEN {kept} ELSE {head} END, '[ ,;:-]+$', '') || '...' END"
+
+
+_BRIEF = f"SELECT '{{name}}' AS section, place, CAST(id AS VARCHAR) AS id, CASE WHEN place <= 5 THEN title || ': ' || {_words('folded', 200)} ELSE title END AS text FROM (SELECT id, title, {O.fold('content')} AS folded, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM obs WHERE {LIVE} AND {{cond}}) WHERE place <= 20"
+_CONTEXT = [
+    f"on_ AS (SELECT session_id, count(*) AS n, max(created_at) AS last FROM obs WHERE {LIVE} GROUP BY session_id)",
+    "ls AS (SELECT s.id, s.project, row_number() OVER (ORDER BY coalesce(n.last, s.started_at) DESC, s.id DESC) AS place FROM lsessions s LEFT JOIN on_ n ON n.session_id = s.id WHERE coalesce(n.n, 0) > 0 OR trim(coalesce(s.summary, '')) <> '')",
+    "pn AS (SELECT content, max(id) AS id FROM prompts WHERE trim(content) <> '' GROUP BY content ORDER BY max(id) DESC LIMIT 30)",
+    f"pc AS (SELECT id, content, row_number() OVER (PARTITION BY lower({O.fold('content')}) ORDER BY id DESC) AS p FROM pn), pd AS (SELECT id, {O.fold('content')} AS folded, row_number() OVER (ORDER BY id DESC) AS place FROM pc WHERE p = 1)",
+]
+
+
+@query("context_block", with_(OBS, LOG_SESSIONS, PROMPTS, *_CONTEXT, body=" UNION ALL ".join([
+    "SELECT 'sessions' AS section, place, id, project AS text FROM ls WHERE place <= 5", f"SELECT 'prompts', place, CAST(id AS VARCHAR), {_words('folded', 200)} FROM pd WHERE place <= 10",
+    _BRIEF.format(name="pinned", cond="pinned"), _BRIEF.format(name="recent", cond="NOT pinned AND type <> 'session_summary'"),
+])))
 def context_block(s, d):
     from ..sources.exchange import context_block as block
 
