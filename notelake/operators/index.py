@@ -61,11 +61,9 @@ class Index:
 def build(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, id_col: str = "id", stemmed: bool = False) -> Index:
     """Index of the columns that the rows have: one pass over the rows. Of a stemmed one, each different word is stemmed once."""
     there = [c for c in columns if c in rows.columns]
-
-    def placed(c: str):
-        return F.transform(T.tokens(F.col(c)), lambda t, i: F.struct(F.lit(c).alias("col"), i.alias("pos"), t.alias("term")))
-
-    postings = rows.select(F.col(id_col).alias("doc_id"), F.explode(F.flatten(F.array(*map(placed, there)))).alias("p")).select("doc_id", "p.*")
+    read = [F.struct(F.lit(c).alias("col"), T.tokens(F.col(c)).alias("terms")) for c in there]
+    each = rows.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*read)).alias("c"))
+    postings = each.select("doc_id", "c.col", F.posexplode("c.terms").alias("pos", "term"))
     if stemmed:
         stems = postings.select("term").distinct().withColumn("stem", stem_udf("term"))
         postings = postings.join(stems, "term").select("doc_id", "col", "pos", F.col("stem").alias("term"))
