@@ -87,6 +87,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "step_group")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import prefix_trie
+    from .common import Workspace
+
+    ws = Workspace(spark, "trie")
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns(_read(spark, sf_dir, "conversations"), ws), ws), ws)
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shapes of op2 alone, which SQL can count too."""
     from . import secrets
@@ -116,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
     "secrets_base": secrets_base,
     "quality_counts": quality_counts,
     "mixing_targets": mixing_targets,
@@ -181,3 +190,22 @@ lv AS (SELECT 0 AS i, (SELECT sum(s) / sum(w) FROM s) AS level UNION ALL SELECT
 e AS (SELECT max(level) AS level FROM lv)
 SELECT doc_id, size, s::BIGINT AS source_size, round(least(w * level, 3 * s), 2) AS target, true AS within FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source CROSS JOIN e""",
 }
+
+#: Prefixes are told apart by a hash chained over their turns; a node's subtree is met through the prefixes of its least member.
+ORACLE["op11_prefix_trie"] = """
+WITH RECURSIVE o AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT i, 0 AS step, i::UBIGINT AS v FROM range(256) t(i) UNION ALL SELECT i, step + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END FROM crc WHERE step < 8),
+tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM crc WHERE step = 8),
+ids AS MATERIALIZED (SELECT DISTINCT c FROM o), digits AS (SELECT c, c::VARCHAR AS s, 0 AS i, 4294967295::UBIGINT AS v FROM ids UNION ALL SELECT c, s, i + 1, xor(v // 256, (SELECT t FROM tab)[xor(v % 256, ascii(s[i + 1])::UBIGINT)::INT + 1]) FROM digits WHERE i < length(s)),
+h AS MATERIALIZED (SELECT c, (xor(v, 4294967295::UBIGINT) % 4)::INT AS h FROM digits WHERE i = length(s)),
+lent AS (SELECT h.c, h.h, (SELECT count(*) FROM o WHERE o.c = h.c - h.c % 20 AND o.p <= h.h) AS b FROM h),
+r AS MATERIALIZED (SELECT l.c, o.p, role, text FROM lent l JOIN o ON o.c = l.c - l.c % 20 AND o.p <= l.b UNION ALL SELECT l.c, l.b + o.p - l.h, role, text FROM lent l JOIN o ON o.c = l.c AND o.p > l.h),
+dep AS MATERIALIZED (SELECT ids.c, count(p) AS depth FROM ids LEFT JOIN r ON r.c = ids.c GROUP BY ids.c),
+k AS MATERIALIZED (SELECT c, 0::BIGINT AS d, '' AS key, 0 AS w FROM ids UNION ALL SELECT k.c, k.d + 1, md5(k.key || '/' || length(role) || ':' || role || text), len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) FROM k JOIN r ON r.c = k.c AND r.p = k.d + 1),
+node AS MATERIALIZED (SELECT d, key, min(k.c) AS low, count(*) AS n, any_value(w) AS w, count(*) FILTER (WHERE depth = d) AS ended, string_agg(k.c::VARCHAR, ',' ORDER BY k.c) FILTER (WHERE depth = d) AS e FROM k JOIN dep ON dep.c = k.c GROUP BY d, key),
+up AS MATERIALIZED (SELECT n.d, n.key, n.low, a.key AS above, a.low AS alow FROM node n JOIN k ON k.c = n.low AND k.d = n.d - 1 JOIN node a ON a.d = k.d AND a.key = k.key),
+kids AS (SELECT d - 1 AS d, above AS key, count(*) AS kids FROM up GROUP BY ALL),
+full_node AS MATERIALIZED (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kids ON kids.d = node.d AND kids.key = node.key),
+sums AS (SELECT a.d, a.key, sum((n.kids = 0)::INT)::BIGINT AS leaves, sum((n.n - 1) * n.w)::BIGINT AS saved FROM full_node n JOIN k ON k.c = n.low AND k.d <= n.d JOIN node a ON a.d = k.d AND a.key = k.key GROUP BY a.d, a.key)
+SELECT f.low AS conv_id, f.d AS depth, alow AS parent_conv_id, n AS n_convs, kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM full_node f JOIN sums s ON s.d = f.d AND s.key = f.key LEFT JOIN up ON up.d = f.d AND up.key = f.key"""
