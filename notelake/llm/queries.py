@@ -95,6 +95,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turns(_read(spark, sf_dir, "conversations"), ws), ws), ws)
 
 
+def op12_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocation
+
+    return collocation.collocations(_read(spark, sf_dir, "documents"))
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shapes of op2 alone, which SQL can count too."""
     from . import secrets
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocation": op12_collocation,
     "secrets_base": secrets_base,
     "quality_counts": quality_counts,
     "mixing_targets": mixing_targets,
@@ -209,3 +216,14 @@ full_node AS MATERIALIZED (SELECT node.*, coalesce(kids, 0) AS kids FROM node LE
 sums AS (SELECT a.d, a.key, sum((n.kids = 0)::INT)::BIGINT AS leaves, sum((n.n - 1) * n.w)::BIGINT AS saved FROM full_node n JOIN k ON k.c = n.low AND k.d <= n.d JOIN node a ON a.d = k.d AND a.key = k.key GROUP BY a.d, a.key)
 SELECT f.low AS conv_id, f.d AS depth, alow AS parent_conv_id, n AS n_convs, kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
 FROM full_node f JOIN sums s ON s.d = f.d AND s.key = f.key LEFT JOIN up ON up.d = f.d AND up.key = f.key"""
+
+ORACLE["op12_collocation"] = f"""
+WITH p AS MATERIALIZED (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_ASCII_LOWER.format(x="coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 6) r(k) WHERE len(ws) >= k) GROUP BY ALL HAVING count(*) >= 100),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+inn AS (SELECT DISTINCT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, a, ws, k, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) r(m) WHERE m < k)),
+kept AS (SELECT * FROM c ANTI JOIN inn USING (lang, phrase, a)),
+s AS (SELECT kept.lang, kept.phrase, kept.a, n, q, x.a AS l, y.a AS r, ((1000::HUGEINT * kept.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score FROM kept JOIN t USING (lang), range(1, 5) z(q), f x, f y WHERE q < kept.k AND x.lang = kept.lang AND y.lang = kept.lang AND x.phrase = array_to_string(kept.ws[1:q], ' ') AND y.phrase = array_to_string(kept.ws[q + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, q) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000"""
