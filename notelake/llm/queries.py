@@ -101,6 +101,12 @@ def op12_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(_read(spark, sf_dir, "documents"))
 
 
+def op13_cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import cover_search
+
+    return cover_search.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shapes of op2 alone, which SQL can count too."""
     from . import secrets
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_collocation": op12_collocation,
+    "op13_cover_search": op13_cover_search,
     "secrets_base": secrets_base,
     "quality_counts": quality_counts,
     "mixing_targets": mixing_targets,
@@ -227,3 +234,8 @@ kept AS (SELECT * FROM c ANTI JOIN inn USING (lang, phrase, a)),
 s AS (SELECT kept.lang, kept.phrase, kept.a, n, q, x.a AS l, y.a AS r, ((1000::HUGEINT * kept.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score FROM kept JOIN t USING (lang), range(1, 5) z(q), f x, f y WHERE q < kept.k AND x.lang = kept.lang AND y.lang = kept.lang AND x.phrase = array_to_string(kept.ws[1:q], ' ') AND y.phrase = array_to_string(kept.ws[q + 1:], ' ')),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, q) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000"""
+
+ORACLE["op13_cover_search"] = """
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS uid, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.uid, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON c.uid <> q.uid WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
