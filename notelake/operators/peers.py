@@ -35,6 +35,11 @@ def _changes(mutations: DataFrame, entity: str, key: str) -> DataFrame:
     return m.select("seq", own.alias("key"), gone.alias("deleted"), says("hard_delete").alias("hard"), *cols, *(F.col("p")[c].cast("long").alias(c) for c in ("revision_count", "duplicate_count"))).where("key <> ''")
 
 
+def named(mutations: DataFrame, entity: str, key: str) -> DataFrame:
+    """The keys that an entity's changes name."""
+    return _changes(mutations, entity, key).select(F.col("key").alias(key)).distinct()
+
+
 def _last(c: Column | str, given: Column) -> Column:
     """The last value in order of seq, of the changes for which one is given."""
     return F.max_by(c, F.when(given, F.col("seq")))

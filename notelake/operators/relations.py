@@ -159,13 +159,13 @@ def after_removal(relations: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def after_move(relations: DataFrame, moved: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pending relations of moved notes are stranded if the other end is of a different named project."""
+    """Pending relations of moved notes are orphaned if the other end is of a different named project: nobody can judge them any more."""
     p = rows.select("sync_id", F.coalesce("project", F.lit("")).alias("project"))
     j = relations.join(p.select(F.col("sync_id").alias("source_id"), F.col("project").alias("sp")), "source_id", "left").join(p.select(F.col("sync_id").alias("target_id"), F.col("project").alias("tp")), "target_id", "left")
     m = moved.select("sync_id").distinct()
     j = j.join(m.select(F.col("sync_id").alias("source_id"), F.lit(True).alias("ms")), "source_id", "left").join(m.select(F.col("sync_id").alias("target_id"), F.lit(True).alias("mt")), "target_id", "left")
     strand = (F.col("judgment_status") == "pending") & (F.coalesce("ms", F.lit(False)) | F.coalesce("mt", F.lit(False))) & (F.col("sp") != F.col("tp")) & (F.col("sp") != "") & (F.col("tp") != "")
-    return j.withColumn("judgment_status", F.when(strand, "stranded").otherwise(F.col("judgment_status"))).drop("sp", "tp", "ms", "mt")
+    return j.withColumn("judgment_status", F.when(strand, "orphaned").otherwise(F.col("judgment_status"))).drop("sp", "tp", "ms", "mt")
 
 
 def semantic_scan(pairs: DataFrame, compare, max_pairs: int = 100, batch: int = 5) -> DataFrame:

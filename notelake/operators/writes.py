@@ -153,8 +153,20 @@ def classify(saves: DataFrame, rows: DataFrame | None = None, minutes: int = DED
     return dealt.mapInPandas(_folded(minutes * 60), "id long, outcome string, onto long")
 
 
+def merged(rows: DataFrame, delta: DataFrame) -> DataFrame:
+    """Rows with those of a write in place of their old selves."""
+    return rows.join(delta.select("id"), "id", "left_anti").select(*rows.columns).unionByName(delta.select(*rows.columns))
+
+
 def save(rows: DataFrame, saves: DataFrame, minutes: int = DEDUPE_MINUTES) -> tuple[DataFrame, DataFrame]:
-    """(notes afterwards, what became of each save: id, outcome, onto; a refused one has its reason for outcome and no onto).
+    """(notes afterwards, what became of each save), see save_delta."""
+    delta, outcomes = save_delta(rows, saves, minutes)
+    return merged(rows, delta), outcomes
+
+
+def save_delta(rows: DataFrame, saves: DataFrame, minutes: int = DEDUPE_MINUTES) -> tuple[DataFrame, DataFrame]:
+    """(notes that were added or changed, as they are afterwards; what became of each save: id, outcome, onto; a refused one has its reason for
+    outcome and no onto).
 
     saves: id (new and unique), session_id, type, title, content, created_at, and as they like tool_name, project, scope, topic_key."""
     for c in ("tool_name", "project", "scope", "topic_key"):
@@ -175,7 +187,8 @@ def save(rows: DataFrame, saves: DataFrame, minutes: int = DEDUPE_MINUTES) -> tu
         "sync_id": T.sync_id("obs", F.col("id").cast("string"), F.col("created_at").cast("string"), F.col("normalized_hash")), "revision_count": F.lit(1).cast("long"), "duplicate_count": F.lit(1).cast("long"),
         "pinned": F.lit(False), "updated_at": F.col("created_at"), "last_seen_at": F.col("created_at"), "review_after": T.review_after(F.col("type"), F.col("created_at")),
     })
-    every = rows.unionByName(fresh.select(*(c for c in rows.columns if c in fresh.columns)), allowMissingColumns=True)
+    touched = rows.join(per.select("id"), "id", "left_semi")
+    every = touched.unionByName(fresh.select(*(c for c in rows.columns if c in fresh.columns)), allowMissingColumns=True)
     j = every.join(per, "id", "left")
     same = (F.col("_low") == F.col("type")) & (F.col("_high") == F.col("type"))
     new = {c: F.when(F.col("_revisions") > 0, F.col("_last")[c]).otherwise(F.col(c)) for c in fields}
@@ -184,7 +197,7 @@ def save(rows: DataFrame, saves: DataFrame, minutes: int = DEDUPE_MINUTES) -> tu
     new |= {"review_after": review, "revision_count": count("revision_count", "_revisions"), "duplicate_count": count("duplicate_count", "_repeats"), "updated_at": F.coalesce("_seen", "updated_at")}
     if "last_seen_at" in rows.columns:
         new["last_seen_at"] = F.coalesce("_seen", "last_seen_at")
-    after = j.withColumns({c: x for c, x in new.items() if c in rows.columns}).select(*rows.columns)
+    after = written(j.withColumns({c: x for c, x in new.items() if c in rows.columns}).select(*rows.columns), "delta")
     refused = n.where("refused is not null").select("id", F.col("refused").alias("outcome"), F.lit(None).cast("long").alias("onto"))
     return after, done.unionByName(refused)
 
@@ -246,7 +259,8 @@ def delete(rows: DataFrame, ids: DataFrame, as_of: Column, hard: bool = False) -
     if hard:
         return rows.join(ids.select("id"), "id", "left_anti")
     hit = ids.select("id", F.lit(True).alias("_hit"))
-    return rows.join(hit, "id", "left").withColumn("deleted_at", F.when(F.col("_hit"), F.coalesce("deleted_at", as_of)).otherwise(F.col("deleted_at"))).select(*rows.columns)
+    fresh = F.col("_hit") & F.col("deleted_at").isNull()
+    return rows.join(hit, "id", "left").withColumns({"updated_at": F.when(fresh, as_of).otherwise(F.col("updated_at")), "deleted_at": F.when(fresh, as_of).otherwise(F.col("deleted_at"))}).select(*rows.columns)
 
 
 def create_sessions(sessions: DataFrame, new: DataFrame) -> DataFrame:

@@ -331,7 +331,7 @@ def orphaned_relations(s, d):
     return relations.after_removal(D.relations(s, d), D.observations(s, d).where("id % 10 = 0")).select("id", "judgment_status")
 
 
-@query("stranded_relations", with_(OBS, RELATIONS, "moved AS (SELECT sync_id, CASE WHEN id % 9 = 0 THEN 'elsewhere' ELSE project END AS project, id % 9 = 0 AS hit FROM obs)", body="SELECT r.id, CASE WHEN r.judgment_status = 'pending' AND (coalesce(a.hit, false) OR coalesce(b.hit, false)) AND a.project <> b.project THEN 'stranded' ELSE r.judgment_status END AS judgment_status FROM relations r LEFT JOIN moved a ON a.sync_id = r.source_id LEFT JOIN moved b ON b.sync_id = r.target_id"))
+@query("stranded_relations", with_(OBS, RELATIONS, "moved AS (SELECT sync_id, CASE WHEN id % 9 = 0 THEN 'elsewhere' ELSE project END AS project, id % 9 = 0 AS hit FROM obs)", body="SELECT r.id, CASE WHEN r.judgment_status = 'pending' AND (coalesce(a.hit, false) OR coalesce(b.hit, false)) AND a.project <> b.project THEN 'orphaned' ELSE r.judgment_status END AS judgment_status FROM relations r LEFT JOIN moved a ON a.sync_id = r.source_id LEFT JOIN moved b ON b.sync_id = r.target_id"))
 def stranded_relations(s, d):
     rows = D.observations(s, d).withColumn("project", F.when(F.col("id") % 9 == 0, "elsewhere").otherwise(F.col("project")))
     return relations.after_move(D.relations(s, d), rows.where("id % 9 = 0"), rows).select("id", "judgment_status")

@@ -10,10 +10,10 @@ from ..functions import text as T
 from ..functions.markdown import canonical_json_udf, verdict_udf
 from ..operators import aggregates as A
 from ..operators import listings as L
-from ..operators import peers, projects, quality, relations, search, writes
+from ..operators import bm25, journal, peers, projects, quality, relations, search, segments, writes
 from ..session import shared_folder
 from ..sources import adapters as D
-from ..sources import exchange
+from ..sources import exchange, schemas
 from ..streaming import replication as R
 from . import oracle as O
 from .catalog import _CAND, AS_OF, PREFIX, as_of, at, obs_index, query, saved_index
@@ -390,6 +390,82 @@ def applied_changes(s, d):
     return after.select("sync_id", "title", F.col("deleted_at").isNotNull().alias("deleted"), "revision_count")
 
 
+# an index kept up by writes, and changes captured from them
+
+#: A third of the notes comes later, a seventh gets another title, an eleventh is removed.
+_REVISED = "revised AS (SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN 'attion and erble' ELSE title END AS title) FROM obs WHERE id % 11 <> 0)"
+
+
+def written_index(s, d):
+    """An index of segments after a build and three writes; published and opened again."""
+    rows, root = D.observations(s, d), f"{shared_folder(s)}/notelake-segments-{uuid.uuid4().hex}"
+    later = F.col("id") % 3 == 0
+    i = segments.SegmentIndex.create(rows.where(~later), root).add(rows.where(later))
+    i = i.add(rows.where("id % 7 = 0").withColumn("title", F.lit("attion and erble")))
+    i.add(removed=rows.where("id % 11 = 0").select("id")).publish()
+    return segments.SegmentIndex.open(s, root)
+
+
+@query("segment_search", with_(OBS, _REVISED, *O.index("revised"), *O.scored({0: ["attion", "erble"]}), body="SELECT doc_id AS id, round(score, 6) + 0.0 AS score FROM scores WHERE matched = 2"))
+def segment_search(s, d):
+    return bm25.match_all(written_index(s, d), "attion erble").select(F.col("doc_id").alias("id"), (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query("segment_totals", with_(OBS, _REVISED, *O.index("revised"), body="SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM post) AS n_postings FROM totals"))
+def segment_totals(s, d):
+    i = written_index(s, d)
+    n = i.postings.agg(F.count("*").alias("n_postings"))
+    return i.totals().select("n_docs", F.round("avgdl", 6).alias("avgdl")).crossJoin(n)  # one row each
+
+
+#: Some live notes are renamed, move or are deleted, or two of these at once; some notes are removed for good.
+_WRITTEN = f"""after AS (SELECT * REPLACE (CASE WHEN deleted_at IS NULL AND id % 6 = 0 THEN 'renamed ' || id ELSE title END AS title, CASE WHEN deleted_at IS NULL AND id % 5 = 0 THEN 'elsewhere' ELSE project END AS project, CASE WHEN deleted_at IS NULL AND id % 7 = 0 THEN TIMESTAMP '{AS_OF}' ELSE deleted_at END AS deleted_at) FROM obs WHERE id % 11 <> 0),
+w AS (SELECT *, lived AND NOT gone AND NOT lives AS died, NOT gone AND edited AS up FROM (SELECT o.id, o.sync_id, a.title, coalesce(o.project, '') AS old, coalesce(a.project, '') AS new, o.deleted_at IS NULL AS lived, a.id IS NULL AS gone, a.deleted_at IS NULL AS lives, a.title <> o.title OR coalesce(a.project, '') <> coalesce(o.project, '') AS edited FROM obs o LEFT JOIN after a ON a.id = o.id))"""
+
+
+def rewritten(s, d):
+    """(notes before, notes after) a batch of writes."""
+    rows, i, live = D.observations(s, d), F.col("id"), F.col("deleted_at").isNull()
+    after = rows.where(i % 11 != 0).withColumns({
+        "title": F.when(live & (i % 6 == 0), F.concat(F.lit("renamed "), i.cast("string"))).otherwise(F.col("title")), "project": F.when(live & (i % 5 == 0), "elsewhere").otherwise(F.col("project")),
+        "deleted_at": F.when(live & (i % 7 == 0), as_of()).otherwise(F.col("deleted_at")),
+    })
+    return rows, after
+
+
+@query(
+    "captured_changes",
+    with_(OBS, _WRITTEN, "watched AS (SELECT DISTINCT project FROM obs WHERE project <> 'src3')", "e AS (SELECT *, old = '' OR old IN (FROM watched) AS seen, new = '' OR new IN (FROM watched) AS sees FROM w)",
+          body="SELECT sync_id, 'delete' AS op, old AS project, NULL AS title, true AS hard FROM e WHERE gone AND seen UNION ALL SELECT sync_id, 'delete', new, NULL, false FROM e WHERE died AND sees UNION ALL SELECT sync_id, 'upsert', new, title, NULL FROM e WHERE up AND sees UNION ALL SELECT sync_id, 'delete', old, NULL, false FROM e WHERE lived AND NOT gone AND old <> new AND seen AND NOT sees"),
+)
+def captured_changes(s, d):
+    """What a batch of writes tells the peers that watch all projects but one and the one that notes move to."""
+    before, after = rewritten(s, d)
+    watched = before.where("project <> 'src3'").select("project").distinct()
+    e = journal.entries("observation", before, after, D.sessions(s, d), watched, as_of())
+    return e.select(F.col("entity_key").alias("sync_id"), "op", "project", F.get_json_object("payload", "$.title").alias("title"), F.get_json_object("payload", "$.hard_delete").cast("boolean").alias("hard"))
+
+
+@query("replicated_notes", with_(OBS, _WRITTEN, body="SELECT sync_id, title, coalesce(project, '') AS project, sha256(content) AS body, type, scope, topic_key, revision_count, deleted_at IS NOT NULL AS deleted FROM (SELECT *, 1 AS revision_count FROM after)"))
+def replicated_notes(s, d):
+    """The copy of a peer that applied the journal of those writes, all projects being watched."""
+    before, after = rewritten(s, d)
+    watched = before.where("project is not null").select("project").union(s.range(1).select(F.lit("elsewhere"))).distinct()
+    e = journal.numbered(journal.entries("observation", before, after, D.sessions(s, d), watched, as_of()), 0)
+    copy, _, _ = peers.observations(before, e, as_of())
+    return copy.select("sync_id", "title", F.coalesce("project", F.lit("")).alias("project"), F.sha2("content", 256).alias("body"), "type", "scope", "topic_key", "revision_count", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query("target_states", with_(OBS, _WRITTEN, body="SELECT 'cloud' AS target_key, 'pending' AS lifecycle, (SELECT sum(gone::INT + died::INT + coalesce(up, false)::INT)::BIGINT FROM w) AS last_enqueued_seq"))
+def target_states(s, d):
+    """The whole store's target after those writes, all projects being watched."""
+    before, after = rewritten(s, d)
+    watched = before.where("project is not null").select("project").union(s.range(1).select(F.lit("elsewhere"))).distinct()
+    e = journal.numbered(journal.entries("observation", before, after, D.sessions(s, d), watched, as_of()), 0)
+    none = s.createDataFrame([], schemas.SYNC_STATE)
+    return journal.advanced(none, e, as_of()).where("target_key = 'cloud'").select("target_key", "lifecycle", "last_enqueued_seq")
+
+
 @query("since_page", with_(MUTATIONS, body="SELECT seq, true AS has_more, (SELECT max(seq) FROM mutations) AS latest FROM mutations WHERE seq > 500 ORDER BY seq LIMIT 50"))
 def since_page(s, d):
     return L.since_page(D.mutations(s, d), 500, 50).select("seq", "has_more", "latest")
