@@ -36,7 +36,7 @@ from .common import Workspace, column, parts_for
 
 SAMPLE, CELLS, PER_CELL = 4096, 1024, 256
 BLOCK, LEAST_BLOCK = 1 << 16, 512
-BATCH, FAN, LEAF = 1024, 16, 64
+BATCH, FAN, LEAF, TOGETHER = 1024, 16, 64, 512
 _LOW, _HIGH = -(2**63), 2**63 - 1
 
 
@@ -115,6 +115,7 @@ class Tree:
             sizes = np.bincount(near, minlength=len(centres))
             if (sizes > 0).sum() > 1:
                 todo += [(rows[near == j], int(rows[centres[j]]), me) for j in range(len(centres)) if sizes[j]]
+        self.centre, self.radius = np.array(self.centre), np.array(self.radius)
 
 
 def _bound(cos: np.ndarray, rq, nq, rx, nx) -> np.ndarray:
@@ -132,10 +133,16 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([[min(_HIGH, max(_LOW, sum(s * t for s, t in zip(u, v)))) for v in b] for u in a], np.int64)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first k of each row by score, falling, then id, then row number."""
-    order = np.lexsort((uids, ids, ~scores), axis=1)[:, :k]  # ~s falls as s grows, without overflow
-    return tuple(np.take_along_axis(v, order, 1) for v in (scores, ids, uids))
+def _merged(best: tuple[np.ndarray, ...], at: np.ndarray, row: np.ndarray, found: tuple[np.ndarray, ...], k: int) -> None:
+    """Puts what was found for rows `at` of the best (row: its place in `at`) where it belongs, by score, falling, then id, then row number."""
+    held = np.repeat(np.arange(len(at)), k)
+    row = np.concatenate((held, row))
+    score, ids, uids = (np.concatenate((old[at].ravel(), new)) for old, new in zip(best, found))
+    order = np.lexsort((uids, ids, ~score, row))  # ~s falls as s grows, without overflow
+    begins = np.searchsorted(row[order], np.arange(len(at)))
+    take = order[(begins[:, None] + np.arange(k)).ravel()]
+    for old, new in zip(best, (score, ids, uids)):
+        old[at] = new[take].reshape(len(at), k)
 
 
 def search(tree: Tree, ids: np.ndarray, uids: np.ndarray, q: np.ndarray, quids: np.ndarray, seeds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,39 +150,59 @@ def search(tree: Tree, ids: np.ndarray, uids: np.ndarray, q: np.ndarray, quids:
     best = (np.full((len(q), k), _LOW), np.full((len(q), k), _HIGH), np.full((len(q), k), -1))
     kth = seeds.astype(np.float64).copy()
     mine = Tree(q, leaf=LEAF // 2)
-    todo = [(0, 0)]
-    while todo:
-        a, b = todo.pop()
-        qs = mine.members[a]
-        ca, cb = mine.centre[a], tree.centre[b]
+
+    def open_to(a: int, nodes: list[int]) -> np.ndarray:
+        """Those of the data's nodes that may matter to a node of queries, the least promising first."""
+        ca, cs = mine.centre[a], tree.centre[nodes]
         with np.errstate(over="ignore", invalid="ignore"):
-            met = q[ca] @ tree.x[cb]
-        if _bound(met, mine.radius[a], mine.norms[ca], tree.radius[b], tree.norms[cb]) < kth[qs].min():
-            continue
-        if not mine.kids[a] and not tree.kids[b]:
-            xs = tree.members[b]
-            with np.errstate(over="ignore", invalid="ignore"):  # the same bound for each query of the leaf
-                qs = qs[~(_bound(q[qs] @ tree.x[cb], 0.0, mine.norms[qs], tree.radius[b], tree.norms[cb]) < kth[qs])]
-            if not len(qs):
-                continue
-            s = products(q[qs], tree.x[xs])
-            i, u = np.broadcast_to(ids[xs], s.shape).copy(), np.broadcast_to(uids[xs], s.shape).copy()
-            own = u == quids[qs][:, None]
-            s[own], i[own], u[own] = _LOW, _HIGH, -1
-            some = np.flatnonzero(s.max(1) >= kth[qs])
-            if len(some):
-                at = qs[some]
-                got = _best(*(np.concatenate((old[at], new[some]), 1) for old, new in zip(best, (s, i, u))), k)
-                for old, new in zip(best, got):
-                    old[at] = new
-                kth[at] = np.maximum(kth[at], np.where(best[2][at, k - 1] >= 0, best[0][at, k - 1].astype(np.float64), -np.inf))
+            met = tree.x[cs] @ q[ca]
+        order = np.argsort(met)
+        left = ~(_bound(met, mine.radius[a], mine.norms[ca], tree.radius[nodes], tree.norms[cs]) < kth[mine.members[a]].min())
+        return np.array(nodes)[order[left[order]]]
+
+    def compare(qs: np.ndarray, leaves: list[int]) -> None:
+        cs = tree.centre[leaves]
+        with np.errstate(over="ignore", invalid="ignore"):  # the same bound for each query of the leaf
+            far = _bound(q[qs] @ tree.x[cs].T, 0.0, mine.norms[qs][:, None], tree.radius[leaves], tree.norms[cs]) < kth[qs][:, None]
+        qs = qs[~far.all(1)]
+        xs = np.concatenate([tree.members[b] for b, gone in zip(leaves, far.all(0)) if not gone] or [np.zeros(0, np.int64)])
+        if not len(qs) or not len(xs):
+            return
+        s = products(q[qs], tree.x[xs])
+        own = uids[xs] == quids[qs][:, None]
+        s[own] = _LOW
+        least = kth[qs]
+        if len(xs) > k:
+            least = np.maximum(least, np.partition(s, len(xs) - k, 1)[:, len(xs) - k])
+        row, col = np.nonzero((s >= least[:, None]) & ~own)
+        some, row_of = np.unique(row, return_inverse=True)
+        if len(some):
+            at = qs[some]
+            _merged(best, at, row_of, (s[row, col], ids[xs[col]], uids[xs[col]]), k)
+            kth[at] = np.maximum(kth[at], np.where(best[2][at, k - 1] >= 0, best[0][at, k - 1].astype(np.float64), -np.inf))
+
+    todo = [(0, [0])]
+    while todo:  # a node of queries with all the nodes of the data that may still matter to it
+        a, nodes = todo.pop()
+        nodes = open_to(a, nodes).tolist()
+        ends = [b for b in nodes if not tree.kids[b]]
+        if mine.kids[a]:
+            wide = [b for b in nodes if tree.kids[b] and tree.radius[b] >= mine.radius[a]]
+            if wide:
+                todo.append((a, [b for b in nodes if b not in wide] + [c for b in wide for c in tree.kids[b]]))
+            elif nodes:
+                todo += [(c, nodes) for c in mine.kids[a]]
             continue
-        if tree.kids[b] and (not mine.kids[a] or tree.radius[b] >= mine.radius[a]):
-            with np.errstate(over="ignore", invalid="ignore"):
-                order = np.argsort(tree.x[[tree.centre[c] for c in tree.kids[b]]] @ q[ca])
-            todo += [(a, tree.kids[b][j]) for j in order.tolist()]
-        else:
-            todo += [(c, b) for c in mine.kids[a]]
+        part, size = [], 0
+        for b in reversed(ends):  # the most promising first, some hundred vectors at a time
+            part.append(b)
+            size += len(tree.members[b])
+            if size >= TOGETHER or b == ends[0]:
+                compare(mine.members[a], part)
+                part, size = [], 0
+        deeper = [c for b in nodes for c in tree.kids[b]]
+        if deeper:
+            todo.append((a, deeper))
     return best
 
 
