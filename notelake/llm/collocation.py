@@ -227,5 +227,5 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     cuts = cuts.join(count("x", "l"), ["lang", "x"]).join(count("y", "r"), ["lang", "y"]).join(totals, "lang")
     best = cuts.withColumn("score", cut_score("a", "n", "l", "r")).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
     best = best.select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
-    return best.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
