@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 from . import bm25
 from .index import Index
 from .search import SAMPLE, upper_median
 
 CANDIDATE_LIMIT, CANDIDATE_FLOOR, CANDIDATE_MARGIN = 3, -2.0, 1.25
+#: So many documents of the rarest words give a query its first bound.
+RARE = 8 * SAMPLE
 
 
 def pair(a: Column, b: Column) -> list[Column]:
@@ -69,11 +72,37 @@ def pair_is_judged(relations: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", *pair(F.col("a"), F.col("b"))).join(known, ["lo", "hi"], "left").select("a", "b", F.coalesce("judged", F.lit(False)).alias("judged"))
 
 
+def bounded_scores(asked: DataFrame, parts: DataFrame, allowed, most: int = SAMPLE, rare: int | None = None) -> DataFrame:
+    """(qid, doc_id, score), score being minus the sum of the parts: every query's `most` best allowed documents with their whole scores, and others.
+
+    asked: (qid, phrase, group), once for each time a word is said; parts: (phrase, group, doc_id, part), part > 0; allowed: a function that takes
+    pairs (qid, doc_id, ...) and leaves out those that may not be answers. What the words of a query can add is bounded by their largest
+    part in the group. The rarest words, up to `rare` documents, come first; the `most`-th best of what they find is a bound that an answer must reach.
+    Words that cannot reach it together, the weakest first, bring no documents of their own: their parts are looked up for documents that others have found.
+    So a word that stands everywhere joins with as many documents as are found, not with all. A query that finds fewer uses all its words."""
+    rare = RARE if rare is None else rare
+    key = ["phrase", "group"]
+    bound = parts.groupBy(*key).agg(F.count("*").alias("n"), F.max("part").alias("top"))
+    words = asked.groupBy("qid", *key).agg(F.count("*").alias("times")).join(bound, key).withColumn("bound", F.col("times") * F.col("top"))
+    before = F.sum("n").over(Window.partitionBy("qid").orderBy("n", "phrase").rowsBetween(Window.unboundedPreceding, -1))
+    words = written(words.withColumn("early", F.coalesce(before, F.lit(0)) < rare), "words")
+    meet = lambda w: w.join(parts, key).select("qid", "doc_id", (F.col("times") * F.col("part")).alias("part"))
+    first = written(meet(words.where("early")).groupBy("qid", "doc_id").agg(F.sum("part").alias("part")), "first")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("part"), "doc_id"))
+    least = allowed(first).withColumn("place", place).where(F.col("place") <= most).groupBy("qid").agg(F.min("part").alias("least"), F.count("*").alias("k")).where(F.col("k") == most).select("qid", "least")
+    reach = F.sum("bound").over(Window.partitionBy("qid").orderBy("bound", "phrase").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    late = words.where("not early").withColumn("reach", reach).join(least, "qid", "left")
+    late = written(late.withColumn("idle", F.coalesce(F.col("reach") < F.col("least") * (1 - 1e-9), F.lit(False))), "late")
+    found = written(first.unionByName(meet(late.where("not idle"))).groupBy("qid", "doc_id").agg(F.sum("part").alias("part")), "found")
+    looked = found.select("qid", "doc_id").join(late.where("idle").select("qid", *key, "times"), "qid").join(parts, [*key, "doc_id"]).select("qid", "doc_id", (F.col("times") * F.col("part")).alias("part"))
+    return found.unionByName(looked).groupBy("qid", "doc_id").agg((F.lit(0.0) - F.sum("part")).alias("score"))
+
+
 def candidates(index: Index, rows: DataFrame, saved: DataFrame, relations: DataFrame | None = None, limit: int = CANDIDATE_LIMIT, floor: float = CANDIDATE_FLOOR) -> DataFrame:
     """(source, candidate, score): for each saved note, notes of its project and scope whose text its title matches.
 
     All saved notes at once. What a word adds to the score of a note is worked out once for each different word of the titles; titles and
-    notes then meet on the word, the project and the scope, so no note is compared to notes that share none. A word of a title counts as
+    notes then meet on the word, the project and the scope, as far as bounds on scores let them (`bounded_scores`). A word of a title counts as
     often as it stands there. A full sample keeps only what is well below its median.
     """
     words = saved.select(F.col("id").alias("qid"), F.posexplode(F.split(T.one_line(F.col("title")), " ")).alias("word_at", "word")).select("qid", F.array_join(T.tokens(F.col("word")), " ").alias("phrase")).where("phrase <> ''")
@@ -94,13 +123,19 @@ def candidates(index: Index, rows: DataFrame, saved: DataFrame, relations: DataF
     part = idf * F.col("f") * (bm25.K1 + 1) / (F.col("f") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("n_tokens") / F.col("avgdl")))
     me = saved.select(F.col("id").alias("qid"), F.col("sync_id").alias("my_sync"), F.coalesce("project", F.lit("")).alias("project"), "scope")
     other = rows.where(f"deleted_at is null and type <> '{T.SESSION_SUMMARY}'").select(F.col("id").alias("doc_id"), F.col("sync_id").alias("its_sync"), F.coalesce("project", F.lit("")).alias("project"), "scope")
-    parts = s.select("phrase", "doc_id", part.alias("part")).join(other.select("doc_id", "project", "scope"), "doc_id")
-    asked = words.join(me.select("qid", "project", "scope"), "qid")
-    scored = asked.join(parts, ["phrase", "project", "scope"]).where("qid <> doc_id").groupBy("qid", "doc_id").agg((F.lit(0.0) - F.sum("part")).alias("score"))
-    fit = scored.join(me.select("qid", "my_sync"), "qid").join(other.select("doc_id", "its_sync"), "doc_id")
-    if relations is not None:
-        known = relations.select(*pair(F.col("source_id"), F.col("target_id"))).distinct()
-        fit = fit.withColumn("lo", F.least("my_sync", "its_sync")).withColumn("hi", F.greatest("my_sync", "its_sync")).join(known, ["lo", "hi"], "left_anti")
+    group = F.struct("project", "scope").alias("group")
+    parts = written(s.select("phrase", "doc_id", part.alias("part")).join(other.select("doc_id", group), "doc_id"), "parts")
+    asked = words.join(me.select("qid", group), "qid").select("qid", "phrase", "group")
+    known = relations.select(*pair(F.col("source_id"), F.col("target_id"))).distinct() if relations is not None else None
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        out = pairs.where("qid <> doc_id")
+        if known is None:
+            return out
+        named = out.join(me.select("qid", "my_sync"), "qid").join(other.select("doc_id", "its_sync"), "doc_id")
+        return named.withColumn("lo", F.least("my_sync", "its_sync")).withColumn("hi", F.greatest("my_sync", "its_sync")).join(known, ["lo", "hi"], "left_anti").select(*pairs.columns)
+
+    fit = allowed(bounded_scores(asked, parts, allowed))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("score", "doc_id"))
     top = fit.select("qid", "doc_id", "score", place.alias("place")).where(F.col("place") <= SAMPLE)
     whole = Window.partitionBy("qid")

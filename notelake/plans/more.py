@@ -466,6 +466,17 @@ def target_states(s, d):
     return journal.advanced(none, e, as_of()).where("target_key = 'cloud'").select("target_key", "lifecycle", "last_enqueued_seq")
 
 
+_EVERY = [x.replace("id % 20 = 0 AND deleted_at IS NULL", "deleted_at IS NULL") for x in _CAND]
+
+
+@query("all_candidates", with_(OBS, RELATIONS, *O.index(), *_EVERY, body="SELECT qid AS source, doc_id AS candidate, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS p FROM top JOIN med USING (qid) WHERE score <= -2.0 AND (n < 24 OR score <= middle * 1.25)) WHERE p <= 3"))
+def all_candidates(s, d):
+    """Candidates of every live note, not of each twentieth."""
+    rows, i = obs_index(s, d)
+    c = relations.candidates(i, rows, rows.where("deleted_at is null"), D.relations(s, d))
+    return c.select("source", "candidate", (F.round("score", 6) + 0.0).alias("score"))
+
+
 @query("since_page", with_(MUTATIONS, body="SELECT seq, true AS has_more, (SELECT max(seq) FROM mutations) AS latest FROM mutations WHERE seq > 500 ORDER BY seq LIMIT 50"))
 def since_page(s, d):
     return L.since_page(D.mutations(s, d), 500, 50).select("seq", "has_more", "latest")
