@@ -218,3 +218,62 @@ def semantic_scan(pairs: DataFrame, compare, max_pairs: int = 100, batch: int =
                 yield pd.DataFrame({"lo": b["lo"], "hi": b["hi"], "relation": [g.get("relation") for g in got], "confidence": [g.get("confidence") for g in got]})
 
     return pairs.limit(max_pairs).mapInPandas(run, "lo long, hi long, relation string, confidence double")
+
+
+def save_verdicts(verdicts: DataFrame, relations: DataFrame, as_of: Column) -> DataFrame:
+    """Relations after verdicts (source_id, target_id, relation, confidence, reason), at most one for an unordered pair: no conflict changes nothing, a known pair
+    takes the verdict on its oldest relation, a new pair gets a relation of its own with the next ids."""
+    v = verdicts.where("relation <> 'not_conflict'").select(*pair(F.col("source_id"), F.col("target_id")), *(F.col(c).alias(f"_{c}") for c in ("source_id", "target_id", "relation", "confidence", "reason")))
+    v = v.withColumn("_reason", T.strip_private(F.col("_reason")))
+    first = relations.select("id", *pair(F.col("source_id"), F.col("target_id"))).groupBy("lo", "hi").agg(F.min("id").alias("id"))
+    j = written(v.join(first, ["lo", "hi"], "left").drop("lo", "hi"), "verdicts")
+    given = {"relation": F.col("_relation"), "confidence": F.col("_confidence"), "reason": F.col("_reason"), "judgment_status": F.lit("judged"), "updated_at": as_of}
+    given = {c: x for c, x in given.items() if c in relations.columns}
+    known = j.where("id is not null").drop("_source_id", "_target_id").withColumn("_hit", F.lit(True))
+    kept = relations.join(known, "id", "left").withColumns({c: F.when(F.col("_hit"), x).otherwise(F.col(c)) for c, x in given.items()}).select(*relations.columns)
+    top = relations.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    new = written(j.where("id is null").drop("id").repartitionByRange("_source_id", "_target_id").sortWithinPartitions("_source_id", "_target_id").withColumn("id", F.monotonically_increasing_id()), "new-verdicts")
+    new = new.crossJoin(F.broadcast(top)).withColumns({"id": F.col("top") + 1 + F.col("id"), "source_id": F.col("_source_id"), "target_id": F.col("_target_id"), "sync_id": T.sync_id("rel", F.col("_source_id"), F.col("_target_id")), "created_at": as_of, **given, "updated_at": as_of})  # one row
+    return kept.unionByName(new.select(*(c for c in relations.columns if c in new.columns)), allowMissingColumns=True)
+
+
+def scan_by_meaning(index: Index, rows: DataFrame, relations: DataFrame, project: str, template: str, compare, as_of: Column, limit: int = 10, max_pairs: int = 100, batch: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(relations afterwards, a summary of one row) of a judge's look at a project: `compare(prompt) -> text` on the executors, `batch` at a time.
+
+    Pairs are the candidates of all live notes of the project, each unordered pair once, under the youngest note that has it. Pairs that were judged before are
+    counted and not asked, so they take nothing of `max_pairs`, which bounds the calls to the judge. Answers are written as a table before they are stored;
+    an answer that cannot be read, or a judge that fails, counts as an error and changes nothing. template: a prompt with {a_id} {a_title} {a_content} {b_id} {b_title} {b_content}."""
+    from ..functions.markdown import verdict
+
+    mine = rows.where((F.col("project") == T.project(F.lit(project))) & F.col("deleted_at").isNull())
+    found = candidates(index, rows, mine, None, limit)
+    a = mine.select(F.col("id").alias("source"), F.col("sync_id").alias("a"), F.col("created_at").alias("at"))
+    both = found.join(a, "source").join(rows.select(F.col("id").alias("candidate"), F.col("sync_id").alias("b")), "candidate")
+    pairs = both.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max_by(F.struct("source", "candidate", "a", "b", "at", "score"), F.struct("at", "source")).alias("p")).select("p.*")
+    pairs = written(pair_is_judged(relations, pairs.select("a", "b")).join(pairs, ["a", "b"]), "pairs")
+    asked = written(pairs.where("not judged").orderBy(F.desc("at"), F.desc("source"), "score", "candidate").limit(max_pairs), "asked")
+    text = lambda which: rows.select(F.col("sync_id").alias(which), F.col("title").alias(f"{which}_title"), F.col("content").alias(f"{which}_content"))
+    full = asked.join(text("a"), "a").join(text("b"), "b")
+    full = full.select("a", "b", T.filled(template, a_id=F.col("a"), a_title=F.col("a_title"), a_content=F.col("a_content"), b_id=F.col("b"), b_title=F.col("b_title"), b_content=F.col("b_content")).alias("prompt"))
+
+    def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        import pandas as pd
+
+        def one(prompt):
+            try:
+                return verdict(compare(prompt)) or {}
+            except Exception:  # noqa: BLE001  a judge that fails for one pair must not lose the others
+                return {}
+
+        with ThreadPoolExecutor(batch) as pool:
+            for b in batches:
+                got = list(pool.map(one, b["prompt"]))
+                yield pd.DataFrame({"source_id": b["a"], "target_id": b["b"], **{c: [g.get(c) for g in got] for c in ("relation", "confidence", "reason")}})
+
+    answers = written(full.mapInPandas(run, "source_id string, target_id string, relation string, confidence double, reason string"), "answers")
+    n = answers.agg(F.count("*").alias("pairs"), F.count_if(F.col("relation") != "not_conflict").alias("judged"), F.count_if(F.col("relation") == "not_conflict").alias("skipped"), F.count_if(F.col("relation").isNull()).alias("errors"))
+    summary = n.crossJoin(pairs.agg(F.count_if(F.col("judged")).alias("already_judged"))).crossJoin(mine.agg(F.count("*").alias("inspected")))  # one row each
+    summary = summary.select(T.project(F.lit(project)).alias("project"), "inspected", "pairs", "judged", "skipped", "already_judged", "errors", (F.col("pairs") >= max_pairs).alias("capped"))
+    return save_verdicts(answers.where("relation is not null"), relations, as_of), summary

@@ -477,6 +477,21 @@ def all_candidates(s, d):
     return c.select("source", "candidate", (F.round("score", 6) + 0.0).alias("score"))
 
 
+@query(
+    "saved_verdicts",
+    with_(OBS, RELATIONS, "v AS (SELECT target_id AS s, source_id AS t, CASE WHEN id % 2 = 0 THEN 'supersedes' ELSE 'not_conflict' END AS relation FROM relations UNION ALL SELECT 'obs-' || id, 'obs-' || (id + 7000000), 'related' FROM obs WHERE type = 'policy')",
+          "k AS (SELECT * FROM v WHERE relation <> 'not_conflict')", "n AS (SELECT k.* FROM k ANTI JOIN relations r ON least(r.source_id, r.target_id) = least(k.s, k.t) AND greatest(r.source_id, r.target_id) = greatest(k.s, k.t))",
+          body="SELECT r.sync_id, r.source_id, r.target_id, coalesce(k.relation, r.relation) AS relation, CASE WHEN k.s IS NULL THEN round(r.confidence, 6) ELSE 0.9 END AS confidence, CASE WHEN k.s IS NULL THEN r.judgment_status ELSE 'judged' END AS judgment_status FROM relations r LEFT JOIN k ON k.s = r.target_id AND k.t = r.source_id UNION ALL SELECT 'rel-' || sha256(s || '|' || t)[1:16], s, t, relation, 0.9, 'judged' FROM n"),
+)
+def saved_verdicts(s, d):
+    """Verdicts on all related pairs, asked the other way round, and on pairs that nothing relates yet."""
+    r, rows = D.relations(s, d), D.observations(s, d)
+    v = r.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.when(F.col("id") % 2 == 0, "supersedes").otherwise("not_conflict").alias("relation"))
+    new = rows.where("type = 'policy'").select(F.col("sync_id").alias("source_id"), F.concat(F.lit("obs-"), (F.col("id") + 7_000_000).cast("string")).alias("target_id"), F.lit("related").alias("relation"))
+    after = relations.save_verdicts(v.unionByName(new).withColumns({"confidence": F.lit(0.9), "reason": F.lit("why")}), r, as_of())
+    return after.select("sync_id", "source_id", "target_id", "relation", F.round("confidence", 6).alias("confidence"), "judgment_status")
+
+
 @query("since_page", with_(MUTATIONS, body="SELECT seq, true AS has_more, (SELECT max(seq) FROM mutations) AS latest FROM mutations WHERE seq > 500 ORDER BY seq LIMIT 50"))
 def since_page(s, d):
     return L.since_page(D.mutations(s, d), 500, 50).select("seq", "has_more", "latest")

@@ -211,6 +211,15 @@ class NoteStore:
         seen = lambda df: journal.watched_relations(df.join(good.select("sync_id"), "sync_id", "left_semi"), self.observations, self.enrolled)
         return out._told(relation=(seen(self.relations), seen(after)))
 
+    def scan_by_meaning(self, project: str, template: str, compare, limit: int = 10, max_pairs: int = 100, batch: int = 5) -> tuple["NoteStore", DataFrame]:
+        """(the store with a judge's verdicts on candidate pairs of a project, a summary of one row), see relations.scan_by_meaning."""
+        after, summary = relations.scan_by_meaning(self.indexes()[1], self.observations, self.relations, project, template, compare, self.as_of, limit, max_pairs, batch)
+        out = replace(self, relations=after)
+        if self.mutations is None or self.enrolled is None:
+            return out, summary
+        seen = lambda df: journal.watched_relations(df, self.observations, self.enrolled)
+        return out._told(relation=(seen(self.relations), seen(after))), summary
+
     def delete_prompts(self, gone: DataFrame) -> "NoteStore":
         p, t = writes.delete_prompts(self.prompts, self.prompt_deletions, gone, self.as_of)
         before = self.prompts.join(gone.select("sync_id").distinct(), "sync_id", "left_semi")

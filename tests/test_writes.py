@@ -129,6 +129,33 @@ def test_semantic_scan_runs_the_injected_judge(spark):
     assert {(r["lo"], r["relation"]) for r in got.collect()} == {(1, "not_conflict"), (3, "related")}
 
 
+def test_a_scan_by_meaning_skips_what_is_judged_and_keeps_what_it_learns(spark):
+    from notelake.operators import index
+    from notelake.sources import schemas
+
+    now = F.to_timestamp(F.lit("2024-05-01 10:00:00"))
+    notes = [(i, f"n{i}", f"word{i % 3} gamma{i % 3}", f"body {i}", "decision", "p", "project") for i in range(1, 10)] + [(50 + i, f"q{i}", f"other things {i}", "x", "bugfix", "elsewhere", "project") for i in range(40)]
+    rows = spark.createDataFrame(notes, "id long, sync_id string, title string, content string, type string, project string, scope string").withColumns({"created_at": at(F.col("id").cast("double")), "deleted_at": F.lit(None).cast("timestamp")})
+    edges = [(1, "r1", "n4", "n1", "supersedes", "judged"), (2, "r2", "n2", "n5", "related", "pending")]
+    rel = spark.createDataFrame([], schemas.RELATIONS).unionByName(spark.createDataFrame(edges, "id long, sync_id string, source_id string, target_id string, relation string, judgment_status string").withColumns({"created_at": now, "updated_at": now}), allowMissingColumns=True)
+
+    def judge(prompt):
+        a, b = prompt.split("|")
+        if {a, b} == {"n3", "n6"}:
+            raise OSError("the judge is away")
+        return "?" if {a, b} == {"n3", "n9"} else '{"relation": "%s", "confidence": 0.7, "reason": "<private>k</private> so"}' % ("not_conflict" if {a, b} == {"n1", "n7"} else "related")
+
+    scan = lambda most: relations.scan_by_meaning(index.build(rows, stemmed=True), rows, rel, "P", "{a_id}|{b_id}", judge, now, max_pairs=most)
+    after, summary = scan(100)
+    assert tuple(summary.first()) == ("p", 9, 8, 5, 1, 1, 2, False)  # three groups of three notes: nine pairs, one of them judged before
+    got = {tuple(sorted((r["source_id"], r["target_id"]))): (r["relation"], r["judgment_status"], r["reason"]) for r in after.collect()}
+    assert got[("n1", "n4")] == ("supersedes", "judged", None) and got[("n2", "n5")] == ("related", "judged", "[REDACTED] so")
+    assert set(got) == {("n1", "n4"), ("n2", "n5"), ("n4", "n7"), ("n2", "n8"), ("n5", "n8"), ("n6", "n9")}
+    assert after.select("id").distinct().count() == after.count() == 6
+    _, summary = scan(3)
+    assert (summary.first()["pairs"], summary.first()["capped"], summary.first()["already_judged"]) == (3, True, 1)
+
+
 def test_similar_names_find_all(spark):
     rng = random.Random(5)
     names = sorted({"".join(rng.choices("abc-", k=rng.randint(1, 14))) for _ in range(150)} | {"Api", "api", "my-api-server-long"})
