@@ -1,11 +1,10 @@
-"""Removal of repeated byte strings by a blockwise sort of suffixes with a difference-cover sample.
+"""Removal of repeated byte strings by difference-cover anchors and windows that are told apart by fingerprints.
 
-The sample of suffixes at difference-cover positions is ranked first: equal ranks mean equal long prefixes. Suffixes whose
-sampled neighbours all have ranks of their own are alone in the order up to the wanted depth and need no sorting; in ordinary text
-these are most. The others are sorted one range of suffixes at a time, ranges taken by what a suffix begins with, so that the
-keys of one range only are held at once. Ties are not resolved by walking along the texts: the 400-byte prefix of a
-suffix is compared by a 96-bit fingerprint made from the same prefix sums as the ranks of the sample. Suffixes next
-to an equal one in the sorted range begin a repeated string. See cover.py for the steps.
+It departs from a full sort of suffixes, see the README. The sample of suffixes at difference-cover positions is grouped by hashes of long prefixes:
+two places with the same 400 bytes have sampled neighbours in one class at the same distance. Windows without such a neighbour
+are alone and go no further; in ordinary text these are most. The others are dealt by a hash of what they begin with, one range of hashes at a time, so that the
+keys of one range only are held at once, and those with equal 96-bit fingerprints of their 400 bytes, made from the same prefix
+sums as the classes of the sample, begin a repeated string. Nothing is ranked and no order of suffixes is made. See cover.py for the steps.
 
 Rows: a null text is empty: nothing is removed. Rows equal in id and text are different documents, so all of their long
 enough text goes. Texts shorter than the length stay whole. A very long text is a slice of its own. Empty table: no rows.
@@ -52,7 +51,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, cover_order: int = 2, ran
     """One row per document: id, n_bytes, n_removed, n_spans, kept (binary: what is left), spans (removed runs, end exclusive).
 
     cover_order: order of the Colbourn-Ling cover, period 24r^2 + 36r + 13, which must be under `length`; ranges: how many
-    ranges of suffixes are sorted one after another.
+    ranges of windows are compared one after another.
     """
     units = cover.Units(length, cover_order, words=False, ranges=ranges)
     if units.anchor < 8:
