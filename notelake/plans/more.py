@@ -297,11 +297,14 @@ def scopes(s, d):
     return D.table(s, d, "events").select(F.col("event_id").alias("id"), T.scope(F.when(i == 0, " Personal ").when(i == 1, "project").when(i == 2, "team")).alias("scope"))
 
 
-@query("titles", rf"SELECT doc_id AS id, sha256({O.fold('text')} || CASE WHEN doc_id % 2 = 0 THEN ' [REDACTED] end' ELSE '' END) AS h FROM documents WHERE octet_length(encode(text)) < 49000 AND trim({O.fold('text')}) <> ''")
+_CUT = ", ".join(f"try(decode(unhex(substr(hex(encode(x)), 1, {2 * n}))))" for n in range(49_985, 49_981, -1))
+
+
+@query("titles", with_(rf"t AS (SELECT doc_id AS id, trim({O.fold('text')} || CASE WHEN doc_id % 2 = 0 THEN ' [REDACTED] end' ELSE '' END) AS x FROM documents)", body=f"SELECT id, sha256(CASE WHEN octet_length(encode(x)) <= 50000 THEN x ELSE coalesce({_CUT}) || '... [truncated]' END) AS h FROM t"))
 def titles(s, d):
+    """Whole texts as titles: folded to a line, private parts redacted, the longest cut between characters."""
     body = F.concat("text", F.when(F.col("doc_id") % 2 == 0, "\n<private>no\none</PRIVATE>  end ").otherwise(""))
-    rows = D.table(s, d, "documents").where((F.octet_length("text") < 49_000) & (F.trim(T.one_line(F.col("text"))) != ""))
-    return rows.select(F.col("doc_id").alias("id"), F.sha2(T.title(body), 256).alias("h"))
+    return D.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.sha2(T.title(body), 256).alias("h"))
 
 
 @query("truncated_bytes", "SELECT doc_id AS id, sha256(CASE WHEN octet_length(encode(text)) <= 200 THEN text ELSE coalesce(try(decode(unhex(substr(hex(encode(text)), 1, 370)))), try(decode(unhex(substr(hex(encode(text)), 1, 368)))), try(decode(unhex(substr(hex(encode(text)), 1, 366)))), try(decode(unhex(substr(hex(encode(text)), 1, 364))))) || '... [truncated]' END) AS h FROM documents")
