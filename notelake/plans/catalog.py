@@ -635,9 +635,11 @@ def timestamps(s, d):
     return D.table(s, d, "events").select(F.col("event_id").alias("id"), at(T.timestamp(raw), "t"))
 
 
-@query("backoff", "SELECT k AS failures, least(pow(2, least(k - 1, 31)), 300.0) AS seconds FROM range(1, 40) t(k)")
+@query("backoff", "SELECT user_id, failures, CASE WHEN failures = 0 THEN 0.0 ELSE least(pow(2, least(failures - 1, 31)), 300.0) END AS seconds FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY user_id)")
 def backoff(s, d):
-    return s.range(1, 40).select(F.col("id").alias("failures"), T.backoff_seconds(F.col("id")).alias("seconds"))
+    """How long each user's target waits after its failures."""
+    f = D.table(s, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failures"))
+    return f.select("user_id", "failures", T.backoff_seconds(F.col("failures")).alias("seconds"))
 
 
 @query("slugs", "SELECT doc_id AS id, CASE WHEN v = '' THEN 'untitled' ELSE v END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(translate(lower(text), '" + O.ACCENTED + "', '" + O.UNACCENTED + "'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS v FROM documents)")
@@ -882,12 +884,14 @@ def session_upserts(s, d):
     return R.fold_sessions(D.mutations(s, d).where("entity = 'session'").withColumns({"payload": j, "op": F.lit("upsert")})).select("id", "project")
 
 
-@query("sync_states", "SELECT 'cloud:' || k AS target_key, CASE WHEN k % 2 = 0 THEN 'ready' ELSE 'idle' END AS lifecycle, CASE WHEN k % 2 = 0 THEN k ELSE 0 END AS last_acked_seq FROM range(9) t(k)")
+@query("sync_states", "WITH a AS (SELECT user_id, max(event_id) AS acked FROM events WHERE event_id % 3 = 0 GROUP BY user_id) SELECT 'cloud:' || c_custkey AS target_key, CASE WHEN acked IS NULL THEN 'idle' ELSE 'ready' END AS lifecycle, coalesce(acked, 0) AS last_acked_seq FROM customer LEFT JOIN a ON user_id = c_custkey")
 def sync_states(s, d):
-    t = s.range(9).select(F.concat(F.lit("cloud:"), F.col("id").cast("string")).alias("target_key"), "id")
+    """A target for each customer, with the state of those that have acknowledged a change."""
+    t = D.table(s, d, "customer").select(F.concat(F.lit("cloud:"), F.col("c_custkey").cast("string")).alias("target_key"))
     z = F.lit(0).cast("long")
-    held = t.where("id % 2 = 0").select("target_key", F.lit("ready").alias("lifecycle"), z.alias("last_enqueued_seq"), F.col("id").alias("last_acked_seq"), z.alias("last_pulled_seq"), z.alias("consecutive_failures"))
-    return R.sync_state(t.select("target_key"), held).select("target_key", "lifecycle", "last_acked_seq")
+    own = D.mutations(s, d).withColumn("target_key", F.concat(F.lit("cloud:"), "entity_key"))
+    held = R.last_acked(own).select("target_key", F.lit("ready").alias("lifecycle"), z.alias("last_enqueued_seq"), "last_acked_seq", z.alias("last_pulled_seq"), z.alias("consecutive_failures"))
+    return R.sync_state(t, held).select("target_key", "lifecycle", "last_acked_seq")
 
 
 @query("lineitem_pages", "SELECT l_orderkey AS session_id, count(*) AS n, max(l_linenumber) AS last FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY l_orderkey HAVING count(*) > 3")

@@ -519,9 +519,12 @@ def merged_enrolment(s, d):
     return projects.merged_enrolment(n.where(k % 2 == 0), n.where(k % 3 == 0).select("project", F.lit("src1").alias("canonical")))
 
 
-@query("created_by_merge", "SELECT * FROM (VALUES ('src1', false), ('brand-new', true)) t(project, created)")
+@query("created_by_merge", with_(OBS, PROMPTS, "m AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'brand-' || (c_custkey % 50) ELSE 'src' || (c_custkey % 40) END AS project FROM customer)", "h AS (SELECT project FROM obs UNION SELECT project FROM prompts)", body="SELECT m.project, h.project IS NULL AS created FROM m LEFT JOIN h ON h.project = m.project"))
 def created_by_merge(s, d):
-    m = s.createDataFrame([("src0", "src1"), ("src4", "brand-new")], "project string, canonical string")
+    """Customers' names of projects merged under new names and under some that are there."""
+    k = F.col("c_custkey")
+    to = F.when(k % 3 == 0, F.concat(F.lit("brand-"), (k % 50).cast("string"))).otherwise(F.concat(F.lit("src"), (k % 40).cast("string")))
+    m = D.table(s, d, "customer").select(F.concat(F.lit("was-"), k.cast("string")).alias("project"), to.alias("canonical"))
     return projects.created_by_merge(m, D.observations(s, d), D.prompts(s, d))
 
 
