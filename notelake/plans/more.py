@@ -14,6 +14,7 @@ from ..operators import bm25, journal, peers, projects, quality, relations, sear
 from ..session import shared_folder
 from ..sources import adapters as D
 from ..sources import exchange, schemas
+from ..streaming import keyed
 from ..streaming import replication as R
 from . import oracle as O
 from .catalog import _CAND, AS_OF, PREFIX, as_of, at, obs_index, query, saved_index
@@ -76,12 +77,43 @@ def leases(s, d):
 
 @query("journal_stream", with_(MUTATIONS, body="SELECT entity, entity_key, max(seq) AS seq, arg_max(op, seq) = 'delete' AS deleted FROM mutations GROUP BY entity, entity_key"))
 def journal_stream(s, d):
-    """The journal followed as a stream of files, micro-batch by micro-batch."""
+    """The journal followed as a stream of files, with the end of each key as a row of state."""
     at_ = f"{shared_folder(s)}/notelake-journal-{uuid.uuid4().hex}"
     journal = D.mutations(s, d)
     journal.repartition(6, "seq").write.parquet(f"{at_}/in")
-    R.run_stream(s, f"{at_}/in", journal.schema, f"{at_}/state", max_files=2).awaitTermination()
-    return R.state(s, f"{at_}/state").select("entity", "entity_key", "seq", "deleted")
+    keyed.follow(s, f"{at_}/in", journal.schema, f"{at_}/state", max_files=2, partitions=s.sparkContext.defaultParallelism).awaitTermination()
+    return keyed.ends(s, f"{at_}/state").select("entity", "entity_key", "seq", "deleted")
+
+
+_LATE = f"""notes AS (SELECT DISTINCT id, sync_id, created_at FROM obs),
+ rels AS (SELECT DISTINCT doc_id, 'obs-' || doc_id AS source_id, 'obs-' || (doc_id + CASE WHEN (doc_id // 3) % 2 = 0 THEN 20 ELSE 1 END) AS target_id, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id - doc_id % 9) + INTERVAL 10 MINUTE AS seen FROM documents WHERE doc_id % 3 = 0),
+ w AS (SELECT greatest((SELECT max(created_at) FROM notes), (SELECT max(seen) FROM rels)) - INTERVAL 30 MINUTE AS watermark),
+ ends AS (SELECT r.doc_id, r.seen, greatest(a.created_at, b.created_at, r.seen) AS ready, a.id IS NOT NULL AND b.id IS NOT NULL AS met FROM rels r LEFT JOIN notes a ON a.sync_id = r.source_id LEFT JOIN notes b ON b.sync_id = r.target_id)"""
+
+
+@query("settled_relations", with_(OBS, _LATE, body="SELECT doc_id, CASE WHEN met AND ready <= seen + INTERVAL 5 HOUR THEN 'applied' WHEN seen + INTERVAL 5 HOUR <= watermark THEN 'dead' ELSE 'deferred' END AS apply_status, CASE WHEN met AND ready <= seen + INTERVAL 5 HOUR THEN CAST(floor(epoch(ready - seen) / 3600) AS INTEGER) WHEN seen + INTERVAL 5 HOUR <= watermark THEN 5 ELSE 0 END AS retry_count FROM ends, w"))
+def settled_relations(s, d):
+    """Relations that come up to eight hours before the note they start from, in three pages of a journal: applied, dead after five hours, or waiting."""
+    home = f"{shared_folder(s)}/notelake-settled-{uuid.uuid4().hex}"
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    z = F.lit(0)
+    later = lambda hours, minutes: start + F.make_interval(z, z, z, z, hours.cast("int"), F.lit(minutes))
+    i = F.col("doc_id")
+    docs = D.table(s, d, "documents").select("doc_id")
+    row = lambda entity, key, body, hours, minutes: docs.select(
+        ((hours * 60 + minutes) * 1000 + i % 1000).alias("seq"), F.lit(entity).alias("entity"), key.alias("entity_key"), F.lit("upsert").alias("op"), body.alias("payload"), later(hours, minutes).alias("occurred_at"), i.alias("doc_id"))
+    obs = lambda k: F.concat(F.lit("obs-"), k.cast("string"))
+    ends = F.to_json(F.struct(obs(i).alias("source_id"), obs(i + F.when(F.floor(i / 3) % 2 == 0, 20).otherwise(1)).alias("target_id")))
+    rels = row("relation", F.concat(F.lit("rel-"), i.cast("string")), ends, i - i % 9, 10).where("doc_id % 3 = 0")
+    journal = row("observation", obs(i), F.lit("{}"), i, 0).unionByName(rels)
+    span = docs.agg(F.floor(F.coalesce(F.max("doc_id"), F.lit(0)) / 3).alias("third")).first()["third"] + 1
+    for k in range(3):
+        page = journal.where(F.least(F.floor((F.unix_seconds("occurred_at") - F.unix_seconds(start)) / 3600 / span), F.lit(2)) == k)
+        page.drop("doc_id").write.mode("append").parquet(f"{home}/in")
+        keyed.settle(s, f"{home}/in", page.drop("doc_id").schema, f"{home}/state", delay="30 minutes", max_files=100_000, partitions=s.sparkContext.defaultParallelism).awaitTermination()
+    told = keyed.outcomes(s, f"{home}/state").select("change", "apply_status", "retry_count")
+    told = told.unionByName(keyed.waiting(s, f"{home}/state").select("change", F.lit("deferred").alias("apply_status"), F.lit(0).alias("retry_count")))
+    return told.join(rels.select(F.col("seq").alias("change"), "doc_id").distinct(), "change").select("doc_id", "apply_status", "retry_count")
 
 
 @query("peer_session_removals", with_(LOG_SESSIONS, PROMPTS, "gone AS (SELECT id FROM lsessions WHERE CAST(id AS BIGINT) % 3 = 0 UNION ALL SELECT 'c' || k FROM range(0, 100, 2) t(k) UNION ALL SELECT ' ')", body="SELECT 'session' AS entity, count(*) AS n FROM lsessions WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'prompt', count(*) FROM prompts WHERE session_id NOT IN (SELECT id FROM gone)"))

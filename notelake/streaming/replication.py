@@ -1,10 +1,8 @@
-"""Replay of the change journal, in batch and as a stream of micro-batches."""
+"""Replay of the change journal in batch; `keyed` follows it as a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -159,37 +157,6 @@ def delete_session(ids: DataFrame, sessions: DataFrame, prompts: DataFrame) -> t
     return sessions.join(gone, "id", "left_anti"), prompts.join(gone.select(F.col("id").alias("session_id")), "session_id", "left_anti")
 
 
-def run_stream(spark: SparkSession, source: str, schema, state_dir: str, on_batch: Callable[[DataFrame, int], None] | None = None, max_files: int = 10):
-    """Follows a folder of journal files until it has read all, keeping the state of every key as a Parquet table by version.
-
-    Each micro-batch is folded with the state before it and written as the next version under its own batch number, so a batch that is run
-    again after a failure writes the same version again: exactly once. Returns the query; `state(spark, state_dir)` reads the end.
-    """
-
-    def step(batch: DataFrame, number: int) -> None:
-        before = state(spark, state_dir, number - 1)
-        new = replay(batch)
-        both = new if before is None else before.select(*new.columns).unionByName(new)
-        ends = both.groupBy("entity", "entity_key").agg(F.max(F.struct("seq", "deleted", "payload")).alias("last")).select("entity", "entity_key", "last.seq", "last.deleted", "last.payload")
-        ends.write.mode("overwrite").parquet(f"{state_dir}/version={number}")
-        if on_batch:
-            on_batch(ends, number)
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{state_dir}/_checkpoint").trigger(availableNow=True).start()
-
-
-def state(spark: SparkSession, state_dir: str, number: int | None = None) -> DataFrame | None:
-    """The state after a batch, by default the last one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path) if f.getPath().getName().startswith("version=")]
-    found = [n for n in found if number is None or n <= number]
-    return spark.read.parquet(f"{state_dir}/version={max(found)}") if found else None
-
-
 def deduplicated_stream(stream: DataFrame, minutes: int = 15) -> DataFrame:
     """An approximation of the windowed dedupe for streams: a repeat within the watermark of the first one is dropped, also
     where the exact rule, which compares with the last kept row, would keep it."""
