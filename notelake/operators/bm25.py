@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -65,6 +65,20 @@ def postings_of(index: Index, rows: list[tuple]) -> DataFrame:
     return index.postings.where(here)
 
 
+def split_column(x: Column) -> Column:
+    """The words of query texts, as `split_terms` makes them."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce(x, F.lit("")), "\\x00", ""), r"(?U)[\s\x{1c}-\x{1f}]+"), lambda w: w != "")
+    low = F.transform(words, F.lower)
+    return F.filter(words, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+
+
+def phrase_frame(queries: DataFrame, terms: Column) -> DataFrame:
+    """(qid, phrase, off, len, term, prefix) of queries whose words are an array, as `phrases` makes them; no word is a beginning."""
+    kept = F.filter(F.transform(terms, T.tokens), lambda t: F.size(t) > 0)
+    each = queries.select("qid", F.posexplode(kept).alias("phrase", "toks"))
+    return each.select("qid", "phrase", F.posexplode("toks").alias("off", "term"), F.size("toks").alias("len")).select("qid", "phrase", "off", "len", "term", F.lit(False).alias("prefix"))
+
+
 def occurrences(index: Index, words: DataFrame, rows: list[tuple] | None = None) -> DataFrame:
     """(qid, phrase, doc_id, col, n): how often a phrase stands in a column. rows: the query frame as it is on the driver, if it is
     there; only such a frame is broadcast."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregates as A
-from ..operators import bm25, index, projects, quality, relations, search, writes
+from ..operators import bm25, frames, index, projects, quality, relations, search, writes
 from ..operators import listings as L
 from ..session import shared_folder
 from ..sources import adapters as D
@@ -232,6 +232,45 @@ def fused_search(s, d):
     return hits.select("id", "title", (F.round("score", 6) + 0.0).alias("score"), "stage", "partial")
 
 
+_LISTED = "CASE (id // 20) % 4 WHEN 0 THEN title WHEN 1 THEN title || ' zzqx' WHEN 2 THEN 'topic/' || (id % 50) ELSE title || ' zzqx zzqy' END"
+_WEIGHTED = " ".join(f"WHEN col = '{c}' THEN {x}" for c, x in bm25.SEARCH_WEIGHTS.items())
+_FRAME = (
+    f"asked AS (SELECT id AS qid, {_LISTED} AS query FROM obs WHERE id % 20 = 0)",
+    r"split AS (SELECT qid, unnest(w) AS w, generate_subscripts(w, 1) AS o FROM (SELECT qid, string_split(regexp_replace(query, '\s+', ' ', 'g'), ' ') AS w FROM asked))",
+    f"words AS (SELECT qid, o AS k, {O.tok('w')} AS toks FROM split WHERE w <> '' QUALIFY row_number() OVER (PARTITION BY qid, lower(w) ORDER BY o) = 1)",
+    "size AS (SELECT qid, count(*) AS n_words, count(*) FILTER (len(toks) > 0) AS n_phrases FROM words GROUP BY qid)",
+    "ph AS (SELECT qid, k, len(toks) AS n_toks, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS off FROM words)",
+    "hits AS (SELECT qid, k, doc_id, col, pos - off AS at FROM post JOIN ph USING (term) GROUP BY qid, k, n_toks, doc_id, col, pos - off HAVING count(DISTINCT off) = n_toks)",
+    f"f AS (SELECT qid, k, doc_id, sum(CASE {_WEIGHTED} ELSE 1.0 END) AS f FROM hits GROUP BY qid, k, doc_id)",
+    "n AS (SELECT qid, k, count(*) AS n FROM f GROUP BY qid, k)",
+    f"parts AS MATERIALIZED (SELECT qid, k, doc_id, type, {O._PART} AS part FROM f JOIN n USING (qid, k) JOIN docstats USING (doc_id) CROSS JOIN totals JOIN obs ON obs.id = doc_id WHERE {LIVE})",
+    f"s1 AS (SELECT qid, id, -1000.0 AS score, 1 AS stage, row_number() OVER (PARTITION BY qid ORDER BY updated_at DESC, id) AS place FROM asked JOIN obs ON topic_key = query WHERE {LIVE})",
+    "every AS (SELECT qid, doc_id AS id, round(-sum(part), 9) AS score, count(*) AS matched FROM parts GROUP BY qid, doc_id)",
+    "s2 AS (SELECT qid, id, score, 2 AS stage, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS place FROM every JOIN size USING (qid) WHERE matched = n_phrases)",
+    "o3 AS (SELECT qid, n_words, n_phrases FROM size WHERE qid NOT IN (SELECT qid FROM s1) AND qid NOT IN (SELECT qid FROM s2))",
+    "left_out AS (SELECT p.qid, v.k AS v, doc_id AS id, any_value(type) AS type, round(-sum(part), 9) AS score FROM parts p JOIN o3 USING (qid) JOIN words v ON v.qid = p.qid AND v.k <> p.k WHERE n_words BETWEEN 2 AND 12 GROUP BY p.qid, v.k, doc_id, v.toks, n_phrases HAVING count(*) = n_phrases - (CASE WHEN len(v.toks) > 0 THEN 1 ELSE 0 END))",
+    "wide AS (SELECT qid, id, min(score) AS score FROM (SELECT * FROM left_out QUALIFY row_number() OVER (PARTITION BY qid, v ORDER BY score, id) <= 10) WHERE type <> 'session_summary' GROUP BY qid, id)",
+    "s3 AS (SELECT qid, id, score, 3 AS stage, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS place FROM wide)",
+    "sample AS (SELECT qid, e.id, score, row_number() OVER (PARTITION BY qid ORDER BY score, e.id) AS place FROM every e JOIN obs ON obs.id = e.id WHERE qid IN (SELECT qid FROM o3) AND qid NOT IN (SELECT qid FROM s3) AND type <> 'session_summary' QUALIFY place <= 24)",
+    "middle AS (SELECT qid, list_sort(list(score))[len(list(score)) // 2 + 1] AS middle, count(*) AS n FROM sample GROUP BY qid)",
+    "s4 AS (SELECT qid, id, score, 4 AS stage, place FROM sample JOIN middle USING (qid) WHERE n >= 3 AND score <= middle * 1.2)",
+    "stages AS (SELECT * FROM s1 WHERE place <= 10 UNION ALL SELECT * FROM s2 WHERE place <= 10 UNION ALL SELECT * FROM s3 WHERE place <= 10 UNION ALL SELECT * FROM s4 WHERE place <= 10)",
+    "once AS (SELECT * FROM stages QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY stage) = 1)",
+    "answer AS (SELECT qid, id, score, stage, row_number() OVER (PARTITION BY qid ORDER BY stage, place) AS rank FROM once QUALIFY rank <= 10)",
+)
+
+
+@query("searched_frame", with_(OBS, *O.index(), *_FRAME, body="SELECT qid, CAST(rank AS INTEGER) AS rank, a.id, title, round(score, 6) + 0.0 AS score, stage, stage > 2 AS partial FROM answer a JOIN obs ON obs.id = a.id"))
+def searched_frame(s, d):
+    """Every twentieth note asks all notes in one frame: by its title, by its title and words that no note has, by a topic key; all four stages answer."""
+    rows, i = obs_index(s, d)
+    of = F.col("id")
+    text = F.when(F.floor(of / 20) % 4 == 0, F.col("title")).when(F.floor(of / 20) % 4 == 1, F.concat("title", F.lit(" zzqx"))).when(F.floor(of / 20) % 4 == 2, F.concat(F.lit("topic/"), (of % 50).cast("string"))).otherwise(F.concat("title", F.lit(" zzqx zzqy")))
+    asked = rows.where("id % 20 = 0").select(of.alias("qid"), text.alias("query"))
+    hits = frames.search_all(i, i, rows, asked, 10)
+    return hits.select("qid", F.col("place").alias("rank"), "id", "title", (F.round("score", 6) + 0.0).alias("score"), "stage", "partial")
+
+
 _FUSED = with_(OBS, *O.index(), *O.scored({0: ["attion", "erble"], 1: ["attion"]}), "placed AS (SELECT qid, doc_id AS id, score, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS place FROM scores WHERE qid = 1 OR matched = 2)", body="SELECT id, round(sum(1.0 / (60 + place)), 6) AS fused, round(arg_min(score, qid), 6) AS score FROM placed WHERE place <= 30 GROUP BY id ORDER BY sum(1.0 / (60 + place)) DESC, arg_min(score, qid), id LIMIT 10")
 
 

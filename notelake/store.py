@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import aggregates, index, journal, listings, peers, projects, quality, relations, search, segments, writes
+from .operators import aggregates, frames, index, journal, listings, peers, projects, quality, relations, search, segments, writes
 from .session import written
 from .sources import exchange
 
@@ -92,6 +92,10 @@ class NoteStore:
         exact, stemmed = indexes or self.indexes()
         return search.search(exact, stemmed, self.observations, query, limit, mode, search.Filters(kind, project, scope))
 
+    def search_all(self, queries: DataFrame, limit: int = search.DEFAULT_LIMIT, mode: str = "all") -> DataFrame:
+        """The answers to a frame of queries: (qid, query) and, if wanted, kind, project and scope."""
+        return frames.search_all(*self.indexes(), self.observations, queries, limit, mode)
+
     def get(self, id_: int) -> DataFrame:
         return listings.by_id(self.observations, id_)
 
