@@ -3,9 +3,10 @@
 Every document of a source has the same copy number f = target / size of the source; it gets floor(f) copies and, with its
 fraction, one more. The fractions are rounded dependently: two documents pass words between their fractions, at random but
 without changing the expectation of either, until one fraction is 0 or 1. The sum of words stays as it was, so a source ends within
-one document of its target, and that one is small: see copies. Documents meet in groups of bounded size, dealt by a hash of the id within the source; each group
+one document of its target, and that one is small: see copies. Documents meet in groups of bounded size, dealt by a hash of the row within the source; each group
 leaves one open fraction, and those meet again in groups, level by level, up to one a source: a reduction tree, in which no task
-ever holds a whole source. Random choices are keyed hashes of the two ids, so reruns agree.
+ever holds a whole source. Random choices are keyed hashes of the two rows, so reruns agree. A row is known by its id, a hash of its text and source,
+and a number among rows equal in both, so rows that share an id, or have none, are dealt like others.
 
 Rows: a null text has size 0, takes nothing. Null sources are one source, ranked last. Repeated rows are rounded each for
 itself; among equals the result does not depend on their order. Empty table: empty result. A source without words has target 0.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, column, free_name, n_words
 
 GROUP = 256
+SLICE = 4096
+KEY = ("k1", "k2", "nth")
 #: A document is large if it has more than one in LARGE of its source's words.
 LARGE = 500
 #: Rows of sources up to which the table of sources is broadcast; above, it is joined by a shuffle. A row is under 1 KB.
@@ -57,12 +60,12 @@ def targets(sizes: DataFrame, source: str, weights: tuple[float, ...], most: flo
     return out.select(source, "source_size", "n", target.alias("target"))
 
 
-def chance(seed: str, a: int, b: int) -> float:
+def chance(seed: str, a: tuple, b: tuple) -> float:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{a}:{b}".encode(), digest_size=8).digest(), "big") / 2**64
 
 
 def duel(rows: list[list], seed: str) -> None:
-    """rows: [id, size, p, ...] with p changed in place so that at most one stays strictly between 0 and 1. Sum of size * p and
+    """rows: [key, size, p, ...] with p changed in place so that at most one stays strictly between 0 and 1. Sum of size * p and
     every expectation of p are kept, but for rounding of floats."""
     held = None
     for row in rows:
@@ -94,11 +97,11 @@ def _level(batches: Iterator[pa.RecordBatch], seed: str) -> Iterator[pa.RecordBa
 
     out: list = []
     for batch in batches:
-        for g, s, i, size, whole, p, h in zip(*(batch.column(i).to_pylist() for i in range(7))):
+        for g, s, i, size, whole, p, h, r in zip(*(batch.column(i).to_pylist() for i in range(8))):
             if (s, g) != key:
                 out += _settled(rows, seed)
                 key, rows = (s, g), []
-            rows.append([i, size, p, s, whole, h])
+            rows.append([(i, h, r), size, p, s, whole])
         if len(out) > 50_000:
             yield _batch(out)
             out = []
@@ -108,36 +111,37 @@ def _level(batches: Iterator[pa.RecordBatch], seed: str) -> Iterator[pa.RecordBa
 
 
 def _settled(rows: list[list], seed: str) -> list[list]:
-    rows.sort(key=lambda r: (-r[1], r[0], r[5]))  # large ones first: they meet their like
+    rows.sort(key=lambda r: (-r[1], r[0]))  # large ones first: they meet their like
     duel(rows, seed)
     return rows
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:
-    i, size, p, s, whole, h = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(i, pa.int64()), pa.array(h, pa.int64()), pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(p, pa.float64())], ["s", "k1", "k2", "size", "whole", "p"])
+    key, size, p, s, whole = zip(*rows)
+    ints = [pa.array(x, pa.int64()) for x in (s, *zip(*key), size, whole)]
+    return pa.RecordBatch.from_arrays([*ints, pa.array(p, pa.float64())], ["s", *KEY, "size", "whole", "p"])
 
 
 def rounded(rows: DataFrame, largest: int, seed: str, ws: Workspace) -> DataFrame:
-    """(s, k1, k2, size, copies) of rows (s, k1, k2, size, f); largest: the most rows that a source has."""
+    """(s, k1, k2, nth, size, copies) of rows (s, k1, k2, nth, size, f); largest: the most rows that a source has."""
     whole = F.floor("f").cast("long")
-    open_rows = rows.select("s", "k1", "k2", "size", whole.alias("whole"), (F.col("f") - whole).alias("p"))
+    open_rows = rows.select("s", *KEY, "size", whole.alias("whole"), (F.col("f") - whole).alias("p"))
     plain = (F.col("size") == 0) | (F.col("p") <= 1e-9) | (F.col("p") >= 1 - 1e-9)
     out = open_rows.where(plain).withColumn("p", F.when((F.col("size") > 0) & (F.col("p") > 0.5), F.lit(1.0)).otherwise(F.lit(0.0)))
     open_rows = open_rows.where(~plain)
     still = (F.col("p") > 0) & (F.col("p") < 1)
     groups, level = -(-largest // GROUP), 0
     while True:
-        deal = F.pmod(F.xxhash64(F.lit(f"{seed}{level}"), "k1"), F.lit(max(1, groups)).cast("long"))
-        dealt = open_rows.select(deal.alias("g"), "s", "k1", "size", "whole", "p", "k2").repartition("s", "g").sortWithinPartitions("s", "g")
-        got = ws.table(dealt.mapInArrow(lambda b: _level(b, f"{seed}{level}"), "s long, k1 long, k2 long, size long, whole long, p double"), f"{seed}{level}")
+        deal = F.pmod(F.xxhash64(F.lit(f"{seed}{level}"), *KEY), F.lit(max(1, groups)).cast("long"))
+        dealt = open_rows.select(deal.alias("g"), "s", "k1", "size", "whole", "p", "k2", "nth").repartition("s", "g").sortWithinPartitions("s", "g")
+        got = ws.table(dealt.mapInArrow(lambda b: _level(b, f"{seed}{level}"), "s long, k1 long, k2 long, nth long, size long, whole long, p double"), f"{seed}{level}")
         out, open_rows = out.unionByName(got.where(~still)), got.where(still)
         if groups <= 1:
             break
         groups, level = -(-groups // GROUP), level + 1
-    alone = F.pmod(F.xxhash64(F.lit(f"{seed}last"), "k1"), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.col("p")
+    alone = F.pmod(F.xxhash64(F.lit(f"{seed}last"), *KEY), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.col("p")
     out = out.unionByName(open_rows.withColumn("p", F.when(alone, F.lit(1.0)).otherwise(F.lit(0.0))))
-    return out.select("s", "k1", "k2", "size", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    return out.select("s", *KEY, "size", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
@@ -156,24 +160,33 @@ def _key(id_col: str, text_col: str, source_col: str) -> tuple[Column, Column]:
     return F.coalesce(column(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(column(text_col).cast("string"), column(source_col))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows, equal ones with a number each: counted before the shuffle, then dealt out again in slices, so that no task holds all
+    rows of an id."""
+    m = rows.groupBy("k1", "k2", "source", "size").agg(F.count("*").alias("m"))
+    slices = m.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(SLICE).cast("long"))))
+    nth = F.sequence(F.col("_from"), F.least(F.col("_from") + SLICE, "m") - 1)
+    return slices.select("k1", "k2", F.explode(nth).alias("nth"), "source", "size")
+
+
 def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], most: float, seed: str) -> DataFrame:
-    """(k1, k2, size, source_size, target, copies)."""
+    """(k1, k2, nth, size, source_size, target, copies)."""
     ws = Workspace(docs.sparkSession, "mixing")
     k1, k2 = _key(id_col, text_col, source_col)
-    sized = ws.table(docs.select(k1.alias("k1"), k2.alias("k2"), column(source_col).alias("source"), n_words(column(text_col)).alias("size")), "sizes")
+    sized = ws.table(_numbered(docs.select(k1.alias("k1"), k2.alias("k2"), column(source_col).alias("source"), n_words(column(text_col)).alias("size"))), "sizes")
     per = ws.table(targets(sized, "source", weights, most, ws).withColumn("s", F.monotonically_increasing_id()), "targets")
     n_sources, largest = per.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     small = lambda df: F.broadcast(df) if n_sources <= BROADCAST_ROWS else df
     side = small(per)
-    rows = sized.join(side, sized["source"].eqNullSafe(side["source"])).select("k1", "k2", "size", "s", "source_size", "target")
+    rows = sized.join(side, sized["source"].eqNullSafe(side["source"])).select(*KEY, "size", "s", "source_size", "target")
     large = F.col("size") * LARGE > F.col("source_size")
     f = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    first = ws.table(rounded(rows.where(large).select("s", "k1", "k2", "size", f.alias("f")), min(largest, LARGE), f"{seed}-large", ws), "large")
+    first = ws.table(rounded(rows.where(large).select("s", *KEY, "size", f.alias("f")), min(largest, LARGE), f"{seed}-large", ws), "large")
     gone = first.groupBy("s").agg(F.sum("size").alias("large_size"), F.sum(F.col("size") * F.col("copies")).alias("large_taken"))
     left = F.col("source_size") - F.coalesce("large_size", F.lit(0))
     rest = F.when(left > 0, (F.col("target") - F.coalesce("large_taken", F.lit(0))) / left).otherwise(F.lit(0.0))
     per2 = ws.table(per.join(small(gone), "s", "left").select("s", "source_size", "target", F.least(F.greatest(rest, F.lit(0.0)), F.lit(float(most))).alias("f")), "rest")
-    others = rows.where(~large).select("k1", "k2", "size", "s").join(small(per2.select("s", "f")), "s").select("s", "k1", "k2", "size", "f")
+    others = rows.where(~large).select(*KEY, "size", "s").join(small(per2.select("s", "f")), "s").select("s", *KEY, "size", "f")
     drawn = first.unionByName(rounded(others, largest, seed, ws))
     return drawn.join(small(per.select("s", "source_size", "target")), "s")
 

@@ -254,6 +254,27 @@ def test_targets_and_rounding(spark, docs, none):
     assert mixing.copies(docs).count() == docs.count()
 
 
+def test_rows_without_an_id_are_dealt_like_others(spark):
+    # two thirds of the rows are equal and have no id; the rest shares one
+    rows = [(None, "same words here", "a")] * 9000 + [(5, f"{'w ' * (k % 7 + 1)}{k}", "a") for k in range(3000)] + [(k, "x y", "b") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.copies(df).collect()
+    assert len(got) == len(rows)
+    taken, target = collections.Counter(), {}
+    for r in got:
+        at = "b" if r["size"] == 2 and r["source_size"] == 12000 else "a"
+        taken[at] += r["taken"]
+        target[at] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 10 for s in "ab")
+    same = [r["copies"] for r in got if r["id"] is None]
+    assert len(set(same)) == 2 and abs(sum(same) / 9000 - target["a"] / got[0]["source_size"]) < 0.1
+    k1, k2 = mixing._key("doc_id", "text", "source")
+    numbered = mixing._numbered(df.select(k1.alias("k1"), k2.alias("k2"), "source", F.size(F.split("text", " ")).alias("size")))
+    assert numbered.count() == numbered.distinct().count() == len(rows)
+    groups = numbered.groupBy("source", F.pmod(F.xxhash64(*mixing.KEY), F.lit(12000 // mixing.GROUP + 1))).count()
+    assert groups.agg(F.max("count")).first()[0] < 2 * mixing.GROUP
+
+
 def test_a_duel_keeps_sums_and_expectations():
     total = np.zeros(6)
     for k in range(3000):
