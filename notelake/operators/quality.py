@@ -130,5 +130,6 @@ def retitled_summaries(rows: DataFrame) -> DataFrame:
 
 
 def adopt(source: DataFrame, like: DataFrame) -> DataFrame:
-    """A foreign table with the columns that both have, in our layout."""
-    return like.limit(0).unionByName(source.select(*[c for c in like.columns if c in source.columns]), allowMissingColumns=True)
+    """A foreign table with the columns that both have, in our layout and with our types; text that is no value of a type is an error."""
+    kinds = {f.name: f.dataType for f in like.schema}
+    return like.limit(0).unionByName(source.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in like.columns if c in source.columns]), allowMissingColumns=True)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.quality import adopt
+from . import sqlite
 from .schemas import CHUNK, EXPORT
 
 VERSIONS = ("1",)
@@ -62,20 +63,8 @@ def adopt_tables(theirs: dict[str, DataFrame], ours: dict[str, DataFrame]) -> tu
 
 
 def read_sqlite(spark: SparkSession, path: str, tables: tuple[str, ...]) -> dict[str, DataFrame]:
-    """Tables of a local SQLite file, which only the driver can open; for adopting one machine's store."""
-    import sqlite3
-
-    out = {}
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        db.execute("BEGIN")  # one snapshot for all tables
-        there = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
-        for t in tables:
-            if t in there:
-                rows = pd.read_sql_query(f'SELECT * FROM "{t}"', db).astype(object)
-                rows = rows.where(rows.notna(), None)
-                cols = ", ".join(f"`{c}` string" for c in rows.columns)
-                out[t] = spark.createDataFrame([tuple(None if v is None else str(v) for v in r) for r in rows.itertuples(index=False)], cols)
-    return out
+    """Tables of a SQLite file of which the driver takes a snapshot; tasks read it by ranges, with the declared types."""
+    return sqlite.read_tables(spark, path, tables)
 
 
 def vault(rows: DataFrame, sessions: DataFrame) -> DataFrame:
