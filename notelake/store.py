@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import aggregates, frames, index, journal, listings, peers, projects, quality, relations, search, segments, writes
+from .operators import aggregates, doctor, frames, index, journal, listings, peers, projects, quality, relations, search, segments, writes
 from .session import written
 from .sources import exchange
 
@@ -19,6 +19,7 @@ TABLES = ("observations", "sessions", "prompts", "relations", "prompt_deletions"
 #: Of a store that is replicated: its journal, the projects it replicates, the state of each target.
 REPLICATION = ("mutations", "enrolled", "sync_state")
 INDEXES = (("index_exact", False), ("index_stemmed", True))
+LIMIT = search.DEFAULT_LIMIT
 
 
 @dataclass(frozen=True)
@@ -88,11 +89,11 @@ class NoteStore:
 
     # what can be asked
 
-    def search(self, query: str, limit: int = search.DEFAULT_LIMIT, mode: str = "all", kind: str | None = None, project: str | None = None, scope: str | None = None, indexes: tuple[index.Index, index.Index] | None = None) -> DataFrame:
+    def search(self, query: str, limit: int = LIMIT, mode: str = "all", kind: str | None = None, project: str | None = None, scope: str | None = None, indexes: tuple[index.Index, index.Index] | None = None) -> DataFrame:
         exact, stemmed = indexes or self.indexes()
         return search.search(exact, stemmed, self.observations, query, limit, mode, search.Filters(kind, project, scope))
 
-    def search_all(self, queries: DataFrame, limit: int = search.DEFAULT_LIMIT, mode: str = "all") -> DataFrame:
+    def search_all(self, queries: DataFrame, limit: int = LIMIT, mode: str = "all") -> DataFrame:
         """The answers to a frame of queries: (qid, query) and, if wanted, kind, project and scope."""
         return frames.search_all(*self.indexes(), self.observations, queries, limit, mode)
 
@@ -120,6 +121,12 @@ class NoteStore:
     def doctor(self, code: str | None = None) -> DataFrame:
         return quality.report(self.observations, self.sessions, self.prompts, self.relations, self.indexes()[0], code)
 
+    def health(self, code: str | None = None, prompt_index: index.Index | None = None) -> DataFrame:
+        """(code, ok, detail) under the codes of doctor.CODES, one scan a table; prompts have no stored index, so theirs is given."""
+        exact, stemmed = self.indexes()
+        held = {"observation_fts": stemmed, "observation_exact_fts": exact} | ({"prompt_fts": prompt_index} if prompt_index is not None else {})
+        return doctor.report(self.observations, self.sessions, self.prompts, held, code)
+
     def suggest_topic_key(self, kind: str, title: str, content: str) -> DataFrame:
         row = self.observations.sparkSession.createDataFrame([(kind, title, content)], "kind string, title string, content string")
         return row.select(T.suggest_topic_key(F.col("kind"), F.col("title"), F.col("content")).alias("topic_key"))
@@ -173,6 +180,19 @@ class NoteStore:
     def unpin(self, ids: DataFrame) -> "NoteStore":
         return self._put(before := self._hit(ids), written(writes.set_pinned(before, ids, False), "delta"), text=False)
 
+    def rebuild_indexes(self) -> tuple["NoteStore", DataFrame]:
+        """(the store with both indexes built anew, documents of each before and after)."""
+        names = ("observation_exact_fts", "observation_fts")
+        made = (index.build(self.observations), index.build(self.observations, stemmed=True))
+        return replace(self, held=made), doctor.sizes(dict(zip(names, self.held or ())), dict(zip(names, made)))
+
+    def rehash(self) -> tuple["NoteStore", DataFrame]:
+        """(the store with the hashes of live notes worked out anew, one row: stale ones before and after). Only notes whose hash was stale are written."""
+        before = written(self._hit(quality.stale_hashes(self.observations)), "stale")
+        after = written(quality.rehashed(before), "delta")
+        n = lambda df, name: quality.stale_hashes(df).agg(F.count("*").alias(name))
+        return self._put(before, after, text=False), n(before, "before").crossJoin(n(after, "after"))  # one row each
+
     def delete(self, ids: DataFrame, hard: bool = False) -> "NoteStore":
         """Notes marked as deleted, or removed for good with their words; their relations are orphaned then. Peers are told either way."""
         if not hard:
