@@ -780,9 +780,9 @@ def validate_batch(s, d):
     return R.checked(m, D.log_sessions(s, d))
 
 
-@query("materialised_chunks", with_(MUTATIONS, "p AS (SELECT project, seq, (row_number() OVER (PARTITION BY project ORDER BY seq) - 1) // 100 AS chunk FROM mutations)", body="SELECT project, chunk, count(*) AS n FROM p GROUP BY project, chunk"))
+@query("materialised_chunks", with_(MUTATIONS, "p AS (SELECT *, (row_number() OVER (PARTITION BY project ORDER BY seq) - 1) // 100 AS chunk FROM mutations)", body="SELECT project, chunk, count(*) AS n, md5(CAST(to_json(list({'seq': seq, 'entity': entity, 'entity_key': entity_key, 'op': op, 'payload': payload} ORDER BY seq)) AS VARCHAR)) AS body_md5 FROM p GROUP BY project, chunk"))
 def materialised_chunks(s, d):
-    return R.materialise_chunks(D.mutations(s, d)).select("project", F.col("chunk").cast("long").alias("chunk"), "n")
+    return R.materialise_chunks(D.mutations(s, d)).select("project", "chunk", "n", F.md5("body").alias("body_md5"))
 
 
 @query("save_nudge", with_(LOG, LOG_SESSIONS, "l AS (SELECT session_id, max(created_at) AS saved_at FROM log GROUP BY session_id)", body=f"SELECT id, CAST(floor((epoch(TIMESTAMP '{LOG_AS_OF}') - floor(epoch(greatest(started_at, coalesce(saved_at, started_at))))) / 60) AS BIGINT) AS idle_minutes FROM lsessions LEFT JOIN l ON session_id = id WHERE floor((epoch(TIMESTAMP '{LOG_AS_OF}') - floor(epoch(greatest(started_at, coalesce(saved_at, started_at))))) / 60) >= 15 AND (epoch(TIMESTAMP '{LOG_AS_OF}') - epoch(started_at)) >= 300"))

@@ -10,10 +10,10 @@ from ..functions import text as T
 from ..functions.markdown import canonical_json_udf, verdict_udf
 from ..operators import aggregates as A
 from ..operators import listings as L
-from ..operators import bm25, journal, peers, projects, quality, relations, search, segments, writes
+from ..operators import bm25, doctor, index, journal, peers, projects, quality, relations, search, segments, writes
 from ..session import shared_folder
 from ..sources import adapters as D
-from ..sources import exchange, schemas
+from ..sources import exchange, schemas, sqlite
 from ..streaming import keyed
 from ..streaming import replication as R
 from . import oracle as O
@@ -154,6 +154,17 @@ def read_chunks(s, d):
     return exchange.read_chunks(whole)["sessions"].select("id", "project")
 
 
+@query("foreign_stores", with_(OBS, body=f"SELECT id, sync_id, session_id, type, title, content, project, scope, topic_key, {stamp('created_at')} AS created_at, {stamp('deleted_at')} AS deleted_at FROM obs WHERE type IN ('bugfix', 'decision', 'policy')"))
+def foreign_stores(s, d):
+    """The notes as SQLite stores, one a task, and what an adoption of some kinds reads of them."""
+    ours = D.observations(s, d).drop("embedding")
+    folder = f"{shared_folder(s)}/notelake-stores-{uuid.uuid4().hex}"
+    sqlite.register(s)
+    ours.withColumn("shelf", F.lit("x")).write.format(sqlite.NAME).option("table", "observations").mode("append").save(folder)
+    theirs = sqlite.load(s, folder, "observations", filters=[("type", "in", ["bugfix", "decision", "policy"])])
+    return quality.adopt(theirs, ours).select("id", "sync_id", "session_id", "type", "title", "content", "project", "scope", "topic_key", at("created_at"), at("deleted_at"))
+
+
 @query("adopted_tables", with_(LOG, body="SELECT 'observations' AS name, count(*) AS before, count(*) AS after FROM log UNION ALL SELECT 'sessions', 0, 0"))
 def adopted_tables(s, d):
     foreign = D.log(s, d).withColumn("shelf", F.lit(1)).drop("pinned")
@@ -405,6 +416,41 @@ def doctor_report(s, d):
     return quality.report(rows, D.log_sessions(s, d), D.prompts(s, d), D.relations(s, d), i)
 
 
+_HEALTH = {
+    "foreign_keys": "SELECT (SELECT count(*) FROM obs WHERE session_id <> 's3') + (SELECT count(*) FROM prompts)",
+    "observation_fts_integrity": "SELECT count(*) FROM obs WHERE id % 8 = 0",
+    "observation_exact_fts_integrity": "SELECT 0",
+    "prompt_fts_integrity": "SELECT 0",
+    "observation_fts_sync": "SELECT 0",
+    "observation_exact_fts_sync": "SELECT count(*) FROM obs WHERE id % 9 = 0",
+    "prompt_fts_sync": "SELECT count(*) FROM prompts WHERE id % 5 = 0",
+    "observation_hash_sync": f"SELECT count(*) FROM obs WHERE {LIVE} AND id % 10 = 0",
+    "observation_type_searchable": f"SELECT count(*) FROM obs WHERE {LIVE} AND id % 6 = 0",
+    "topic_key_uniqueness": f"SELECT count(*) FROM (SELECT 1 FROM obs WHERE {LIVE} AND topic_key IS NOT NULL GROUP BY topic_key, project, scope HAVING count(*) > 1)",
+}
+
+
+@query("health", with_(OBS, PROMPTS, body=" UNION ALL ".join(f"SELECT '{k}' AS code, n = 0 AS ok, CAST(n AS VARCHAR) AS detail FROM ({q}) t(n)" for k, q in _HEALTH.items())))
+def health(s, d):
+    """All codes over a store that is damaged in known ways: hashes, kinds and sessions of rows, documents of the indexes."""
+    rows, i = obs_index(s, d)
+    rows = rows.withColumns({"normalized_hash": F.when(F.col("id") % 10 == 0, "old").otherwise(F.col("normalized_hash")), "type": F.when(F.col("id") % 6 == 0, "odd").otherwise(F.col("type"))})
+    stemmed, exact = saved_index(s, d, stemmed=True), index.Index(*(x.where("doc_id % 9 <> 0") for x in (i.postings, i.docstats)))
+    longer = F.when(F.col("doc_id") % 8 == 0, F.col("n_tokens") + 1).otherwise(F.col("n_tokens")).alias("n_tokens")
+    stemmed = index.Index(stemmed.postings, stemmed.docstats.select("doc_id", longer), True)
+    asked = saved_index(s, d, "prompts", ("content", "project"))
+    p = D.prompts(s, d)
+    known = rows.where("session_id = 's3'").select(F.col("session_id").alias("id")).distinct()
+    return doctor.report(rows, known, p, {"observation_fts": stemmed, "observation_exact_fts": exact, "prompt_fts": index.Index(*(x.where("doc_id % 5 <> 0") for x in (asked.postings, asked.docstats)))})
+
+
+@query("rebuilt_indexes", with_(OBS, body="SELECT 'observation_exact_fts' AS name, count(*) FILTER (id % 9 <> 0) AS before, count(*) AS after FROM obs UNION ALL SELECT 'observation_fts', 0, count(*) FROM obs"))
+def rebuilt_indexes(s, d):
+    rows, i = obs_index(s, d)
+    part = index.Index(i.postings.where("doc_id % 9 <> 0"), i.docstats.where("doc_id % 9 <> 0"))
+    return doctor.sizes({"observation_exact_fts": part}, {"observation_exact_fts": index.build(rows), "observation_fts": index.build(rows, stemmed=True)})
+
+
 # a peer's changes, projects and grants
 
 _APPLIED = """c AS (SELECT event_id AS seq, 'obs-' || (event_id % 1300) AS k, event_id % 7 = 0 AS del, event_id % 21 = 0 AS hard FROM events),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.numbering import numbered
 
 MATRIX = {"session": ("upsert", "delete"), "observation": ("upsert", "delete"), "prompt": ("upsert", "delete"), "relation": ("upsert",)}
 RETRIES, KEEP_DAYS = 5, 7
@@ -131,9 +132,12 @@ def checked(mutations: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def materialise_chunks(mutations: DataFrame, limit: int = 100) -> DataFrame:
-    """(project, chunk, chunk_id, n, body): changes in chunks of at most `limit` by order of seq within a project."""
-    place = F.row_number().over(Window.partitionBy("project").orderBy("seq"))
-    c = mutations.withColumn("chunk", F.floor((place - 1) / limit).cast("int"))
+    """(project, chunk, chunk_id, n, body): changes in chunks of at most `limit`, 1 to 100, by order of seq within a project. A project with all
+    changes is numbered and packed by all tasks."""
+    if not 1 <= limit <= 100:
+        raise ValueError("a chunk holds 1 to 100 changes")
+    c = numbered(mutations.select("project", "seq", "entity", "entity_key", "op", "payload"), ["project"], ["seq", "entity", "entity_key"])
+    c = c.withColumn("chunk", F.floor((F.col("place") - 1) / limit).cast("long"))
     body = F.to_json(F.array_sort(F.collect_list(F.struct("seq", "entity", "entity_key", "op", "payload"))))
     return c.groupBy("project", "chunk").agg(F.count("*").alias("n"), body.alias("body")).withColumn("chunk_id", T.chunk_id(F.col("body")))
 
