@@ -527,7 +527,15 @@ def captured_changes(s, d):
     return e.select(F.col("entity_key").alias("sync_id"), "op", "project", F.get_json_object("payload", "$.title").alias("title"), F.get_json_object("payload", "$.hard_delete").cast("boolean").alias("hard"))
 
 
-@query("replicated_notes", with_(OBS, _WRITTEN, body="SELECT sync_id, title, coalesce(project, '') AS project, sha256(content) AS body, type, scope, topic_key, revision_count, deleted_at IS NOT NULL AS deleted FROM (SELECT *, 1 AS revision_count FROM after)"))
+def _kept(x: str, line: bool = False) -> str:
+    """What a peer keeps of a text that came with an upsert: without private blocks and outer white space, a title on one line, and of more
+    than 50,000 bytes what fits before the marker, cut between characters."""
+    bare = f"regexp_replace(regexp_replace({x}, '<private>.*?</private>', '[REDACTED]', 'gis'), '^\\s+|\\s+$', '', 'g')"
+    fits = ", ".join(f"try(decode(unhex(substr(hex(encode(c)), 1, {2 * n}))))" for n in (49985, 49984, 49983, 49982))
+    return f"(SELECT CASE WHEN strlen(c) > 50000 THEN coalesce({fits}) || '... [truncated]' ELSE c END FROM (SELECT {O.fold(bare) if line else bare} AS c))"
+
+
+@query("replicated_notes", with_(OBS, _WRITTEN, body=f"SELECT sync_id, CASE WHEN up THEN {_kept('a.title', True)} ELSE a.title END AS title, coalesce(project, '') AS project, sha256(CASE WHEN up THEN {_kept('content')} ELSE content END) AS body, type, scope, topic_key, revision_count, deleted_at IS NOT NULL AS deleted FROM (SELECT *, 1 AS revision_count FROM after) a JOIN (SELECT sync_id, up FROM w) USING (sync_id)"))
 def replicated_notes(s, d):
     """The copy of a peer that applied the journal of those writes, all projects being watched."""
     before, after = rewritten(s, d)
