@@ -1,6 +1,6 @@
 """An inverted index in immutable segments: a write adds one, reads merge them, and small ones are merged by size.
 
-A segment is a folder of Parquet: `postings` in order of term, `docstats` in order of document, and `removed`, the documents whose rows in earlier
+A segment is a folder of Parquet: `postings` in runs in order of term, `docstats` in order of document, and `removed`, the documents whose rows in earlier
 segments no longer count. A document that is indexed again lives in its newest segment only. The manifest lists the segments with their
 sizes and the totals of the live documents, which a write adds to and takes from, so ranking never counts the table. It is published under a
 new number by a rename that fails if the number is taken: two writers cannot both win, and readers of an older number keep its segments.
@@ -102,8 +102,9 @@ class SegmentIndex(index.Index):
         """Writes a segment; what it holds and how many documents and tokens it takes from earlier ones."""
         spark, path = self.postings.sparkSession, f"{self.root}/{seg:06d}-{uuid.uuid4().hex[:12]}"
         numbered = lambda df: df.withColumn("seg", F.lit(seg))
-        numbered(new.postings.select("doc_id", "col", "pos", "term")).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-        numbered(new.docstats.select("doc_id", "n_tokens")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/docstats")
+        postings = new.postings.select("doc_id", "col", "pos", "term")
+        (numbered(postings) if new.runs else index.in_runs(numbered(postings))).write.parquet(f"{path}/postings")
+        numbered(new.docstats.select("doc_id", "n_tokens")).sortWithinPartitions("doc_id").write.parquet(f"{path}/docstats")
         if removed is not None:
             removed.select("doc_id", "before", "n_tokens").write.parquet(f"{path}/removed")
         size = lambda what, schema, tokens: _read(spark, schema, [f"{path}/{what}"]).agg(F.lit(what).alias("what"), F.count("*").alias("n"), F.coalesce(F.sum(tokens), F.lit(0)).cast("long").alias("tokens"))
