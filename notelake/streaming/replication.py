@@ -117,7 +117,9 @@ def checked(mutations: DataFrame, sessions: DataFrame) -> DataFrame:
     ref = F.nullif(F.trim(F.get_json_object(j, "$.session_id")), F.lit(""))
     own = mutations.where("entity = 'session' and op = 'upsert'").select(F.coalesce(F.nullif(F.trim(F.get_json_object(j, "$.id")), F.lit("")), F.col("entity_key")).alias("_ref"))
     known = sessions.select(F.col("id").alias("_ref")).union(own).distinct().withColumn("_known", F.lit(True))
-    m = mutations.withColumn("_ref", F.when(F.col("entity").isin("observation", "prompt") & (F.col("op") == "upsert"), ref)).join(known, "_ref", "left")
+    m = mutations.withColumn("_ref", F.when(F.col("entity").isin("observation", "prompt") & (F.col("op") == "upsert"), ref))
+    # changes that name no session take no part in the join, where they would all meet in one task
+    m = m.where("_ref is not null").join(known, "_ref", "left").unionByName(m.where("_ref is null").withColumn("_known", F.lit(None).cast("boolean")))
     key = F.get_json_object(j, "$.sync_id")
     blank = lambda k: F.trim(F.coalesce(F.get_json_object(j, f"$.{k}"), F.lit(""))) == ""
     why = (

@@ -273,3 +273,12 @@ def test_vault_is_written_once(spark, tmp_path):
     assert {r["written"] for r in exchange.write_vault(v, f"file://{tmp_path}").collect()} == {True}
     assert {r["written"] for r in exchange.write_vault(v, f"file://{tmp_path}").collect()} == {False}
     assert "a-b-1" in (tmp_path / "sessions/s.md").read_text()
+
+
+def test_changes_without_a_session_do_not_meet(spark):
+    """Changes that name no session stay where they are read; those that name one are judged as before."""
+    at = F.col("id")
+    m = spark.range(400, numPartitions=4).select(at.alias("seq"), F.lit("observation").alias("entity"), F.concat(F.lit("k"), at.cast("string")).alias("entity_key"), F.lit("upsert").alias("op"), F.when(at < 4, F.concat(F.lit('{"session_id": "s'), (at % 2).cast("string"), F.lit('"}'))).otherwise("{}").alias("payload"))
+    got = R.checked(m, spark.createDataFrame([("s1",)], "id string")).withColumn("task", F.spark_partition_id()).collect()
+    assert {r["seq"]: r["problem"] for r in got} == {k: "session" if k in (0, 2) else None for k in range(400)}
+    assert max(sum(r["task"] == t for r in got) for t in {r["task"] for r in got}) <= 100
