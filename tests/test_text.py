@@ -125,3 +125,11 @@ def test_folding_twice_changes_nothing(spark, xs):
     for f in (T.project, T.scope, T.kind, T.topic_key, T.one_line, T.strip_private, lambda c: T.truncate_words(c, 10), lambda c: T.truncate_bytes_marked(c, 20)):
         once = df.select(f(F.col("x")).alias("x"))
         assert [r["x"] for r in once.collect()] == [r["y"] for r in once.select(f(F.col("x")).alias("y")).collect()]
+
+
+def test_a_topic_key_works_out_its_text_once(spark):
+    """The text of a note stands once in the expression, not once for each word that is looked for."""
+    row = spark.createDataFrame([("manual", "Fix-bug in it", "CHOSE a Docker")], "a string, b string, c string")
+    out = row.select(T.suggest_topic_key(F.col("a"), F.col("b"), F.col("c")).alias("k"))
+    assert out._jdf.queryExecution().analyzed().toString().count("lower(concat_ws") == 1
+    assert out.first()["k"] == "bug/fix-bug-in-it"
