@@ -1,136 +1,25 @@
-"""The journal as keyed state: a row of state for each key, kept in the state store and written for the keys of a micro-batch only.
+"""The journal followed as a stream: where each key ends is a row of the state store, written for the keys of a micro-batch only.
 
-A relation waits as state too: half of it with the note it starts from, half with the one it points to, until both are there or its time is up.
+A relation waits in a table of open relations, which each micro-batch reads and leaves anew; a time-out of the journal's own time keeps it short.
+Both are Spark's own aggregates, windows and joins: no row goes to Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from . import replication as R
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RETRY_HOURS, SALTS = 1, 8
+#: Every so many micro-batches, what is known of the notes is written as one table, from which later ones read on.
+MERGED = 16
 _ENDS = "entity string, entity_key string, seq long, deleted boolean, payload string"
-_HALVES = "change long, first_seen long, ready long, which string, at timestamp"
-_OUTCOMES = "change long, apply_status string, retry_count int, at timestamp"
-
-
-class LastChange(StatefulProcessor):
-    """One row of state a key: its last change by seq. Changes seen twice or late change nothing and are not told again."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq long, deleted boolean, payload string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.last.get()
-        best = seq = held[0] if held else -1
-        end = None
-        for part in rows:
-            top = part.iloc[part["seq"].argmax()]
-            if top["seq"] > best:
-                best, end = int(top["seq"]), (int(top["seq"]), bool(top["deleted"]), None if pd.isna(top["payload"]) else top["payload"])
-        if best > seq:
-            self.last.update(end)
-            yield pd.DataFrame([(*key, *end)], columns=["entity", "entity_key", "seq", "deleted", "payload"])
-
-    def close(self) -> None:
-        pass
-
-
-class Halves(StatefulProcessor):
-    """State of a note and salt: the last change that made or removed it, and the relations that wait for it. Tells each half of a
-    relation once when it is seen and once when its note is there; a half that waits in vain goes by a timer."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.note = handle.getValueState("note", "seq long, there boolean")
-        self.waiting = handle.getMapState("waiting", "change long, which string", "first_seen long, until long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, there = self.note.get() or (-1, False)
-        for part in rows:
-            out = []
-            # in order of the journal, so that a removal between a note and a relation counts
-            for r in part.sort_values("seq", kind="stable").itertuples(index=False):
-                if r.which == "note":
-                    if r.seq <= seq:
-                        continue
-                    seq, there = int(r.seq), bool(r.there)
-                    if there and self.waiting.exists():
-                        for (change, which), (first, until) in list(self.waiting.iterator()):
-                            if r.ms <= until:
-                                out.append((change, first, int(r.ms), which, r.at))
-                            self.waiting.removeKey((change, which))
-                else:
-                    out.append((int(r.seq), int(r.ms), int(r.ms) if there else None, r.which, r.at))
-                    if not there:
-                        self.waiting.updateValue((int(r.seq), r.which), (int(r.ms), int(r.until)))
-                        self.handle.registerTimer(int(r.until))
-            if out:
-                told = pd.DataFrame(out, columns=["change", "first_seen", "ready", "which", "at"])
-                yield told.astype({"ready": "Int64"})
-        self.note.update((seq, there))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for k in [k for k, (_, until) in self.waiting.iterator() if until <= now]:
-            self.waiting.removeKey(k)
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-class Outcome(StatefulProcessor):
-    """State of a change of a relation: when it was seen and since when each of its ends is there. It is applied once both are, and dead
-    if that takes longer than all its retries; either empties its state."""
-
-    def __init__(self, retry_ms: int, retries: int) -> None:
-        self.retry_ms, self.retries = retry_ms, retries
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.ends = handle.getValueState("ends", "first_seen long, source long, target long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.ends.get()
-        first, source, target = held or (None, None, None)
-        at = None
-        for part in rows:
-            for r in part.itertuples(index=False):
-                first, at = int(r.first_seen), r.at if at is None else max(at, r.at)
-                if not pd.isna(r.ready):
-                    if r.which == "source":
-                        source = int(r.ready)
-                    else:
-                        target = int(r.ready)
-        until = first + self.retries * self.retry_ms
-        if source is not None and target is not None:
-            self.ends.clear()
-            if held:
-                self.handle.deleteTimer(until)
-            yield self._told(key, "applied", (max(source, target) - first) // self.retry_ms, at)
-            return
-        self.ends.update((first, source, target))
-        if not held:
-            self.handle.registerTimer(until)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.ends.exists():
-            self.ends.clear()
-            yield self._told(key, "dead", self.retries, pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"))
-
-    def _told(self, key, status: str, n: int, at) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], status, n, at)], columns=["change", "apply_status", "retry_count", "at"])
-
-    def close(self) -> None:
-        pass
+_KNOWN = "note string, seq long, there boolean, batch long"
+_RELATIONS = "change long, first_seen long, until long, source_note string, target_note string, source long, target long, apply_status string, retry_count int, at timestamp, batch long"
 
 
 def _own_session(spark: SparkSession, partitions: int | None) -> SparkSession:
@@ -150,11 +39,14 @@ def follow(spark: SparkSession, source: str, schema, state_dir: str, on_batch: C
     """Follows a folder of journal files until it has read all. The end of each key is a row in the state store; a micro-batch reads and writes the
     rows of its own keys, and leaves the keys that it changed under `changes/batch=N`, the same again if it is run again: exactly once.
 
-    partitions: of the state, fixed for the life of state_dir; by default as many as a shuffle has. Null payloads are ends like others; a
-    journal without a row leaves no state. Returns the query; `ends(spark, state_dir)` reads where all keys end."""
+    The last change by seq counts, and of equal ones the first seen: its time of arrival is kept with it, so that changes seen twice or late change
+    nothing and are not told again. partitions: of the state, fixed for the life of state_dir; by default as many as a shuffle has. Null payloads are
+    ends like others; a journal without a row leaves no state. Returns the query; `ends(spark, state_dir)` reads where all keys end."""
     own = _own_session(spark, partitions)
-    m = _files(own, source, schema, max_files).select("entity", "entity_key", "seq", R.is_delete().alias("deleted"), "payload")
-    changed = m.groupBy("entity", "entity_key").transformWithStateInPandas(LastChange(), _ENDS, "Update", "None")
+    now = F.unix_micros(F.current_timestamp())  # one time a micro-batch, the same if it is run again
+    m = _files(own, source, schema, max_files).select("entity", "entity_key", F.struct("seq", (-now).alias("arrived"), R.is_delete().alias("deleted"), "payload").alias("c"))
+    last = m.groupBy("entity", "entity_key").agg(F.max("c").alias("last"))
+    changed = last.where(F.col("last.arrived") == -now).select("entity", "entity_key", "last.seq", "last.deleted", "last.payload")
 
     def step(batch: DataFrame, number: int) -> None:
         at = f"{state_dir}/changes/batch={number}"
@@ -165,49 +57,110 @@ def follow(spark: SparkSession, source: str, schema, state_dir: str, on_batch: C
     return changed.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", f"{state_dir}/_checkpoint").trigger(availableNow=True).start()
 
 
-def _stored(spark: SparkSession, state_dir: str, variable: str, operator: int = 0) -> DataFrame:
-    return spark.read.format("statestore").option("operatorId", operator).option("stateVarName", variable).load(f"{state_dir}/_checkpoint")
-
-
 def ends(spark: SparkSession, state_dir: str) -> DataFrame:
     """(entity, entity_key, seq, deleted, payload): where each key ends, from the state store, a task for each partition of the state."""
-    return _stored(spark, state_dir, "last").select("key.entity", "key.entity_key", "value.seq", "value.deleted", "value.payload")
+    held = spark.read.format("statestore").load(f"{state_dir}/_checkpoint")
+    last = F.col("value")[held.schema["value"].dataType.names[0]]
+    return held.select("key.entity", "key.entity_key", last["seq"].alias("seq"), last["deleted"].alias("deleted"), last["payload"].alias("payload"))
+
+
+def _read(spark: SparkSession, state_dir: str, name: str, schema: str, first: int, before: int) -> DataFrame:
+    """What the micro-batches from `first` on and before `before` left under a name; a failed one's own is not read when it is run again."""
+    if max(first, 0) >= before:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{state_dir}/{name}").where(F.col("batch").between(first, before - 1))
+
+
+def _settled(opened: DataFrame, notes: DataFrame, known: DataFrame) -> DataFrame:
+    """The open relations with the time since which each end is there. opened: (change, first_seen, until, source_note, target_note, source, target,
+    new); notes: (note, seq, ms, there), what a micro-batch tells; known: (note, seq, there), what was told before.
+
+    A note and what names it meet in order of the journal, in SALTS parts by relation, each told of the note, so that one that a third of all
+    relations name is no single task."""
+    end = lambda which: F.struct(F.lit(which).alias("which"), F.col(f"{which}_note").alias("note"), F.col(which).alias("ready"))
+    halves = opened.withColumn("e", F.explode(F.array(end("source"), end("target")))).select("change", "first_seen", "until", "new", "source_note", "target_note", "e.*")
+    halves = halves.withColumn("salt", F.pmod(F.hash("change"), F.lit(SALTS)).cast("int"))
+    named = halves.where("ready is null").select("note", "salt").distinct()
+    nil = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    told = lambda df, place, ms: df.join(named, "note").select("note", "salt", F.lit(place).alias("place"), "seq", ms.alias("ms"), "there", nil("struct<change: bigint, first_seen: bigint, until: bigint, new: boolean, which: string, ready: bigint, source_note: string, target_note: string>", "half"))
+    half = F.struct("change", "first_seen", "until", "new", "which", "ready", "source_note", "target_note").alias("half")
+    asks = halves.select("note", "salt", F.when(F.col("new"), 2).otherwise(1).alias("place"), F.col("change").alias("seq"), F.col("first_seen").alias("ms"), nil("boolean", "there"), half)
+    each = told(known, 0, F.lit(None).cast("long")).unionByName(told(notes, 2, F.col("ms"))).unionByName(asks)
+    # what was known, then what waits, then the micro-batch by seq; a row sees those before it, or from the end, those after
+    w = lambda *o: Window.partitionBy("note", "salt").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("was", F.last("there", ignorenulls=True).over(w("place", "seq")))
+    each = each.withColumn("comes", F.last(F.when(F.col("there") & (F.col("place") == 2), F.col("ms")), ignorenulls=True).over(w(F.desc("place"), F.desc("seq"))))
+    here = F.col("half.new") & F.coalesce("was", F.lit(False))
+    ready = F.coalesce("half.ready", F.when(here, F.col("half.first_seen")).when(F.col("comes") <= F.col("half.until"), F.col("comes")))
+    of = lambda which: F.max(F.when(F.col("which") == which, F.col("ready"))).alias(which)
+    out = each.where("half is not null").select("half.change", "half.first_seen", "half.until", "half.which", "half.source_note", "half.target_note", ready.alias("ready"))
+    return out.groupBy("change").agg(F.min("first_seen").alias("first_seen"), F.min("until").alias("until"), F.first("source_note").alias("source_note"), F.first("target_note").alias("target_note"), of("source"), of("target"))
 
 
 def settle(spark: SparkSession, source: str, schema, state_dir: str, delay: str = "1 hour", retry_hours: int = RETRY_HOURS, retries: int = R.RETRIES, max_files: int = 10, partitions: int | None = None):
-    """Follows a journal (seq, entity, entity_key, op, payload, occurred_at) and settles the changes of relations: (change, apply_status, retry_count,
-    at) under state_dir/outcomes.
+    """Follows a journal (seq, entity, entity_key, op, payload, occurred_at) and settles the changes of relations: `outcomes` reads (change, apply_status,
+    retry_count, at).
 
     A relation is tried when it comes and every `retry_hours` of the journal's own time after; it is applied once both its ends are there and dead
-    after `retries` tries in vain. Retries are counted by time and not run: a note wakes what waits for it, and a timer ends what nothing woke. What
-    still waits when the journal ends stays in the state (`waiting`). A note is there from its upsert to a removal for good; changes older than the
-    watermark (`delay`) are refused by it. The state of a note is dealt into SALTS parts by relation, each told of the note, so that one that a
-    third of all relations name is no single task. Blank or null ends never come, so such a relation ends dead."""
+    after `retries` tries in vain. Retries are counted by time and not run: a note wakes what waits for it, and what nothing woke ends when the
+    watermark (the latest time of the journal less `delay`) has passed its last try. What still waits when the journal ends stays open (`waiting`).
+    A note is there from its upsert to a removal for good; changes older than the watermark are refused. Blank or null ends never come, so such a
+    relation ends dead.
+
+    A micro-batch leaves the relations that were open (`relations/batch=N`: settled now, or open still), what it told of notes (`notes/batch=N`) and
+    the latest time (`latest/batch=N`), the same again if it is run again. It reads the open ones of the micro-batch before it and what is known of
+    notes. partitions: of its shuffles."""
     own = _own_session(spark, partitions)
-    j = R.payload()
-    m = _files(own, source, schema, max_files).withWatermark("occurred_at", delay)
-    ms = F.unix_millis("occurred_at")
-    until = ms + F.lit(retries * retry_hours * 3_600_000)
-    get = lambda k: F.coalesce(F.get_json_object(j, f"$.{k}"), F.lit(""))
-    gone = (F.col("op") == "delete") | get("deleted").isin("true", "1")
-    soft = ~get("hard_delete").isin("true", "1")
-    nil, here = F.lit(None).cast("long"), F.lit(None).cast("boolean")
-    half = lambda which, note, salt, end, there: F.struct(F.lit(which).alias("which"), note.alias("note"), salt.alias("salt"), end.alias("until"), there.alias("there"))
-    salt = F.pmod(F.hash("seq"), F.lit(SALTS)).cast("int")
-    both = F.array(half("source", get("source_id"), salt, until, here), half("target", get("target_id"), salt, until, here))
-    each = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: half("note", F.col("entity_key"), k, nil, ~gone))
-    parts = F.when((F.col("entity") == "relation") & (F.col("op") == "upsert"), both).when((F.col("entity") == "observation") & ~(gone & soft), each)
-    dealt = m.select("seq", "occurred_at", ms.alias("ms"), F.explode(parts).alias("p")).select("p.note", "p.salt", "p.which", "seq", "ms", "p.until", "p.there", F.col("occurred_at").alias("at"))
-    halves = dealt.groupBy("note", "salt").transformWithStateInPandas(Halves(), _HALVES, "Append", "EventTime", eventTimeColumnName="at")
-    told = halves.groupBy("change").transformWithStateInPandas(Outcome(retry_hours * 3_600_000, retries), _OUTCOMES, "Append", "EventTime")
-    out = told.writeStream.format("parquet").option("path", f"{state_dir}/outcomes").outputMode("append")
-    return out.option("checkpointLocation", f"{state_dir}/_checkpoint").trigger(availableNow=True).start()
+    retry_ms = retry_hours * 3_600_000
+    m = _files(own, source, schema, max_files)
+
+    def step(batch: DataFrame, number: int) -> None:
+        s = batch.sparkSession
+        get = lambda k: F.coalesce(F.get_json_object(R.payload(), f"$.{k}"), F.lit(""))
+        ms = F.unix_millis("occurred_at")
+        late = s.range(1).select(F.expr(f"cast(timestamp_millis(0) + interval {delay} as timestamp)").alias("t")).select(F.unix_millis("t")).first()[0]
+        seen = _read(s, state_dir, "latest", "ms long, batch long", number - 1, number).agg(F.max("ms")).first()[0]  # one row
+        latest = max((x for x in (seen, batch.agg(F.max(ms)).first()[0]) if x is not None), default=None)
+        if latest is None:  # nothing was told so far
+            latest = -(2**62)
+        rows = batch if seen is None else batch.where(ms > seen - late)
+        gone = (F.col("op") == "delete") | get("deleted").isin("true", "1")
+        notes = rows.where(F.col("entity") == "observation").where(~(gone & ~get("hard_delete").isin("true", "1")))
+        notes = notes.select(F.col("entity_key").alias("note"), "seq", ms.alias("ms"), (~gone).alias("there"))
+        base = number - number % MERGED
+        known = _read(s, state_dir, "notes", _KNOWN, max(base - 1, 0), number).groupBy("note").agg(F.max(F.struct("seq", "there")).alias("k")).select("note", "k.*")
+        # older than what is known of the note: nothing new
+        notes = notes.join(known.select("note", F.col("seq").alias("known_seq")), "note", "left").where("known_seq is null or seq > known_seq").drop("known_seq")
+        ends_ = rows.where((F.col("entity") == "relation") & (F.col("op") == "upsert"))
+        nil = F.lit(None).cast("long")
+        new = ends_.select(F.col("seq").alias("change"), ms.alias("first_seen"), (ms + retries * retry_ms).alias("until"), get("source_id").alias("source_note"), get("target_id").alias("target_note"), nil.alias("source"), nil.alias("target"), F.lit(True).alias("new"))
+        held = _read(s, state_dir, "relations", _RELATIONS, number - 1, number).where("apply_status is null").select(*new.columns[:-1], F.lit(False).alias("new"))
+        x = _settled(held.unionByName(new), notes, known)
+        both = F.greatest(F.when(F.col("target").isNotNull(), F.col("source")), F.when(F.col("source").isNotNull(), F.col("target")))
+        dead = F.col("until") <= latest - late
+        status = F.when(both.isNotNull(), "applied").when(dead, "dead")
+        tries = F.when(both.isNotNull(), F.floor((both - F.col("first_seen")) / retry_ms)).when(dead, retries).cast("int")
+        x = x.select("*", status.alias("apply_status"), tries.alias("retry_count"), F.timestamp_millis(F.when(both.isNotNull(), both).when(dead, F.col("until"))).alias("at"))
+        x.write.mode("overwrite").parquet(f"{state_dir}/relations/batch={number}")
+        now = notes.select("note", "seq", "there")
+        if number % MERGED == MERGED - 1:
+            now = now.unionByName(known)
+        now.groupBy("note").agg(F.max(F.struct("seq", "there")).alias("k")).select("note", "k.*").write.mode("overwrite").parquet(f"{state_dir}/notes/batch={number}")
+        s.range(1).select(F.lit(latest).cast("long").alias("ms")).write.mode("overwrite").parquet(f"{state_dir}/latest/batch={number}")
+
+    return m.writeStream.foreachBatch(step).option("checkpointLocation", f"{state_dir}/_checkpoint").trigger(availableNow=True).start()
+
+
+def _relations(spark: SparkSession, state_dir: str) -> DataFrame:
+    return spark.read.schema(_RELATIONS).parquet(f"{state_dir}/relations")
 
 
 def outcomes(spark: SparkSession, state_dir: str) -> DataFrame:
-    return spark.read.schema(_OUTCOMES).parquet(f"{state_dir}/outcomes")
+    return _relations(spark, state_dir).where("apply_status is not null").select("change", "apply_status", "retry_count", "at")
 
 
 def waiting(spark: SparkSession, state_dir: str) -> DataFrame:
     """(change, first_seen, source, target): relations that wait for an end still, with the time since which each end is there."""
-    return _stored(spark, state_dir, "ends", 0).select("key.change", *(F.timestamp_millis(F.col("value")[c]).alias(c) for c in ("first_seen", "source", "target")))
+    last = spark.read.schema("ms long, batch long").parquet(f"{state_dir}/latest").agg(F.max("batch")).first()[0]
+    opened = _relations(spark, state_dir).where((F.col("batch") == last) & F.col("apply_status").isNull())
+    return opened.select("change", *(F.timestamp_millis(c).alias(c) for c in ("first_seen", "source", "target")))

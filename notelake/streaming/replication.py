@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -38,6 +38,19 @@ def replay(mutations: DataFrame, cursor: int = -1) -> DataFrame:
     return m.groupBy("entity", "entity_key").agg(F.max(F.struct("seq", "deleted", "payload")).alias("last")).select("entity", "entity_key", "last.seq", "last.deleted", "last.payload")
 
 
+def run_stream(spark: SparkSession, source: str, schema, state_dir: str, max_files: int = 10):
+    """The replay as a stream of files, see `keyed.follow`; `state` reads where all keys end."""
+    from . import keyed
+
+    return keyed.follow(spark, source, schema, state_dir, max_files=max_files)
+
+
+def state(spark: SparkSession, state_dir: str) -> DataFrame:
+    from . import keyed
+
+    return keyed.ends(spark, state_dir)
+
+
 def fold_sessions(mutations: DataFrame) -> DataFrame:
     """Session upserts column by column: the last value that is not blank."""
     j = payload()

@@ -110,3 +110,28 @@ def test_relations_wait_for_both_ends(spark, tmp_path):
     want = one_at_a_time(rows, rows[-1][5] - timedelta(minutes=30))
     assert got == want
     assert {s for s, _ in want.values()} == {"applied", "dead", "deferred"}
+
+
+def test_keys_end_without_python(spark, tmp_path):
+    at, home = str(tmp_path / "in"), str(tmp_path / "state")
+    # of changes with equal seq, the first seen stays and the other is not told
+    written(spark, at, [[(1, "prompt", "a", "upsert", "one", START)], [(1, "prompt", "a", "upsert", "two", START), (0, "prompt", "b", "upsert", None, START)]])
+    q = K.follow(spark, at, JOURNAL, home, max_files=1, partitions=2)
+    q.awaitTermination()
+    assert [o["operatorName"] for o in q.lastProgress["stateOperators"]] == ["stateStoreSave"]
+    assert told(K.ends(spark, home)) == [("prompt", "a", 1, False, "one"), ("prompt", "b", 0, False, "")]
+    assert {(r["batch"], r["entity_key"]) for r in spark.read.parquet(f"{home}/changes").collect()} == {(0, "a"), (1, "b")}
+
+
+def test_relations_settle_without_python_across_merged_notes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "MERGED", 2)
+    note = lambda i, key, minutes, op="upsert": (i, "observation", key, op, '{"hard_delete": true}' if op == "delete" else "{}", START + timedelta(minutes=minutes))
+    rel = lambda i, a, b, minutes: (i, "relation", f"r{i}", "upsert", json.dumps({"source_id": a, "target_id": b}), START + timedelta(minutes=minutes))
+    pages = [[note(0, "a", 0)], [note(1, "b", 10)], [note(2, "b", 20, "delete")], [rel(3, "a", "b", 30)], [note(4, "b", 150)], [rel(5, "b", "a", 160), rel(6, "a", "gone", 161)]]
+    at, home = str(tmp_path / "in"), str(tmp_path / "state")
+    written(spark, at, pages)
+    q = K.settle(spark, at, JOURNAL, home, delay="30 minutes", max_files=1, partitions=2)
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"] == []
+    assert {(r["change"], r["apply_status"], r["retry_count"]) for r in K.outcomes(spark, home).collect()} == {(3, "applied", 2), (5, "applied", 0)}
+    assert [r["change"] for r in K.waiting(spark, home).collect()] == [6]
