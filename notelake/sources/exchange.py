@@ -77,8 +77,9 @@ def vault(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     files = notes.select(F.concat("stem", F.lit(".md")).alias("path"), body.alias("body"))
 
     def hub(key: str, folder: str, least: int) -> DataFrame:
-        # links are listed in order by a sort within the key, which spills; no list of a hub is longer than its notes
-        g = notes.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "stem"))).alias("n")).where(F.size("n") >= least)
+        # links are listed in order by a sort within the key, which spills; no list of a hub is longer than its notes.
+        # Hubs are chosen by a count, so that paths alone make no lists
+        g = notes.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "stem"))).alias("n"), F.count("*").alias("many")).where(F.col("many") >= least)
         links = F.array_join(F.transform("n", lambda x: F.concat(F.lit("- [["), x["stem"], F.lit("]]"))), "\n")
         return g.select(F.concat(F.lit(f"{folder}/"), T.slug(F.col(key)), F.lit(".md")).alias("path"), F.concat(F.lit("# "), F.col(key), F.lit("\n\n"), links, F.lit("\n")).alias("body"))
 
