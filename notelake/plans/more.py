@@ -17,7 +17,7 @@ from ..sources import exchange, schemas, sqlite
 from ..streaming import keyed
 from ..streaming import replication as R
 from . import oracle as O
-from .catalog import _CAND, AS_OF, PREFIX, as_of, at, obs_index, query, saved_index
+from .catalog import _CAND, AS_OF, PREFIX, as_of, at, listed_index, obs_index, query, saved_index
 from .oracle import LIVE, LOG, LOG_SESSIONS, MUTATIONS, OBS, PROMPTS, RELATIONS, stamp, with_
 
 # deferred changes
@@ -376,8 +376,7 @@ def sample_words(s, d):
 
 @query("index_gap", with_(OBS, body="SELECT count(*) AS n_indexed, count(*) FILTER (id % 3 <> 0) AS n_rows FROM obs"))
 def index_gap(s, d):
-    rows, i = obs_index(s, d)
-    return quality.index_gap(i, rows.where("id % 3 <> 0"))
+    return quality.index_gap(listed_index(s, d), D.observations(s, d).where("id % 3 <> 0"))
 
 
 @query("rehashed", with_(OBS, body="SELECT id, CASE WHEN deleted_at IS NULL THEN normalized_hash ELSE 'old' END AS normalized_hash FROM obs"))
@@ -412,8 +411,7 @@ _CHECKS = {
 
 @query("doctor_report", with_(OBS, LOG_SESSIONS, PROMPTS, RELATIONS, body=" UNION ALL ".join(f"SELECT '{k}' AS code, n = 0 AS ok, CAST(n AS VARCHAR) AS detail FROM ({q}) t(n)" for k, q in _CHECKS.items())))
 def doctor_report(s, d):
-    rows, i = obs_index(s, d)
-    return quality.report(rows, D.log_sessions(s, d), D.prompts(s, d), D.relations(s, d), i)
+    return quality.report(D.observations(s, d), D.log_sessions(s, d), D.prompts(s, d), D.relations(s, d), listed_index(s, d))
 
 
 _HEALTH = {
