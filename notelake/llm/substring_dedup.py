@@ -35,10 +35,10 @@ def _cut(batches: Iterator[pa.RecordBatch], units: cover.Units, schema: pa.Schem
         out[np.repeat(place, size) + spread] = data[np.repeat(w.start[stay], size) + spread]
         first = np.searchsorted(of[stay], np.arange(len(rows)))
         at = np.append(place, len(out))[first]
-        raw = memoryview(out.tobytes())
-        kept = [raw[a : max(a, b - 1)] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        some = np.diff(at) > 0
+        kept = K.binaries(np.delete(out, at[1:][some] - 1), at - np.concatenate(([0], np.cumsum(some))))
         total = np.concatenate(([0], np.cumsum(gone, dtype=np.int64)))
-        arrays = [piece.column("id"), pa.array(np.diff(w.off)), pa.array(total[w.off[1:]] - total[w.off[:-1]]), pa.array(kept, pa.binary())]
+        arrays = [piece.column("id"), pa.array(np.diff(w.off)), pa.array(total[w.off[1:]] - total[w.off[:-1]]), kept]
         yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
