@@ -257,9 +257,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, context: int,
                 used += n
             number += 1
         doc_a, start_a, length_a = np.array(doc), np.array(start, np.int64), np.array(length, np.int64)
-        raw = memoryview(flat.astype("<u4").tobytes())
         first = base[doc_a] + start_a
-        blobs = pa.array([raw[4 * a : 4 * (a + n)] for a, n in zip(first.tolist(), length)], pa.binary())
+        raw = np.concatenate([flat[a : a + n] for a, n in zip(first.tolist(), length)]).astype("<u4", copy=False)
+        blobs = K.binaries(raw.view(np.uint8), 4 * np.concatenate(([0], np.cumsum(length_a))))
         column = pa.concat_arrays(names).take(pa.array(doc_a))
         arrays = [column, pa.array(start_a), pa.array(length_a), blobs, pa.array(sizes[doc_a]), pa.array(seq, pa.int64()), pa.array(offset, pa.int64()), pa.array(group, pa.int64())]
         table = pa.Table.from_arrays(arrays, schema=schema)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from notelake.llm import cover, kernel, substring_dedup, suffix_dedup
+from notelake.llm import cover, kernel, packing, substring_dedup, suffix_dedup
 
 SOME = [b"", b"ab", b"", "é c".encode(), b"defg", b""]
 
@@ -62,3 +62,30 @@ def test_cut_texts_hold_nothing(words):
         all_units = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")] if words else [bytes([x]) for x in (text or "").encode()]
         stay = [x for i, x in enumerate(all_units) if not any(s <= i < s + 3 for s in at)]
         assert r["kept"] == (b" " if words else b"").join(stay) and r["n_removed"] == len(all_units) - len(stay)
+
+
+def test_packed_pieces_hold_nothing(monkeypatch):
+    class Tokenizer:
+        """A code point a token."""
+
+        def encode(self, texts, end):
+            ids = [[*map(ord, t or ""), end] for t in texts.to_pylist()]
+            return np.concatenate([np.array(x, np.int64) for x in ids]), np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+
+    class Task:
+        partitionId = staticmethod(lambda: 1)
+
+    monkeypatch.setattr(packing.WordTokenizer, "load", lambda path: Tokenizer())
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: Task)
+    rng = random.Random(5)
+    texts = ["", None, *("".join(rng.choices("aé語", k=rng.randint(1, 3000))) for _ in range(120))]
+    kinds = [("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), *((c, pa.int64()) for c in ("doc_tokens", "sequence_id", "offset", "step_group"))]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    before = views()
+    rows = [r for b in packing._pack(iter([batch]), "", 2, 4096, 256, 50_000, 1 << 19, pa.schema(kinds)) for r in b.to_pylist()]
+    assert views() == before
+    rows.sort(key=lambda r: (r["id"], r["start"]))
+    for i, t in enumerate(texts):
+        mine = [r for r in rows if r["id"] == i]
+        assert all(len(r["ids"]) == 4 * r["length"] for r in mine)
+        assert np.frombuffer(b"".join(r["ids"] for r in mine), "<u4").tolist() == [*map(ord, t or ""), 2]
