@@ -17,7 +17,7 @@ from ..sources import exchange, schemas, sqlite
 from ..streaming import keyed
 from ..streaming import replication as R
 from . import oracle as O
-from .catalog import _CAND, AS_OF, PREFIX, as_of, at, listed_index, obs_index, query, saved_index
+from .catalog import _CAND, AS_OF, PREFIX, as_of, at, listed_index, obs_index, query, saved_index, text_index
 from .oracle import LIVE, LOG, LOG_SESSIONS, MUTATIONS, OBS, PROMPTS, RELATIONS, stamp, with_
 
 # deferred changes
@@ -559,7 +559,7 @@ _EVERY = [x.replace("id % 20 = 0 AND deleted_at IS NULL", "deleted_at IS NULL")
 @query("all_candidates", with_(OBS, RELATIONS, *O.index(), *_EVERY, body="SELECT qid AS source, doc_id AS candidate, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS p FROM top JOIN med USING (qid) WHERE score <= -2.0 AND (n < 24 OR score <= middle * 1.25)) WHERE p <= 3"))
 def all_candidates(s, d):
     """Candidates of every live note, not of each twentieth."""
-    rows, i = obs_index(s, d)
+    rows, i = text_index(s, d)
     c = relations.candidates(i, rows, rows.where("deleted_at is null"), D.relations(s, d))
     return c.select("source", "candidate", (F.round("score", 6) + 0.0).alias("score"))
 
