@@ -66,3 +66,12 @@ def test_candidates_write_a_row_a_document(spark, rows, tables):
     assert set(tables) == {"words", "documents", "idf", "blocks"}  # no index, no row for a word of a document
     assert tables["documents"][0].count() == 240
     assert got == answers(plain(i)) and len(got) > 200
+
+
+@pytest.mark.parametrize("name", ["candidates"])
+def test_queries_make_no_index(spark, tables, monkeypatch, name):
+    from notelake.plans import catalog, more  # noqa: F401
+
+    monkeypatch.setattr(catalog, "saved_index", lambda *_: pytest.fail("an index was written"))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert "documents" in tables and "parts" not in tables
