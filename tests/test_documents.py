@@ -68,7 +68,7 @@ def test_candidates_write_a_row_a_document(spark, rows, tables):
     assert got == answers(plain(i)) and len(got) > 200
 
 
-@pytest.mark.parametrize("name", ["candidates"])
+@pytest.mark.parametrize("name", ["candidates", "scan_project"])
 def test_queries_make_no_index(spark, tables, monkeypatch, name):
     from notelake.plans import catalog, more  # noqa: F401
 
