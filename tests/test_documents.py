@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from notelake.operators import blocks, bm25, index, relations
+from notelake.operators import blocks, bm25, frames, index, relations
 
 WORDS = ["cache", "Búsqueda", "foo-bar", "foo", "bar", "a/b/c", "a", "b", "token", "x_y", "…", "b/c"]
 NOTES = "id long, sync_id string, type string, title string, content string, project string, scope string, topic_key string, updated_at timestamp, deleted_at timestamp"
@@ -35,7 +35,7 @@ def plain(i):
 @pytest.fixture
 def tables(monkeypatch):
     out = {}
-    for m in (blocks, relations):
+    for m in (blocks, relations, frames):
         real = m.written
         monkeypatch.setattr(m, "written", lambda df, name, real=real, **options: out.setdefault(name, []).append(real(df, name, **options)) or out[name][-1])
     return out
@@ -68,7 +68,29 @@ def test_candidates_write_a_row_a_document(spark, rows, tables):
     assert got == answers(plain(i)) and len(got) > 200
 
 
-@pytest.mark.parametrize("name", ["candidates", "scan_project"])
+def test_frames_answer_alike(spark, rows, tables):
+    i = index.build(rows)
+    texts = ["cache token", "foo-bar a/b/c", "cache zzqx", "foo bar zzqx zzqy", "t/1", "busqueda x_y", "a/b/c foo-bar FOO_BAR"]
+    asked = spark.createDataFrame([(k, t, p, s) for k, (t, p, s) in enumerate((t, p, s) for t in texts for p in (None, "P", "none") for s in (None, "personal"))], "qid long, query string, project string, scope string")
+    answers = lambda of: sorted(map(tuple, frames.search_all(of, of, rows, asked, 4).withColumn("score", F.round("score", 8)).collect()))
+    got = answers(i)
+    assert "parts" not in tables and "documents" in tables
+    assert got == answers(plain(i)) and {r[6] for r in got} == {1, 2, 3, 4}
+
+
+def test_queries_for_a_topic_meet_its_notes_once(spark, rows, tables):
+    n = 300
+    asked = frames._asked(spark.createDataFrame([(k, "t/1" if k % 2 else "T/2", "q" if k % 3 == 0 else None) for k in range(n)], "qid long, query string, project string"))
+    got = {}
+    for r in frames.topics(asked, rows, 5).orderBy("place").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    notes = sorted((r for r in rows.collect() if r["deleted_at"] is None), key=lambda r: (-r["updated_at"].timestamp(), r["id"]))
+    for k in range(n):
+        assert got[k] == [r["id"] for r in notes if r["topic_key"] == ("t/1" if k % 2 else "t/2") and (k % 3 or r["project"] == "q")][:5]
+    assert tables["newest"][0].count() == 4 * 5  # two keys, with and without a project
+
+
+@pytest.mark.parametrize("name", ["candidates", "scan_project", "searched_frame"])
 def test_queries_make_no_index(spark, tables, monkeypatch, name):
     from notelake.plans import catalog, more  # noqa: F401
 
